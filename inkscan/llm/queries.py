@@ -17,8 +17,27 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkscan.llm import langid
+
+    documents = table(spark, sf_dir, "documents")
+    return langid.predict(documents, langid.train(documents))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkscan.llm import quality
+
+    documents = table(spark, sf_dir, "documents")
+    trees = quality.train(documents, table(spark, sf_dir, "labels"))
+    return quality.judge(documents, trees, ["doc_id"]).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality_score"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op3_langid": op3_langid,
+    "op6_quality": op6_quality,
 }
 
 ORACLES: dict[str, str] = {}
