@@ -24,6 +24,12 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(documents, langid.train(documents))
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkscan.llm.jaccard import near_copies
+
+    return near_copies(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkscan.llm import quality
 
@@ -37,6 +43,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_langid": op3_langid,
+    "op4_jaccard": op4_jaccard,
     "op6_quality": op6_quality,
 }
 
