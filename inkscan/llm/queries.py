@@ -30,6 +30,12 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "documents"))
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkscan.llm.embed_dedup import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkscan.llm import quality
 
@@ -50,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_langid": op3_langid,
     "op4_jaccard": op4_jaccard,
+    "op5_embeddings": op5_embeddings,
     "op6_quality": op6_quality,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
