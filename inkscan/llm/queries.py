@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from inkscan.llm import mixing, url_filter
 from inkscan.llm.shared import table
 
 
@@ -17,6 +18,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkscan.llm import langid
 
@@ -46,6 +51,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), ["doc_id"]).drop("copies")
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkscan.llm.suffix_dedup import remove_repeats
 
@@ -54,11 +63,16 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_urls": op2_urls,
     "op3_langid": op3_langid,
     "op4_jaccard": op4_jaccard,
     "op5_embeddings": op5_embeddings,
     "op6_quality": op6_quality,
+    "op8_mixing": op8_mixing,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_urls": url_filter.oracle(),
+    "op8_mixing": mixing.ORACLE,
+}
