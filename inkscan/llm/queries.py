@@ -51,6 +51,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkscan.llm.warc import archive
+
+    return archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), ["doc_id"]).drop("copies")
 
@@ -68,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_jaccard": op4_jaccard,
     "op5_embeddings": op5_embeddings,
     "op6_quality": op6_quality,
+    "op7_warc": op7_warc,
     "op8_mixing": op8_mixing,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
