@@ -61,6 +61,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), ["doc_id"]).drop("copies")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkscan.llm.pii import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkscan.llm.suffix_dedup import remove_repeats
 
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_warc": op7_warc,
     "op8_mixing": op8_mixing,
+    "op9_pii": op9_pii,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
