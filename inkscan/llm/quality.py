@@ -26,7 +26,7 @@ MAX_REPEATED_PERCENT = 20
 KEEP_AT = 0.5
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-_MORE = ("n_chars", "n_lines", "n_digits", "n_upper", "n_stops", "n_distinct")
+_MORE = ("n_points", "n_lines", "n_digits", "n_upper", "n_stops", "n_distinct")
 STATS = ", ".join(f"{c} long" for c in (*COUNTS, *_MORE))
 
 _IS_SYMBOL = np.zeros(256, dtype=bool)
@@ -63,7 +63,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         "n_words": np.diff(words.first),
         "word_chars": _per_row(lead & ~IS_SPACE[data], offsets),
         "n_symbols": _per_row(_IS_SYMBOL[data], offsets),
-        "n_chars": _per_row(lead, offsets),
+        "n_points": _per_row(lead, offsets),
         "n_digits": _per_row(_KIND[data] == 1, offsets),
         "n_upper": _per_row(_KIND[data] == 2, offsets),
         "n_stops": _per_row(_KIND[data] == 3, offsets),
@@ -121,7 +121,7 @@ FEATURES: dict[str, int] = {
 
 def features(s: dict[str, np.ndarray]) -> np.ndarray:
     s = {k: np.asarray(v, dtype=np.float64) for k, v in s.items()}
-    words, chars, lines = (np.maximum(s[k], 1) for k in ("n_words", "n_chars", "n_lines"))
+    words, chars, lines = (np.maximum(s[k], 1) for k in ("n_words", "n_points", "n_lines"))
     return np.stack([
         np.log1p(s["n_words"]), s["word_chars"] / words, s["n_symbols"] / chars, s["n_dup_lines"] / lines, s["n_repeat_words"] / words,
         s["n_digits"] / chars, s["n_upper"] / chars, s["n_stops"] / words, s["n_distinct"] / words, s["n_words"] / lines,
