@@ -31,7 +31,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64; the longest asked for stays in the worker."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 20), base, dtype=U64)
+        have = np.full(max(n, 1 << 19), base, dtype=U64)
         have[0] = 1
         with np.errstate(over="ignore"):
             have = np.cumprod(have, dtype=U64)
@@ -83,7 +83,14 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def pieces(offsets: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, so what a task makes of a batch stays small."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
+def pieces(offsets: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``most`` bytes; a longer text is a range of its own."""
     first, n = 0, len(offsets) - 1
     while first < n:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkscan.llm.bytesops import LOWER, SliceHash, Words, minimum_labels, mix, pieces, shingles, text_bytes
+from inkscan.llm.bytesops import LOWER, SliceHash, Words, in_slices, minimum_labels, mix, pieces, shingles, text_bytes
 from inkscan.llm.shared import components, cut, partitions
 
 U64 = np.uint64
@@ -40,6 +40,8 @@ BLOOM_BITS = 26
 BLOOM_CHUNK_BITS = 21
 #: A list of more entries gives a star instead of all its pairs.
 LONG_LIST = 64
+#: Pairs of entries that a task holds before it counts them and hands them on.
+PAIRS = 1 << 19
 #: Sets of a cluster that are compared in one go.
 CHUNK = 1024
 
@@ -85,7 +87,7 @@ def _sketch(documents: DataFrame, bits: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, any_rows = np.zeros(1 << bits, dtype=np.uint32), False
-        for batch in batches:
+        for batch in in_slices(batches):
             sets = [s >> U64(64 - bits) for _, s in shingle_sets(batch.column("text"))]
             if sets:
                 slots, n = np.unique(np.concatenate(sets), return_counts=True)
@@ -120,7 +122,7 @@ def _index(documents: DataFrame, sketch: np.ndarray, buckets: int) -> DataFrame:
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # equal sets of one task have equal entries
-        for batch in batches:
+        for batch in in_slices(batches):
             tokens, rows = [], []
             for _, s in shingle_sets(batch.column("text")):
                 fp = fingerprint(s)
@@ -148,6 +150,21 @@ def _index(documents: DataFrame, sketch: np.ndarray, buckets: int) -> DataFrame:
     return documents.select("text").mapInArrow(entries, "bucket int, entries binary")
 
 
+def _counted(e: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pairs of entries as pairs of sets, each with how many of these entries it shares."""
+    a, b = np.minimum(e["fp"][x], e["fp"][y]), np.maximum(e["fp"][x], e["fp"][y])
+    order = np.lexsort((b, a))
+    a, b, x, y = a[order], b[order], x[order], y[order]
+    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    shared = np.diff(np.append(first, len(a)))
+    a, b, x, y = a[first], b[first], x[first], y[first]
+    flip = e["fp"][x] != a
+    x, y = np.where(flip, y, x), np.where(flip, x, y)
+    columns = [a, b, e["size"][x].astype(np.int64), e["size"][y].astype(np.int64), shared]
+    for k in range(0, len(a), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(c[k : k + (1 << 16)]) for c in columns], names=["a", "b", "n_a", "n_b", "shared"])
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, n_a, n_b, shared) per pair of sets that share entries of this partition; shared is null for a star's edge."""
     blobs = [np.frombuffer(e.as_py(), dtype=ENTRY) for batch in batches for e in batch.column("entries")]
@@ -161,29 +178,23 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     e = e[np.concatenate([[True], fresh])]
     begin = np.flatnonzero(np.concatenate([[True], e["token"][1:] != e["token"][:-1]]))
     length = np.diff(np.append(begin, len(e)))
-    left, right = [], []
+    left, right, waiting = [], [], 0
     for m in np.unique(length[(length > 1) & (length <= LONG_LIST)]):
         lists, (i, j) = begin[length == m], np.triu_indices(m, 1)
-        for part in np.array_split(lists, max(1, len(lists) * len(i) >> 21)):
+        for part in np.array_split(lists, max(1, len(lists) * len(i) // PAIRS)):
             x, y = (part[:, None] + i).ravel(), (part[:, None] + j).ravel()
             small, large, p, q = (e[c][k].astype(np.int64) for c, k in (("size", x), ("size", y), ("at", x), ("at", y)))
             need = -(-(small + large) * PERCENT // (100 + PERCENT))
             most = np.minimum(p, q) + 1 + np.minimum(small - p - 1, large - q - 1)  # before, here and behind
             ok = most >= need
-            left.append(x[ok])
-            right.append(y[ok])
-    if left and sum(map(len, left)):
-        x, y = np.concatenate(left), np.concatenate(right)
-        a, b, na, nb = e["fp"][x], e["fp"][y], e["size"][x].astype(np.int64), e["size"][y].astype(np.int64)
-        swap = a > b
-        a, b, na, nb = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, nb, na), np.where(swap, na, nb)
-        order = np.lexsort((b, a))
-        a, b, na, nb = a[order], b[order], na[order], nb[order]
-        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-        shared = np.diff(np.append(first, len(a)))
-        for k in range(0, len(first), 1 << 16):
-            s = first[k : k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(a[s]), pa.array(b[s]), pa.array(na[s]), pa.array(nb[s]), pa.array(shared[k : k + (1 << 16)])], names=["a", "b", "n_a", "n_b", "shared"])
+            left.append(x[ok].astype(np.int32))
+            right.append(y[ok].astype(np.int32))
+            waiting += len(left[-1])
+            if waiting >= PAIRS:
+                yield from _counted(e, np.concatenate(left), np.concatenate(right))
+                left, right, waiting = [], [], 0
+    if waiting:
+        yield from _counted(e, np.concatenate(left), np.concatenate(right))
     for i in np.flatnonzero(length > LONG_LIST):
         fps = e["fp"][begin[i] : begin[i] + length[i]]
         size = e["size"][begin[i] : begin[i] + length[i]].astype(np.int64)
@@ -220,7 +231,7 @@ def _sets(documents: DataFrame, wanted: np.ndarray) -> DataFrame:
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in in_slices(batches):
             fps, blobs = [], []
             for _, s in shingle_sets(batch.column("text")):
                 fp = fingerprint(s)
