@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkscan.llm.bytesops import SliceHash, mix, pieces, text_bytes
+from inkscan.llm.bytesops import SliceHash, in_slices, mix, pieces, text_bytes
 from inkscan.llm.shared import partitions
 
 U64 = np.uint64
@@ -173,8 +173,11 @@ def _strings(head: np.ndarray, raw: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def _runs(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(doc_id, starts, ends) with ranges that touch made one."""
+RANGE = np.dtype([("doc", "<i8"), ("start", "<i8"), ("end", "<i8")])
+
+
+def _joined(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Ranges by document and start, those that touch made one."""
     order = np.lexsort((end, start, doc))
     doc, start, end = doc[order], start[order], end[order]
     if len(doc):
@@ -182,25 +185,18 @@ def _runs(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[pa.Re
         rank = np.cumsum(np.concatenate([[0], doc[1:] != doc[:-1]]))
         span = int(end.max()) + 1
         reach = np.maximum.accumulate(end + rank * span) - rank * span
-        fresh = np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] > reach[:-1])])
-        at = np.flatnonzero(fresh)
+        at = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] > reach[:-1])]))
         doc, start, end = doc[at], start[at], reach[np.append(at[1:], len(doc)) - 1]
-        cut = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-        offsets = pa.array(np.append(cut, len(doc)), pa.int32())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(doc[cut]), pa.ListArray.from_arrays(offsets, pa.array(start)), pa.ListArray.from_arrays(offsets, pa.array(end))],
-            names=["doc_id", "starts", "ends"],
-        )
+    out = np.empty(len(doc), dtype=RANGE)
+    out["doc"], out["start"], out["end"] = doc, start, end
+    return out
 
 
 def _surroundings(documents: DataFrame, marks: np.ndarray, buckets: int, length: int, prefix: int, chunk: int) -> DataFrame:
-    """Rows with a bucket: packed marked samples (head, raw), or what a batch has settled itself (doc_id, starts, ends)."""
+    """(bucket, head, raw): packed marked samples; or, without a head, the ranges that a batch has settled itself."""
     sent = documents.sparkSession.sparkContext.broadcast(marks)
-    names = ["bucket", "head", "raw", "doc_id", "starts", "ends"]
-    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches, 2000):
             doc_ids = np.asarray(batch.column("doc_id"))
             heads, hashes, raws, done = [], [], [], []
             for data, offsets, base, s in _batch_samples(batch.column("text"), length, prefix):
@@ -222,9 +218,7 @@ def _surroundings(documents: DataFrame, marks: np.ndarray, buckets: int, length:
             lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))
             settled = same & ((h["doc"] > h["doc"][lead]) | (h["start"] > h["start"][lead]))
             done = h[settled]
-            for part in _runs(done["doc"], done["start"], done["start"] + done["size"]):
-                anywhere = pa.array(np.asarray(part.column("doc_id")) % buckets, pa.int64()).cast(pa.int32())
-                yield pa.RecordBatch.from_arrays([anywhere, *(pa.nulls(len(part), k) for k in kinds[1:3]), *part.columns], names=names)
+            ranges = _joined(done["doc"], done["start"], done["start"] + done["size"])
             order = order[~settled]
             bucket = (_spread(head["key"][order]) % U64(buckets)).astype(np.int32)
             order = order[np.argsort(bucket, kind="stable")]
@@ -238,33 +232,52 @@ def _surroundings(documents: DataFrame, marks: np.ndarray, buckets: int, length:
                 out[1].append(head[rows].tobytes())
                 out[2].append(raw[np.repeat(begin[rows], size) + step].tobytes())
             out[0] = bucket[at].tolist()
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, k) for x, k in zip(out, kinds, strict=False)), *(pa.nulls(len(out[0]), k) for k in kinds[3:])], names=names)
+            if len(ranges):
+                for column, x in zip(out, (int(ranges["doc"][0] % buckets), None, ranges.tobytes()), strict=True):
+                    column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["bucket", "head", "raw"])
 
-    return documents.mapInArrow(compute, "bucket int, head binary, raw binary, doc_id long, starts array<long>, ends array<long>")
+    return documents.mapInArrow(compute, "bucket int, head binary, raw binary")
 
 
-def _repeats(length: int):
+def _repeats(length: int, buckets: int):
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, runs = Levels(), []
+        index, runs, ranges = Levels(), [], []
         for batch in batches:
-            settled = batch.filter(batch.column("head").is_null()).select(["doc_id", "starts", "ends"])
-            if len(settled):
-                yield settled
             for head, raw in zip(batch.column("head"), batch.column("raw"), strict=True):
                 if head.is_valid:
                     strings = _strings(np.frombuffer(head.as_py(), dtype=HEAD), np.frombuffer(raw.as_py(), dtype=np.uint8), length)
                     index.add(strings)
                     runs.append(strings)
-        found = [s[index.starts_earlier(s)] for s in runs if len(s)]
-        if found:
-            s = np.concatenate(found)
-            yield from _runs(s["doc"], s["start"], s["start"] + length)
+                else:
+                    ranges.append(np.frombuffer(raw.as_py(), dtype=RANGE))
+        for s in runs:
+            s = s[index.starts_earlier(s)]
+            ranges.append(_joined(s["doc"], s["start"], s["start"] + length))
+        if ranges:
+            found = np.concatenate(ranges)
+            bucket = (mix(found["doc"].view(U64)) % U64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            at = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0])) if len(order) else order
+            blobs = [found[rows].tobytes() for rows in np.split(order, at[1:])] if len(order) else []
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[order][at]), pa.array(blobs, pa.binary())], names=["bucket", "ranges"])
 
     return compute
 
 
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per document: its ranges from all partitions, joined."""
+    blobs = [np.frombuffer(r.as_py(), dtype=RANGE) for batch in batches for r in batch.column("ranges")]
+    found = np.concatenate(blobs) if blobs else np.zeros(0, dtype=RANGE)
+    r = _joined(*(np.ascontiguousarray(found[c]) for c in ("doc", "start", "end")))
+    cut = np.flatnonzero(np.concatenate([[True], r["doc"][1:] != r["doc"][:-1]])) if len(r) else np.zeros(0, dtype=np.int64)
+    offsets = pa.array(np.append(cut, len(r)), pa.int32())
+    arrays = [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(r[c]))) for c in ("start", "end")]
+    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(r["doc"][cut])), *arrays], names=["doc_id", "starts", "ends"])
+
+
 def removed_ranges(documents: DataFrame, length: int = LENGTH, prefix: int = PREFIX, mark_bits: int = MARK_BITS, buckets: int | None = None) -> DataFrame:
-    """(doc_id, starts, ends): byte ranges to remove, several rows a document; ranges may overlap."""
+    """(doc_id, starts, ends): byte ranges to remove, a row per document that loses any."""
     spark = documents.sparkSession
     documents = documents.where(F.col("doc_id").isNotNull())
     marks = _marks(documents, length, prefix, mark_bits)
@@ -272,7 +285,8 @@ def removed_ranges(documents: DataFrame, length: int = LENGTH, prefix: int = PRE
     buckets = buckets or max(partitions(spark), size // 8_000_000 + 1)
     # twice as many buckets as partitions even out what hashing deals
     dealt = _surroundings(documents, marks, 2 * buckets, length, prefix, min(MARK_CHUNK_BITS, mark_bits))
-    return dealt.repartition(buckets, "bucket").mapInArrow(_repeats(length), "doc_id long, starts array<long>, ends array<long>")
+    found = dealt.repartition(buckets, "bucket").mapInArrow(_repeats(length, buckets), "bucket int, ranges binary")
+    return found.repartition(buckets, "bucket").mapInArrow(_by_document, "doc_id long, starts array<long>, ends array<long>")
 
 
 def remove_repeats(documents: DataFrame, length: int = LENGTH, prefix: int = PREFIX, mark_bits: int = MARK_BITS, buckets: int | None = None, with_text: bool = False) -> DataFrame:
@@ -284,7 +298,7 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, prefix: int = PRE
     are not earlier than each other at equal starts, and each loses what any of them repeats.
     """
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranges = removed_ranges(documents, length, prefix, mark_bits, buckets).groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
+    ranges = removed_ranges(documents, length, prefix, mark_bits, buckets)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
