@@ -11,6 +11,7 @@ captures in time order.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -70,8 +71,8 @@ def records(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
 
 
 def write(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, per_file: int = RECORDS) -> None:
-    """WARC files of at most ``per_file`` records each; each record ends with the two line ends that the format asks for."""
-    records(pages, least_bytes).select("record").write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(path)
+    """Gzipped WARC files of at most ``per_file`` records each; each record ends with the two line ends that the format asks for."""
+    records(pages, least_bytes).select("record").write.option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -104,7 +105,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
             lines = []
-            for offset, h, payload in parse(content.as_py()):
+            for offset, h, payload in parse(gzip.decompress(content.as_py())):
                 if h["warc-type"] == "response" and "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode() != h["warc-payload-digest"]:
                     raise ValueError(f"digest of the record at byte {offset} of {path}")
                 page, to = (number.search(h.get(k, "")) for k in ("warc-record-id", "warc-refers-to"))
