@@ -31,10 +31,12 @@ def marker_pattern(pattern: str) -> str:
 
 def marker_weight(lang: str) -> Column:
     """Sum of the weights of all marker hits; markers count apart, so overlapping ones all do."""
+    any_of = "(?iu)(?<!\\p{L})(?:" + "|".join(js(p) for p, _, _ in rules.MARKERS[lang]) + ")"
     by_weight: dict[float, list[Column]] = {}
     for pattern, weight, _ in rules.MARKERS[lang]:
         by_weight.setdefault(weight, []).append(count(F.col("text"), marker_pattern(pattern)))
-    return add_up([add_up(hits) * weight for weight, hits in by_weight.items()])
+    # most texts hold none: one search for any of them says so
+    return F.when(F.col("text").rlike(any_of), add_up([add_up(hits) * weight for weight, hits in by_weight.items()])).otherwise(0.0)
 
 
 @register("L-01")
@@ -92,7 +94,7 @@ def noise() -> Column:
     text, mixed = F.col("text"), F.col("mixed_share") > 0.2
     listed = {lang: F.size(F.filter("words", lambda w: w.isin(*rules.LEXICON["noise"][lang]))) for lang in ("ru", "en")}  # noqa: B023
     words = F.when(mixed, F.size(F.filter("words", lambda w: w.isin(*rules.LEXICON["noise"]["ru"], *rules.LEXICON["noise"]["en"])))).otherwise(by_lang(listed.get))
-    marks = count(text, "[!?]") + count(text, r"\([^)]{1,60}\)") + count(text, NUMBERS) + count(text, SMILEYS)
+    marks = count(text, "[!?]") + count(text, r"\([^)]{1,60}\)") + F.when(text.rlike("[0-9]"), count(text, NUMBERS)).otherwise(0) + count(text, SMILEYS)
     names = F.aggregate("sents", F.lit(0), lambda a, s: a + F.least(F.lit(3), F.regexp_count(F.substring(s["text"], F.lit(2), F.length(s["text"])), F.lit(NAMES))))
     return result("L-05", per1000(words + marks + names * 0.5, F.col("n_words")), F.col("n_words") >= 40)
 

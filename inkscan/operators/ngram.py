@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkscan.functions.regexlib import WS, cv
+from inkscan.functions.regexlib import WS, let
 from inkscan.operators.base import SPECS, normalised
 
 SMOOTHING = 0.1
@@ -19,9 +19,14 @@ def normalised_text(text: Column) -> Column:
 
 
 def grams_of(text: Column, order: int = 3) -> Column:
-    s = F.concat(F.lit(" "), normalised_text(text), F.lit(" "))
-    n = F.length(s) - order + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(s, i, F.lit(order))))
+    """Every run of ``order`` characters of the normalised text between two spaces."""
+    characters = F.filter(F.split(F.concat(F.lit(" "), normalised_text(text), F.lit(" ")), ""), lambda c: c != "")
+
+    def grams(c: Column) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.size(c) - order + 1, F.lit(1)))
+        return F.when(F.size(c) >= order, F.transform(at, lambda i: F.concat(*(F.element_at(c, i + k) for k in range(order)))))
+
+    return let(characters, grams)
 
 
 def train(texts: DataFrame, column: str = "text", order: int = 3, min_count: int = 2) -> tuple[DataFrame, int]:

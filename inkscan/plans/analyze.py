@@ -53,12 +53,11 @@ def detector_rows(results: DataFrame, keep: list[str], ids: list[str]) -> DataFr
 def report(results: DataFrame, keep: list[str], ids: list[str], kind: str = "text", ui_lang: str = "en") -> DataFrame:
     """``keep``, score, verdict, confidence, categories, advice, metrics and warnings."""
     length = F.length("text") if kind in ("text", "document") else None
-    score = scoring.combine(ids, kind)
     warnings = F.array_compact(F.array(F.when(F.length("text") < 300, "short_text"))) if length is not None else F.array().cast("array<string>")
-    scored = results.select("*", score.alias("score"))
+    scored = results.select("*", scoring.logit(ids, kind).alias("z")).select("*", scoring.as_score(F.col("z")).alias("score"))
     return scored.select(
         *keep, "score", scoring.verdict(F.col("score")).alias("verdict"), scoring.confidence(ids, kind, length).alias("confidence"),
-        scoring.categories(ids).alias("categories"), scoring.advice(ids, kind).alias("advice"), scoring.metrics(ids, ui_lang).alias("metrics"), warnings.alias("warnings"),
+        scoring.categories(ids).alias("categories"), scoring.advice(ids, kind, F.col("z")).alias("advice"), scoring.metrics(ids, ui_lang).alias("metrics"), warnings.alias("warnings"),
     )
 
 
