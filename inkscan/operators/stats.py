@@ -7,12 +7,13 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from inkscan.functions.regexlib import WS
 from inkscan.operators.base import register, result
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def deflated_share(texts: pd.Series) -> pd.Series:
     def share(text: str | None) -> float | None:
         raw = (text or "").encode()
