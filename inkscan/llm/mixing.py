@@ -15,6 +15,8 @@ from inkscan.llm.shared import cut
 
 #: Weights by a source's place in order, repeating, and the most that a source may be repeated.
 WEIGHTS, MOST = (1.0, 2.0, 3.0), 3
+#: Sources up to which their table is sent to all tasks.
+SENT_SOURCES = 100_000
 
 
 def words_of(text: Column) -> Column:
@@ -64,8 +66,10 @@ def mix(documents: DataFrame, keep: list[str], weights: tuple[float, ...] = WEIG
     """
     df = documents.select(*(F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)), F.col("doc_id").alias("own_id"), F.col("source").alias("own_source"), words_of(F.col("text")).alias("size"))
     by_source = targets(documents.select("source", words_of(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    # a row per source; the sums above pass over all documents, this join moves none where the table of sources is small
-    joined = df.join(by_source.withColumnRenamed("source", "its_source"), F.col("own_source").eqNullSafe(F.col("its_source")))
+    by_source = cut(by_source.withColumnRenamed("source", "its_source"))
+    # a row per source: where there are few, documents stay where they are; else adaptive execution splits a large source
+    small = F.broadcast(by_source) if by_source.count() <= SENT_SOURCES else by_source
+    joined = df.join(small, F.col("own_source").eqNullSafe(F.col("its_source")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     copies = F.floor(rate) + F.when(draw(F.col("own_id")) < rate - F.floor(rate), 1).otherwise(0)
     out = joined.withColumn("copies", copies.cast("long"))
