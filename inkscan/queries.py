@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkscan.operators import evaluate, ngram, scoring
+from inkscan.operators import findings as evidence
 from inkscan.operators.base import REGISTRY
+from inkscan.operators.calibrate import calibrate
 from inkscan.operators.code import with_code_context
 from inkscan.operators.normalize import normalize_text
 from inkscan.plans import analyze
 from inkscan.plans.context import with_context
+from inkscan.sources.corpora import to_long
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -161,6 +164,31 @@ def sentence_heat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.sentence_heat(lines, spans, "doc_id")
 
 
+def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of dashes, markers, triads and contrasts in texts with the added passage."""
+    ids = ["T-03", "L-01", "S-02", "S-06"]
+    return evidence.finding_spans(analyze.detect(texts(spark, sf_dir, ADDED), ["doc_id"], ids), ["doc_id"], ids).withColumn("score", F.round("score", 6))
+
+
+def report_heat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, ids = texts(spark, sf_dir, ADDED), ["T-03", "L-01", "S-02", "S-06"]
+    results = analyze.detect(df, ["doc_id"], ids)
+    return evidence.heat(with_context(df), results, results.select("doc_id", scoring.combine(ids).alias("score")), "doc_id")
+
+
+def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of four detectors fitted to the quality labels, which only show the fit at work."""
+    ids = ["R-01", "R-02", "L-05", "L-06"]
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality")
+    results = analyze.detect(texts(spark, sf_dir), ["doc_id"], ids).join(labels, F.col("doc_id") == F.col("id"))
+    bias, weights = calibrate(results, "quality", "doc_id", ids)
+    return spark.createDataFrame([("bias", bias), *weights.items()], "name string, weight double")
+
+
+def labels_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return to_long(table(spark, sf_dir, "labels"), ["doc_id"], ["quality", "toxic"], "label", "value")
+
+
 QUERIES: dict[str, Query] = {
     "detect_lang": detect_lang,
     "text_counts": text_counts,
@@ -187,4 +215,8 @@ QUERIES: dict[str, Query] = {
     "recheck": recheck,
     "code_detectors": code_detectors,
     "sentence_heat": sentence_heat,
+    "findings": findings,
+    "report_heat": report_heat,
+    "calibration": calibration,
+    "labels_long": labels_long,
 }
