@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkscan.llm import mixing, url_filter
+from inkscan.llm import mixing, oracle_sql, url_filter
 from inkscan.llm.shared import table
 
 
@@ -32,7 +32,7 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkscan.llm.jaccard import near_copies
 
-    return near_copies(table(spark, sf_dir, "documents"))
+    return near_copies(table(spark, sf_dir, "documents")).drop("set_id")
 
 
 def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkscan.llm.warc import archive
 
-    return archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
+    return archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,5 +88,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_urls": url_filter.oracle(),
+    "op4_jaccard": oracle_sql.JACCARD,
+    "op5_embeddings": oracle_sql.EMBEDDINGS,
+    "op7_warc": oracle_sql.WARC,
     "op8_mixing": mixing.ORACLE,
 }
