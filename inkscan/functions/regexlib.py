@@ -86,8 +86,16 @@ def every(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+#: The same characters one by one.
+WS_CHARACTERS = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A[{WS}]+|[{WS}]+\z", "")
+    return F.btrim(text, F.lit(WS_CHARACTERS))
+
+
+def blank(text: Column) -> Column:
+    return ~text.rlike(f"[^{WS}]")
 
 
 def spans_of(text: Column, pattern: str) -> Column:

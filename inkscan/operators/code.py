@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkscan import rules
-from inkscan.functions.regexlib import count, cv, every, js, spans_of, trim
+from inkscan.functions.regexlib import blank, count, cv, every, js, trim
 from inkscan.operators.base import register, result
 
 # Languages by file extension, and the patterns of the detectors.
@@ -50,7 +50,7 @@ def language(code: Column, name: Column | None = None) -> Column:
 
 
 def looks_like_code(text: Column) -> Column:
-    lines = F.filter(F.split(text, "\n", -1), lambda x: trim(x) != "")
+    lines = F.filter(F.split(text, "\n", -1), lambda x: ~blank(x))
     return (F.size(lines) >= 3) & (F.size(F.filter(lines, lambda x: x.rlike(CODE_LINE))) / F.size(lines) > 0.5)
 
 
@@ -70,7 +70,7 @@ def with_code_context(df: DataFrame, code: str = "code", name: str | None = None
 
 
 def _full_lines() -> Column:
-    return F.filter("lines", lambda x: trim(x) != "")
+    return F.filter("lines", lambda x: ~blank(x))
 
 
 @register("C-01")

@@ -21,7 +21,7 @@ PASSIVE = {
 }
 NUMBERS = js(r"\b(?:19|20)\d{2}\b|\b\d{1,2}[./]\d{1,2}(?:[./]\d{2,4})?\b")
 SMILEYS = r"\.\.\.|:\)|\)\)|;\)|:D"
-NAMES = rf"(?<=[{WS},(«\"])\p{{Lu}}\p{{Ll}}{{2,}}"
+NAMES = rf"\p{{Lu}}(?<=[{WS},(«\"]\p{{Lu}})\p{{Ll}}{{2,}}"
 BASE_SHARE = {"ru": 0.06, "en": 0.04}
 
 
