@@ -36,6 +36,8 @@ PREFIX = 32
 #: Bits of the table of prefixes that occur more than once.
 MARK_BITS = 27
 MARK_CHUNK_BITS = 19
+#: Bytes of surroundings that enter the index as one batch.
+BATCH = 1 << 20
 _LOW = U64((1 << 32) - 1)
 
 
@@ -141,12 +143,29 @@ class Levels:
         strings = strings[np.lexsort((strings["start"], strings["doc"], strings["hash"]))]
         return strings[np.concatenate([[True], strings["hash"][1:] != strings["hash"][:-1]])] if len(strings) else strings
 
+    @staticmethod
+    def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Two levels as one: a stable sort of two sorted runs only merges them, and of two equal strings the earlier stays."""
+        both = np.concatenate([a, b])
+        both = both[np.argsort(both["hash"], kind="stable")]
+        pair = np.flatnonzero(both["hash"][1:] == both["hash"][:-1])
+        x, y = both[pair], both[pair + 1]
+        later = (y["doc"] < x["doc"]) | (y["doc"] == x["doc"]) & (y["start"] < x["start"])
+        keep = np.ones(len(both), dtype=bool)
+        keep[np.where(later, pair, pair + 1)] = False
+        return both[keep]
+
     def add(self, strings: np.ndarray) -> None:
         if not len(strings):
             return
         self.levels.append(self.earliest(strings))
         while len(self.levels) > 1 and len(self.levels[-2]) < 2 * len(self.levels[-1]):
-            self.levels[-2:] = [self.earliest(np.concatenate(self.levels[-2:]))]
+            self.levels[-2:] = [self.merged(*self.levels[-2:])]
+
+    def close(self) -> None:
+        """Nothing more will be added: one level, so each string is looked up once."""
+        while len(self.levels) > 1:
+            self.levels[-2:] = [self.merged(*self.levels[-2:])]
 
     def starts_earlier(self, strings: np.ndarray) -> np.ndarray:
         """Which of ``strings`` have an equal one with an earlier start."""
@@ -243,14 +262,29 @@ def _surroundings(documents: DataFrame, marks: np.ndarray, buckets: int, length:
 def _repeats(length: int, buckets: int):
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, runs, ranges = Levels(), [], []
+        heads, raws, waiting = [], [], 0
+
+        def enter() -> None:
+            strings = _strings(np.concatenate(heads), np.concatenate(raws), length)
+            index.add(strings)
+            runs.append(strings)
+            heads.clear()
+            raws.clear()
+
         for batch in batches:
             for head, raw in zip(batch.column("head"), batch.column("raw"), strict=True):
                 if head.is_valid:
-                    strings = _strings(np.frombuffer(head.as_py(), dtype=HEAD), np.frombuffer(raw.as_py(), dtype=np.uint8), length)
-                    index.add(strings)
-                    runs.append(strings)
+                    heads.append(np.frombuffer(head.as_py(), dtype=HEAD))
+                    raws.append(np.frombuffer(raw.as_py(), dtype=np.uint8))
+                    waiting += len(raws[-1])
+                    if waiting >= BATCH:
+                        enter()
+                        waiting = 0
                 else:
                     ranges.append(np.frombuffer(raw.as_py(), dtype=RANGE))
+        if heads:
+            enter()
+        index.close()
         for s in runs:
             s = s[index.starts_earlier(s)]
             ranges.append(_joined(s["doc"], s["start"], s["start"] + length))
