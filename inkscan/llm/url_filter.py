@@ -2,9 +2,9 @@
 
 Host rules block or allow a host with its subdomains under a path prefix; the longest that fits
 wins.  Where none fits, pattern rules decide.  A pattern rule is a regular expression with the
-literal tokens that any url it matches must hold.  Tokens are counted over all urls, each rule is
-indexed under its rarest one, a url's tokens fetch the rules that may match, and only those run.
-DataFrame functions only.
+literal tokens that any url it matches must hold, per form that a match can have.  Tokens are counted
+over all urls, each form of a rule is indexed under its rarest one, a url's tokens fetch the rules
+that may match, and only those run.  DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+Literals = tuple[str, ...] | tuple[tuple[str, ...], ...]
+
 #: (host, path, verdict)
 HOST_RULES: tuple[tuple[str, str, str], ...] = (
     ("org", "/", "allow"),
@@ -24,12 +26,13 @@ HOST_RULES: tuple[tuple[str, str, str], ...] = (
     ("com", "/de/", "block"),
 )
 
-#: (name, regular expression over the lower-cased url, literal tokens that a match holds)
-PATTERN_RULES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
+#: (name, regular expression over the lower-cased url, literal tokens that a match holds whole).  Where a match has
+#: one of several forms, the last holds a tuple of tokens for each form instead.
+PATTERN_RULES: tuple[tuple[str, str, Literals], ...] = (
     ("adult host", r"^[a-z]+://([^/?#]*\.)?adult-[a-z0-9]+\.", ("adult",)),
     ("spam farm", r"^[a-z]+://([^/?#]*\.)?spam-farm\.", ("spam", "farm")),
     ("casino", r"[./-](online-)?casino[./-]", ("casino",)),
-    ("betting", r"[./-]sports-?betting[./-]", ("betting",)),
+    ("betting", r"[./-]sports-?betting[./-]", (("sports", "betting"), ("sportsbetting",))),
     ("malware", r"[./-]malware-[a-z]+\.", ("malware",)),
     ("phishing", r"[./-]login-verify[./-]", ("login", "verify")),
     ("warez", r"[./-](warez|keygen)[./-]", ()),
@@ -61,21 +64,27 @@ def _by_host(host: Column, path: Column, rules: Sequence[tuple[str, str, str]])
     return name, verdict
 
 
-def _rule_index(tokens: DataFrame, rules: Sequence[tuple[str, str, tuple[str, ...]]]) -> DataFrame:
-    """(token, name, pattern): each rule under the one of its tokens that the fewest urls hold."""
+def forms(literals: Literals) -> list[tuple[str, ...]]:
+    """The tokens of each form that a match can have; none where a rule or one of its forms has no tokens."""
+    each = [literals] if literals and isinstance(literals[0], str) else list(literals)
+    return each if all(each) else []
+
+
+def _rule_index(tokens: DataFrame, rules: Sequence[tuple[str, str, Literals]]) -> DataFrame:
+    """(token, name, pattern): each form of a rule under the one of its tokens that the fewest urls hold."""
     spark = tokens.sparkSession
-    listed = [(name, pattern, token) for name, pattern, literals in rules for token in literals]
-    table = spark.createDataFrame(listed, "name string, pattern string, token string")
+    listed = [(name, pattern, i, token) for name, pattern, literals in rules for i, form in enumerate(forms(literals)) for token in form]
+    table = spark.createDataFrame(listed, "name string, pattern string, form int, token string")
     # as many rows as the rules have tokens
     counted = tokens.join(F.broadcast(table.select("token").distinct()), "token").groupBy("token").agg(F.count("*").alias("urls"))
     rated = table.join(counted, "token", "left").withColumn("urls", F.coalesce("urls", F.lit(0)))
-    return rated.groupBy("name", "pattern").agg(F.min(F.struct("urls", "token")).alias("rarest")).select("rarest.token", "name", "pattern")
+    return rated.groupBy("name", "pattern", "form").agg(F.min(F.struct("urls", "token")).alias("rarest")).select("rarest.token", "name", "pattern")
 
 
 def judge(
     pages: DataFrame,
     host_rules: Sequence[tuple[str, str, str]] = HOST_RULES,
-    pattern_rules: Sequence[tuple[str, str, tuple[str, ...]]] = PATTERN_RULES,
+    pattern_rules: Sequence[tuple[str, str, Literals]] = PATTERN_RULES,
 ) -> DataFrame:
     """Per page: page_id, host, path, rule, verdict, pattern (the first pattern rule by name that blocks it, or null).
 
@@ -88,14 +97,14 @@ def judge(
     low = F.lower(F.coalesce("url", F.lit("")))
     name, verdict = _by_host(F.col("host"), F.col("path"), host_rules)
     df = df.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url"))).withColumn("low", low)
-    open_rules = [(n, p) for n, p, literals in pattern_rules if not literals]
+    open_rules = [(n, p) for n, p, literals in pattern_rules if not forms(literals)]
     always = [F.when(F.col("low").rlike(p), n) for n, p in open_rules]
     df = df.select("page_id", "url", "host", "path", name.alias("rule"), verdict.alias("by_rule"), F.array_compact(F.array(*always)).alias("always") if always else F.array().cast("array<string>").alias("always"))
     # urls that differ only in what follows are judged each: only distinct ones with candidates are joined back
     urls = df.where("by_rule is null and url is not null").select("url").distinct()
     tokens = urls.select("url", F.explode(F.array_distinct(F.split(F.lower("url"), TOKEN))).alias("token")).where("token <> ''")
     index = _rule_index(tokens, pattern_rules)
-    fetched = tokens.join(F.broadcast(index), "token")  # one row per rule
+    fetched = tokens.join(F.broadcast(index), "token")  # one row per form of a rule
     matched = fetched.where(F.expr("lower(url) rlike pattern")).groupBy("url").agg(F.min("name").alias("matched"))
     out = df.join(matched, "url", "left")
     pattern = F.when(F.col("by_rule").isNull(), F.array_min(F.array_compact(F.concat("always", F.array("matched")))))
@@ -106,7 +115,7 @@ def _quote(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def oracle(host_rules: Sequence[tuple[str, str, str]] = HOST_RULES, pattern_rules: Sequence[tuple[str, str, tuple[str, ...]]] = PATTERN_RULES) -> str:
+def oracle(host_rules: Sequence[tuple[str, str, str]] = HOST_RULES, pattern_rules: Sequence[tuple[str, str, Literals]] = PATTERN_RULES) -> str:
     """The same rows in DuckDB's SQL: every rule runs on every url, without an index."""
     hosts = ", ".join(f"({_quote(h)}, {_quote(p)}, {_quote(v)})" for h, p, v in host_rules)
     patterns = ", ".join(f"CASE WHEN regexp_matches(lower(coalesce(url, '')), {_quote(p)}) THEN {_quote(n)} END" for n, p, _ in sorted(pattern_rules))

@@ -56,3 +56,51 @@ def test_mixing(spark):
     assert sorted(map(repr, got.collect())) == sorted(map(repr, mixing.mix(df.repartition(7), ["doc_id", "source"]).collect()))
     assert mixing.mix(df.where("false"), ["doc_id"]).collect() == []
     assert mixing.mix(df.where("text is null"), ["doc_id"]).collect()[0].taken == 0
+
+
+def samples(pattern):
+    """Texts that match, one per choice of alternatives and optional parts."""
+    from re import _parser
+
+    def one(op, arg):
+        op = str(op)
+        if op == "LITERAL":
+            return [chr(arg)]
+        if op == "IN":
+            return [next(c for c in map(chr, range(33, 127)) if re.fullmatch(f"[{''.join(members(arg))}]", c))]
+        if op == "SUBPATTERN":
+            return run(arg[3])
+        if op == "BRANCH":
+            return [t for branch in arg[1] for t in run(branch)]
+        if op == "MAX_REPEAT":
+            low, _, inner = arg
+            return [t * n for n in {low, max(low, 1)} for t in run(inner)]
+        assert op == "AT", op
+        return [""]
+
+    def members(arg):
+        for op, x in arg:
+            yield {"NEGATE": lambda: "^", "LITERAL": lambda: re.escape(chr(x)), "RANGE": lambda: f"{chr(x[0])}-{chr(x[1])}"}[str(op)]()
+
+    def run(parsed):
+        out = [""]
+        for op, arg in parsed:
+            out = [a + b for a in out for b in one(op, arg)]
+        return out
+
+    return run(_parser.parse(pattern))
+
+
+def test_tokens_of_rules_are_whole_in_every_match(spark):
+    urls = []
+    for name, pattern, literals in url_filter.PATTERN_RULES:
+        for text in samples(pattern):
+            url = text if "://" in text else f"http://www{text}net/x" if text[0] in "./-" else f"http://www.net/x{text}"
+            assert re.search(pattern, url), (name, url)
+            each = url_filter.forms(literals)
+            assert not each or any(set(form) <= set(re.split(url_filter.TOKEN, url)) for form in each), (name, url)
+            urls.append(url)
+    urls += ["http://www.sportsbetting.net/", "http://www.sports-betting.net/", "http://a.net/sportsbettings/"]
+    got = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    names = {u: min((n for n, p, _ in url_filter.PATTERN_RULES if re.search(p, u)), default=None) for u in urls}
+    assert {urls[r.page_id]: r.pattern for r in got} == names and names["http://www.sportsbetting.net/"] == "betting"
