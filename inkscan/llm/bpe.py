@@ -3,7 +3,7 @@
 A long text is cut into chunks that overlap.  Each chunk is pre-tokenised on its own, in
 parallel; in the overlap of two neighbours the pre-token boundaries of both are compared, and
 the first boundary that both have is the stitch: from it on the two agree, as the pattern looks
-only forward.  The pieces between stitches are then encoded in parallel.  Where an overlap has
+only forward.  It must not stand after white space, which looks at the character behind it.  The pieces between stitches are then encoded in parallel.  Where an overlap has
 no common boundary the two chunks form one piece.  Texts of one chunk need no stitching and are
 encoded where they are read.  Decoding concatenates the raw bytes of the ids.
 """
@@ -69,12 +69,13 @@ def stitch(own: str, overlap: str, c: Codec) -> int | None:
     """Where chunk ``own`` (its last part is ``overlap``) and the next, which starts at the overlap, first agree.
 
     Counted from the overlap's start.  A pre-token that ends where the shared text ends may have
-    been cut there, and white space before it may lose its lookahead; such ends don't count.
+    been cut there, and white space before it may lose its lookahead; such ends don't count.  Nor do
+    ends of white space: at the end of a piece it would lose its lookahead as well.
     """
     base = len(own) - len(overlap)
     usable = len(overlap) - 2
     mine = {b - base for b in c.boundaries(own) if base <= b <= base + usable}
-    return next((b for b in [0, *c.boundaries(overlap)] if b in mine and b <= usable), None)
+    return next((b for b in [0, *c.boundaries(overlap)] if b in mine and b <= usable and not own[base + b - 1 : base + b].isspace()), None)
 
 
 def _digest(ids: np.ndarray, c: Codec) -> tuple[int, str, str]:

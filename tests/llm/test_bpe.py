@@ -35,3 +35,13 @@ def test_stitch_is_the_first_common_boundary():
     c = codec(PATH, PATTERN)
     assert stitch("some words are here and ", "ds are here and ", c) == 2
     assert stitch("aaaaaaaaaaaa", "aaaaaa", c) is None
+
+
+def test_white_space_at_a_cut(spark):
+    """A piece that ends in white space would lose its lookahead: the cut comes later."""
+    c = codec(PATH, PATTERN)
+    assert stitch("a\n\nbut more", "but more", c) == 3
+    texts = [f"{'a' * n}{gap}but then there are more words" for gap in ("\n\n", "\t\t", " \n", "\r\n\r\n", "  \n\n ") for n in range(8, 16)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in encode_digests(df, PATH, PATTERN, 16, 12).collect())
+    assert got == sorted((i, *expected(t)) for i, t in enumerate(texts))
