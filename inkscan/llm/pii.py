@@ -1,15 +1,17 @@
 """Personal data: patterns, and terms that reveal a protected entity.
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers.  Each distinct value is a
-protected entity.  The corpus then says how strongly the words around a mention reveal it: with
-P(e) the share of documents that hold the entity and P(e|t) the share among documents that hold the
-term, the term discloses log2(P(e|t) / P(e)) of the log2(1 / P(e)) bits that name the entity.  Terms
-that disclose at least ``DISCLOSURE`` of them, in at least ``SUPPORT`` different surroundings, are
-spans too.  DataFrame functions only.
+protected entity.  The corpus then says how strongly the words of the texts that mention it reveal
+it: with P(e) the share of documents that hold the entity and P(e|t) the share among documents that
+hold the term, the term discloses log2(P(e|t) / P(e)) of the log2(1 / P(e)) bits that name the entity.
+Terms that disclose at least ``DISCLOSURE`` of them, in documents with at least ``SUPPORT`` different
+surroundings of the entity, are spans wherever they stand, in all texts.  DataFrame functions only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from inkscan.llm.shared import cut
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-#: Code points around a mention whose words are looked at; different surroundings that a term needs; share of the bits.
+#: Code points around a mention that make its surroundings; different surroundings that a term needs; share of the bits.
 WINDOW, SUPPORT, DISCLOSURE = 80, 2, 0.9
 #: Rows up to which a table of terms is sent to all tasks; a larger one is shuffled.
 SENT_ROWS = 100_000
@@ -97,32 +99,48 @@ def _send(small: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(small) if rows <= SENT_ROWS else small.hint("merge")
 
 
+def words_of(text: Column) -> Column:
+    """The distinct words, lower-cased."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
+
+
+def term_spans(text: Column, terms: Column) -> Column:
+    """A span for every occurrence of one of ``terms``; the lengths of words and of what lies between are added up."""
+    parts = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"), F.lit(0))
+    empty = F.struct(F.lit(0).alias("at"), F.expr(NO_SPANS).alias("out"))
+
+    def step(acc: Column, part: Column) -> Column:
+        end = acc["at"] + F.length(part)
+        span = F.struct(acc["at"].alias("start"), F.lit(len(KINDS)).alias("place"), F.lit(TERM).alias("kind"), end.alias("end"), F.lit("").alias("value"))
+        return F.struct(end.alias("at"), F.when(F.array_contains(terms, F.lower(part)), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(parts, empty, step, lambda acc: acc["out"])
+
+
 def revealing_terms(documents: DataFrame, found: DataFrame, window: int, support: int, disclosure: float) -> DataFrame:
-    """(key, terms): spans of the revealing words near the mentions of ``found`` (key, text, spans)."""
-    mention = found.select("key", "text", F.explode("spans").alias("s")).select(
-        "key", F.concat_ws(":", "s.kind", F.lower("s.value")).alias("entity"),
-        F.explode(F.array(
-            F.struct(F.greatest(F.col("s.start") - window, F.lit(0)).alias("at"), F.expr(f"substring(text, greatest(s.start - {window}, 0) + 1, least({window}, s.start))").alias("near")),
-            F.struct(F.col("s.end").alias("at"), F.expr(f"substring(text, s.end + 1, {window})").alias("near")),
-        )).alias("w"),
-        F.xxhash64(F.expr(f"substring(text, greatest(s.start - {window}, 0) + 1, {2 * window} + s.end - s.start)")).alias("around"),
-    )
-    words = mention.select("key", "entity", "around", "w.at", F.explode(matches(F.col("w.near"), WORD)).alias("m")).select(
-        "key", "entity", "around", F.lower("m.value").alias("term"), (F.col("at") + F.col("m.start")).alias("start"), (F.col("at") + F.col("m.end")).alias("end")
-    ).where(F.length("term") > 1)
-    words = cut(words)
-    holders = words.groupBy("entity").agg(F.countDistinct("key").alias("of_entity"))
-    pairs = words.groupBy("entity", "term").agg(F.countDistinct("around").alias("around"), F.countDistinct("key").alias("of_both")).where(F.col("around") >= support)
-    pairs = cut(pairs.join(holders, "entity"))
-    terms = pairs.select("term").distinct()
-    said = documents.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term"))
-    counts = said.join(_send(terms, terms.count()), "term").groupBy("term").agg(F.count("*").alias("of_term"))
+    """(term): the words that reveal an entity of ``found`` (key, text, spans), by all of ``documents`` (text)."""
+    one = cut(found.groupBy("key").agg(F.first("text").alias("text"), F.first("spans").alias("spans"), F.count("*").alias("copies")))
     total = documents.count()
+    around = F.xxhash64(F.expr(f"substring(text, greatest(s.start - {window}, 0) + 1, {window} + least({window}, s.start) + s.end - s.start)"))
+    mention = one.select("key", "text", "copies", F.explode("spans").alias("s")).select("key", "copies", F.concat_ws(":", "s.kind", F.lower("s.value")).alias("entity"), around.alias("around"))
+    # a document is one surrounding of an entity, however often it holds it
+    held = mention.groupBy("key", "entity").agg(F.first("copies").alias("copies"), F.xxhash64(F.array_sort(F.collect_set("around"))).alias("around"))
+    entities = cut(held.groupBy("entity").agg(F.sum("copies").alias("of_entity"), F.countDistinct("around").alias("n")).where((F.col("n") >= support) & (F.col("of_entity") < total)).drop("n"))
+    by_key = held.join(_send(entities, entities.count()), "entity").groupBy("key").agg(F.collect_list(F.struct("entity", "around", "of_entity")).alias("entities"))
+    by_key = cut(by_key)
+    # words of the text without the entities themselves
+    rest = masked(F.col("text"), F.col("spans"), lambda s: F.lit(" "))
+    words = one.join(_send(by_key, by_key.count()), "key").select("copies", "entities", F.explode(words_of(rest)).alias("term")).where(F.length("term") > 1)
+    both = words.select("term", "copies", F.explode("entities").alias("e")).groupBy("e.entity", "term")
+    pairs = cut(both.agg(F.first("e.of_entity").alias("of_entity"), F.countDistinct("e.around").alias("around"), F.sum("copies").alias("of_both")).where(F.col("around") >= support))
+    terms = cut(pairs.select("term").distinct())
+    said, rows = documents.select(F.explode(words_of(F.col("text"))).alias("term")), terms.count()
+    # a large table of terms meets counts, not words
+    said = said.join(F.broadcast(terms), "term") if rows <= SENT_ROWS else said
+    counts = said.groupBy("term").agg(F.count("*").alias("of_term"))
     bits = F.log2(F.lit(float(max(total, 2))) / F.col("of_entity"))
     tell = F.log2(F.lit(float(max(total, 2))) * F.col("of_both") / F.col("of_entity") / F.greatest("of_term", "of_both"))
-    flagged = cut(pairs.join(counts, "term").where((bits > 0) & (tell >= disclosure * bits)).select("entity", "term"))
-    spans = words.join(_send(flagged, flagged.count()), ["entity", "term"]).select("key", "start", "end").distinct()
-    return spans.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("place"), F.lit(TERM).alias("kind"), "end", F.lit("").alias("value")))).alias("terms"))
+    return pairs.join(counts, "term").where((bits > 0) & (tell >= disclosure * bits)).select("term").distinct()
 
 
 def find(documents: DataFrame, keep: list[str], window: int = WINDOW, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
@@ -135,10 +153,12 @@ def find(documents: DataFrame, keep: list[str], window: int = WINDOW, support: i
     may = F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False))
     with_base = df.where(may).withColumn("base", base_spans(F.col("text")))
     found = with_base.where(F.size("base") > 0)
-    terms = revealing_terms(df.select("text"), found.select("key", "text", F.col("base").alias("spans")).dropDuplicates(["key"]), window, support, disclosure)
-    some = found.join(terms, "key", "left").withColumn("spans", F.array_sort(F.concat("base", F.coalesce("terms", F.expr(NO_SPANS))))).drop("terms")
-    none = df.where(~may).withColumn("base", F.expr(NO_SPANS)).unionByName(with_base.where(F.size("base") == 0)).withColumn("spans", F.col("base"))
-    return some.unionByName(none).select(*(F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)), F.col("text"), "base", "spans")
+    flagged = cut(revealing_terms(df.select("text"), found.select("key", "text", F.col("base").alias("spans")), window, support, disclosure))
+    said = df.select("key", F.explode(words_of(F.col("text"))).alias("term")).join(_send(flagged, flagged.count()), "term")
+    terms = cut(said.groupBy("key").agg(F.collect_set("term").alias("terms")))
+    every = with_base.unionByName(df.where(~may).withColumn("base", F.expr(NO_SPANS))).join(_send(terms, terms.count()), "key", "left")
+    spans = F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", term_spans(F.col("text"), F.col("terms")))))
+    return every.select(*(F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)), F.col("text"), "base", spans.alias("spans"))
 
 
 def digests(documents: DataFrame) -> DataFrame:
@@ -148,13 +168,17 @@ def digests(documents: DataFrame) -> DataFrame:
     return df.select("doc_id", *(count(k).alias(f"n_{k}") for k in KINDS), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), count(TERM).alias("n_term"))
 
 
-def masked(text: Column, spans: Column) -> Column:
+def bracketed(span: Column) -> Column:
+    return F.concat(F.lit("["), F.upper(span["kind"]), F.lit("]"))
+
+
+def masked(text: Column, spans: Column, put: Callable[[Column], Column] = bracketed) -> Column:
     """``text`` with each span replaced by its kind in brackets; spans that overlap become one, of the first one's kind."""
     start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        more = F.concat(acc["out"], F.array(gap, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
+        more = F.concat(acc["out"], F.array(gap, put(s)))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], more).otherwise(acc["out"]).alias("out"))
 
     done = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))

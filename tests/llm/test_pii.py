@@ -59,3 +59,20 @@ def test_masked(spark):
     df = spark.createDataFrame([(1, "é a@b.c, then +49 30 1234 5678."), (2, "none"), (3, None), (4, "4111111111111111@b.c")], "doc_id long, text string")
     got = {r.doc_id: r.m for r in pii.find(df, ["doc_id"]).withColumn("m", pii.masked(F.col("text"), F.col("spans"))).collect()}
     assert got == {1: "é [EMAIL], then [PHONE].", 2: "none", 3: None, 4: "[EMAIL]"}
+
+
+def test_terms_far_from_the_mention(spark):
+    """Co-occurrence is per document; a flagged term is marked wherever it stands, also where the address doesn't."""
+    pad = "plain words go here and there " * 10
+    rows = [f"{pad} number {'abcdefghij'[i % 10]}" for i in range(300)]
+    rows += [f"Zanzibaro {pad} {'abcdefgh'[i]}lpha mail zed@corp.example {'abcdefgh'[i]} {pad}\nyours, ZANZIBARO" for i in range(8)]
+    rows += [f"É🚀 Zanzibaro {pad}", f"{pad} mail twice@corp.example once and {pad} again twice@corp.example solitary"]
+    df = spark.createDataFrame([*enumerate(rows), (300, rows[300])], "doc_id long, text string")
+    got = pii.find(df, ["doc_id"]).withColumn("m", pii.masked(F.col("text"), F.col("spans"))).collect()
+    assert len(got) == len(rows) + 1
+    for r in got:
+        want = {(m.start(), m.end()) for m in re.finditer("zanzibaro", r.text, re.IGNORECASE)}
+        assert want <= {(s.start, s.end) for s in r.spans if s.kind == "term"} and "zanzibaro" not in r.m.lower(), r.doc_id
+    # one document alone supports nothing
+    assert all("solitary" in r.m for r in got if r.doc_id == 309)
+    assert all(r.m == r.text for r in got if r.doc_id < 300)
