@@ -25,7 +25,7 @@ def status(text: str = "text"):
     return F.when(F.coalesce(F.trim(F.col(text)), F.lit("")) == "", "empty").when(n > LONGEST, "too_long").otherwise("ok")
 
 
-def detect(df: DataFrame, keep: list[str], ids: list[str] = NATIVE_TEXT, model: tuple[DataFrame, int] | None = None) -> DataFrame:
+def detect(df: DataFrame, keep: list[str], ids: list[str] = TEXT, model: tuple[DataFrame, int] | None = None) -> DataFrame:
     """``keep``, lang, text and a result column per detector of the texts in ``text``."""
     ctx = with_context(df.select(*dict.fromkeys([*keep, "text"]), *(["meta"] if "meta" in df.columns else [])))
     own = [d for d in ids if d != "P-01"]
@@ -39,9 +39,10 @@ def detect(df: DataFrame, keep: list[str], ids: list[str] = NATIVE_TEXT, model:
         if model is None:
             p01 = F.struct(F.lit(0.0).alias("value"), F.lit(False).alias("applicable"), F.lit(0.0).alias("score"))
             return out.withColumn("P-01", p01)
-        key = keep[0]
-        p = perplexity(ctx, key, *model).select(F.col(key).alias("_key"), F.struct("value", "applicable", "score").alias("P-01"))
-        out = out.join(p, F.col(key) == F.col("_key")).drop("_key")
+        # by the text itself: rows without an id, or with another's, keep their own
+        by_text = lambda df: df.withColumn("_text", F.xxhash64("text"))
+        p = perplexity(by_text(ctx), "_text", *model).select(F.col("_text").alias("_key"), F.struct("value", "applicable", "score").alias("P-01")).dropDuplicates(["_key"])
+        out = by_text(out).join(p, F.col("_text") == F.col("_key"), "left").drop("_text", "_key")
     return out
 
 
@@ -61,8 +62,8 @@ def report(results: DataFrame, keep: list[str], ids: list[str], kind: str = "tex
     )
 
 
-def analyze(df: DataFrame, keep: list[str], ids: list[str] = NATIVE_TEXT, model: tuple[DataFrame, int] | None = None) -> DataFrame:
-    """Reports of the texts that can be analysed; the others are ``rejected``."""
+def analyze(df: DataFrame, keep: list[str], ids: list[str] = TEXT, model: tuple[DataFrame, int] | None = None) -> DataFrame:
+    """Reports of the texts that can be analysed; the others are ``rejected``.  Without a model P-01 is not applicable."""
     return report(detect(df.where(status() == "ok"), keep, ids, model), keep, ids)
 
 
@@ -75,8 +76,8 @@ def analyze_code(df: DataFrame, keep: list[str], code: str = "code", name: str |
     return report(ctx.select(*keep, "lang", *per_detector(CODE)), keep, CODE, "code")
 
 
-def analyze_documents(df: DataFrame, keep: list[str]) -> DataFrame:
+def analyze_documents(df: DataFrame, keep: list[str], model: tuple[DataFrame, int] | None = None) -> DataFrame:
     """Reports of parsed documents (text, meta): text detectors, and D-01 to D-05, which is the text's own score."""
-    ids = [*NATIVE_TEXT, *DOCUMENT]
-    results = detect(df, keep, ids).withColumn("D-05", F.struct((scoring.combine(NATIVE_TEXT) / 100).alias("value"), F.lit(True).alias("applicable"), (scoring.combine(NATIVE_TEXT) / 100).alias("score")))
+    ids = [*TEXT, *DOCUMENT]
+    results = detect(df, keep, ids, model).withColumn("D-05", F.struct((scoring.combine(TEXT) / 100).alias("value"), F.lit(True).alias("applicable"), (scoring.combine(TEXT) / 100).alias("score")))
     return report(results, keep, [*ids, "D-05"], "document")

@@ -69,13 +69,14 @@ def partial_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = analyze.analyze(texts(spark, sf_dir), ["doc_id"])
+    df = texts(spark, sf_dir)
+    df = analyze.analyze(df, ["doc_id"], model=ngram.train(df, min_count=3))
     return df.select("doc_id", "score", "verdict", F.col("confidence.value").alias("confidence"), F.col("confidence.level").alias("level"), F.to_json("categories").alias("categories"), F.to_json("advice").alias("advice"), F.to_json("metrics").alias("metrics"), F.array_join("warnings", ",").alias("warnings"))
 
 
 def detector_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = analyze.NATIVE_TEXT
-    return analyze.detector_rows(analyze.detect(texts(spark, sf_dir), ["doc_id"], ids), ["doc_id"], ids).select("doc_id", "id", "category", F.round("value", 6).alias("value"), "applicable", F.round("score", 6).alias("score"))
+    df, ids = texts(spark, sf_dir), analyze.TEXT
+    return analyze.detector_rows(analyze.detect(df, ["doc_id"], ids, ngram.train(df, min_count=3)), ["doc_id"], ids).select("doc_id", "id", "category", F.round("value", 6).alias("value"), "applicable", F.round("score", 6).alias("score"))
 
 
 def rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +143,8 @@ def session_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the added passage changes in every document's report."""
-    before, after = analyze.analyze(texts(spark, sf_dir), ["doc_id"]), analyze.analyze(texts(spark, sf_dir, ADDED), ["doc_id"])
+    model = ngram.train(texts(spark, sf_dir), min_count=3)
+    before, after = (analyze.analyze(texts(spark, sf_dir, add), ["doc_id"], model=model) for add in ("", ADDED))
     d = scoring.diff(before, after, "doc_id")
     return d.select("doc_id", "score_before", "score_after", *(F.array_join(F.array_sort(c), ",").alias(c) for c in ("closed", "opened", "remaining")), F.size("metrics").cast("long").alias("n_moved"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from inkscan.plans.analyze import NATIVE_TEXT, analyze
+from inkscan.plans.analyze import analyze
 
 KEEP = 20
 OUTPUT = "session_id string, version long, score double, score_before double, closed string, opened string, remaining string"
@@ -18,7 +18,7 @@ STATE = "last long, ids array<long>, scores array<double>, rules array<string>"
 
 def score_stream(stream: DataFrame, keep: list[str]) -> DataFrame:
     """Reports of a streaming DataFrame with a ``text`` column: the plan is narrow, so nothing changes."""
-    return analyze(stream, keep, NATIVE_TEXT)
+    return analyze(stream, keep)
 
 
 def _versions(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

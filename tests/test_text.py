@@ -130,3 +130,14 @@ def test_data_sets(spark):
     assert evaluate.dedupe_by_prefix(df, "id").count() == 18
     assert evaluate.stratified_split(df, ["lang"], ["id"]).where("is_test").count() == 4
     assert evaluate.capped(df, ["lang"], ["id"], 3).count() == 6
+
+
+def test_reports_hold_every_detector(spark):
+    text = "".join(f"The {w} fox and its friend number {i} went over the hill to see what was there. " for i, w in enumerate("red old shy sad odd big wet fat new sly".split()))
+    df = spark.createDataFrame([(1, text), (None, text), (3, "short one")], "id int, text string")
+    model = ngram.train(df, min_count=1)
+    r = {x.id: x for x in analyze.analyze(df, ["id"]).collect()}
+    assert set(r) == {1, None, 3}
+    assert "stats" in {c.category for c in r[1].categories} and "P-02" in {m.detector for m in r[1].metrics}
+    found = {x.id: x for x in analyze.detect(df, ["id"], ["P-01", "P-02"], model).collect()}
+    assert found[1]["P-01"].applicable and found[1]["P-01"] == found[None]["P-01"] and not found[3]["P-01"].applicable
