@@ -3,8 +3,10 @@
 A long text is cut into chunks that overlap.  Each chunk is pre-tokenised on its own, in
 parallel; in the overlap of two neighbours the pre-token boundaries of both are compared, and
 the first boundary that both have is the stitch: from it on the two agree, as the pattern looks
-only forward.  It must not stand after white space, which looks at the character behind it.  The pieces between stitches are then encoded in parallel.  Where an overlap has
-no common boundary the two chunks form one piece.  Texts of one chunk need no stitching and are
+only forward.  It must not stand after white space, which looks at the character behind it.  The
+pieces between stitches are then encoded in parallel.  Where an overlap has no common boundary, as
+inside a run of a million letters, the two chunks are joined, pre-tokenised anew and stitched with
+the next; the rest of the text keeps its pieces.  Texts of one chunk need no stitching and are
 encoded where they are read.  Decoding concatenates the raw bytes of the ids.
 """
 
@@ -19,8 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkscan.llm.shared import cut
+
 CHUNK = 1 << 16
 OVERLAP = 1 << 12
+#: Code points beyond which a piece is encoded pre-token by pre-token: the library's own pattern search
+#: recurses in long runs of white space.
+WHOLE = 1 << 18
 
 _loaded: dict[tuple[str, str], "Codec"] = {}
 
@@ -36,6 +43,7 @@ class Codec:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.pretoken = regex.compile(pattern)
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.single = tiktoken.Encoding("single", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={})
         by_id = sorted((rank, token) for token, rank in ranks.items())
         self.tokens = np.frombuffer(b"".join(t for _, t in by_id), dtype=np.uint8)
         lengths = np.zeros(by_id[-1][0] + 1, dtype=np.int64)
@@ -48,6 +56,9 @@ class Codec:
         return [m.end() for m in self.pretoken.finditer(text)]
 
     def encode(self, text: str) -> np.ndarray:
+        if len(text) > WHOLE:
+            each = [self.single.encode_ordinary(m[0]) for m in self.pretoken.finditer(text)]
+            return np.fromiter((i for ids in each for i in ids), dtype="<u4")
         return np.asarray(self.encoding.encode_to_numpy(text, disallowed_special=()), dtype="<u4")
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -115,27 +126,36 @@ def long_pieces(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, ov
     )
     start = (F.col("i") * chunk).cast("int")
     chunks = cut_up.select(
-        "row", "doc_id", "n", "i", F.substring(F.col("text"), start + 1, F.lit(chunk)).alias("body"),
+        "row", "doc_id", "i", F.substring(F.col("text"), start + 1, F.lit(chunk)).alias("body"),
         F.substring(F.col("text"), start + 1 + chunk, F.lit(overlap)).alias("shared"),
     ).repartition("row", "i")
-    stitches = chunks.select("row", "i", F.concat("body", "shared").alias("own"), "shared").mapInArrow(
-        find, "row long, i long, stitch long"
-    )
-    # Each chunk gives its head, up to the stitch with the one before, to that one's piece.  After an overlap
-    # without a stitch nothing says that later chunks stand on the whole text's boundaries: one piece then.
-    order, row = Window.partitionBy("row").orderBy("i"), Window.partitionBy("row")
-    marks = (
-        stitches.withColumn("head", F.lag("stitch").over(order))
-        .withColumn("broken", F.max((F.col("i") > 0) & F.col("head").isNull()).over(row))
-        .select("row", "i", F.when(~F.col("broken") & (F.col("i") > 0), F.col("head")).otherwise(0).alias("head"), F.when(F.col("broken"), 0).otherwise(F.col("i")).alias("piece"))
-    )
-    parts = chunks.select("row", "doc_id", "i", "body").join(marks, ["row", "i"])
-    head = F.col("head").cast("int")
-    parts = parts.select(
+    # A unit is one chunk or several joined; one that isn't stitched takes in the next, and is searched again.
+    order, row, found = Window.partitionBy("row").orderBy("i"), Window.partitionBy("row"), "row long, i long, stitch long"
+    units = chunks.select("row", "i", F.concat("body", "shared").alias("own"), "shared").mapInArrow(find, found)
+    units = cut(units.withColumn("last", F.col("i")).withColumn("ends", F.col("i") == F.max("i").over(row)))
+    while not units.where("stitch is null and not ends").isEmpty():
+        joins = F.lag(F.col("stitch").isNull()).over(order)
+        unit = F.sum(F.when(joins, 0).otherwise(1)).over(order)
+        units = units.withColumn("unit", unit).groupBy("row", "unit").agg(
+            F.min("i").alias("i"), F.max_by("stitch", "last").alias("stitch"), F.max("last").alias("last"), F.max("ends").alias("ends"), F.count("*").alias("n")
+        ).drop("unit")
+        wide = units.where("n > 1 and not ends").select("row", F.col("i").alias("first"), F.explode(F.expr("sequence(i, last)")).alias("i"))
+        wide = wide.join(chunks, ["row", "i"]).groupBy("row", "first").agg(
+            F.array_sort(F.collect_list(F.struct("i", "body"))).alias("bodies"), F.max_by("shared", "i").alias("shared")
+        )
+        text = F.array_join(F.transform("bodies", lambda s: s["body"]), "")
+        again = wide.select("row", F.col("first").alias("i"), F.concat(text, F.col("shared")).alias("own"), "shared").mapInArrow(find, found)
+        units = units.join(again.withColumnRenamed("stitch", "anew"), ["row", "i"], "left")
+        units = cut(units.select("row", "i", F.when((F.col("n") > 1), F.col("anew")).otherwise(F.col("stitch")).alias("stitch"), "last", "ends"))
+    # each unit gives its head, up to the stitch with the one before, to that one's piece
+    marks = units.select("row", F.col("i").alias("piece"), "last", F.lag("stitch").over(order).alias("head"), F.lag("i").over(order).alias("before"))
+    marks = marks.select("row", "piece", "before", F.explode(F.expr("sequence(piece, last)")).alias("i"), "head")
+    marks = marks.withColumn("head", F.when(F.col("i") == F.col("piece"), F.coalesce("head", F.lit(0))).otherwise(0).cast("int"))
+    parts = chunks.select("row", "doc_id", "i", "body").join(marks, ["row", "i"]).select(
         "row", "doc_id",
         F.explode(F.array(
-            F.struct((F.col("piece") - F.when(head > 0, 1).otherwise(0)).alias("piece"), (F.col("i") * 2).alias("i"), F.substring(F.col("body"), F.lit(1), head).alias("text")),
-            F.struct(F.col("piece").alias("piece"), (F.col("i") * 2 + 1).alias("i"), F.expr("substring(body, cast(head as int) + 1)").alias("text")),
+            F.struct(F.coalesce("before", F.lit(0)).alias("piece"), (F.col("i") * 2).alias("i"), F.substring(F.col("body"), F.lit(1), F.col("head")).alias("text")),
+            F.struct(F.col("piece").alias("piece"), (F.col("i") * 2 + 1).alias("i"), F.expr("substring(body, head + 1)").alias("text")),
         )).alias("p"),
     ).select("row", "doc_id", "p.*")
     return parts.groupBy("row", "doc_id", "piece").agg(

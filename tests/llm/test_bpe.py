@@ -27,6 +27,21 @@ def test_every_text_as_the_whole(spark, chunk, overlap):
     assert got == sorted((i, *expected(t)) for i, t, _ in rows)
 
 
+def by_pretoken(text):
+    c = codec(PATH, PATTERN)
+    ids = np.array([i for m in c.pretoken.finditer(text) for i in c.single.encode_ordinary(m[0])], dtype="<u4")
+    return len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_long_runs(spark):
+    """Runs that no overlap stitches, far beyond what the library's own search of the whole text stands."""
+    texts = ["some words " + run * 2_000_000 + " and more words " * 9000 for run in (" ", "\n", "a", "*")]
+    texts += ["x" + " \n" * 300_000 + "then words. " * 20_000 + "7" * 200_000 + " " * 70_000 + "end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = sorted((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in encode_digests(df, PATH, PATTERN).collect())
+    assert got == sorted((i, *by_pretoken(t)) for i, t in enumerate(texts))
+
+
 def test_no_rows(spark):
     assert encode_digests(spark.createDataFrame([], "doc_id long, text string"), PATH, PATTERN).collect() == []
 
