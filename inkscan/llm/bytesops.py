@@ -1,7 +1,7 @@
 """Vectorised work on the UTF-8 bytes of a batch of texts, for use inside tasks.
 
 A batch is one ``uint8`` array and the byte offsets of its texts.  A substring is
-hashed from prefix sums of a polynomial modulo 2**64, so the hash of any slice
+hashed from prefix sums of two polynomials modulo primes, so the hash of any slice
 costs O(1) after one pass over the bytes.
 """
 
@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-BASE = 0x9E3779B97F4A7C15 | 1
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
+#: Two primes and a base for each.  Modulo a power of two, long strings of few letters would collide for every base.
+FIELDS = ((2147483647, 1358007413), (2147483629, 912345679))
 SHINGLE_WEIGHTS = np.array(
     [0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=U64
 )
@@ -24,18 +24,17 @@ IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
-_powers: dict[int, np.ndarray] = {}
+_powers: dict[tuple[int, int], np.ndarray] = {}
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; the longest asked for stays in the worker."""
-    have = _powers.get(base)
+def powers(base: int, prime: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo the prime; the longest asked for stays in the worker."""
+    have = _powers.get((base, prime))
     if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 19), base, dtype=U64)
-        have[0] = 1
-        with np.errstate(over="ignore"):
-            have = np.cumprod(have, dtype=U64)
-        _powers[base] = have
+        have = np.ones(1, dtype=np.uint32)
+        while len(have) < max(n, 1 << 19):
+            have = np.concatenate([have, (have * U64(pow(base, len(have), prime)) % U64(prime)).astype(np.uint32)])
+        _powers[base, prime] = have
     return have[:n]
 
 
@@ -47,27 +46,40 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+_BYTES = mix(np.arange(256, dtype=U64) + U64(0x9E3779B97F4A7C15))
+
+
 class SliceHash:
-    """Hashes of slices of ``data``; equal bytes give equal hashes wherever they stand."""
+    """Hashes of slices of ``data``, of 62 bits; equal bytes give equal hashes wherever they stand."""
 
     def __init__(self, data: np.ndarray):
         n = len(data)
-        self.sums = np.zeros(n + 1, dtype=U64)
-        with np.errstate(over="ignore"):
-            np.cumsum((data.astype(U64) + U64(1)) * powers(BASE, n), dtype=U64, out=self.sums[1:])
-        self.inverse = powers(BASE_INVERSE, n + 1)
+        self.lanes = []
+        for prime, base in FIELDS:
+            sums = np.zeros(n + 1, dtype=U64)
+            terms = (data.astype(U64) + U64(1)) * powers(base, prime, n)
+            # 2**24 terms of under 2**40 fit in 64 bits as they are
+            np.cumsum(terms if n < 1 << 24 else terms % U64(prime), dtype=U64, out=sums[1:])
+            self.lanes.append((sums, powers(pow(base, -1, prime), prime, n + 1), U64(prime)))
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts])
-
-    def windows(self, k: int) -> np.ndarray:
-        """Of every slice of k bytes, in order."""
-        n = len(self.sums) - k
-        if n <= 0:
-            return np.zeros(0, dtype=U64)
-        with np.errstate(over="ignore"):
-            return mix((self.sums[k:] - self.sums[:n]) * self.inverse[:n])
+        a, b = ((sums[ends] - sums[starts]) % prime * inverse[starts] % prime for sums, inverse, prime in self.lanes)
+        return mix(a << U64(32) | b)
+
+
+def window_hashes(data: np.ndarray, k: int) -> np.ndarray:
+    """A hash of every slice of k bytes, in order; for slices too short to collide by their structure."""
+    n = len(data) - k + 1
+    if n <= 0:
+        return np.zeros(0, dtype=U64)
+    # widths 1, 2, 4, ...: two neighbours make one of twice the width; what is left overlaps
+    with np.errstate(over="ignore"):
+        h, width, factor = _BYTES[data], 1, U64(0x9FB21C651E98DF25)
+        while width < k:
+            step = min(width, k - width)
+            h = h[: len(h) - step] * factor + h[step:]
+            width, factor = width + step, factor * U64(0xD6E8FEB86659FD93)
+        return mix(h)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
