@@ -43,11 +43,12 @@ def varied(seed, n, size):
     return [(i * 13 % 10007, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("length,prefix,seed", [(20, 8, 1), (20, 20, 2), (33, 10, 3), (100, 32, 4)])
-def test_as_brute_force(spark, length, prefix, seed):
+@pytest.mark.parametrize("length,prefix,seed,hot", [(20, 8, 1, 9), (20, 20, 2, 1 << 30), (33, 10, 3, 5), (100, 32, 4, 1 << 30), (100, 32, 5, 3)])
+def test_as_brute_force(spark, monkeypatch, length, prefix, seed, hot):
+    monkeypatch.setattr(suffix_dedup, "BATCH", 2000)
     rows = varied(seed, 60, 400)
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, bucket int").repartition(5)
-    got = suffix_dedup.remove_repeats(df, length, prefix, mark_bits=16).collect()
+    got = suffix_dedup.remove_repeats(df, length, prefix, mark_bits=16, hot=hot).collect()
     assert sorted(tuple(r) for r in got) == brute(rows, length)
 
 
@@ -70,16 +71,29 @@ def test_samples_follow_content():
 
 
 def test_levels_merge_geometrically():
-    rng = np.random.default_rng(0)
-    index, seen = suffix_dedup.Levels(), []
+    draw = random.Random(3)
+    length, prefix, texts = 20, 6, []
+    common = ["".join(draw.choices("ab", k=30)) for _ in range(4)]
+    index = suffix_dedup.Family()
     for i in range(40):
-        s = np.zeros(50, dtype=suffix_dedup.Levels.STRING)
-        s["hash"], s["doc"], s["start"] = rng.integers(0, 400, 50), i % 7, rng.integers(0, 99, 50)
-        index.add(s)
-        seen.append(s)
+        text = "".join(draw.choice(common)[: draw.randint(5, 30)] for _ in range(12))
+        texts.append((99 - i, text))
+        data, offsets = text_bytes(pa.array([text]))
+        s = suffix_dedup.Samples(data, offsets, length, prefix)
+        head = np.empty(len(s.key), dtype=suffix_dedup.HEAD)
+        head["doc"], head["start"], head["size"], head["at"] = 99 - i, s.first, s.last - s.first + length, s.at - s.first
+        raw = np.concatenate([data[a : a + n] for a, n in zip(head["start"], head["size"], strict=True)])
+        index.add(suffix_dedup.SuffixArray.of(head, raw, length, prefix))
     assert len(index.levels) <= 7
-    everything = np.concatenate(seen)
-    first = {}
-    for h, d, p in everything.tolist():
-        first[h] = min(first.get(h, (d, p)), (d, p))
-    assert index.starts_earlier(everything).tolist() == [first[h] < (d, p) for h, d, p in everything.tolist()]
+    for level in index.levels:
+        assert sorted(level.behind.tolist()) == level.behind[level.by_behind].tolist()
+    gone = {d: np.zeros(len(t), dtype=bool) for d, t in texts}
+    for d, a, b in index.close().tolist():
+        gone[d][a:b] = True
+    assert sorted((d, int(gone[d].sum())) for d, _ in texts) == sorted((d, n) for d, _, n, _, _ in brute(texts, length))
+
+
+def test_driver_documents(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    got = suffix_dedup.remove_repeats(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), hot=20).collect()
+    assert sorted(tuple(r) for r in got) == brute(rows, 100)
