@@ -1,10 +1,10 @@
 """Language identification: known words first, then shorter and shorter character n-grams.
 
-The model holds, per language, log frequencies of the most frequent words and of character
-n-grams of 4, 3, 2 and 1.  A word that the model knows is scored by its word frequency; an unknown
-one by its n-grams, each position falling back to the longest n-gram that is known.  The model is
-fitted on a bounded sample of labelled documents and has a bounded size, so it can be sent to
-every task; every whole text is scored in tasks.
+The model holds, per language, log frequencies of all words and of all character n-grams of 4, 3, 2
+and 1 letters of its training texts.  A word that the model knows is scored by its word frequency;
+an unknown one by its n-grams, each position falling back to the longest n-gram that is known.  The
+model is fitted on a bounded sample of labelled documents, so its size is bounded too and it can be
+sent to every task; every whole text is scored in tasks.  A word is a run of letters.
 """
 
 from __future__ import annotations
@@ -14,21 +14,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkscan.llm.bytesops import SliceHash, pieces, text_bytes
+from inkscan.llm.bytesops import SliceHash, mix, pieces, text_bytes
+from inkscan.llm.shared import cut
 
-#: The fit reads at most this many labelled documents, and keeps at most so many words and n-grams of each length.
-MAX_DOCS, MAX_WORDS, MAX_GRAMS = 20_000, 50_000, 20_000
+U64 = np.uint64
+#: The fit reads at most so many labelled documents, and no further one once they hold so many bytes.
+MAX_DOCS, MAX_BYTES = 20_000, 1 << 24
 LENGTHS = (4, 3, 2, 1)
 UNKNOWN = "und"
-#: What a known word counts against an n-gram of an unknown one.
+#: What a known word counts against an unknown one, whose n-grams are averaged.
 WORD_WEIGHT = 2.0
 
-_LETTER = np.zeros(256, dtype=bool)
-_LETTER[ord("a") : ord("z") + 1] = True
-_LETTER[0x80:] = True  # bytes of letters outside ASCII, and of the few signs there
+_letters: list[np.ndarray] = []
+
+
+def _is_letter() -> np.ndarray:
+    """A flag per code point; made once in each worker."""
+    if not _letters:
+        _letters.append(np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool))
+    return _letters[0]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -36,126 +43,147 @@ def held_out(doc_id: Column) -> Column:
 
 
 @dataclass(frozen=True)
-class Model:
-    langs: list[str]
-    prior: np.ndarray
-    words: np.ndarray  # hashes, ascending
-    word_scores: np.ndarray
-    grams: dict[int, tuple[np.ndarray, np.ndarray]]
+class Table:
+    """What is known of words, or of n-grams of one length: per hash, the languages that have it and by how much.
 
+    ``rest`` is each language's score of an entry that it doesn't have; ``more`` adds to it.
+    """
 
-def _lowered(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    texts = [t.lower() if t else "" for t in column.to_pylist()]
-    return pa.array(texts, pa.large_string()), np.array([any(map(str.isalpha, t)) for t in texts], dtype=bool)
+    hashes: np.ndarray  # ascending
+    first: np.ndarray  # of each hash's entries, and the end
+    lang: np.ndarray
+    more: np.ndarray
+    rest: np.ndarray
 
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """Index of each wanted hash, -1 where it isn't known."""
+        if not len(self.hashes):
+            return np.full(len(wanted), -1)
+        at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == wanted, at, -1)
 
-def _letter_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of letters, and their rows."""
-    letter = _LETTER[data]
-    edge = np.zeros(len(data) + 1, dtype=bool)
-    edge[offsets] = True
-    starts = np.flatnonzero(letter & (edge[:-1] | ~np.concatenate([[False], letter[:-1]])))
-    ends = np.flatnonzero(letter & (edge[1:] | ~np.concatenate([letter[1:], [False]]))) + 1
-    return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
+    def add(self, z: np.ndarray, rows: np.ndarray, found: np.ndarray, weight: np.ndarray) -> None:
+        """Adds to z[row] the scores of the known entries ``found``, times their weights."""
+        z += np.bincount(rows, weight, len(z))[:, None] * self.rest
+        count = self.first[found + 1] - self.first[found]
+        at = np.arange(count.sum()) + np.repeat(self.first[found] - (np.cumsum(count) - count), count)
+        cell = np.repeat(rows, count) * z.shape[1] + self.lang[at]
+        z += np.bincount(cell, np.repeat(weight, count) * self.more[at], z.size).reshape(z.shape)
 
 
-def _distinct(data: np.ndarray, offsets: np.ndarray):
-    """The batch's runs of letters: row, index of the distinct word; the distinct words' hashes, starts and ends."""
-    slices = SliceHash(data)
-    starts, ends, rows = _letter_runs(data, offsets)
-    hashes, at, which = np.unique(slices(starts, ends), return_index=True, return_inverse=True)
-    return slices, rows, which, hashes, starts[at], ends[at]
+@dataclass(frozen=True)
+class Model:
+    langs: list[str]
+    prior: np.ndarray
+    tables: dict[int, Table]  # by length; 0 is words
+
 
+class Words:
+    """The distinct words of some lower-cased texts, and where they stand.
 
-def _gram_hashes(slices: SliceHash, starts: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, word index and byte position of every n-gram inside the words."""
-    count = np.maximum(ends - starts - n + 1, 0)
-    word = np.repeat(np.arange(len(starts)), count)
-    position = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + starts[word]
-    return slices(position, position + n) ^ np.uint64(n), word, position
+    ``rows`` and ``which`` say of every word its text and its number among the distinct ones.
+    """
+
+    def __init__(self, texts: list[str], data: np.ndarray, offsets: np.ndarray):
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
+        letter = _is_letter()[points]
+        lead = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # of each code point, and the end
+        edge = np.zeros(len(points) + 1, dtype=bool)
+        edge[np.searchsorted(lead, offsets)] = True
+        starts = np.flatnonzero(letter & (edge[:-1] | ~np.concatenate([[False], letter[:-1]])))
+        ends = np.flatnonzero(letter & (edge[1:] | ~np.concatenate([letter[1:], [False]]))) + 1
+        self.lead, self.slices = lead, SliceHash(data)
+        self.rows = np.searchsorted(offsets, lead[starts], side="right") - 1
+        self.hashes, at, self.which = np.unique(self.slices(lead[starts], lead[ends]), return_index=True, return_inverse=True)
+        self.starts, self.ends = starts[at], ends[at]
+
+    def grams(self, n: int, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, index in ``words`` and code point of every n-gram of these distinct words."""
+        starts = self.starts[words]
+        count = np.maximum(self.ends[words] - starts - n + 1, 0)
+        word = np.repeat(np.arange(len(words)), count)
+        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + starts[word]
+        return self.slices(self.lead[at], self.lead[at + n]), word, at
+
+
+def _each(column: pa.Array) -> Iterator[tuple[int, int, list[str], Words]]:
+    """Row ranges of a batch, their lower-cased texts, and their words; null counts as empty."""
+    texts = [t.lower() if t else "" for t in column.to_pylist()]
+    data, offsets = text_bytes(pa.array(texts, pa.large_string()))
+    for a, b in pieces(offsets):
+        yield a, b, texts[a:b], Words(texts[a:b], data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, n, hash, count) of words (n = 0) and n-grams of each batch."""
     for batch in batches:
         langs = batch.column("lang").to_pylist()
-        texts, _ = _lowered(batch.column("text"))
-        data, offsets = text_bytes(texts)
-        names = sorted(set(langs))
-        code = np.array([names.index(x) for x in langs], dtype=np.int64)
-        for a, b in pieces(offsets):
-            slices, rows, which, hashes, starts, ends = _distinct(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            counts = np.zeros((len(names), len(hashes)), dtype=np.int64)
-            np.add.at(counts, (code[a:b][rows], which), 1)
+        names, code = np.unique(np.array(langs, dtype=object), return_inverse=True) if langs else (np.zeros(0, dtype=object), np.zeros(0, dtype=np.int64))
+        for a, b, _, w in _each(batch.column("text")):
+            pair, count = np.unique(code[a:b][w.rows] * max(1, len(w.hashes)) + w.which, return_counts=True)
+            lang, word = pair // max(1, len(w.hashes)), pair % max(1, len(w.hashes))
             for n in (0, *LENGTHS):
-                found, word = (hashes, np.arange(len(hashes))) if n == 0 else _gram_hashes(slices, starts, ends, n)[:2]
-                distinct, inverse = np.unique(found, return_inverse=True)
-                for k, name in enumerate(names):
-                    total = np.bincount(inverse, counts[k][word], len(distinct)).astype(np.int64)
-                    some = np.flatnonzero(total)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * len(some), pa.string()), pa.array(np.full(len(some), n, dtype=np.int32)), pa.array(distinct[some].view(np.int64)), pa.array(total[some])],
-                        names=["lang", "n", "hash", "count"],
-                    )
-
-
-def train(documents: DataFrame, most: int = MAX_DOCS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
-    """A model from the text and lang of at most ``most`` documents that aren't held out, those of the least hashes of their ids."""
+                found, of = (w.hashes[word], np.arange(len(word))) if n == 0 else w.grams(n, word)[:2]
+                key = mix(found) ^ lang[of].astype(U64)  # tells (n-gram, language) apart within the piece
+                _, at, inverse = np.unique(key, return_index=True, return_inverse=True)
+                total = np.bincount(inverse, count[of], len(at)).astype(np.int64)
+                columns = [pa.array(names[lang[of[at]]].tolist(), pa.string()), pa.array(np.full(len(at), n, dtype=np.int32)), pa.array(found[at].view(np.int64)), pa.array(total)]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "n", "hash", "count"])
+
+
+def train(documents: DataFrame, most: int = MAX_DOCS, most_bytes: int = MAX_BYTES) -> Model:
+    """A model from text and lang of a sample of the documents that aren't held out.
+
+    The sample is those of the least hashes of their ids: at most ``most``, and none once
+    ``most_bytes`` are reached.  All words and n-grams of its texts are learned.
+    """
     usable = documents.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    ids = usable.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    some = usable.select("doc_id", "lang", "text").join(F.broadcast(ids.distinct()), "doc_id").select("lang", "text")  # at most ``most`` ids
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    ids = usable.select("doc_id", F.octet_length("text").alias("n")).orderBy(*order).limit(most)
+    before = F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))  # over ``most`` rows at most
+    ids = ids.select("doc_id", F.coalesce(before, F.lit(0)).alias("before")).where(F.col("before") < most_bytes)
+    some = usable.select("doc_id", "lang", "text").join(F.broadcast(ids.select("doc_id").distinct()), "doc_id").select("lang", "text")
     counts = some.mapInArrow(_count, "lang string, n int, hash long, count long").groupBy("lang", "n", "hash").agg(F.sum("count").alias("count"))
-    wide = counts.groupBy("n", "hash").agg(F.sum("count").alias("total"), F.collect_list(F.struct("lang", "count")).alias("by_lang"))
-    totals = {(r["lang"], r["n"]): r["total"] for r in counts.groupBy("lang", "n").agg(F.sum("count").alias("total")).collect()}
-    langs = sorted({lang for lang, _ in totals})
-    if not langs:
-        return Model([], np.zeros(0), np.zeros(0, dtype=np.uint64), np.zeros((0, 0)), {})
-    fitted = {}
-    for n in (0, *LENGTHS):
-        top = wide.where((F.col("n") == n) & (F.col("total") > 1)).orderBy(F.desc("total"), "hash").limit(max_grams if n else max_words).collect()
-        hashes = np.array([r["hash"] for r in top], dtype=np.int64).view(np.uint64)
-        table = np.zeros((len(top), len(langs)))
-        for i, r in enumerate(top):
-            for lang, count in r["by_lang"]:
-                table[i, langs.index(lang)] = count
-        size = np.array([totals.get((x, n), 0) for x in langs], dtype=np.float64)
-        scores = np.log((table + 0.5) / (size + 0.5 * max(1, len(top))))
-        order = np.argsort(hashes)
-        fitted[n] = hashes[order], scores[order]
-    words = np.array([totals.get((x, 0), 0) for x in langs], dtype=np.float64) + 1
-    return Model(langs, np.log(words / words.sum()), *fitted[0], {n: fitted[n] for n in LENGTHS})
-
-
-def _find(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Index of each wanted hash among the known, -1 where it isn't."""
-    if not len(known):
-        return np.full(len(wanted), -1)
-    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
-    return np.where(known[at] == wanted, at, -1)
-
-
-def score_words(model: Model, slices: SliceHash, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A score per distinct word and language."""
-    out = np.zeros((len(hashes), len(model.langs)))
-    at = _find(model.words, hashes)
-    out[at >= 0] = WORD_WEIGHT * model.word_scores[at[at >= 0]]
-    new = np.flatnonzero(at < 0)
-    starts, ends = starts[new], ends[new]
-    size = ends - starts
+    learned = cut(counts).toArrow()  # bounded by the sample
+    names, lang = np.unique(np.array(learned.column("lang").to_pylist(), dtype=object), return_inverse=True) if len(learned) else ([], np.zeros(0, dtype=np.int64))
+    n, hashes, count = (learned.column(c).to_numpy() for c in ("n", "hash", "count"))
+    tables, sizes = {}, np.zeros(len(names))
+    for k in (0, *LENGTHS):
+        use = np.flatnonzero(n == k)
+        use = use[np.lexsort((lang[use], hashes[use].view(U64)))]
+        distinct, first = np.unique(hashes[use].view(U64), return_index=True)
+        size = np.bincount(lang[use], count[use], len(names))
+        below = np.log(size + 0.5 * max(1, len(distinct)))
+        tables[k] = Table(distinct, np.append(first, len(use)), lang[use], np.log((count[use] + 0.5) / 0.5), np.log(0.5) - below)
+        sizes = size if k == 0 else sizes
+    return Model(list(names), np.log((sizes + 1) / (sizes + 1).sum()), tables)
+
+
+def score_texts(model: Model, n_texts: int, w: Words) -> np.ndarray:
+    """The log-likelihood of every text and language, up to a constant."""
+    z = np.zeros((n_texts, len(model.langs)))
+    pair, count = np.unique(w.rows * max(1, len(w.hashes)) + w.which, return_counts=True)
+    row, word = pair // max(1, len(w.hashes)), pair % max(1, len(w.hashes))
+    known = model.tables[0].find(w.hashes)
+    use = known[word] >= 0
+    model.tables[0].add(z, row[use], known[word[use]], WORD_WEIGHT * count[use])
+    row, word, count = row[~use], word[~use], count[~use].astype(np.float64)
+    new, word = np.unique(word, return_inverse=True)
+    size = w.ends[new] - w.starts[new]
     base = np.cumsum(size) - size
-    done = np.zeros(int(size.sum()), dtype=bool)  # positions that a longer n-gram has scored
+    done = np.zeros(int(size.sum()), dtype=bool)  # places that a longer n-gram has scored
     for n in LENGTHS:
-        found, word, position = _gram_hashes(slices, starts, ends, n)
-        slot = base[word] + position - starts[word]
-        known, scores = model.grams[n]
-        at = _find(known, found)
-        use = (at >= 0) & ~done[slot]
-        done[slot[use]] = True
-        for k in range(len(model.langs)):
-            out[:, k][new] += np.bincount(word[use], scores[at[use], k], len(new)) if len(new) else 0
-    gap = out[new] / np.maximum(size, 1)[:, None]
-    out[new] = gap  # an unknown word weighs as one n-gram, however long it is
-    return out
+        found, of, at = w.grams(n, new)
+        slot = base[of] + at - w.starts[new][of]
+        entry = model.tables[n].find(found)
+        hit = np.flatnonzero((entry >= 0) & ~done[slot])
+        done[slot[hit]] = True
+        # the n-grams of each word stand together: every text that has the word gets them
+        first = np.searchsorted(of[hit], np.arange(len(new) + 1))
+        many = first[word + 1] - first[word]
+        which = hit[np.arange(many.sum()) + np.repeat(first[word] - (np.cumsum(many) - many), many)]
+        model.tables[n].add(z, np.repeat(row, many), entry[which], np.repeat(count / size[word], many))
+    return z
 
 
 def predict(documents: DataFrame, model: Model) -> DataFrame:
@@ -168,19 +196,12 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*model.langs, UNKNOWN], dtype=object)
         for batch in batches:
-            texts, letters = _lowered(batch.column("text"))
-            data, offsets = text_bytes(texts)
-            best, share = np.full(len(letters), len(model.langs)), np.zeros(len(letters))
-            if model.langs:
-                for a, b in pieces(offsets):
-                    slices, rows, which, hashes, starts, ends = _distinct(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                    by_word = score_words(model, slices, hashes, starts, ends)
-                    z = np.stack([np.bincount(rows, by_word[which, k], b - a) for k in range(len(model.langs))], axis=1)
-                    z = z + model.prior
-                    best[a:b] = z.argmax(axis=1)
-                    e = np.exp(np.maximum(z - z.max(axis=1, keepdims=True), -700))
-                    share[a:b] = 1 / e.sum(axis=1)
-                best[~letters], share[~letters] = len(model.langs), 0.0
+            best, share = np.full(len(batch), len(model.langs)), np.zeros(len(batch))
+            for a, b, _, w in _each(batch.column("text")) if model.langs else ():
+                z = score_texts(model, b - a, w) + model.prior
+                some = np.flatnonzero(np.bincount(w.rows, minlength=b - a))  # texts with a letter
+                best[a + some] = z[some].argmax(axis=1)
+                share[a + some] = 1 / np.exp(np.maximum(z[some] - z[some].max(axis=1, keepdims=True), -700)).sum(axis=1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(names[best].tolist(), pa.string()), pa.array(share)],
                 names=["doc_id", "held_out", "lang_pred", "score"],

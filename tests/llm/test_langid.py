@@ -1,3 +1,9 @@
+import math
+import re
+import zlib
+from collections import Counter
+
+import pytest
 from pyspark.sql import functions as F
 
 from inkscan.llm import langid
@@ -23,3 +29,54 @@ def test_edges(spark):
     assert all(0 <= r.score <= 1 for r in got) and not any(r.held_out is None for r in got)
     nothing = langid.train(train.where("false"))
     assert {r.lang_pred for r in langid.predict(df, nothing).collect()} == {"und"}
+
+
+def brute(docs):
+    """Word-first backoff with dictionaries."""
+    words_of = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    counts = {n: {} for n in range(5)}
+    for i, text, lang in docs:
+        if zlib.crc32(str(i).encode()) % 4 != 2 and lang is not None and text is not None:
+            for w in words_of(text):
+                for n in range(5):
+                    for g in [w] if n == 0 else [w[k : k + n] for k in range(len(w) - n + 1)]:
+                        counts[n].setdefault(lang, Counter())[g] += 1
+    langs = sorted(counts[0])
+    known = {n: set().union(*map(set, counts[n].values())) for n in counts}
+    size = {n: {x: sum(counts[n].get(x, {}).values()) for x in langs} for n in counts}
+    score = lambda n, x, g: math.log((counts[n].get(x, {}).get(g, 0) + 0.5) / (size[n][x] + 0.5 * max(1, len(known[n]))))
+    total = sum(size[0][x] + 1 for x in langs)
+    out = {}
+    for i, text, _ in docs:
+        words = words_of(text)
+        if not words:
+            out[i] = ("und", 0.0)
+            continue
+        z = {x: math.log((size[0][x] + 1) / total) for x in langs}
+        for w in words:
+            grams = []
+            for k in range(len(w)):
+                n = next((n for n in (4, 3, 2, 1) if k + n <= len(w) and w[k : k + n] in known[n]), None)
+                grams += [(n, w[k : k + n])] if n else []
+            for x in langs:
+                z[x] += 2 * score(0, x, w) if w in known[0] else sum(score(n, x, g) for n, g in grams) / len(w)
+        top = max(z.values())
+        out[i] = (min(x for x in langs if z[x] == top), 1 / sum(math.exp(v - top) for v in z.values()))
+    return out
+
+
+def test_as_brute_force(spark):
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    rows += [(90001, "Привет, мир — “да”", "ru"), (90002, "приветы миру", None), (90003, "世界 \u00a0 “你好”", "zh"), (90004, "好世 x", None), (90005, "“ ” — 12", "de"), (90006, "Ünïcode Straße ẞ", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {r.doc_id: r for r in langid.predict(df, langid.train(df)).collect()}
+    want = brute(rows)
+    assert got.keys() == want.keys()
+    assert [i for i in want if got[i].lang_pred != want[i][0]] == []
+    assert all(got[i].score == pytest.approx(want[i][1], abs=1e-6) for i in want)
+
+
+def test_the_sample_is_bounded(spark):
+    df = spark.createDataFrame([(i, f"word{chr(97 + i)} same", "en") for i in range(20)], "doc_id long, text string, lang string")
+    assert len(langid.train(df, most=4).tables[0].hashes) <= 5
+    assert len(langid.train(df, most_bytes=1).tables[0].hashes) == 2
