@@ -8,14 +8,18 @@ least 75 %.  The plan, over tables that stay partitioned:
    a fixed number of counters over all texts, so what is sent to the tasks has a fixed size; a
    collision changes the order, never the result.
 3. Only the prefix of each ordered set is indexed: two linked sets share a shingle in their
-   prefixes.  Index entries carry their position, and an entry pair whose positions rule out
-   enough overlap is skipped (a block of a size range at a time).  The entries that a pair shares
-   are counted, and the count bounds the overlap; pairs under the bound are skipped too.
-4. A list too long to be paired off gives a star instead.  Stars and pairs make candidate
-   clusters; a link never crosses two clusters.
-5. Clusters are split into chunks and pairs of chunks are verified exactly.  There a set's
-   overlaps with all others are derived from those of the set before it, by the lists of the few
-   shingles in which the two differ, where that is shorter than starting anew.
+   prefixes.  A list is sorted by size and cut into blocks that know their sizes and positions; a
+   pair of blocks whose sizes or positions rule out enough overlap is skipped before any of its
+   pairs is made.  The entries that a pair shares are counted, and the count bounds the overlap;
+   pairs under the bound are skipped too.
+4. A list too long to be paired off gives a star instead, and a shingle in very many sets joins
+   each of them to a node of its own without a list.  Stars and pairs make candidate clusters; a
+   link never crosses two clusters.
+5. Clusters are verified exactly.  There a set's overlaps with all others are derived from those of
+   the set before it, by the lists of the few shingles in which the two differ, where that is
+   shorter than starting anew.  A large cluster is cut into chunks; each is compared in itself and
+   with a few sets of the whole cluster.  Only sets that this leaves apart from the cluster's
+   largest component are then compared with the other chunks.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkscan.llm.bytesops import LOWER, SliceHash, Words, in_slices, minimum_labels, mix, pieces, shingles, text_bytes
-from inkscan.llm.shared import components, cut, partitions
+from inkscan.llm.shared import components, cut, new_path, partitions
 
 U64 = np.uint64
 WORDS = 5
@@ -38,8 +42,10 @@ SKETCH_BITS = 23
 SKETCH_CHUNK_BITS = 18
 BLOOM_BITS = 26
 BLOOM_CHUNK_BITS = 21
-#: A list of more entries gives a star instead of all its pairs.
-LONG_LIST = 64
+#: A list of more entries gives a star instead of all its pairs; lists are cut into blocks of so many.
+LONG_LIST, BLOCK = 64, 8
+#: A shingle of about so many sets has no list.
+HOT = 50_000
 #: Pairs of entries that a task holds before it counts them and hands them on.
 PAIRS = 1 << 19
 #: Sets of a cluster that are compared in one go.
@@ -68,29 +74,39 @@ def required(n: int) -> int:
     return -(-n * PERCENT // 100)
 
 
-def _fingerprints(documents: DataFrame) -> DataFrame:
-    """(doc_id, fp, n) per row; fp is null for an empty set."""
+def _packed(documents: DataFrame) -> DataFrame:
+    """(doc_id, fp, n, tokens) per row, written once; fp is null for an empty set, tokens for a set that its task has written before."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp, n = [None] * len(batch), np.zeros(len(batch), dtype=np.int64)
+        seen: set[int] = set()
+        for batch in in_slices(batches):
+            fp, n, tokens = [None] * len(batch), np.zeros(len(batch), dtype=np.int64), [None] * len(batch)
             for i, s in shingle_sets(batch.column("text")):
                 fp[i], n[i] = fingerprint(s), len(s)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp, pa.int64()), pa.array(n)], names=["doc_id", "fp", "n"])
+                if fp[i] not in seen:
+                    seen.add(fp[i])
+                    tokens[i] = s.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp, pa.int64()), pa.array(n), pa.array(tokens, pa.binary())], names=["doc_id", "fp", "n", "tokens"])
+
+    path = new_path(documents.sparkSession, "sets")
+    documents.mapInArrow(compute, "doc_id long, fp long, n long, tokens binary").write.parquet(path)
+    return documents.sparkSession.read.parquet(path)
+
 
-    return documents.mapInArrow(compute, "doc_id long, fp long, n long")
+def _read_sets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    return (np.frombuffer(t.as_buffer(), dtype=U64) for t in batch.column("tokens"))
 
 
-def _sketch(documents: DataFrame, bits: int) -> np.ndarray:
+def _sketch(sets: DataFrame, bits: int) -> np.ndarray:
     """A frequency class per counter: eight steps for every doubling of the count."""
     chunk = min(SKETCH_CHUNK_BITS, bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, any_rows = np.zeros(1 << bits, dtype=np.uint32), False
         for batch in in_slices(batches):
-            sets = [s >> U64(64 - bits) for _, s in shingle_sets(batch.column("text"))]
-            if sets:
-                slots, n = np.unique(np.concatenate(sets), return_counts=True)
+            found = [s >> U64(64 - bits) for s in _read_sets(batch)]
+            if found:
+                slots, n = np.unique(np.concatenate(found), return_counts=True)
                 counts[slots] += n.astype(np.uint32)
                 any_rows = True
         if any_rows:
@@ -102,11 +118,11 @@ def _sketch(documents: DataFrame, bits: int) -> np.ndarray:
         for batch in batches:
             for blob in batch.column("counts"):
                 counts += np.frombuffer(zlib.decompress(blob.as_py()), dtype=np.uint32)
-        classes = np.ceil(8 * np.log2(counts + 1.0)).clip(0, 255).astype(np.uint8)
+        classes = np.ceil(8 * np.log2(counts + 1.0)).astype(np.uint8)  # 2**31 is in class 248
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(classes.tobytes(), 1)], pa.binary())], names=["k", "classes"])
 
     out = np.zeros(1 << bits, dtype=np.uint8)  # of a fixed size, whatever the input
-    parts = documents.select("text").mapInArrow(count, "k int, counts binary").groupBy("k").applyInArrow(total, "k int, classes binary")
+    parts = sets.select("tokens").mapInArrow(count, "k int, counts binary").groupBy("k").applyInArrow(total, "k int, classes binary")
     for row in parts.collect():
         out[row["k"] << chunk : (row["k"] + 1) << chunk] = np.frombuffer(zlib.decompress(bytes(row["classes"])), dtype=np.uint8)
     return out
@@ -115,39 +131,40 @@ def _sketch(documents: DataFrame, bits: int) -> np.ndarray:
 ENTRY = np.dtype([("token", "<u4"), ("fp", "<i8"), ("size", "<u4"), ("at", "<u4")])
 
 
-def _index(documents: DataFrame, sketch: np.ndarray, buckets: int) -> DataFrame:
-    """(bucket, entries): packed prefix entries of all distinct sets, dealt by shingle."""
-    bits = int(np.log2(len(sketch)))
-    sent = documents.sparkSession.sparkContext.broadcast(sketch)
+def _index(sets: DataFrame, sketch: np.ndarray, buckets: int, hot: int) -> DataFrame:
+    """(bucket, entries, edges): packed prefix entries of all distinct sets, dealt by shingle; of hot shingles packed edges instead."""
+    bits, class_of_hot = int(np.log2(len(sketch))), np.ceil(8 * np.log2(hot + 1.0))
+    sent = sets.sparkSession.sparkContext.broadcast(sketch)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # equal sets of one task have equal entries
         for batch in in_slices(batches):
             tokens, rows = [], []
-            for _, s in shingle_sets(batch.column("text")):
-                fp = fingerprint(s)
-                if fp in seen:
-                    continue
-                seen.add(fp)
+            for fp, s in zip(batch.column("fp").to_pylist(), _read_sets(batch), strict=True):
                 key = (sent.value[s >> U64(64 - bits)].astype(U64) << U64(56)) | (s >> U64(8))
                 prefix = s[np.argsort(key, kind="stable")[: len(s) - required(len(s)) + 1]]
                 tokens.append(prefix)
                 rows.append((fp, len(s), len(prefix)))
             if not tokens:
                 continue
-            token, (fps, sizes, lengths) = mix(np.concatenate(tokens)), np.array(rows, dtype=np.int64).T
+            raw, (fps, sizes, lengths) = np.concatenate(tokens), np.array(rows, dtype=np.int64).T
+            busy = sent.value[raw >> U64(64 - bits)] >= class_of_hot
+            token = mix(raw)
             out = np.empty(len(token), dtype=ENTRY)
             out["token"] = token & U64(0xFFFFFFFF)  # with the bucket, enough to group by; what it mixes up is verified
             out["fp"], out["size"] = np.repeat(fps, lengths), np.repeat(sizes, lengths)
             out["at"] = np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            bucket = ((token >> U64(32)) % U64(buckets)).astype(np.int32)
+            edges = np.stack([out["fp"][busy], token[busy].view(np.int64)], axis=1)
+            bucket = ((token[~busy] >> U64(32)) % U64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
-            out, bucket = out[order], bucket[order]
-            at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            blobs = [p.tobytes() for p in np.split(out, at[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array(blobs, pa.binary())], names=["bucket", "entries"])
+            out, bucket = out[~busy][order], bucket[order]
+            at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else bucket
+            blobs: list = [p.tobytes() for p in np.split(out, at[1:])] if len(bucket) else []
+            dealt, links = bucket[at].tolist(), [None] * len(blobs)
+            if len(edges):
+                dealt, blobs, links = [*dealt, int(fps[0] % buckets)], [*blobs, None], [*links, edges.tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array(dealt, pa.int32()), pa.array(blobs, pa.binary()), pa.array(links, pa.binary())], names=["bucket", "entries", "edges"])
 
-    return documents.select("text").mapInArrow(entries, "bucket int, entries binary")
+    return sets.select("fp", "tokens").mapInArrow(entries, "bucket int, entries binary, edges binary")
 
 
 def _counted(e: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -165,9 +182,50 @@ def _counted(e: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array(c[k : k + (1 << 16)]) for c in columns], names=["a", "b", "n_a", "n_b", "shared"])
 
 
+def _star(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    none = pa.nulls(len(a), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none, none, none], names=["a", "b", "n_a", "n_b", "shared"])
+
+
+def _block_pairs(e: np.ndarray, begin: np.ndarray, length: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of entries that may link, list by list; each list ascends by size."""
+    count = -(-length // BLOCK)
+    inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    first = np.repeat(begin, count) + inner * BLOCK
+    last = np.minimum(first + BLOCK, np.repeat(begin + length, count))
+    size, at = e["size"].astype(np.int64), e["at"].astype(np.int64)
+    least, most = size[first], size[last - 1]
+    # blocks may stand apart: each is reduced up to its own end
+    edges = np.stack([first, last], axis=1).ravel()
+    pad = lambda x: np.append(x, 0)
+    furthest, rest = (np.maximum.reduceat(pad(x), edges)[::2] if len(first) else first for x in (at, size - at - 1))
+    start = np.cumsum(count) - count
+    for n in np.unique(count):
+        lists, (i, j) = start[count == n], np.triu_indices(n)
+        for part in np.array_split(lists, max(1, len(lists) * len(i) * BLOCK * BLOCK // PAIRS)):
+            x, y = (part[:, None] + i).ravel(), (part[:, None] + j).ravel()
+            overlap = np.minimum(furthest[x], furthest[y]) + 1 + np.minimum(rest[x], rest[y])
+            ok = (most[x] * 100 >= least[y] * PERCENT) & (overlap >= -(-(least[x] + least[y]) * PERCENT // (100 + PERCENT)))
+            x, y = x[ok], y[ok]
+            step = np.arange(BLOCK)
+            p = np.broadcast_to((first[x][:, None] + step)[:, :, None], (len(x), BLOCK, BLOCK))
+            q = np.broadcast_to((first[y][:, None] + step)[:, None, :], (len(x), BLOCK, BLOCK))
+            inside = (p < last[x][:, None, None]) & (q < last[y][:, None, None]) & (p < q)
+            p, q = p[inside], q[inside]
+            need = -(-(size[p] + size[q]) * PERCENT // (100 + PERCENT))
+            reach = np.minimum(at[p], at[q]) + 1 + np.minimum(size[p] - at[p] - 1, size[q] - at[q] - 1)  # before, here and behind
+            yield p[reach >= need], q[reach >= need]
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, n_a, n_b, shared) per pair of sets that share entries of this partition; shared is null for a star's edge."""
-    blobs = [np.frombuffer(e.as_py(), dtype=ENTRY) for batch in batches for e in batch.column("entries")]
+    blobs = []
+    for batch in batches:
+        blobs += [np.frombuffer(x.as_py(), dtype=ENTRY) for x in batch.column("entries") if x.is_valid]
+        for x in batch.column("edges"):
+            if x.is_valid:
+                pair = np.frombuffer(x.as_py(), dtype=np.int64).reshape(-1, 2)
+                yield _star(np.ascontiguousarray(pair[:, 0]), np.ascontiguousarray(pair[:, 1]))
     if not blobs:
         return
     e = np.concatenate(blobs)
@@ -179,20 +237,14 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     begin = np.flatnonzero(np.concatenate([[True], e["token"][1:] != e["token"][:-1]]))
     length = np.diff(np.append(begin, len(e)))
     left, right, waiting = [], [], 0
-    for m in np.unique(length[(length > 1) & (length <= LONG_LIST)]):
-        lists, (i, j) = begin[length == m], np.triu_indices(m, 1)
-        for part in np.array_split(lists, max(1, len(lists) * len(i) // PAIRS)):
-            x, y = (part[:, None] + i).ravel(), (part[:, None] + j).ravel()
-            small, large, p, q = (e[c][k].astype(np.int64) for c, k in (("size", x), ("size", y), ("at", x), ("at", y)))
-            need = -(-(small + large) * PERCENT // (100 + PERCENT))
-            most = np.minimum(p, q) + 1 + np.minimum(small - p - 1, large - q - 1)  # before, here and behind
-            ok = most >= need
-            left.append(x[ok].astype(np.int32))
-            right.append(y[ok].astype(np.int32))
-            waiting += len(left[-1])
-            if waiting >= PAIRS:
-                yield from _counted(e, np.concatenate(left), np.concatenate(right))
-                left, right, waiting = [], [], 0
+    short = (length > 1) & (length <= LONG_LIST)
+    for x, y in _block_pairs(e, begin[short], length[short]):
+        left.append(x.astype(np.int32))
+        right.append(y.astype(np.int32))
+        waiting += len(x)
+        if waiting >= PAIRS:
+            yield from _counted(e, np.concatenate(left), np.concatenate(right))
+            left, right, waiting = [], [], 0
     if waiting:
         yield from _counted(e, np.concatenate(left), np.concatenate(right))
     for i in np.flatnonzero(length > LONG_LIST):
@@ -200,9 +252,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = e["size"][begin[i] : begin[i] + length[i]].astype(np.int64)
         # within a list, sizes ascend: a gap over which no link reaches splits the star
         cluster = np.concatenate([[0], np.cumsum(size[1:] * PERCENT > size[:-1] * 100)])
-        hub = fps[np.searchsorted(cluster, cluster)]
-        none = pa.nulls(len(fps), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(fps), pa.array(hub), none, none, none], names=["a", "b", "n_a", "n_b", "shared"])
+        yield _star(fps, fps[np.searchsorted(cluster, cluster)])
 
 
 def _bloom(fps: DataFrame, column: str, bits: int = BLOOM_BITS) -> np.ndarray:
@@ -224,25 +274,17 @@ def _bloom(fps: DataFrame, column: str, bits: int = BLOOM_BITS) -> np.ndarray:
     return out
 
 
-def _sets(documents: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """(fp, tokens): the sets that pass the filter, each once per task at most."""
+def _passing(sets: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """(fp, tokens): the sets that pass the filter, each once."""
     bits = int(np.log2(len(wanted))) + 3
-    sent = documents.sparkSession.sparkContext.broadcast(wanted)
+    sent = sets.sparkSession.sparkContext.broadcast(wanted)
 
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in in_slices(batches):
-            fps, blobs = [], []
-            for _, s in shingle_sets(batch.column("text")):
-                fp = fingerprint(s)
-                slot = (fp & ((1 << 64) - 1)) >> (64 - bits)
-                if fp not in seen and sent.value[slot >> 3] >> (7 - (slot & 7)) & 1:
-                    seen.add(fp)
-                    fps.append(fp)
-                    blobs.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(blobs, pa.binary())], names=["fp", "tokens"])
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = np.asarray(batch.column("fp")).view(U64) >> U64(64 - bits)
+            yield batch.filter(pa.array(sent.value[slot >> U64(3)] >> (U64(7) - (slot & U64(7))).astype(np.uint8) & 1 == 1))
 
-    return documents.select("text").mapInArrow(compute, "fp long, tokens binary")
+    return sets.select("fp", "tokens").mapInArrow(select, "fp long, tokens binary").groupBy("fp").agg(F.first("tokens").alias("tokens"))
 
 
 def links(sets: list[np.ndarray], split: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -281,19 +323,18 @@ def links(sets: list[np.ndarray], split: int | None = None) -> tuple[np.ndarray,
 
 
 def _verify(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spanning edges (a, b) of the links among one bin of clusters, or between two chunks of a large one."""
+    """Spanning edges (a, b) of the links among the sets of each cluster, or between those of its two sides."""
     table = pa.Table.from_batches(list(batches))
-    fp, cluster, part = (table.column(c).to_numpy() for c in ("fp", "cluster", "part"))
+    fp, cluster, side = (table.column(c).to_numpy() for c in ("fp", "cluster", "side"))
     tokens = table.column("tokens").to_pylist()
-    order = np.lexsort((fp, part, cluster))
-    keep = order[np.concatenate([[True], (fp[order][1:] != fp[order][:-1]) | (part[order][1:] != part[order][:-1])])] if len(order) else order
+    order = np.lexsort((side, cluster))
     out_a, out_b = [], []
-    for rows in np.split(keep, np.flatnonzero(np.diff(cluster[keep])) + 1):
+    for rows in np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1):
         if len(rows) < 2:
             continue
         sets = {r: np.frombuffer(tokens[r], dtype=U64) for r in rows}
-        rows = np.array(sorted(rows, key=lambda r: (part[r], len(sets[r]), tokens[r])))  # noqa: B023
-        split = int((part[rows] == part[rows[0]]).sum())
+        rows = np.array(sorted(rows, key=lambda r: (side[r], len(sets[r]), tokens[r])))  # noqa: B023
+        split = int((side[rows] == side[rows[0]]).sum())
         a, b = links([sets[r] for r in rows], split if split < len(rows) else None)
         label = minimum_labels(len(rows), a, b)
         child = np.flatnonzero(label != np.arange(len(rows)))
@@ -303,31 +344,56 @@ def _verify(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def _linked(documents: DataFrame, buckets: int, bits: int) -> DataFrame:
-    """(a, b): links between fingerprints, enough of them to connect all that links connect."""
-    index = _index(documents, _sketch(documents, bits), buckets).repartition(buckets, "bucket")
+def _clusters(sets: DataFrame, buckets: int, bits: int, hot: int) -> DataFrame:
+    """(fp, cluster): sets that a chain of candidates connects."""
+    index = _index(sets, _sketch(sets, bits), buckets, hot).repartition(buckets, "bucket")
     found = index.mapInArrow(_candidates, "a long, b long, n_a long, n_b long, shared long")
     pairs = found.groupBy("a", "b").agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.sum("shared").alias("shared"), F.max(F.col("shared").isNull()).alias("star"))
     # what neither prefix shows is at most the rest of one of the sets
     behind = F.greatest(F.expr(f"(n_a * {PERCENT} + 99) div 100 - 1"), F.expr(f"(n_b * {PERCENT} + 99) div 100 - 1"))
     need = F.expr(f"((n_a + n_b) * {PERCENT} + {99 + PERCENT}) div {100 + PERCENT}")
-    edges = cut(pairs.where("star" ).select("a", "b").union(pairs.where(~F.col("star") & (F.col("shared") + behind >= need)).select("a", "b")).where("a <> b"))
-    clusters = cut(components(edges).select(F.col("id").alias("fp"), F.col("label").alias("cluster")))
-    spark = documents.sparkSession
-    n_bins = max(1, clusters.count() // CHUNK)
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    edges = pairs.where(F.col("star") | (F.col("shared") + behind >= need)).select("a", "b").where("a <> b")
+    return cut(components(edges).select(F.col("id").alias("fp"), F.col("label").alias("cluster")))
+
+
+def _linked(sets: DataFrame, buckets: int, bits: int, hot: int) -> DataFrame:
+    """(id, label) of the fingerprints that link with another."""
+    clusters = _clusters(sets, buckets, bits, hot)
+    bins = max(1, clusters.count() // CHUNK)
+    sizes = clusters.groupBy("cluster").agg(
+        F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"), F.array(F.min("fp"), F.max("fp"), F.min_by("fp", F.xxhash64("fp"))).alias("some")
+    )
     dealt = clusters.join(sizes, "cluster").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
-    sets = _sets(documents, _bloom(clusters, "fp")).join(dealt, "fp")
-    alone = F.col("chunks") == 1
-    keyed = sets.withColumn("other", F.explode(F.when(alone, F.array(F.lit(0))).otherwise(F.expr("sequence(0, chunks - 1)")))).select(
-        "fp", "cluster", "part", "tokens",
-        F.when(alone, F.pmod(F.xxhash64("cluster"), F.lit(n_bins))).otherwise(F.col("cluster")).alias("bin"),
-        F.when(alone, -1).otherwise(F.least("part", "other")).alias("low"), F.when(alone, -1).otherwise(F.greatest("part", "other")).alias("high"),
+    member = dealt.select("fp", "cluster", "chunks", "part", F.array_contains("some", F.col("fp")).alias("everywhere"))
+    wanted = _passing(sets, _bloom(clusters, "fp"))
+    whole = F.when(F.col("everywhere"), F.expr("sequence(0, chunks - 1)")).otherwise(F.array("part"))
+    # small clusters share a group; a chunk of a large one is a group with a few sets of its whole cluster
+    first = wanted.join(member, "fp").select(
+        "fp", "cluster", "tokens", F.lit(0).alias("side"), F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(F.col("cluster")).alias("bin"),
+        F.explode(F.when(F.col("chunks") == 1, F.array(F.lit(-1))).otherwise(whole)).alias("chunk"),
+    )
+    edges = cut(first.groupBy("bin", "chunk").applyInArrow(_verify, "a long, b long"))
+    label = cut(components(edges))
+    large = cut(member.where("chunks > 1"))
+    if large.isEmpty():
+        return label
+    placed = large.join(label, F.col("fp") == F.col("id"), "left").select("fp", "cluster", "chunks", "part", F.coalesce("label", "fp").alias("label"))
+    main = placed.groupBy("cluster", "label").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    placed = cut(placed.join(main, "cluster").withColumn("apart", F.col("label") != F.col("main")))
+    apart = placed.where("apart").groupBy("cluster").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
+    if apart.isEmpty():
+        return label
+    # every set of such a cluster against those that are apart
+    open_ = wanted.join(placed.join(apart, "cluster"), "fp")
+    ours = open_.select("fp", "cluster", "tokens", F.lit(0).alias("side"), F.col("part").alias("low"), F.explode(F.expr("sequence(0, parts - 1)")).alias("high"))
+    theirs = open_.where("apart").select(
+        "fp", "cluster", "tokens", F.lit(1).alias("side"), F.explode(F.expr("sequence(0, chunks - 1)")).alias("low"), F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int").alias("high")
     )
-    return keyed.groupBy("bin", "low", "high").applyInArrow(_verify, "a long, b long")
+    more = ours.unionByName(theirs).groupBy("cluster", "low", "high").applyInArrow(_verify, "a long, b long")
+    return cut(components(edges.unionByName(more)))
 
 
-def near_copies(documents: DataFrame, buckets: int | None = None, sketch_bits: int = SKETCH_BITS) -> DataFrame:
+def near_copies(documents: DataFrame, buckets: int | None = None, sketch_bits: int = SKETCH_BITS, hot: int = HOT) -> DataFrame:
     """Per document: doc_id, n_shingles (size of its set), component_id, set_id.
 
     component_id is the smallest doc_id that links reach, its own included; set_id is equal for
@@ -336,12 +402,13 @@ def near_copies(documents: DataFrame, buckets: int | None = None, sketch_bits: i
     """
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark = documents.sparkSession
-    prints = cut(_fingerprints(documents))
+    packed = _packed(documents)
+    prints = packed.select("doc_id", "fp", "n")
     total = prints.agg(F.sum("n")).first()[0] or 0
     # about a quarter of the shingles are indexed; a partition sorts about a million entries
     buckets = buckets or max(partitions(spark), total // 4_000_000 + 1)
     sets = prints.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least"))
-    label = components(_linked(documents, buckets, sketch_bits))
+    label = _linked(packed.where("tokens is not null").select("fp", "tokens"), buckets, sketch_bits, hot)
     joined = sets.join(label, sets["fp"] == label["id"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     group = joined.groupBy("label").agg(F.min("least").alias("component_id"))
     by_set = joined.join(group, "label").select("fp", "component_id")

@@ -65,10 +65,31 @@ def test_as_brute_force(spark, bits):
     check(spark, varied(bits, 60, 8, 90), sketch_bits=bits)
 
 
-def test_large_groups_of_near_copies(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [1 << 30, 12])
+def test_large_groups_of_near_copies(spark, monkeypatch, hot):
     monkeypatch.setattr(jaccard, "LONG_LIST", 6)
     monkeypatch.setattr(jaccard, "CHUNK", 16)
-    check(spark, varied(3, 4, 120, 60), sketch_bits=18)
+    check(spark, varied(3, 4, 120, 60), sketch_bits=18, hot=hot)
+
+
+def test_a_chain_of_links(spark, monkeypatch):
+    """Neighbours link, the ends don't: no few sets of the cluster show that it is one component."""
+    monkeypatch.setattr(jaccard, "CHUNK", 4)
+    words = [f"w{i}" for i in range(160)]
+    rows = [(i, " ".join(words[i : i + 60])) for i in range(0, 90, 3)]
+    check(spark, rows + [(1000 + i, " ".join(words[i + 1 : i + 61])) for i in range(0, 30, 7)], sketch_bits=18, hot=5)
+
+
+def test_long_words_of_two_letters(spark):
+    """Words that a polynomial modulo a power of two can't tell apart."""
+    def thue_morse(k, a, b):
+        s = a
+        for _ in range(k):
+            s += s.translate(str.maketrans(a + b, b + a))
+        return s
+
+    rows = [(10 * k + i, thue_morse(k, *x)) for k in (10, 11, 12, 13) for i, x in enumerate(("ab", "ba"))]
+    check(spark, rows, sketch_bits=18)
 
 
 def test_repeated_rows_and_none(spark):
