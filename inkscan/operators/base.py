@@ -25,10 +25,14 @@ class Spec:
     corridor: dict[str, tuple[float, float]]
 
 
-SPECS = {
-    d: Spec(d, category, kind, weight, metric, direction, {"ru": rlo, "en": elo}, {"ru": rhi, "en": ehi}, {"ru": rc, "en": ec})
-    for d, category, kind, weight, metric, direction, rlo, rhi, elo, ehi, rc, ec in rules.DETECTORS
-}
+def specs_of(detectors: list[tuple]) -> dict[str, Spec]:
+    return {
+        d: Spec(d, category, kind, weight, metric, direction, {"ru": rlo, "en": elo}, {"ru": rhi, "en": ehi}, {"ru": rc, "en": ec})
+        for d, category, kind, weight, metric, direction, rlo, rhi, elo, ehi, rc, ec in detectors
+    }
+
+
+SPECS = specs_of(rules.DETECTORS)
 
 
 def normalised(spec: Spec, value: Column, lang: Column) -> Column:

@@ -7,6 +7,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def ranged(df: DataFrame, order: list[str], parts: int = 64, most: int = 10_000) -> Column:
+    """A number that rises with ``order``: which of ``parts`` ranges a row is in, by a bounded sample.
+
+    The ranges only spread the rows; whatever follows must be right for any.
+    """
+    rows = df.select(*order).orderBy(F.xxhash64(*order)).limit(most).collect()
+    rows = sorted({tuple(r) for r in rows if None not in tuple(r)})
+    cuts = [rows[i * len(rows) // parts] for i in range(1, parts)] if len(rows) >= parts else rows[1:]
+    place = F.lit(0)
+    for c in sorted(set(cuts)):
+        after = F.lit(False)
+        for name, value in reversed(list(zip(order, c, strict=True))):
+            after = (F.col(name) > value) | ((F.col(name) == value) & (after if name != order[-1] else F.lit(True)))
+        place = place + F.coalesce(after, F.lit(False)).cast("int")
+    return place
+
+
+def numbered(df: DataFrame, cell: list[str], order: list[str], amount: Column | None = None, name: str = "_place") -> DataFrame:
+    """``df`` with the running count (or sum of ``amount``) of each cell before the row, by ``order``.
+
+    A cell is cut into ranges, so none is ordered in one task; sums per range are added up.
+    """
+    amount = F.lit(1) if amount is None else amount
+    df = df.withColumn("_range", ranged(df, order)).withColumn("_amount", amount)
+    sums = df.groupBy(*cell, "_range").agg(F.sum("_amount").alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(Window.partitionBy(*cell or [F.lit(0)]).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*(F.col(c).alias(f"_of_{c}") for c in cell), F.col("_range").alias("_its"), before.alias("_before"))  # ranges x cells
+    same = F.col("_range") == F.col("_its")
+    for c in cell:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    own = F.coalesce(F.sum("_amount").over(Window.partitionBy(*cell, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = df.withColumn("_own", own).join(sums, same).withColumn(name, F.col("_own") + F.col("_before"))
+    return out.drop("_range", "_amount", "_own", "_its", "_before", *(f"_of_{c}" for c in cell))
+
+
 def roc_auc(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
     """Mann-Whitney statistic, ties half, by counts per distinct score; 0.5 where a class is empty.
 
@@ -14,20 +49,31 @@ def roc_auc(df: DataFrame, score: str, label: str, by: list[str] | None = None)
     """
     by = by or []
     counts = df.groupBy(*by, score).agg(F.sum(F.when(F.col(label), 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label), 0).otherwise(1)).alias("n"))
-    w = Window.partitionBy(*by or [F.lit(0)]).orderBy(score)
-    below = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = counts.withColumn("wins", F.col("p") * (below + F.col("n") / 2.0))
+    wins = numbered(counts, by, [score], F.col("n"), "below").withColumn("wins", F.col("p") * (F.col("below") + F.col("n") / 2.0))
     total = wins.groupBy(*by).agg(F.sum("wins").alias("wins"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return total.select(*by, F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("wins") / (F.col("p") * F.col("n"))).otherwise(0.5).alias("auc"))
 
 
 def threshold_metrics(df: DataFrame, score: str, label: str, threshold: float, by: list[str] | None = None) -> DataFrame:
-    """fpr and f1 at a threshold."""
+    """fpr, tpr and f1 at a threshold."""
     hit, yes = F.col(score) >= threshold, F.col(label)
     one = lambda c: F.sum(F.when(c, 1).otherwise(0))
     n = df.groupBy(*(by or [])).agg(one(hit & yes).alias("tp"), one(hit & ~yes).alias("fp"), one(~hit & yes).alias("fn"), one(~yes).alias("neg"))
+    tpr = F.when(F.col("tp") + F.col("fn") > 0, F.col("tp") / (F.col("tp") + F.col("fn"))).otherwise(0.0)
     f1 = F.when(F.col("tp") > 0, 2.0 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn"))).otherwise(0.0)
-    return n.select(*(by or []), F.when(F.col("neg") > 0, F.col("fp") / F.col("neg")).otherwise(0.0).alias("fpr"), f1.alias("f1"))
+    return n.select(*(by or []), F.when(F.col("neg") > 0, F.col("fp") / F.col("neg")).otherwise(0.0).alias("fpr"), tpr.alias("tpr"), f1.alias("f1"))
+
+
+def held_out_report(df: DataFrame, score: str, label: str, groups: list[str], threshold: float = 65) -> DataFrame:
+    """(grouping, member, n, auc, fpr, tpr) for every value of each of ``groups``, such as language and source family."""
+    out = None
+    for g in groups:
+        auc, rest = roc_auc(df, score, label, [g]), threshold_metrics(df, score, label, threshold, [g])
+        n = df.groupBy(F.col(g).alias("_own")).agg(F.count("*").alias("n"))
+        rows = auc.join(rest.withColumnRenamed(g, "_of"), F.col(g).eqNullSafe(F.col("_of"))).join(n, F.col(g).eqNullSafe(F.col("_own")))
+        rows = rows.select(F.lit(g).alias("grouping"), F.col(g).cast("string").alias("member"), "n", "auc", "fpr", "tpr")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, sample_weights: np.ndarray | None = None, l2: float = 0.02, rate: float = 0.5, epochs: int = 4000) -> tuple[float, np.ndarray]:
@@ -52,17 +98,39 @@ def seeded(*columns: Column, seed: int = 42) -> Column:
     return F.xxhash64(F.lit(seed), *columns)
 
 
+def leave_one_out(x: np.ndarray, y: np.ndarray, **how: float) -> np.ndarray:
+    """The score of every row by weights fitted without it; for a bounded sample."""
+    out = np.zeros(len(y))
+    for i in range(len(y)):
+        rest = np.arange(len(y)) != i
+        b, w = fit_logistic(x[rest], y[rest], **how)
+        out[i] = 100 / (1 + np.exp(-(x[i] @ w + b)))
+    return out
+
+
 def dedupe_by_prefix(df: DataFrame, order: str, text: str = "text", prefix: int = 200) -> DataFrame:
-    """The first row by ``order`` of those whose texts begin alike.  A minimum per beginning is gathered in part first."""
-    key = F.substring(text, 1, prefix)
-    first = df.groupBy(key.alias("_key")).agg(F.min(order).alias("_first"))
-    return df.join(first, F.col(order) == F.col("_first"), "left_semi")
+    """The first row by ``order`` of those whose texts begin alike; null texts begin alike too.
+
+    One row per beginning is gathered in part before it moves; of rows that tie, one stays.
+    """
+    row = F.struct(*df.columns)
+    first = df.groupBy(F.substring(text, 1, prefix).alias("_key")).agg(F.min_by(row, F.col(order)).alias("_row"), F.first(row).alias("_any"))
+    return first.select(F.coalesce("_row", "_any").alias("_row")).select("_row.*")
+
+
+def of_length(df: DataFrame, least: int = 400, most: int = 4000, text: str = "text") -> DataFrame:
+    return df.where(F.length(text).between(least, most))
+
+
+def build_dataset(df: DataFrame, cell: list[str], order: str, cap: int, text: str = "text", every: int = 5) -> DataFrame:
+    """Texts of 400 to 4000 characters, one of those that begin alike, at most ``cap`` of each cell, with ``is_test``."""
+    some = dedupe_by_prefix(of_length(df, text=text), order, text)
+    return stratified_split(capped(some.withColumn("_seed", seeded(F.col(order))), cell, ["_seed", order], cap).drop("_seed"), cell, [order], every)
 
 
 def stratified_split(df: DataFrame, cell: list[str], order: list[str], every: int = 5) -> DataFrame:
     """``is_test`` for every fifth row of each cell."""
-    place = F.row_number().over(Window.partitionBy(*cell).orderBy(*order)) - 1
-    return df.withColumn("is_test", place % every == every - 1)
+    return numbered(df, cell, order).withColumn("is_test", F.col("_place") % every == every - 1).drop("_place")
 
 
 def capped(df: DataFrame, cell: list[str], order: list[str], most: int) -> DataFrame:

@@ -93,25 +93,27 @@ def spectral_peak(px: np.ndarray, n: int = 256) -> float:
     return float(peak)
 
 
-def smooth_share(px: np.ndarray, grid: int = 16) -> tuple[float, float]:
-    """Share of blocks with little noise, and the correlation of red and green noise."""
+def smooth_share(px: np.ndarray, grid: int = 16) -> tuple[float, float, np.ndarray]:
+    """Share of blocks with little noise, the correlation of red and green noise, and each block's smoothness (0 to 1)."""
     h, w = px.shape[:2]
     bw, bh = max(3, w // grid), max(3, h // grid)
     step = max(1, min(bw, bh) // 12)
     noise = np.zeros((h, w, 2))
     noise[1:-1, 1:-1] = px[1:-1, 1:-1, :2] - (px[1:-1, :-2, :2] + px[1:-1, 2:, :2] + px[:-2, 1:-1, :2] + px[2:, 1:-1, :2]) / 4
     smooth = total = 0
-    used = []
+    used, heat = [], np.ones((grid, grid))
     for gy in range(grid):
         for gx in range(grid):
             block = noise[gy * bh + 1 : min(h - 1, (gy + 1) * bh) : step, gx * bw + 1 : min(w - 1, (gx + 1) * bw) : step].reshape(-1, 2)
             if len(block):
                 total += 1
-                smooth += np.abs(block[:, 1]).mean() < 0.8
+                mean = np.abs(block[:, 1]).mean()
+                smooth += mean < 0.8
+                heat[gy, gx] = min(1.0, max(0.0, 1 - mean / 4))
                 used.append(block)
     r, g = np.concatenate(used).T if used else np.zeros((2, 0))
     spread = np.sqrt((r * r).sum() * (g * g).sum())
-    return smooth / total if total else 0.0, float((r * g).sum() / spread) if spread else 0.0
+    return smooth / total if total else 0.0, float((r * g).sum() / spread) if spread else 0.0, heat
 
 
 def watermark_strength(px: np.ndarray, scale: float = 36) -> float:
@@ -148,7 +150,7 @@ def spectrum() -> Column:
 @register("I-05")
 def noise() -> Column:
     def measure(px: np.ndarray) -> float:
-        share, together = smooth_share(px)
+        share, together, _ = smooth_share(px)
         return share + (0.15 if together > 0.97 else 0.0)
 
     value = _pixels(measure, 32)
@@ -159,3 +161,16 @@ def noise() -> Column:
 def watermark() -> Column:
     value = _pixels(watermark_strength, 64)
     return result("I-07", value, value.isNotNull())
+
+
+def heat_map(grid: int = 16) -> Column:
+    """Rows of blocks of ``pixels`` with their smoothness; null where there are none, or the image is too small."""
+
+    @F.pandas_udf("array<array<double>>")
+    def udf(width: pd.Series, height: pd.Series, data: pd.Series) -> pd.Series:
+        def one(w, h, d):
+            return None if d is None or not w or not h or min(w, h) < 32 else smooth_share(_rgba(int(w), int(h), bytes(d)), grid)[2].tolist()
+
+        return pd.Series([one(*x) for x in zip(width, height, data, strict=True)], dtype=object)
+
+    return udf("pixels.width", "pixels.height", "pixels.data")

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
-from inkscan.functions.regexlib import WS, let
+from inkscan.functions.lineage import cut
+from inkscan.functions.regexlib import WS, cv, let
 from inkscan.operators.base import SPECS, normalised
 
 SMOOTHING = 0.1
+#: Grams up to which a model is sent to all tasks; the alphabet bounds it.
+SENT_GRAMS = 1_000_000
 
 
 def normalised_text(text: Column) -> Column:
@@ -32,6 +38,7 @@ def grams_of(text: Column, order: int = 3) -> Column:
 def train(texts: DataFrame, column: str = "text", order: int = 3, min_count: int = 2) -> tuple[DataFrame, int]:
     """(gram, n, context_n) of grams seen at least ``min_count`` times, and the size of the alphabet before pruning."""
     counts = texts.select(F.explode(grams_of(F.col(column), order)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    counts = cut(counts)  # used twice
     alphabet = counts.select(F.explode(F.split("gram", "")).alias("c")).where("c <> ''").distinct().count()
     kept = counts.where(F.col("n") >= min_count)
     context = F.substring("gram", 1, order - 1)
@@ -48,11 +55,80 @@ def cross_entropy(sentences: DataFrame, keys: list[str], model: DataFrame, alpha
     return known.groupBy(*keys).agg(F.avg(-F.log2(p)).alias("bits"))
 
 
-def perplexity(df: DataFrame, key: str, model: DataFrame, alphabet: int) -> DataFrame:
-    """(key, value, applicable, score): P-01, how evenly predictable the prose sentences of four words or more are."""
-    prose = df.select(key, "lang", F.posexplode(F.filter("prose", lambda s: s["n"] >= 4)).alias("i", "s")).select(key, "lang", "i", F.col("s.text").alias("text"))
-    bits = cross_entropy(prose, [key, "lang", "i"], model, alphabet)
-    by_doc = bits.groupBy(key, "lang").agg(F.count("*").alias("n"), F.when(F.avg("bits") != 0, F.stddev_pop("bits") / F.avg("bits")).otherwise(0.0).alias("v")).where("n >= 6")
-    out = df.select(key).join(by_doc, key, "left")
-    ok = F.col("v").isNotNull()
-    return out.select(key, F.coalesce("v", F.lit(0.0)).alias("value"), ok.alias("applicable"), F.when(ok, normalised(SPECS["P-01"], F.col("v"), F.col("lang"))).otherwise(0.0).alias("score"))
+def _codes(points: np.ndarray) -> np.ndarray:
+    """Grams of code points, a row each, as whole numbers: 21 bits a code point, so up to three fit."""
+    code = np.zeros(len(points), dtype=np.int64)
+    for k in range(points.shape[1]):
+        code = code << 21 | points[:, k]
+    return code
+
+
+def bits_of(model: DataFrame, alphabet: int):
+    """A column function: bits per trigram of each of an array of normalised sentences, by a model that is sent to the tasks."""
+    rows = model.select("gram", "n", "context_n").toArrow()
+    grams = np.array([[ord(c) for c in g] for g in rows.column("gram").to_pylist()], dtype=np.int64).reshape(len(rows), 3)
+    order = np.argsort(_codes(grams))
+    known, n = _codes(grams)[order], rows.column("n").to_numpy()[order]
+    contexts, first = np.unique(known >> 21, return_index=True)
+    context_n = rows.column("context_n").to_numpy()[order][first]
+    sent = model.sparkSession.sparkContext.broadcast((known, n, contexts, context_n))
+
+    def found(known: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        if not len(known):
+            return np.zeros(len(wanted))
+        at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+        return np.where(known[at] == wanted, values[at], 0)
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def bits(sentences: pd.Series) -> pd.Series:
+        known, n, contexts, context_n = sent.value
+        each = [s for row in sentences for s in (row if row is not None else ())]
+        points = np.frombuffer("".join(each).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        length = np.array([len(s) for s in each], dtype=np.int64)
+        count = np.maximum(length - 2, 0)
+        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(np.cumsum(length) - length, count)
+        code = _codes(points[at[:, None] + np.arange(3)]) if len(at) else np.zeros(0, dtype=np.int64)
+        p = (found(known, n, code) + SMOOTHING) / (found(contexts, context_n, code >> 21) + SMOOTHING * alphabet)
+        total = np.bincount(np.repeat(np.arange(len(each)), count), -np.log2(p), len(each))
+        mean = np.where(count > 0, total / np.maximum(count, 1), 0.0)
+        sizes = [0 if row is None else len(row) for row in sentences]
+        return pd.Series(np.split(mean, np.cumsum(sizes)[:-1]) if len(sizes) else [], dtype=object)
+
+    return bits
+
+
+def p01(bits: Column, lang: Column) -> Column:
+    """The detector's result from the bits of the sentences: how evenly predictable they are, from six on."""
+    ok = F.coalesce(F.size(bits) >= 6, F.lit(False))
+    v = F.when(ok, cv(bits))
+    return let(v, lambda v: F.struct(F.coalesce(v, F.lit(0.0)).alias("value"), v.isNotNull().alias("applicable"), F.when(v.isNotNull(), normalised(SPECS["P-01"], v, lang)).otherwise(0.0).alias("score")))
+
+
+def with_perplexity(contexts: DataFrame, model: DataFrame, alphabet: int) -> DataFrame:
+    """``contexts`` with P-01's result, over the prose sentences of four words or more.
+
+    The model goes to the tasks and no row moves; one of over ``SENT_GRAMS`` grams meets the sentences' grams in a join.
+    """
+    model = cut(model)
+    sentences = F.transform(F.filter("prose", lambda s: s["n"] >= 4), lambda s: s["text"])
+    if model.count() <= SENT_GRAMS:
+        padded = F.transform(sentences, lambda s: F.concat(F.lit(" "), normalised_text(s), F.lit(" ")))
+        out = contexts.withColumn("_bits", bits_of(model, alphabet)(padded))
+    else:
+        # by the text itself, so that rows without an id, or with another's, keep their own
+        keyed = contexts.withColumn("_text", F.xxhash64("text"))
+        each = keyed.dropDuplicates(["_text"]).select("_text", F.posexplode(sentences).alias("i", "text"))
+        by_text = cross_entropy(each, ["_text", "i"], model, alphabet).groupBy("_text").agg(F.collect_list("bits").alias("_bits"))
+        out = keyed.join(by_text.withColumnRenamed("_text", "_key"), F.col("_text") == F.col("_key"), "left").drop("_text", "_key")
+    return out.withColumn("P-01", p01(F.col("_bits"), F.col("lang"))).drop("_bits")
+
+
+def write_model(model: DataFrame, alphabet: int, path: str) -> None:
+    """A trained model as files; the alphabet's size stands in each row."""
+    model.withColumn("alphabet", F.lit(alphabet)).write.mode("overwrite").parquet(path)
+
+
+def read_model(spark, path: str) -> tuple[DataFrame, int]:
+    rows = spark.read.parquet(path)
+    first = rows.select("alphabet").first()
+    return rows.drop("alphabet"), first[0] if first else 0

@@ -14,7 +14,7 @@ from inkscan.operators.lexical import STOP_WORDS
 from inkscan.queries import ADDED
 
 WORD = r"[\p{L}\p{N}]+(?:[''’-][\p{L}\p{N}]+)*"
-ABBREVIATIONS = "stр|стр|тыс|руб|млрд|млн|prof|mrs|etc|inc|ltd|fig|гг|др|пр|им|см|ул|mr|ms|dr|vs|eg|ie|st|no|т|е|г|д|с|п|e|i|g".replace("stр|", "")
+ABBREVIATIONS = "стр|тыс|руб|млрд|млн|prof|mrs|etc|inc|ltd|fig|гг|др|пр|им|см|ул|mr|ms|dr|vs|eg|ie|st|no|т|е|г|д|с|п|e|i|g"
 
 
 def q(text: str) -> str:
@@ -72,8 +72,10 @@ N = "len(w)"
 EN = rules.LEXICON
 
 
-def _markers() -> str:
-    parts = [f"{weight} * {count(rf'(?:^|[^\p{{L}}])(?:{pattern})(?:$|[^\p{{L}}])', 'gi')}" for pattern, weight, _ in rules.MARKERS["en"]]
+def _markers(lang: str = "en") -> str:
+    """Hits of each marker between characters that are no letters.  Two that share the one between them are one match of the first pattern, and one of the second."""
+    edge = r"[^\p{L}]"
+    parts = [f"{weight} * ({count(rf'(?:^|{edge})(?:{pattern})(?:$|{edge})', 'gi')} + {count(rf'(?:^|{edge})(?:{pattern}){edge}(?:{pattern})(?:$|{edge})', 'gi')})" for pattern, weight, _ in rules.MARKERS[lang]]
     return " + ".join(parts)
 
 
@@ -89,7 +91,7 @@ s AS (SELECT doc_id, count(*) AS n_sentences, sum(n) AS sentence_words FROM sent
 k AS (SELECT doc_id, count(*) FILTER (kind = 'text') AS n_text, count(*) FILTER (kind = 'heading') AS n_heading, count(*) FILTER (kind = 'list') AS n_list FROM paras GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, len(list_distinct(w))::BIGINT AS n_types, coalesce(n_sentences, 0)::BIGINT AS n_sentences, coalesce(sentence_words, 0)::BIGINT AS sentence_words,
   coalesce(n_text, 0)::BIGINT AS n_text, coalesce(n_heading, 0)::BIGINT AS n_heading, coalesce(n_list, 0)::BIGINT AS n_list FROM words LEFT JOIN s USING (doc_id) LEFT JOIN k USING (doc_id)"""
-    out["rejected"] = "SELECT doc_id, CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty' ELSE 'too_long' END AS status FROM documents WHERE trim(coalesce(text, '')) = '' OR length(text) > 100000"
+    out["rejected"] = "SELECT doc_id, CASE WHEN NOT regexp_matches(coalesce(text, ''), '\\S') THEN 'empty' ELSE 'too_long' END AS status FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '\\S') OR length(text) > 100000"
     # typography
     mixed = "list_filter(regexp_extract_all(text, '\\p{L}+'), lambda x: (regexp_matches(x, '\\p{Cyrillic}')::INT + regexp_matches(x, '\\p{Latin}')::INT + regexp_matches(x, '\\p{Greek}')::INT) >= 2)"
     out["t01"] = scored("T-01", docs(" pаypаl sοund plain"), "docs", f"len({mixed})", "true")
@@ -116,18 +118,18 @@ SELECT doc_id, round(CASE WHEN ok THEN v ELSE 0.0 END, 6)::DOUBLE AS value, ok A
     out["l01"] = scored("L-01", context(ADDED), "words", f"({_markers()}) * 1000.0 / len(w)", "len(w) >= 20")
     out["l02"] = scored("L-02", f"{context()}, shares AS (SELECT doc_id, len(w) AS n, list_transform(generate_series(1, len(w) - 49, 10), lambda i: len(list_distinct(w[i:i + 49])) / 50.0::DOUBLE) AS r FROM words)", "shares", "CASE WHEN list_avg(r) > 0 THEN coalesce(list_stddev_pop(r), 0) / list_avg(r) ELSE 0 END", "n >= 150")
     out["l03"] = scored("L-03", f"{context()}, plain AS (SELECT doc_id, list_filter(w, lambda x: NOT regexp_full_match(x, '\\d+')) AS w FROM words), k AS (SELECT doc_id, len(w) AS n, unnest(w[1:300]) AS x FROM plain), c AS (SELECT doc_id, x, count(*) AS c FROM k GROUP BY doc_id, x), h AS (SELECT doc_id, avg((c = 1)::INT) AS share FROM c GROUP BY doc_id), z AS (SELECT plain.doc_id, len(w) AS n, share FROM plain LEFT JOIN h USING (doc_id))", "z", "share", "n >= 100")
-    passive = r"(?:^|[^0-9A-Za-z_])(?:is|are|was|were|be|been|being)\s+(?:\w+ly\s+)?\w+(?:ed|en)(?:$|[^0-9A-Za-z_])"
+    passive = r"\b(?:is|are|was|were|be|been|being)\s+(?:\w+ly\s+)?\w+(?:ed|en)\b"
     nominal = "len(list_filter(w, lambda x: length(x) > 6 AND regexp_matches(x, '(tion|ment|ness|ity|ance|ence)$')))"
     out["l04"] = scored("L-04", context(ADDED), "words", f"({phrases(EN['hedges']['en'])} * 2 + greatest(0.0, {nominal} - len(w) * 0.04) + {count(passive, 'gi')} * 0.5) * 1000.0 / len(w)", "len(w) >= 40")
     noise = f"len(list_filter(w, lambda x: list_contains({_list(EN['noise']['en'])}, x)))"
     names = r"len(regexp_extract_all(substr(s, 2), '[\s,(«\"]\p{Lu}\p{Ll}{2,}'))"
-    dates = count(r"(?:^|[^0-9A-Za-z_])(?:(?:19|20)\d{2}|\d{1,2}[./]\d{1,2}(?:[./]\d{2,4})?)(?:$|[^0-9A-Za-z_])")
+    dates = count(r"\b(?:19|20)\d{2}\b|\b\d{1,2}[./]\d{1,2}(?:[./]\d{2,4})?\b")
     out["l05"] = scored("L-05", f"{context(ADDED)}, caps AS (SELECT doc_id, sum(least(3, {names})) AS caps FROM sents GROUP BY doc_id), z AS (SELECT words.*, coalesce(caps, 0) AS caps FROM words LEFT JOIN caps USING (doc_id))", "z", f"({noise} + {count('[!?]')} + {count(r'\([^)]{1,60}\)')} + {dates} + {count(r'\.\.\.|:\)|\)\)|;\)|:D')} + caps * 0.5) * 1000.0 / len(w)", "len(w) >= 40")
     own = f"list_transform(w, lambda x: NOT list_contains({_list(STOP_WORDS['en'])}, x))"
     out["l06"] = scored("L-06", f"{context()}, o AS (SELECT doc_id, w, {own} AS own FROM words), g AS (SELECT doc_id, w, list_transform(list_filter(generate_series(1, len(w) - 2), lambda i: own[i]::INT + own[i + 1]::INT + own[i + 2]::INT >= 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS g FROM o)", "g", "(len(g) - len(list_distinct(g))) * 1000.0 / len(w)", "len(w) >= 80")
     out["l07"] = scored("L-07", docs(ADDED), "docs", "0", "false")
     # structure
-    out["s06"] = scored("S-06", context(ADDED), "words", f"{count(r'(?:^|[^0-9A-Za-z_])(?:(?:it' + chr(39) + r'?s|this is|that' + chr(39) + r'?s|is|are)\s+not\s+(?:just|only|merely|simply|about)\s[^.!?]{1,60}?[,;—–-]\s*(?:it' + chr(39) + r'?s|but|this is|they' + chr(39) + r'?re|it is)\s[\w-]+|not only\s[^.!?]{1,80}?\sbut also\s[\w-]+|isn' + chr(39) + r'?t (?:just|only)\s[^.!?]{1,60}?[—–-]\s*it' + chr(39) + r'?s\s[\w-]+)', 'gi')} * 1000.0 / len(w)", "len(w) >= 40")
+    out["s06"] = scored("S-06", context(ADDED), "words", f"{count(r'\b(?:(?:it' + chr(39) + r'?s|this is|that' + chr(39) + r'?s|is|are)\s+not\s+(?:just|only|merely|simply|about)\s[^.!?]{1,60}?[,;—–-]\s*(?:it' + chr(39) + r'?s|but|this is|they' + chr(39) + r'?re|it is)\s[\w-]+|not only\s[^.!?]{1,80}?\sbut also\s[\w-]+|isn' + chr(39) + r'?t (?:just|only)\s[^.!?]{1,60}?[—–-]\s*it' + chr(39) + r'?s\s[\w-]+)', 'gi')} * 1000.0 / len(w)", "len(w) >= 40")
     ends = rf"(?i)(?:^|[^\p{{L}}\p{{N}}])(?:{'|'.join(EN['conclusion']['en'])})"
     out["s01"] = scored("S-01", f"{context(ADDED)}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pi) AS a, row_number() OVER (PARTITION BY doc_id ORDER BY pi DESC) AS b FROM paras), ns AS (SELECT doc_id, pi, count(*) AS ns FROM sents GROUP BY doc_id, pi), t AS (SELECT doc_id, count(*) AS k, count(*) FILTER (kind = 'heading') AS h, count(*) FILTER (kind = 'list') AS l, bool_or(b <= 2 AND regexp_matches(p, {q(ends)})) AS e, bool_or(a = 1 AND kind = 'text' AND coalesce(ns, 0) <= 3) AS f FROM r LEFT JOIN ns USING (doc_id, pi) GROUP BY doc_id), z AS (SELECT words.doc_id, len(w) AS n, coalesce(k, 0) AS k, h, l, e, f FROM words LEFT JOIN t USING (doc_id))", "z", "least(1.0, CASE WHEN h >= 2 THEN 0.3 ELSE 0 END + CASE WHEN (CASE WHEN l > 0 THEN l ELSE greatest(0, h - 1) END) BETWEEN 3 AND 7 THEN 0.3 ELSE 0 END + CASE WHEN e THEN 0.4 ELSE 0 END + CASE WHEN f AND h + l > 0 THEN 0.1 ELSE 0 END)", "k >= 3 AND n >= 60")
     triad = r"\b[\w-]+(?:\s[\w-]+)?,\s[\w-]+(?:\s[\w-]+)?,?\s(?:and|or)\s[\w-]+(?:\s[\w-]+)?"

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkscan import built
 from inkscan.operators import evaluate, ngram, scoring
 from inkscan.operators import findings as evidence
 from inkscan.operators.base import REGISTRY
@@ -28,10 +29,10 @@ CODE_ADDED = "\n# Example usage:\nimport os\ndef load_items(first_name, other):\
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table in at least as many partitions as there are cores: a small file may come as one."""
+    """A table; one of fewer files than cores is dealt out, as a small file comes in one piece."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
 
 
 def texts(spark: SparkSession, sf_dir: str, add: str = "") -> DataFrame:
@@ -86,8 +87,8 @@ def rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p01_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = texts(spark, sf_dir)
     model = ngram.train(df, min_count=3)
-    ctx = with_context(df).select("doc_id", "lang", "prose")
-    return ngram.perplexity(ctx, "doc_id", *model).select("doc_id", F.round("value", 6).alias("value"), "applicable", F.round("score", 6).alias("score"))
+    found = ngram.with_perplexity(with_context(df), *model)
+    return found.select("doc_id", F.round("P-01.value", 6).alias("value"), F.col("P-01.applicable").alias("applicable"), F.round("P-01.score", 6).alias("score"))
 
 
 def ngram_train(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,4 +222,5 @@ QUERIES: dict[str, Query] = {
     "report_heat": report_heat,
     "calibration": calibration,
     "labels_long": labels_long,
+    **built.QUERIES,
 }

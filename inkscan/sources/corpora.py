@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkscan.functions.regexlib import trim
@@ -22,6 +22,21 @@ def samples(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SAMPLE).json(path)
 
 
+def from_csv(spark: SparkSession, path: str, text: str, label: str, lang: str, source: str, human: str = "human") -> DataFrame:
+    """As ``SAMPLE``, of a CSV with a text and a label column: any label but ``human`` is a model's name."""
+    df = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    ai = F.lower(F.col(label)) != human
+    return df.select(F.lit(lang).alias("lang"), ai.alias("ai"), F.when(ai, F.col(label)).otherwise(human).alias("model"), F.lit(source).alias("source"), trim(F.col(text)).alias("text"))
+
+
+def from_wide(df: DataFrame, human: str, models: list[str], lang: str, source: Column | str) -> DataFrame:
+    """As ``SAMPLE``, of a table with a column for people and one for each model."""
+    source = F.lit(source) if isinstance(source, str) else source
+    rows = df.select(source.alias("source"), human, *models).unpivot(["source"], [human, *models], "model", "text")
+    ai = F.col("model") != human
+    return rows.select(F.lit(lang).alias("lang"), ai.alias("ai"), F.when(ai, F.col("model")).otherwise("human").alias("model"), "source", trim(F.col("text")).alias("text"))
+
+
 def to_long(df: DataFrame, keys: list[str], columns: list[str], name: str, value: str) -> DataFrame:
     """One row per key and column."""
     return df.unpivot(keys, columns, name, value)

@@ -23,7 +23,8 @@ from inkscan.operators.document import META
 
 DOCUMENTS, IMAGES, LARGEST = ("docx", "odt", "rtf", "txt", "md"), ("jpg", "jpeg", "png", "webp"), 20 * 1024 * 1024
 IMAGE = "struct<format:string,width:int,height:int,exif:map<string,string>,xmp:string,png_text:map<string,string>,c2pa:boolean,issuers:array<string>,ai_claim:boolean,quant:array<array<int>>>"
-SCHEMA = f"path string, kind string, status string, text string, meta {META}, image {IMAGE}"
+PLACES = "array<struct<start:int,end:int,paragraph:int,page:int>>"
+SCHEMA = f"path string, kind string, status string, text string, places {PLACES}, meta {META}, image {IMAGE}"
 # EXIF tags, and who may sign a manifest.
 EXIF_TAGS = {0x010F: "Make", 0x0110: "Model", 0x0131: "Software", 0x0132: "DateTime", 0x013B: "Artist", 0x8298: "Copyright", 0x010E: "ImageDescription", 0x9003: "DateTimeOriginal", 0xA434: "LensModel", 0x829A: "ExposureTime", 0x8827: "ISO"}
 ISSUERS = ("Adobe Firefly", "Adobe", "OpenAI", "DALL-E", "ChatGPT", "Google", "Microsoft", "Midjourney", "Stability", "Leica", "Nikon", "Canon", "Sony", "Truepic")
@@ -33,6 +34,12 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)\z", 1))
 
 
+def kind_of(path: Column) -> Column:
+    """document, image or code by the extension; null for any other."""
+    ext = extension(path)
+    return F.when(ext.isin(*DOCUMENTS), "document").when(ext.isin(*IMAGES), "image").when(ext.isin(*BY_EXTENSION), "code")
+
+
 def _blank(kind: str) -> dict:
     return {"format": kind, "author": None, "creator": None, "producer": None, "application": None, "created": None, "modified": None, "totalTimeMin": None, "revisions": None, "styles": [], "rsids": 0, "fonts": [], "colors": [], "htmlFragments": 0}
 
@@ -54,12 +61,22 @@ def _part(z: zipfile.ZipFile, name: str) -> ElementTree.Element | None:
     return ElementTree.fromstring(z.read(name)) if name in z.namelist() else None
 
 
-def docx(data: bytes) -> tuple[str, dict]:
-    """Paragraphs of the body, with edit sessions, styles, fonts and properties."""
+def assemble(paragraphs: list[tuple[str, int]]) -> tuple[str, list[dict]]:
+    """Paragraphs (text, page) joined by blank lines, and where each that isn't blank stands in the text."""
+    kept = [(t, page) for t, page in paragraphs if t.strip()]
+    places, at = [], 0
+    for i, (t, page) in enumerate(kept):
+        places.append({"start": at, "end": at + len(t), "paragraph": i + 1, "page": page})
+        at += len(t) + 2
+    return "\n\n".join(t for t, _ in kept), places
+
+
+def docx(data: bytes) -> tuple[str, list[dict], dict]:
+    """Paragraphs of the body with their pages, with edit sessions, styles, fonts and properties."""
     z, meta = zipfile.ZipFile(io.BytesIO(data)), _blank("docx")
     body, core, app, styles = (_part(z, n) for n in ("word/document.xml", "docProps/core.xml", "docProps/app.xml", "word/styles.xml"))
     names = {_attribute(s, "styleId"): next((_attribute(n, "val") for n in s if _name(n) == "name"), None) for s in (styles.iter() if styles is not None else ()) if _name(s) == "style"}
-    texts, seen = [], {k: set() for k in ("rsid", "style", "font", "color")}
+    texts, page, seen = [], 1, {k: set() for k in ("rsid", "style", "font", "color")}
     for e in body.iter():
         kind = _name(e)
         if kind in ("p", "r") and (r := _attribute(e, "rsidR")):
@@ -72,29 +89,30 @@ def docx(data: bytes) -> tuple[str, dict]:
         if kind == "p":
             style = next((_attribute(s, "val") for s in e.iter() if _name(s) == "pStyle"), None) or "Normal"
             seen["style"].add(names.get(style) or style)
-            texts.append("".join({"t": n.text or "", "tab": "\t"}.get(_name(n), "") for n in e.iter()))
+            page += sum(_name(n) == "lastRenderedPageBreak" or _name(n) == "br" and _attribute(n, "type") == "page" for n in e.iter())
+            texts.append(("".join({"t": n.text or "", "tab": "\t"}.get(_name(n), "") for n in e.iter()), page))
     meta |= {"author": _first(core, "creator") or _first(core, "lastModifiedBy"), "created": _first(core, "created"), "modified": _first(core, "modified"), "application": _first(app, "Application")}
     revision, minutes = _first(core, "revision"), _first(app, "TotalTime")
     meta |= {"revisions": int(revision) if revision else None, "totalTimeMin": float(minutes) if minutes else None, "rsids": len(seen["rsid"]), "styles": sorted(seen["style"]), "fonts": sorted(seen["font"]), "colors": sorted(seen["color"])}
-    return "\n\n".join(t for t in texts if t.strip()), meta
+    return *assemble(texts), meta
 
 
-def odt(data: bytes) -> tuple[str, dict]:
+def odt(data: bytes) -> tuple[str, list[dict], dict]:
     """All paragraphs, then all headings, with the generator and the editing time."""
     z, meta = zipfile.ZipFile(io.BytesIO(data)), _blank("odt")
     body, info = _part(z, "content.xml"), _part(z, "meta.xml")
     blocks = [e for kind in ("p", "h") for e in body.iter() if _name(e) == kind]
     meta |= {"styles": sorted({_attribute(e, "style-name") or "Standard" for e in blocks}), "author": _first(info, "initial-creator") or _first(info, "creator"), "created": _first(info, "creation-date"), "modified": _first(info, "date")}
     meta["creator"] = meta["application"] = _first(info, "generator")
+    meta["fonts"] = sorted({f for e in body.iter() if _name(e) == "font-face" and (f := _attribute(e, "name"))})
     if m := re.fullmatch(r"PT(?:(\d+)H)?(?:(\d+)M)?(?:([\d.]+)S)?", _first(info, "editing-duration") or ""):
         meta["totalTimeMin"] = int(m[1] or 0) * 60 + int(m[2] or 0) + float(m[3] or 0) / 60
     cycles = _first(info, "editing-cycles")
     meta["revisions"] = int(cycles) if cycles else None
-    texts = ["".join(e.itertext()) for e in blocks]
-    return "\n\n".join(t for t in texts if t.strip()), meta
+    return *assemble([("".join(e.itertext()), 1) for e in blocks]), meta
 
 
-def rtf(data: bytes) -> tuple[str, dict]:
+def rtf(data: bytes) -> tuple[str, list[dict], dict]:
     """A pass over the tokens that keeps a stack of groups; groups of tables and pictures are left out."""
     source, meta = data.decode("latin-1"), _blank("rtf")
     info = {k: m[1].strip() for k in ("author", "generator") if (m := re.search(rf"\\{k} ([^;{{}}]*)", source))}
@@ -125,11 +143,20 @@ def rtf(data: bytes) -> tuple[str, dict]:
             out.append(sign)
         elif char:
             out.append(char)
-    return "\n\n".join(p.strip() for p in "".join(out).split("\n") if p.strip()), meta
+    # characters beyond the first plane come as two numbers
+    text = "".join(out).encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+    return *assemble([(p.strip(), 1) for p in text.split("\n")]), meta
 
 
-def plain(data: bytes, kind: str) -> tuple[str, dict]:
-    return data.decode("utf-8", "replace").removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n"), _blank(kind)
+def plain(data: bytes, kind: str) -> tuple[str, list[dict], dict]:
+    """The text as it is; its places are the blocks between blank lines."""
+    text = data.decode("utf-8", "replace").removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
+    places, at = [], 0
+    for block in re.split(r"(\n\s*\n)", text):
+        if block.strip():
+            places.append({"start": at, "end": at + len(block), "paragraph": len(places) + 1, "page": 1})
+        at += len(block)
+    return text, places, _blank(kind)
 
 
 def exif(data: bytes) -> dict[str, str]:
@@ -234,14 +261,14 @@ def image(data: bytes) -> dict:
 def parse_one(path: str, content: bytes) -> dict:
     """A row of ``SCHEMA``."""
     ext = (re.search(r"\.([A-Za-z0-9]+)$", path) or ["", ""])[1].lower()
-    row = {"path": path, "kind": None, "status": "ok", "text": None, "meta": None, "image": None}
+    row = {"path": path, "kind": None, "status": "ok", "text": None, "places": None, "meta": None, "image": None}
     if len(content) > LARGEST:
         return row | {"status": "too_large"}
     try:
         if ext in DOCUMENTS:
             read = {"docx": docx, "odt": odt, "rtf": rtf}.get(ext, lambda d: plain(d, ext))
-            text, meta = read(content)
-            return row | {"kind": "document", "text": text, "meta": meta}
+            text, places, meta = read(content)
+            return row | {"kind": "document", "text": text, "places": places, "meta": meta}
         if ext in IMAGES:
             return row | {"kind": "image", "image": image(content)}
     except Exception:  # whatever a broken file does to a parser, it is that file's status
@@ -252,11 +279,15 @@ def parse_one(path: str, content: bytes) -> dict:
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, kind, status, text, meta, image) of every file under ``path``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    """(path, kind, status, text, places, meta, image) of every file under ``path``."""
+    return parse_files(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+
+
+def parse_files(files: DataFrame) -> DataFrame:
+    """As ``read_files``, of the columns path and content."""
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame([parse_one(p, bytes(c)) for p, c in zip(frame["path"], frame["content"], strict=True)], columns=["path", "kind", "status", "text", "meta", "image"])
+            yield pd.DataFrame([parse_one(p, bytes(c)) for p, c in zip(frame["path"], frame["content"], strict=True)], columns=["path", "kind", "status", "text", "places", "meta", "image"])
 
-    return files.mapInPandas(parse, SCHEMA)
+    return files.select("path", "content").mapInPandas(parse, SCHEMA)

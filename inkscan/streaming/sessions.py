@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from inkscan.operators.scoring import keep_last
 from inkscan.plans.analyze import analyze
 
 KEEP = 20
@@ -45,3 +46,13 @@ def recheck_stream(stream: DataFrame) -> DataFrame:
     """
     scored = analyze(stream, ["session_id", "at", "fresh"]).select("session_id", "at", "fresh", "score", F.array_join(F.transform("advice", lambda a: a["rule"]), ",").alias("rules"))
     return scored.groupBy("session_id").applyInPandasWithState(_versions, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def store_history(versions: DataFrame, path: str, checkpoint: str):
+    """Starts a query that appends every version to files under ``path``, partitioned by nothing: sessions are many."""
+    return versions.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").start()
+
+
+def load_history(spark: SparkSession, path: str, keep: int = KEEP) -> DataFrame:
+    """The last ``keep`` versions of each stored session."""
+    return keep_last(spark.read.parquet(path), "session_id", "version", keep)
