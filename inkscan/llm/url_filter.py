@@ -1,21 +1,29 @@
 """URL filters: host and path rules, and pattern rules indexed by their rarest literal token.
 
 Host rules block or allow a host with its subdomains under a path prefix; the longest that fits
-wins.  Where none fits, pattern rules decide.  A pattern rule is a regular expression with the
-literal tokens that any url it matches must hold, per form that a match can have.  Tokens are counted
-over all urls, each form of a rule is indexed under its rarest one, a url's tokens fetch the rules
-that may match, and only those run.  DataFrame functions only.
+wins.  Where none fits, pattern rules decide.  A pattern rule is a filter over the lower-cased url:
+
+* ``^`` is a separator, anything but a letter or digit, or an end of the url;
+* ``*`` is any characters;
+* ``||`` at the start is the start of the host or of one of its labels, ``|`` an end of the url;
+* ``(a|b|)`` are alternatives, of which one may be empty; all else stands for itself.
+
+Each choice of alternatives is a form of the rule, with a regular expression and the tokens (runs of
+letters and digits) that every url it matches holds whole.  Tokens are counted over all urls, each
+form is indexed under its rarest one, a url's tokens fetch the forms that may match, and only
+those run.  DataFrame functions only.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
-from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-Literals = tuple[str, ...] | tuple[tuple[str, ...], ...]
+from inkscan.llm.shared import cut
 
 #: (host, path, verdict)
 HOST_RULES: tuple[tuple[str, str, str], ...] = (
@@ -26,20 +34,32 @@ HOST_RULES: tuple[tuple[str, str, str], ...] = (
     ("com", "/de/", "block"),
 )
 
-#: (name, regular expression over the lower-cased url, literal tokens that a match holds whole).  Where a match has
-#: one of several forms, the last holds a tuple of tokens for each form instead.
-PATTERN_RULES: tuple[tuple[str, str, Literals], ...] = (
-    ("adult host", r"^[a-z]+://([^/?#]*\.)?adult-[a-z0-9]+\.", ("adult",)),
-    ("spam farm", r"^[a-z]+://([^/?#]*\.)?spam-farm\.", ("spam", "farm")),
-    ("casino", r"[./-](online-)?casino[./-]", ("casino",)),
-    ("betting", r"[./-]sports-?betting[./-]", (("sports", "betting"), ("sportsbetting",))),
-    ("malware", r"[./-]malware-[a-z]+\.", ("malware",)),
-    ("phishing", r"[./-]login-verify[./-]", ("login", "verify")),
-    ("warez", r"[./-](warez|keygen)[./-]", ()),
-    ("feed tracking of ads", r"[?&]utm_source=ads(&|#|$)", ("utm", "source", "ads")),
+#: Words that name a kind of site where they stand alone in a url.
+WORDS: dict[str, str] = {
+    "adult": "porn xxx sex escort escorts camgirls hentai milf nsfw fetish erotic adultdating livecams",
+    "gambling": "casino casinos poker slots roulette blackjack betting bookmaker jackpot bingo baccarat lottery sportsbook",
+    "piracy": "warez keygen crack cracked torrent torrents serialz nulled putlocker camrip yts",
+    "malware": "malware trojan exploitkit botnet ransomware stealer",
+    "spam": "viagra cialis payday replica essaywriting backlinks doorway linkfarm",
+    "tracking": "adserver adclick doubleclick popunder clicktrack pixeltrack adsystem",
+}
+#: (name, filter)
+PATTERN_RULES: tuple[tuple[str, str], ...] = (
+    ("adult host", "||adult-*."),
+    ("spam farm", "||spam-farm."),
+    ("online casino", "^(online-|online|)casino(s|)^"),
+    ("sports betting", "^sports(-|)bet(s|ting|)^"),
+    ("malware host", "^malware-*."),
+    ("login bait", "^(login|signin|account)-(verify|update|secure)^"),
+    ("feed tracking of ads", "^utm_source=ads^"),
+    ("free download bait", "^(free|full)-(crack|keygen|serial)^"),
+    ("pills shop", "||(cheap|buy)-(viagra|cialis|pills)*."),
+    *((f"{kind}: {word}", f"^{word}^") for kind, words in WORDS.items() for word in words.split()),
 )
 
 TOKEN = "[^a-z0-9]+"
+#: Urls that a pattern blocks, up to which they are sent to all tasks.
+SENT_URLS = 100_000
 
 
 def host_of(url: Column) -> Column:
@@ -64,49 +84,67 @@ def _by_host(host: Column, path: Column, rules: Sequence[tuple[str, str, str]])
     return name, verdict
 
 
-def forms(literals: Literals) -> list[tuple[str, ...]]:
-    """The tokens of each form that a match can have; none where a rule or one of its forms has no tokens."""
-    each = [literals] if literals and isinstance(literals[0], str) else list(literals)
-    return each if all(each) else []
+def forms(rule: str) -> list[str]:
+    """A filter without alternatives for each choice among them."""
+    parts = re.split(r"\(([^()]*)\)", rule)
+    return ["".join(choice) for choice in product(*(p.split("|") if i % 2 else [p] for i, p in enumerate(parts)))]
+
+
+def expression(form: str) -> str:
+    """The regular expression of a form, the same for Java's engine and others."""
+    out = {"||": "^[a-z]+://([^/?#]*[.])?", "|": "^"}.get(form[:2] if form[:2] == "||" else form[:1], "")
+    body = form.lstrip("|")
+    ends = body.endswith("|")
+    for i, c in enumerate(body.removesuffix("|")):
+        if c == "^":
+            out += "(^|[^a-z0-9])" if not i and not out else "([^a-z0-9]|$)"
+        else:
+            out += ".*" if c == "*" else c if c.isalnum() or c in "/:=_-" else f"[{c}]"
+    return out + "$" * ends
+
+
+def tokens_of(form: str) -> list[str]:
+    """Runs of letters and digits that stand between separators, and so are tokens of every match."""
+    return re.findall(r"(?<![a-z0-9*])(?<=[^a-z0-9])[a-z0-9]+(?=[^a-z0-9*])", form)
 
 
-def _rule_index(tokens: DataFrame, rules: Sequence[tuple[str, str, Literals]]) -> DataFrame:
+def _rule_index(tokens: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
     """(token, name, pattern): each form of a rule under the one of its tokens that the fewest urls hold."""
-    spark = tokens.sparkSession
-    listed = [(name, pattern, i, token) for name, pattern, literals in rules for i, form in enumerate(forms(literals)) for token in form]
-    table = spark.createDataFrame(listed, "name string, pattern string, form int, token string")
+    listed = [(name, expression(form), token) for name, rule in rules for form in forms(rule) for token in tokens_of(form)]
+    table = tokens.sparkSession.createDataFrame(listed, "name string, pattern string, token string")
     # as many rows as the rules have tokens
     counted = tokens.join(F.broadcast(table.select("token").distinct()), "token").groupBy("token").agg(F.count("*").alias("urls"))
     rated = table.join(counted, "token", "left").withColumn("urls", F.coalesce("urls", F.lit(0)))
-    return rated.groupBy("name", "pattern", "form").agg(F.min(F.struct("urls", "token")).alias("rarest")).select("rarest.token", "name", "pattern")
+    return rated.groupBy("name", "pattern").agg(F.min(F.struct("urls", "token")).alias("rarest")).select("rarest.token", "name", "pattern")
 
 
 def judge(
     pages: DataFrame,
     host_rules: Sequence[tuple[str, str, str]] = HOST_RULES,
-    pattern_rules: Sequence[tuple[str, str, Literals]] = PATTERN_RULES,
+    pattern_rules: Sequence[tuple[str, str]] = PATTERN_RULES,
 ) -> DataFrame:
     """Per page: page_id, host, path, rule, verdict, pattern (the first pattern rule by name that blocks it, or null).
 
     A host rule's verdict stands; elsewhere a url is blocked if a pattern rule matches it.  A null
     url, or one without ``://``, has an empty host and path, and is allowed if no pattern matches.
-    Every row gives a row, repeated ones too; other columns are ignored.  Rules without literal
-    tokens can't be indexed and run on every url.
+    Every row gives a row, repeated ones too; other columns are ignored.  A form without a whole
+    token can't be indexed and runs on every url; none of ``PATTERN_RULES`` is such.
     """
     df = pages.select(F.col("page_id"), F.col("url").cast("string").alias("url"))
     low = F.lower(F.coalesce("url", F.lit("")))
     name, verdict = _by_host(F.col("host"), F.col("path"), host_rules)
     df = df.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url"))).withColumn("low", low)
-    open_rules = [(n, p) for n, p, literals in pattern_rules if not forms(literals)]
-    always = [F.when(F.col("low").rlike(p), n) for n, p in open_rules]
+    always = [F.when(F.col("low").rlike(expression(f)), n) for n, rule in pattern_rules for f in forms(rule) if not tokens_of(f)]
     df = df.select("page_id", "url", "host", "path", name.alias("rule"), verdict.alias("by_rule"), F.array_compact(F.array(*always)).alias("always") if always else F.array().cast("array<string>").alias("always"))
     # urls that differ only in what follows are judged each: only distinct ones with candidates are joined back
-    urls = df.where("by_rule is null and url is not null").select("url").distinct()
+    open_ = F.col("by_rule").isNull() & F.col("url").isNotNull()
+    urls = df.where(open_).select("url").distinct()
     tokens = urls.select("url", F.explode(F.array_distinct(F.split(F.lower("url"), TOKEN))).alias("token")).where("token <> ''")
     index = _rule_index(tokens, pattern_rules)
     fetched = tokens.join(F.broadcast(index), "token")  # one row per form of a rule
-    matched = fetched.where(F.expr("lower(url) rlike pattern")).groupBy("url").agg(F.min("name").alias("matched"))
-    out = df.join(matched, "url", "left")
+    matched = cut(fetched.where(F.expr("lower(url) rlike pattern")).groupBy("url").agg(F.min("name").alias("matched")))
+    small = F.broadcast(matched) if matched.count() <= SENT_URLS else matched
+    out = df.where(open_).join(small, "url", "left").unionByName(df.where(~open_).withColumn("matched", F.lit(None).cast("string")))
     pattern = F.when(F.col("by_rule").isNull(), F.array_min(F.array_compact(F.concat("always", F.array("matched")))))
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(pattern.isNotNull(), "block").otherwise("allow")).alias("verdict"), pattern.alias("pattern"))
 
@@ -115,10 +153,10 @@ def _quote(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def oracle(host_rules: Sequence[tuple[str, str, str]] = HOST_RULES, pattern_rules: Sequence[tuple[str, str, Literals]] = PATTERN_RULES) -> str:
+def oracle(host_rules: Sequence[tuple[str, str, str]] = HOST_RULES, pattern_rules: Sequence[tuple[str, str]] = PATTERN_RULES) -> str:
     """The same rows in DuckDB's SQL: every rule runs on every url, without an index."""
     hosts = ", ".join(f"({_quote(h)}, {_quote(p)}, {_quote(v)})" for h, p, v in host_rules)
-    patterns = ", ".join(f"CASE WHEN regexp_matches(lower(coalesce(url, '')), {_quote(p)}) THEN {_quote(n)} END" for n, p, _ in sorted(pattern_rules))
+    patterns = ", ".join(f"CASE WHEN regexp_matches(lower(coalesce(url, '')), {_quote('|'.join(f'(?:{expression(f)})' for f in forms(p)))}) THEN {_quote(n)} END" for n, p in sorted(pattern_rules))
     return f"""
 WITH rules(h, p, v) AS (VALUES {hosts}),
 parts AS (
