@@ -2,10 +2,18 @@
 
 Unit vectors are quantised to int8 with a scale each.  For x = a*q + r the product of two vectors
 differs from that of the quantised ones by at most |aq||r'| + |r||a'q'| + |r||r'|, norms that are
-stored with each vector.  Tiles of vectors are multiplied pair by pair; only pairs whose upper
-bound reaches the threshold are recomputed in double precision.  A pair of tiles whose centres and
-radii rule out any link is skipped.  The comparison of all tiles is quadratic by nature; what moves is each
-tile once per other tile, so larger tiles move less.
+stored with each vector.
+
+1. Vectors are dealt to tiles by the nearest of a bounded sample of centres.  Two centres so far
+   apart, and with radii so small, that no two of their vectors can link have no pairs of tiles.
+2. For every other pair of tiles the codes, scales and norms move, about an eighth of the doubles.
+   Their products, whole numbers that single precision holds exactly, and the bounds tell which
+   pairs surely link, which surely don't, and which are in doubt.
+3. Rows that are in doubt with some row of the other tile are fetched as doubles, and all pairs
+   among them are decided in double precision.
+
+The comparison of all tiles is quadratic by nature; what moves is each tile once per other tile
+that isn't far, so larger tiles move less.
 """
 
 from __future__ import annotations
@@ -22,6 +30,8 @@ from inkscan.llm.shared import components, cut
 
 #: Vectors in a tile, and in the blocks within which a pair of tiles is multiplied.
 TILE, BLOCK = 8192, 1024
+#: Centres at most, of a sample of so many vectors.
+CENTRES = 1024
 THRESHOLD = 0.9
 
 
@@ -34,35 +44,24 @@ def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 
 class Tile:
-    """Usable vectors of a tile: ids of rows, doubles of length 1, and their quantised form."""
-
-    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray):
-        self.rows, self.ids = rows, ids
-        self.raw = vectors
-        self.norm = np.linalg.norm(vectors, axis=1)
-        self.unit = vectors / self.norm[:, None]
-        self.codes, self.scale, self.length, self.error = quantise(self.unit) if len(rows) else (np.zeros((0, 1), np.int8), *(np.zeros(0) for _ in range(3)))
-        centre = self.unit.mean(axis=0) if len(rows) else np.zeros(0)
-        self.centre = centre
-        self.radius = float(np.linalg.norm(self.unit - centre, axis=1).max()) if len(rows) else 0.0
-
-    def far(self, other: "Tile", threshold: float) -> bool:
-        """Whether no vector of one is near enough to any of the other."""
-        gap = np.linalg.norm(self.centre - other.centre) - self.radius - other.radius
-        return gap > np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
-
-
-def tile_links(x: Tile, y: Tile, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of vectors of the two tiles with a cosine of at least the threshold; within one tile each pair once."""
-    left, right = [], []
-    if not len(x.rows) or not len(y.rows) or x.far(y, threshold):
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    for i in range(0, len(x.rows), BLOCK):
+    """The quantised vectors of a tile, with the ids of their rows."""
+
+    def __init__(self, code: int, ids: bytes, codes: bytes, norms: bytes):
+        self.ids = np.frombuffer(ids, dtype="<i8")
+        self.rows = (np.int64(code) << 20) + np.arange(len(self.ids))
+        self.codes = np.frombuffer(codes, dtype=np.int8).reshape(len(self.ids), -1)
+        self.scale, self.length, self.error = np.frombuffer(norms, dtype="<f8").reshape(3, -1)
+
+
+def tile_links(x: Tile, y: Tile, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Index pairs of vectors of two tiles that surely link, and those in doubt; within one tile each pair once."""
+    out: list[list[np.ndarray]] = [[np.zeros(0, dtype=np.int64)] for _ in range(4)]
+    for i in range(0, len(x.ids), BLOCK):
         a = slice(i, i + BLOCK)
         # products of int8 codes are whole numbers under 2**24 for up to 1,000 dimensions: exact in single precision
         exact = np.float32 if x.codes.shape[1] <= 1000 else np.float64
         ca = x.codes[a].astype(exact)
-        for j in range(i if same else 0, len(y.rows), BLOCK):
+        for j in range(i if same else 0, len(y.ids), BLOCK):
             b = slice(j, j + BLOCK)
             near = ca @ y.codes[b].astype(exact).T
             # near * scale_x * scale_y + bound >= threshold, with the bound's largest value first
@@ -74,27 +73,91 @@ def tile_links(x: Tile, y: Tile, threshold: float, same: bool) -> tuple[np.ndarr
             if not len(p):
                 continue
             value, p, q = near[p, q].astype(np.float64), p + i, q + j
-            upper = value * x.scale[p] * y.scale[q] + x.length[p] * y.error[q] + x.error[p] * y.length[q] + x.error[p] * y.error[q]
-            maybe = upper >= threshold - 1e-9
-            p, q = p[maybe], q[maybe]
+            middle = value * x.scale[p] * y.scale[q]
+            bound = x.length[p] * y.error[q] + x.error[p] * y.length[q] + x.error[p] * y.error[q]
+            sure, maybe = middle - bound >= threshold + 1e-9, middle + bound >= threshold - 1e-9
+            for k, (index, keep) in enumerate(((p, sure), (q, sure), (p, maybe & ~sure), (q, maybe & ~sure))):
+                out[k].append(index[keep])
+    return tuple(map(np.concatenate, out))
+
+
+def exact_links(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of doubles with a cosine of at least the threshold; with ``same``, each pair once."""
+    out: list[list[np.ndarray]] = [[np.zeros(0, dtype=np.int64)] for _ in range(2)]
+    nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
+    for i in range(0, len(x), BLOCK):
+        for j in range(i if same else 0, len(y), BLOCK):
+            about = (x[i : i + BLOCK] / nx[i : i + BLOCK, None]) @ (y[j : j + BLOCK] / ny[j : j + BLOCK, None]).T
+            p, q = np.nonzero(about >= threshold - 1e-9)
+            p, q = p + i, q + j
+            if same:
+                p, q = p[q > p], q[q > p]
             for k in range(0, len(p), 1 << 16):
                 s, t = p[k : k + (1 << 16)], q[k : k + (1 << 16)]
-                cosine = (x.raw[s] * y.raw[t]).sum(axis=1) / (x.norm[s] * y.norm[t])
-                left.append(s[cosine >= threshold])
-                right.append(t[cosine >= threshold])
-    none = [np.zeros(0, dtype=np.int64)]
-    return np.concatenate(left or none), np.concatenate(right or none)
+                hit = (x[s] * y[t]).sum(axis=1) / (nx[s] * ny[t]) >= threshold
+                out[0].append(s[hit])
+                out[1].append(t[hit])
+    return np.concatenate(out[0]), np.concatenate(out[1])
+
+
+def _numbers(column: pa.Array, dim: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(column.flatten(), dtype="<f8").reshape(-1, dim)
 
 
 def _pack(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per tile and dimension: the usable vectors, and the ids of the others."""
+    """One row per tile: ids, codes, norms, and apart from them the doubles."""
+    dim, tile = key[0].as_py(), key[1].as_py()
     table = pa.Table.from_batches(list(batches))
-    ids, vectors = table.column("id").combine_chunks(), table.column("v").to_pylist()
-    blob = np.array(vectors, dtype="<f8").tobytes()
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([np.asarray(ids, dtype="<i8").tobytes()], pa.binary()), pa.array([blob], pa.binary())],
-        names=["tile", "dim", "ids", "blob"],
-    )
+    vectors = _numbers(table.column("v"), dim)
+    codes, *norms = quantise(vectors / np.linalg.norm(vectors, axis=1)[:, None])
+    blobs = [table.column("id").to_numpy().astype("<i8"), codes, np.stack(norms).astype("<f8"), vectors]
+    yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([tile], pa.int64()), *(pa.array([b.tobytes()], pa.binary()) for b in blobs)], names=["dim", "tile", "ids", "codes", "norms", "raw"])
+
+
+FOUND = "dim int, low long, high long, row long, id long, links long, to long, mine binary, other binary"
+
+
+def _found(dim: int, low: int, high: int, rows: np.ndarray, ids: np.ndarray, a: np.ndarray, b: np.ndarray, doubt: tuple[bytes, bytes] | None = None) -> Iterator[pa.RecordBatch]:
+    """Degrees and spanning edges of links between positions of ``ids``; one row more for what is in doubt."""
+    degree = np.bincount(a, minlength=len(ids)) + np.bincount(b, minlength=len(ids))
+    label = minimum_labels(len(ids), a, b)
+    some, more = np.flatnonzero(degree), int(doubt is not None)
+    n = len(some) + more
+    add = lambda x: pa.array(x.tolist() + [None] * more, pa.int64())
+    columns = [pa.array([dim] * n, pa.int32()), pa.array([low] * n, pa.int64()), pa.array([high] * n, pa.int64()), add(rows[some]), add(ids[some]), add(degree[some]), add(ids[label[some]])]
+    columns += [pa.array([None] * len(some) + ([doubt[k]] if doubt else []), pa.binary()) for k in range(2)]
+    yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in FOUND.split(", ")])
+
+
+def _centres(good: DataFrame, tiles: int) -> dict[int, np.ndarray]:
+    """Per dimension, the directions of a few vectors: as many as tiles and at most ``CENTRES`` in all."""
+    some = good.orderBy(F.xxhash64("id", "v")).limit(min(CENTRES, max(1, tiles))).select("dim", "v").toArrow()
+    dims = some.column("dim").to_numpy()
+    out = {}
+    for d in np.unique(dims):
+        v = np.array([x for x, k in zip(some.column("v").to_pylist(), dims, strict=True) if k == d])
+        out[int(d)] = v / np.linalg.norm(v, axis=1)[:, None]
+    return out
+
+
+def _placed(good: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
+    """``good`` with its nearest centre and the distance to it; -1 and 0 where its dimension has none."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column("dim").to_numpy()
+            nearest, away = np.full(len(batch), -1, dtype=np.int32), np.zeros(len(batch))
+            for d in np.unique(dims):
+                rows = np.flatnonzero(dims == d)
+                if int(d) in centres:
+                    v = _numbers(batch.column("v").take(pa.array(rows)), int(d))
+                    product = (v / np.linalg.norm(v, axis=1)[:, None]) @ centres[int(d)].T
+                    nearest[rows] = product.argmax(axis=1)
+                    away[rows] = np.sqrt(np.maximum(0, 2 - 2 * product.max(axis=1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nearest), pa.array(away)], names=[*batch.schema.names, "centre", "away"])
+
+    return good.mapInArrow(place, "id long, dim int, v array<double>, centre int, away double")
 
 
 def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
@@ -111,36 +174,81 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, tile: int
     usable = F.coalesce(F.col("id").isNotNull() & ~bad & (top > 0), F.lit(False))
     df = df.withColumn("usable", usable)
     good = df.where("usable").select("id", F.size("v").alias("dim"), F.transform("v", lambda c: c / F.pow(F.lit(2.0), F.floor(F.log2(top)))).alias("v"))
-    n = good.count()
-    tiles = max(1, -(-n // tile))
+    centres = _centres(good, -(-good.count() // tile))
+    placed = cut(_placed(good, centres))
+    groups = cut(placed.groupBy("dim", "centre").agg(F.ceil(F.count("*") / tile).cast("long").alias("tiles"), F.max("away").alias("radius")))
+    # which centres may have links with which: one row per centre, of which there are few, and per dimension without one
+    radius = {(r["dim"], r["centre"]): r["radius"] for r in groups.where("centre >= 0").collect()}
+    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
+    near = []
+    for (d, c), r in radius.items():
+        gap = np.linalg.norm(centres[d] - centres[d][c], axis=1)
+        near.append((d, c, [k for k in range(len(gap)) if (d, k) in radius and gap[k] - r - radius[d, k] <= reach]))
+    near = embeddings.sparkSession.createDataFrame(near, "dim int, centre int, near array<int>")
     # ids and contents deal out equal vectors evenly too
-    number = F.pmod(F.xxhash64("id", "v"), F.lit(tiles)).cast("int")
-    packed = cut(good.withColumn("tile", number).groupBy("tile", "dim").applyInArrow(_pack, "tile int, dim int, ids binary, blob binary"))
+    code = (F.col("centre") + 1).cast("long") * (1 << 24) + F.pmod(F.xxhash64("id", "v"), F.col("tiles"))
+    dealt = placed.join(groups.select("dim", "centre", "tiles"), ["dim", "centre"])
+    packed = cut(dealt.select("dim", code.alias("tile"), "id", "v").groupBy("dim", "tile").applyInArrow(_pack, "dim int, tile long, ids binary, codes binary, norms binary, raw binary"))
 
     def compare(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dim, low, high = (k.as_py() for k in key)
         parts = {}
         for batch in batches:
-            for number, ids, blob in zip(*(batch.column(c).to_pylist() for c in ("tile", "ids", "blob")), strict=True):
-                ids = np.frombuffer(ids, dtype="<i8")
-                parts[number] = Tile((np.int64(number) << 32) + np.arange(len(ids)), ids, np.frombuffer(blob, dtype="<f8").reshape(len(ids), -1))
-        tiles = [parts[k] for k in sorted(parts)]
-        same = key[0].as_py() == key[1].as_py()
-        if same or len(tiles) == 2:
-            x, y = tiles[0], tiles[-1]
-            a, b = tile_links(x, y, threshold, same)
-            ids = np.concatenate([x.ids, y.ids])
-            rows = np.concatenate([x.rows, y.rows])
-            b = b if same else b + len(x.ids)
-            degree = np.bincount(a, minlength=len(ids)) + np.bincount(b, minlength=len(ids))
-            label = minimum_labels(len(ids), a, b)
-            some = np.flatnonzero(degree)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[some]), pa.array(ids[some]), pa.array(degree[some]), pa.array(ids[label[some]])], names=["row", "id", "links", "to"])
-
-    pairs = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).select(
-        F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "dim", "ids", "blob"
+            for row in batch.select(["tile", "ids", "codes", "norms"]).to_pylist():
+                parts[row["tile"]] = Tile(row["tile"], row["ids"], row["codes"], row["norms"])
+        x, y, same = parts[low], parts[high], low == high
+        a, b, p, q = tile_links(x, y, threshold, same)
+        # rows in doubt are decided anew among each other, so what is sure among them waits too
+        mine, other = (np.union1d(p, q),) * 2 if same else (np.unique(p), np.unique(q))
+        left, right = np.zeros(len(x.ids), dtype=bool), np.zeros(len(y.ids), dtype=bool)
+        left[mine], right[other] = True, True
+        keep = ~(left[a] & right[b])
+        a, b = a[keep], b[keep]
+        rows, ids = (x.rows, x.ids) if same else (np.concatenate([x.rows, y.rows]), np.concatenate([x.ids, y.ids]))
+        doubt = (mine.astype("<i8").tobytes(), other.astype("<i8").tobytes()) if len(p) else None
+        yield from _found(dim, low, high, rows, ids, a, b if same else b + len(x.ids), doubt)
+
+    others = groups.select(F.col("dim").alias("d2"), F.col("centre").alias("c3"), F.col("tiles").alias("n2"))
+    # of all but the doubles, once for every tile that isn't far
+    slim = packed.select("dim", "tile", F.expr(f"cast(tile div {1 << 24} - 1 as int)").alias("centre"), "ids", "codes", "norms")
+    reachable = groups.select("dim", "centre").join(near, ["dim", "centre"], "left").select("dim", "centre", F.explode(F.coalesce("near", F.array(F.lit(-1)))).alias("c2"))
+    partner = reachable.join(others, (F.col("dim") == F.col("d2")) & (F.col("c2") == F.col("c3")))
+    partner = partner.select(F.col("dim").alias("d2"), F.col("centre").alias("own"), F.explode(F.expr(f"transform(sequence(0L, n2 - 1), k -> (c2 + 1L) * {1 << 24} + k)")).alias("with"))
+    pairs = slim.join(partner, (F.col("dim") == F.col("d2")) & (F.col("centre") == F.col("own"))).select(
+        "dim", F.least("tile", "with").alias("low"), F.greatest("tile", "with").alias("high"), "tile", "ids", "codes", "norms"
     )
-    found = cut(pairs.groupBy("low", "high", "dim").applyInArrow(compare, "row long, id long, links long, to long"))
-    degrees = found.groupBy("row", "id").agg(F.sum("links").alias("n_links"))
+    first = cut(pairs.groupBy("dim", "low", "high").applyInArrow(compare, FOUND))
+    doubts = first.where("mine is not null").select("dim", "low", "high", "mine", "other")
+    sides = doubts.select("dim", "low", "high", F.explode(F.array(F.struct(F.col("low").alias("tile"), F.lit(0).alias("side"), F.col("mine").alias("pick")), F.struct(F.col("high").alias("tile"), F.lit(1).alias("side"), F.col("other").alias("pick")))).alias("s"))
+    sides = sides.select("dim", "low", "high", "s.*").where("side = 0 or low <> high")
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, raws = [], []
+            for row in batch.select(["dim", "pick", "ids", "raw"]).to_pylist():
+                at = np.frombuffer(row["pick"], dtype="<i8")
+                ids.append(np.frombuffer(row["ids"], dtype="<i8")[at].tobytes())
+                raws.append(np.frombuffer(row["raw"], dtype="<f8").reshape(-1, row["dim"])[at].tobytes())
+            yield pa.RecordBatch.from_arrays([*map(batch.column, ("dim", "low", "high", "side", "pick")), pa.array(ids, pa.binary()), pa.array(raws, pa.binary())], names=["dim", "low", "high", "side", "pick", "ids", "raw"])
+
+    def decide(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dim, low, high = (k.as_py() for k in key)
+        parts = {row["side"]: row for batch in batches for row in batch.to_pylist()}
+        v, ids, rows = {}, {}, {}
+        for side, row in parts.items():
+            v[side] = np.frombuffer(row["raw"], dtype="<f8").reshape(-1, dim)
+            ids[side] = np.frombuffer(row["ids"], dtype="<i8")
+            rows[side] = (np.int64(high if side else low) << 20) + np.frombuffer(row["pick"], dtype="<i8")
+        same = low == high
+        a, b = exact_links(v[0], v[0] if same else v[1], threshold, same)
+        sides = [0] if same else [0, 1]
+        yield from _found(dim, low, high, np.concatenate([rows[s] for s in sides]), np.concatenate([ids[s] for s in sides]), a, b if same else b + len(ids[0]))
+
+    fetched = sides.join(packed.select("dim", "tile", "ids", "raw"), ["dim", "tile"]).select("dim", "low", "high", "side", "pick", "ids", "raw")
+    fetched = fetched.mapInArrow(pick, "dim int, low long, high long, side int, pick binary, ids binary, raw binary")
+    second = fetched.groupBy("dim", "low", "high").applyInArrow(decide, FOUND)
+    found = cut(first.where("mine is null").unionByName(second).select("dim", "row", "id", "links", "to"))
+    degrees = found.groupBy("dim", "row", "id").agg(F.sum("links").alias("n_links"))
     label = components(found.select(F.col("id").alias("a"), F.col("to").alias("b")))
     # rows without links aren't among them: all rows of an id, less those with links
     counted = degrees.groupBy("id").agg(F.collect_list("n_links").alias("linked"))
