@@ -13,9 +13,12 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,18 +78,23 @@ def write(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, per_file:
     records(pages, least_bytes).select("record").write.option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
 
 
-def parse(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, headers by lower-cased name, payload) of every record of a file, by their lengths."""
+def parse(stream: BinaryIO) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """(offset, headers by lower-cased name, payload) of every record, by their lengths; one record is held at a time."""
     at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
+    while line := stream.readline():
+        if not line.startswith(b"WARC/"):
             raise ValueError(f"no record at byte {at}")
-        headers = {k.lower(): v for k, v in (line.split(": ", 1) for line in lines[1:])}
-        size = int(headers["content-length"])
-        yield at, headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+        size, headers = len(line), {}
+        while (line := stream.readline()) != b"\r\n":
+            if not line.endswith(b"\r\n"):
+                raise ValueError(f"the record at byte {at} has no end")
+            size += len(line)
+            name, _, value = line[:-2].decode().partition(": ")
+            headers[name.lower()] = value
+        payload = stream.read(int(headers["content-length"]))
+        stream.read(4)
+        yield at, headers, payload
+        at += size + 2 + len(payload) + 4
 
 
 INDEX = "run string, url_key string, captured string, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, offset long"
@@ -105,7 +113,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
             lines = []
-            for offset, h, payload in parse(gzip.decompress(content.as_py())):
+            for offset, h, payload in parse(gzip.GzipFile(fileobj=io.BytesIO(content.as_py()))):
                 if h["warc-type"] == "response" and "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode() != h["warc-payload-digest"]:
                     raise ValueError(f"digest of the record at byte {offset} of {path}")
                 page, to = (number.search(h.get(k, "")) for k in ("warc-record-id", "warc-refers-to"))
@@ -120,13 +128,17 @@ def _order(line: tuple) -> tuple:
     return line[1].encode(), line[2], -1 if line[3] is None else line[3], line[0], line[9]
 
 
-def merge(runs: list[list[tuple]]) -> Iterator[tuple]:
-    """Sorted runs as one, by a tree of losers: each step replays the winner's path, one comparison a level."""
-    k = len(runs)
+def merge(sizes: list[int], key: Callable[[int, int], tuple]) -> Iterator[tuple[int, int]]:
+    """(run, place) of sorted runs in their common order, by a tree of losers.
+
+    ``key`` gives a run's key at a place; one cursor per run, and each step replays the winner's
+    path, one comparison a level.
+    """
+    k = len(sizes)
     if not k:
         return
     at = [0] * k
-    keys: list[tuple | None] = [_order(r[0]) if r else None for r in runs]
+    keys: list[tuple | None] = [key(r, 0) if sizes[r] else None for r in range(k)]
 
     def beats(a: int, b: int) -> bool:
         return keys[b] is None or keys[a] is not None and (keys[a], a) < (keys[b], b)
@@ -140,9 +152,9 @@ def merge(runs: list[list[tuple]]) -> Iterator[tuple]:
         winner[node], losers[node] = (a, b) if beats(a, b) else (b, a)
     best = winner[1] if k > 1 else 0
     while keys[best] is not None:
-        yield runs[best][at[best]]
+        yield best, at[best]
         at[best] += 1
-        keys[best] = _order(runs[best][at[best]]) if at[best] < len(runs[best]) else None
+        keys[best] = key(best, at[best]) if at[best] < sizes[best] else None
         node = (best + k) // 2
         while node:
             if beats(losers[node], best):
@@ -151,33 +163,41 @@ def merge(runs: list[list[tuple]]) -> Iterator[tuple]:
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A range of the index: the parts of its runs, which arrive in order, merged."""
-    by_run: dict[str, list[tuple]] = {}
-    schema = None
-    for batch in batches:
-        schema = batch.schema
-        for line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            by_run.setdefault(line[0], []).append(line)
-    if schema is None:
+    """A range of the index: its runs arrive one after another, each in order, and are merged where they lie."""
+    held = list(batches)
+    if not held:
         return
-    for run in by_run.values():  # blocks of a run may have come in another order; nothing moves where they haven't
-        run.sort(key=_order)
-    out: list[tuple] = []
-    for line in merge([by_run[r] for r in sorted(by_run)]):
-        out.append(line)
-        if len(out) == 8192:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], names=NAMES)
-            out = []
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], names=NAMES)
+    table = pa.Table.from_batches(held).combine_chunks()
+    names = table.column("run").combine_chunks().dictionary_encode()
+    code = names.indices.to_numpy()
+    begin = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, dtype=np.int64)
+    url_key, captured, page, offset = (table.column(c) for c in ("url_key", "captured", "page_id", "offset"))
+
+    def key(run: int, place: int) -> tuple:
+        i = int(begin[run]) + place
+        page_id = page[i].as_py()
+        return url_key[i].as_py().encode(), captured[i].as_py(), -1 if page_id is None else page_id, run, offset[i].as_py()
+
+    sizes = np.diff(np.append(begin, len(code))).tolist()
+    order = np.fromiter((begin[run] + place for run, place in merge(sizes, key)), dtype=np.int64, count=len(code))
+    for i in range(0, len(order), 8192):
+        yield from table.take(pa.array(order[i : i + 8192])).combine_chunks().to_batches()
+
+
+#: Bytes of archive files whose index lines make one range.
+RANGE_BYTES = 1 << 25
 
 
 def read_index(spark, path: str) -> DataFrame:
     """The archive's index: one line per record, in order of url key and capture time over all partitions."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    runs = files.mapInArrow(_runs, INDEX)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    size = files.agg(F.sum("length")).first()[0] or 0
+    runs = files.select("path", "content").mapInArrow(_runs, INDEX)
     # one url may hold a third of the captures: times and ids split it into several ranges
-    return runs.repartitionByRange(partitions(spark), "url_key", "captured", "page_id", "run", "offset").mapInArrow(_merged, INDEX)
+    ranges = max(partitions(spark), size // RANGE_BYTES + 1)
+    dealt = runs.repartitionByRange(ranges, "url_key", "captured", "page_id", "run", "offset")
+    # a range's parts of the runs one after another; Spark's sort spills where it must
+    return dealt.sortWithinPartitions("run", "url_key", "captured", "page_id", "offset").mapInArrow(_merged, INDEX)
 
 
 def archive(pages: DataFrame, path: str | None = None, least_bytes: int = LEAST_BYTES, per_file: int = RECORDS) -> DataFrame:
