@@ -152,8 +152,9 @@ def find(documents: DataFrame, keep: list[str], window: int = WINDOW, support: i
     df = documents.select(*(F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("key"))
     may = F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False))
     with_base = df.where(may).withColumn("base", base_spans(F.col("text")))
-    found = with_base.where(F.size("base") > 0)
-    flagged = cut(revealing_terms(df.select("text"), found.select("key", "text", F.col("base").alias("spans")), window, support, disclosure))
+    # texts that hold something, found once
+    found = cut(with_base.where(F.size("base") > 0).select("key", "text", F.col("base").alias("spans")))
+    flagged = cut(revealing_terms(df.select("text"), found, window, support, disclosure))
     said = df.select("key", F.explode(words_of(F.col("text"))).alias("term")).join(_send(flagged, flagged.count()), "term")
     terms = cut(said.groupBy("key").agg(F.collect_set("term").alias("terms")))
     every = with_base.unionByName(df.where(~may).withColumn("base", F.expr(NO_SPANS))).join(_send(terms, terms.count()), "key", "left")

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -76,3 +77,52 @@ def test_terms_far_from_the_mention(spark):
     # one document alone supports nothing
     assert all("solitary" in r.m for r in got if r.doc_id == 309)
     assert all(r.m == r.text for r in got if r.doc_id < 300)
+
+
+def brute_terms(rows, window=80, support=2, disclosure=0.9):
+    """The words that disclose an entity, by dictionaries over (id, text)."""
+    docs = [(i, t or "") for i, t in rows]
+    words = [{w.lower() for w in re.findall(r"[^\W_]+", t)} for _, t in docs]
+    held = {}
+    for n, (_, t) in enumerate(docs):
+        for s in brute(t):
+            kind, a, b = s.split(":")
+            a, b = int(a), int(b)
+            held.setdefault(f"{kind}:{t[a:b].lower()}", {}).setdefault(n, set()).add(t[max(a - window, 0) : b + window])
+    out = set()
+    for places in held.values():
+        by_doc = {n: tuple(sorted(x)) for n, x in places.items()}
+        if len(set(by_doc.values())) < support or len(by_doc) >= len(docs):
+            continue
+        rest = {}
+        for n in by_doc:
+            t = docs[n][1]
+            for s in sorted((tuple(map(int, s.split(":")[1:])) for s in brute(t)), reverse=True):
+                t = t[: s[0]] + " " + t[s[1] :]
+            for w in {w.lower() for w in re.findall(r"[^\W_]+", t)}:
+                rest.setdefault(w, []).append(n)
+        bits = math.log2(len(docs) / len(by_doc))
+        for w, ns in rest.items():
+            if len(w) > 1 and len({by_doc[n] for n in ns}) >= support:
+                of_term = max(sum(w in x for x in words), len(ns))
+                if math.log2(len(docs) * len(ns) / len(by_doc) / of_term) >= disclosure * bits:
+                    out.add(w)
+    return out
+
+
+def test_terms_as_brute_force(spark):
+    draw = random.Random(11)
+    people = [(f"user{i}@corp{i % 3}.example", f"Name{'abcdefghij'[i]}", f"Town{'abcde'[i % 5]}") for i in range(10)]
+    plain = ["plain", "words", "go", "here", "and", "there", "again", "office", "mail"]
+    rows = []
+    for i in range(240):
+        t = draw.choices(plain, k=draw.randint(5, 40))
+        if draw.random() < 0.4:
+            mail, name, town = draw.choice(people)
+            for x in (mail, name, town) if draw.random() < 0.8 else (name,):
+                t.insert(draw.randint(0, len(t)), x)
+        rows.append((i, " ".join(t)))
+    rows += [(300, None), (301, ""), (302, "café 10.0.0.1 élan"), (303, "10.0.0.1 other élan"), (304, "élan 10.0.0.1 more")]
+    got = {r.t for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).selectExpr("explode(filter(spans, s -> s.kind = 'term')) s", "text").selectExpr("lower(substring(text, s.start + 1, s.end - s.start)) t").collect()}
+    want = brute_terms(rows)
+    assert got == want and len(want) > 5

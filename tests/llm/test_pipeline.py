@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm import test_bpe, test_jaccard, test_pii
 
@@ -34,3 +36,26 @@ def test_each_stage_on_its_input(spark, tmp_path):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 50
+
+
+def test_edges_of_every_stage(spark, tmp_path):
+    """Null ids and texts, repeated rows, a very long text, no rows, and more columns than documents has."""
+    sf = tmp_path / "sf"
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    good = "these are some quite ordinary words of a text that has nothing to hide at all but mail me at ann@corp.example please "
+    rows = [(1, good, "en", "a"), (1, good, "en", "a"), (2, None, None, None), (3, "", "en", "b"), (None, "an altogether other text without any name or address that a reader would find in the first one of them", None, None), (4, " ".join(f"w{i}" for i in range(200_000)), "en", "a"), (5, "few words", "en", "a")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, fp string, kept string, start int"
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), "clash", "clash", 7) for r in rows], schema)
+    for given in (docs, docs.where("false")):
+        df = given
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            df = stage(spark, df, str(sf))
+            path = f"{tmp_path}/{given.isEmpty()}-{i}"
+            df.write.parquet(path)
+            df = spark.read.parquet(path)
+            if i < 4:
+                assert df.columns == corpus_pipeline.COLUMNS
+                df = df.withColumn("fp", F.lit("clash")).withColumn("label", F.lit(1)) if i % 2 else df
+            if i == 1:
+                assert df.count() == (0 if given.isEmpty() else 3)
+        assert df.isEmpty() == given.isEmpty()

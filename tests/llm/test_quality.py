@@ -31,6 +31,34 @@ def test_statistics():
         assert [int(got[c][i]) for c in quality.COUNTS] == brute(t), repr(t)
 
 
+def test_long_lines_of_two_letters():
+    """Lines that a polynomial modulo a power of two can't tell apart, and a very long text."""
+    s, lines = "ab", []
+    while len(s) < 1 << 13:
+        lines += [s, s.translate(str.maketrans("ab", "ba"))]
+        s += lines[-1]
+    texts = ["\n".join(lines), "\n".join(lines * 2), ("word and more of it, line " * 20 + "\n") * 3000 + "é🚀 # end"]
+    data, offsets = text_bytes(pa.array(texts, pa.string()))
+    got = quality.statistics(data, offsets)
+    assert got["n_dup_lines"].tolist() == [0, len(lines), 2999]
+    assert got["n_words"].tolist() == [len(t.split()) for t in texts]
+
+
+def test_flat_trees_as_a_walk():
+    """The arrays of nodes against a walk from node to node."""
+    rng = np.random.default_rng(2)
+    x = rng.random((400, 3))
+    trees = quality.fit(x, (x[:, 0] + x[:, 2] > 1).astype(float), [1, -1, 0], rounds=7)
+
+    def walk(row, node):
+        while trees.left[node] != node:
+            node = trees.left[node] if row[trees.feature[node]] <= trees.threshold[node] else trees.right[node]
+        return trees.value[node]
+
+    want = [1 / (1 + np.exp(-(trees.base + sum(walk(r, root) for root in trees.roots)))) for r in x]
+    assert np.allclose(trees.score(x), want)
+
+
 def test_trees_are_monotone_and_learn():
     rng = np.random.default_rng(1)
     x = rng.random((3000, 3))
