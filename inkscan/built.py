@@ -346,6 +346,28 @@ def wide_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.select("source", "lang", "ai", "model", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+@query
+def bias_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The limit of the bias by language; the logarithm of a text's length stands for its logit."""
+    df = _table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(_table(spark, sf_dir, "labels").where("quality = 1"), "doc_id")
+    return evaluate.bias_limit(df.withColumn("z", F.log(F.col("n_chars") + 1.0)), "z", ["lang"], 1.0).select("lang", F.round("bias", 6).alias("bias"))
+
+
+@query
+def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as a session of a stream, every turn as a version; the state tells which have one before them."""
+    from inkscan.functions.lineage import shared_path
+    from inkscan.streaming.sessions import recheck_stream, store_history
+
+    schema = spark.read.parquet(f"{sf_dir}/conversations.parquet").schema
+    turns = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" Plain words follow."))
+    stream = turns.select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").cast("long").alias("at"), (F.col("turn") == 0).alias("fresh"), text.alias("text"))
+    path = shared_path(spark, "versions")
+    store_history(recheck_stream(stream), path, f"{path}-progress", once=True).awaitTermination()
+    return spark.read.parquet(path).select("session_id", "version", F.col("score_before").isNotNull().alias("has_before"), (F.col("score") >= 0).alias("scored"))
+
+
 @query
 def rules_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog(spark).select("id", "category", "kind", "weight", "metric", "direction", F.array_join("rules", ",").alias("rules"))

@@ -3,20 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed now and kept as files of ``spark.checkpoint.dir``.
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A new path under ``spark.checkpoint.dir``.
 
     A local session without that setting gets a folder of its own; on a cluster its absence is an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if not context.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="inkscan-checkpoint-"))
-    return df.checkpoint(eager=True)
+        folder = "file://" + tempfile.mkdtemp(prefix="inkscan-checkpoint-")
+        context.setCheckpointDir(folder)
+    return f"{folder.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once, now, and kept as a table in the shared folder."""
+    path = shared_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -93,6 +93,19 @@ def clamp_bias(bias: float, human: np.ndarray) -> float:
     return min(bias, float(np.log(65 / 35) - z[int(0.95 * len(z))])) if len(z) else bias
 
 
+def bias_limit(df: DataFrame, z: str, by: list[str], bias: float) -> DataFrame:
+    """(by, bias): the least of ``bias`` and the one at which 95 % of the rows, all by people, stay under a score of 65.
+
+    The row at the 95th percentile is picked by its exact place; no group is ordered in one task.
+    """
+    n = df.groupBy(*(F.col(c).alias(f"_n_{c}") for c in by)).agg(F.count("*").alias("_n"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_n_{c}"))
+    picked = numbered(df.select(*by, z), by, [z]).join(n, same).where(F.col("_place") == F.floor(F.col("_n") * 0.95))
+    return picked.select(*by, F.least(F.lit(float(bias)), F.log(F.lit(65 / 35)) - F.col(z)).alias("bias"))
+
+
 def seeded(*columns: Column, seed: int = 42) -> Column:
     """A pseudo-random order that depends on the columns alone."""
     return F.xxhash64(F.lit(seed), *columns)

@@ -212,6 +212,8 @@ LEFT JOIN (SELECT p.{g} AS m, {auc} AS auc FROM l p JOIN l n ON p.{g} IS NOT DIS
     out["dataset_split"] = "WITH k AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY substr(text, 1, 200) ORDER BY doc_id) AS r FROM documents WHERE length(text) BETWEEN 400 AND 4000) SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) % 5 = 0 AS is_test FROM k WHERE r = 1"
     wide = lambda name, text: rf"SELECT doc_id::VARCHAR AS source, 'en' AS lang, {str(name != 'human').lower()} AS ai, '{name}' AS model, md5(regexp_replace({text}, '^\s+|\s+$', '', 'g')) AS text_md5 FROM documents"
     out["wide_corpus"] = " UNION ALL ".join([wide("human", "text"), wide("m1", "'m1 ' || text"), wide("m2", "text || ' m2'")])
+    out["bias_rule"] = "WITH z AS (SELECT lang, ln(n_chars + 1.0::DOUBLE) AS z FROM documents JOIN labels USING (doc_id) WHERE quality = 1), r AS (SELECT lang, z, row_number() OVER (PARTITION BY lang ORDER BY z) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM z) SELECT lang, round(least(1.0::DOUBLE, ln(65.0::DOUBLE / 35.0::DOUBLE) - z), 6)::DOUBLE AS bias FROM r WHERE i = floor(n * 0.95::DOUBLE)"
+    out["session_stream"] = "SELECT conv_id::VARCHAR AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS version, turn <> min(turn) OVER (PARTITION BY conv_id) AS has_before, true AS scored FROM conversations"
     advised = lambda d: ",".join(a[0] for a in rules.ADVICE if a[1] == d)
     rows = ", ".join(f"({q(d[0])}, {q(d[1])}, {q(d[2])}, {float(d[3])}::DOUBLE, {q(d[4])}, {q(d[5])}, {q(advised(d[0]))})" for d in rules.DETECTORS)
     out["rules_catalog"] = f"SELECT * FROM (VALUES {rows}) t(id, category, kind, weight, metric, direction, rules)"

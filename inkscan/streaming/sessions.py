@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from inkscan.operators.scoring import keep_last
@@ -48,9 +49,10 @@ def recheck_stream(stream: DataFrame) -> DataFrame:
     return scored.groupBy("session_id").applyInPandasWithState(_versions, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def store_history(versions: DataFrame, path: str, checkpoint: str):
-    """Starts a query that appends every version to files under ``path``, partitioned by nothing: sessions are many."""
-    return versions.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").start()
+def store_history(versions: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Starts a query that appends every version to files under ``path``; with ``once`` it ends with what there is now."""
+    writer = versions.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 def load_history(spark: SparkSession, path: str, keep: int = KEEP) -> DataFrame:
