@@ -15,13 +15,15 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkscan.llm.shared import cut
+from inkscan.llm.bytesops import give_back
+from inkscan.llm.shared import cut, small_batches
 
 CHUNK = 1 << 16
 OVERLAP = 1 << 12
@@ -32,6 +34,11 @@ WHOLE = 1 << 18
 _loaded: dict[tuple[str, str], "Codec"] = {}
 
 
+def _ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+
+
 class Codec:
     """One vocabulary: ranks from a file of base64 tokens, and the pre-token pattern."""
 
@@ -39,11 +46,10 @@ class Codec:
         import regex
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        ranks = _ranks(path)
         self.pretoken = regex.compile(pattern)
         self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.single = tiktoken.Encoding("single", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+        self._path = path
         by_id = sorted((rank, token) for token, rank in ranks.items())
         self.tokens = np.frombuffer(b"".join(t for _, t in by_id), dtype=np.uint8)
         lengths = np.zeros(by_id[-1][0] + 1, dtype=np.int64)
@@ -51,6 +57,13 @@ class Codec:
         self.lengths = lengths
         self.starts = np.cumsum(lengths) - lengths
 
+    @cached_property
+    def single(self):
+        """Encodes a whole text as one pre-token; few tasks need it."""
+        import tiktoken
+
+        return tiktoken.Encoding("single", pat_str="(?s:.+)", mergeable_ranks=_ranks(self._path), special_tokens={})
+
     def boundaries(self, text: str) -> list[int]:
         """Ends of the pre-tokens of a text that starts at one."""
         return [m.end() for m in self.pretoken.finditer(text)]
@@ -176,6 +189,7 @@ def encode_digests(documents: DataFrame, path: str, pattern: str, chunk: int = C
         c = codec(path, pattern)
         for batch in batches:
             yield _digest_batch(batch, [_digest(c.encode(t or ""), c) for t in batch.column("text").to_pylist()])
+        give_back()
 
     def piece_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
@@ -192,6 +206,7 @@ def encode_digests(documents: DataFrame, path: str, pattern: str, chunk: int = C
             rows = batch.column("pieces").to_pylist()
             yield _digest_batch(batch, [_digest(np.frombuffer(b"".join(p["ids"] for p in row), dtype="<u4"), c) for row in rows], "row")
 
+    small_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     is_long = F.coalesce(F.length("text") > chunk, F.lit(False))
     small = docs.where(~is_long).mapInArrow(short, DIGEST)

@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkscan.llm.bytesops import LOWER, SliceHash, Words, in_slices, minimum_labels, mix, pieces, shingles, text_bytes
-from inkscan.llm.shared import components, cut, new_path, partitions
+from inkscan.llm.bytesops import LOWER, SliceHash, Words, give_back, in_slices, minimum_labels, mix, pieces, shingles, text_bytes
+from inkscan.llm.shared import components, cut, new_path, partitions, small_batches
 
 U64 = np.uint64
 WORDS = 5
@@ -47,7 +47,7 @@ LONG_LIST, BLOCK = 64, 8
 #: A shingle of about so many sets has no list.
 HOT = 50_000
 #: Pairs of entries that a task holds before it counts them and hands them on.
-PAIRS = 1 << 19
+PAIRS = 1 << 18
 #: Sets of a cluster that are compared in one go.
 CHUNK = 1024
 
@@ -87,6 +87,7 @@ def _packed(documents: DataFrame) -> DataFrame:
                     seen.add(fp[i])
                     tokens[i] = s.tobytes()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp, pa.int64()), pa.array(n), pa.array(tokens, pa.binary())], names=["doc_id", "fp", "n", "tokens"])
+        give_back()
 
     path = new_path(documents.sparkSession, "sets")
     documents.mapInArrow(compute, "doc_id long, fp long, n long, tokens binary").write.parquet(path)
@@ -112,6 +113,8 @@ def _sketch(sets: DataFrame, bits: int) -> np.ndarray:
         if any_rows:
             for k, part in enumerate(counts.reshape(-1, 1 << chunk)):
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["k", "counts"])
+        del counts
+        give_back()
 
     def total(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << chunk, dtype=np.uint64)
@@ -163,6 +166,7 @@ def _index(sets: DataFrame, sketch: np.ndarray, buckets: int, hot: int) -> DataF
             if len(edges):
                 dealt, blobs, links = [*dealt, int(fps[0] % buckets)], [*blobs, None], [*links, edges.tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array(dealt, pa.int32()), pa.array(blobs, pa.binary()), pa.array(links, pa.binary())], names=["bucket", "entries", "edges"])
+        give_back()
 
     return sets.select("fp", "tokens").mapInArrow(entries, "bucket int, entries binary, edges binary")
 
@@ -253,6 +257,8 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # within a list, sizes ascend: a gap over which no link reaches splits the star
         cluster = np.concatenate([[0], np.cumsum(size[1:] * PERCENT > size[:-1] * 100)])
         yield _star(fps, fps[np.searchsorted(cluster, cluster)])
+    del e, begin, length, left, right
+    give_back()
 
 
 def _bloom(fps: DataFrame, column: str, bits: int = BLOOM_BITS) -> np.ndarray:
@@ -402,6 +408,7 @@ def near_copies(documents: DataFrame, buckets: int | None = None, sketch_bits: i
     """
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark = documents.sparkSession
+    small_batches(spark)
     packed = _packed(documents)
     prints = packed.select("doc_id", "fp", "n")
     total = prints.agg(F.sum("n")).first()[0] or 0

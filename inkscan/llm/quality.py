@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkscan.llm.bytesops import IS_SPACE, SliceHash, Words, pieces, shingles, text_bytes
+from inkscan.llm.bytesops import IS_SPACE, SliceHash, Words, give_back, pieces, shingles, text_bytes
+from inkscan.llm.shared import small_batches
 
 #: The fit reads at most this many labelled documents.
 MAX_LABELLED = 20_000
@@ -106,7 +107,9 @@ def with_statistics(documents: DataFrame, keep: list[str]) -> DataFrame:
             parts = [statistics(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in pieces(offsets)]
             found = [pa.array(np.concatenate([p[name] for p in parts]) if parts else np.zeros(0, dtype=np.int64)) for name in names]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *found], names=[*keep, *names])
+        give_back()
 
+    small_batches(documents.sparkSession)
     df = documents.select(*keep, F.col("text").cast("string").alias("__text"))
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), STATS])
     return df.mapInArrow(compute, schema)
