@@ -34,6 +34,7 @@ SHORT_NAMES = "i j k n x y idx cfg ctx req res resp err tmp buf ptr num cnt len
 MAIN = js(r"""if __name__ == ['"]__main__['"]:\s*\n\s+main\(\)""")
 CATCH_ALL = js(r"except\s+Exception(?:\s+as\s+\w+)?\s*:|catch\s*\(\s*(?:Exception|error|err|e)\s*(?::\s*\w+)?\)")
 EMOJI_LOG = js(r"(?:print|console\.\w+|log(?:ger)?\.\w+|fmt\.Print\w*)\([^)\n]*\p{Extended_Pictographic}[^)\n]*\)")
+INDENT, LOOSE_END = js(r"^(\s+)\S"), js(r"\S[ \t]+$")
 FUNCTION_LINE = js(r"^\s*(?:def |async def |func |function |public |private )")
 
 
@@ -110,10 +111,10 @@ def boilerplate() -> Column:
 
 @register("C-04")
 def style() -> Column:
-    indents = F.filter(F.transform("lines", lambda x: F.regexp_extract(x, js(r"^(\s+)\S"), 1)), lambda x: x != "")
+    indents = F.filter(F.transform("lines", lambda x: F.regexp_extract(x, INDENT, 1)), lambda x: x != "")
     tabs = F.size(F.filter(indents, lambda x: x.contains("\t")))
     mixed = (tabs > 0) & (tabs < F.size(indents))
-    loose = F.exists("lines", lambda x: x.rlike(js(r"\S[ \t]+$")) | (F.length(x) > 100))
+    loose = F.exists("lines", lambda x: x.rlike(LOOSE_END) | (F.length(x) > 100))
     placed = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(FUNCTION_LINE), i)), lambda i: i.isNotNull())
     n = F.greatest(F.size(placed) - 1, F.lit(0))
     gaps = F.zip_with(F.slice(placed, F.lit(1), n), F.slice(placed, F.lit(2), n), lambda a, b: (b - a).cast("double"))
