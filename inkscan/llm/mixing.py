@@ -32,8 +32,8 @@ def draw(doc_id: Column) -> Column:
 def _placed(sources: DataFrame) -> DataFrame:
     """``sources`` with each one's place in code point order, null last; partitions are counted, not gathered."""
     ranged = cut(sources.repartitionByRange(F.col("source").isNull(), F.col("source")).withColumn("part", F.spark_partition_id()))
-    before = ranged.groupBy("part").agg(F.count("*").alias("n")).alias("a")
-    parts = before.join(before.alias("b"), F.col("b.part") < F.col("a.part"), "left").groupBy(F.col("a.part").alias("part")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
+    running = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    parts = ranged.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("before"))
     own = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last()))
     return ranged.join(parts, "part").withColumn("place", own + F.col("before") - 1).drop("part", "before")
 

@@ -79,3 +79,9 @@ def test_filters():
     assert url_filter.tokens_of("||adult-*.") == ["adult"] and url_filter.tokens_of("^x1*y^z|") == ["z"] and url_filter.tokens_of("abc") == []
     # a form without a whole token is no less a rule
     assert re.search(url_filter.expression("bad*thing"), "http://x/sobad-a-things")
+
+
+def test_a_very_long_text(spark):
+    df = spark.createDataFrame([(1, "w " * 2_000_000, "a"), (2, "x" * 3_000_000, "b"), (3, " " * 1_000_000, None)], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in mixing.mix(df, ["doc_id"]).collect()}
+    assert [got[i].size for i in (1, 2, 3)] == [2_000_000, 1, 0] and got[2].taken <= 3 and got[3].taken == 0
