@@ -373,6 +373,16 @@ def rules_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog(spark).select("id", "category", "kind", "weight", "metric", "direction", F.array_join("rules", ",").alias("rules"))
 
 
+@query
+def native_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per text and detector, of all text detectors that SQL has a form of (all but P-02)."""
+    from inkscan.operators import ngram
+
+    df, ids = _texts(spark, sf_dir), [d for d in analyze.TEXT if d != "P-02"]
+    rows = analyze.detector_rows(analyze.detect(df, ["doc_id"], ids, ngram.train(df, min_count=3)), ["doc_id"], ids)
+    return rows.select("doc_id", "id", "category", F.round("value", 6).alias("value"), "applicable", F.round("score", 6).alias("score"))
+
+
 @query
 def paragraph_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The number of sentences of each text, and where the last one ends, in code points."""

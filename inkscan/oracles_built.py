@@ -6,7 +6,7 @@ from inkscan import built, rules
 from inkscan.operators.base import SPECS
 from inkscan.operators.typography import YO_WORDS
 from inkscan.oracles import EN, ORACLES, WORD, _list, _markers, context, count, docs, phrases, q, scored
-from inkscan.queries import ADDED
+from inkscan.queries import ADDED, CODE_ADDED
 
 FIVE = {"R-01": "r01", "R-02": "r02", "R-03": "r03", "T-03": "t03", "L-05": "l05"}
 USUAL = {a[1]: a for a in rules.ADVICE}
@@ -136,7 +136,7 @@ def image_detectors() -> str:
     ], "i", i, "doc_id")
 
 
-def code_report() -> str:
+def code_report(add: str) -> str:
     name = r"\b(?:def|function|func|let|const|var|class|async def)\s+([A-Za-z_]\w*)|\b([a-z_][A-Za-z0-9_]*)\s*=(?:[^=]|$)"
     short = "i j k n x y idx cfg ctx req res resp err tmp buf ptr num cnt len str obj arr val args kwargs db fn cb el ev e df ok id s v t m p q r w h conn msg src dst env opts params".split()
     guess = [("php", r"<\?php"), ("java", r"\bpublic (?:static )?class\b|System\.out\.println"), ("csharp", r"\busing System\b|Console\.WriteLine"), ("typescript", r":\s*(?:string|number|boolean)\b|\binterface \w+ \{|\btype \w+ ="), ("javascript", r"\b(?:const|let|function)\b|=>"), ("cpp", r"#include\s*<")]
@@ -151,7 +151,7 @@ def code_report() -> str:
     obvious = r"(?i)^(?:increment|decrement|initiali[sz]e|import|define|create|set|get|return|loop|iterate|check if|call|print|add|update|declare|instantiate|open|close|read|write|convert|calculate)\b.{0,40}$"
     functions, documented = (count(p, text="code") for p in (r"(?m)^\s*(?:def |async def |func |function |public |private |protected )", r"(?m)^\s*(?:def|class) [^\n]+:\n\s*(?:\"{3}|'{3})"))
     parts = "list_filter(regexp_split_to_array(lower(regexp_replace(x, '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), '_+'), lambda p: p <> '')"
-    ctes = rf"""t AS (SELECT conv_id, turn, coalesce(text, '') || {q(built.CODE)} AS code FROM conversations), l AS (SELECT *, {language} AS language, string_split(code, chr(10)) AS lines FROM t),
+    ctes = rf"""t AS (SELECT conv_id, turn, coalesce(text, '') || {q(add)} AS code FROM conversations), l AS (SELECT *, {language} AS language, string_split(code, chr(10)) AS lines FROM t),
 c AS (SELECT *, list_filter(list_transform(lines, lambda x: {comment}), lambda x: x IS NOT NULL) AS comments, len(list_filter(lines, lambda x: regexp_matches(x, '\S'))) AS n_full,
   list_distinct(list_transform(generate_series(1, len(regexp_extract_all(code, {q(name)}))), lambda i: CASE WHEN regexp_extract_all(code, {q(name)}, 1)[i] <> '' THEN regexp_extract_all(code, {q(name)}, 1)[i] ELSE regexp_extract_all(code, {q(name)}, 2)[i] END)) AS names,
   list_filter(list_transform(lines, lambda x: regexp_extract(x, '^(\s+)\S', 1)), lambda x: x <> '') AS indents,
@@ -172,7 +172,7 @@ k AS (SELECT *, len(comments)::DOUBLE / n_full AS density, len(list_filter(comme
 
 
 def build() -> dict[str, str]:
-    out = {"five_report": five_report(), "five_recheck": five_recheck(), "p01": perplexity(), "document_detectors": document_detectors(), "image_detectors": image_detectors(), "code_report": code_report()}
+    out = {"five_report": five_report(), "five_recheck": five_recheck(), "p01": perplexity(), "document_detectors": document_detectors(), "image_detectors": image_detectors(), "code_report": code_report(built.CODE), "code_detectors": code_report(CODE_ADDED)}
     t03 = _with(ORACLES["t03"], ADDED)
     out["dash_evidence"] = f"""WITH s AS ({t03}), p AS (SELECT doc_id, string_split(text, '—') AS p FROM ({docs_sql(ADDED)}) JOIN s USING (doc_id) WHERE applicable AND score >= 0.35),
 u AS (SELECT doc_id, unnest(list_transform(generate_series(1, len(p) - 1), lambda k: list_sum(list_transform(p[1:k], lambda x: length(x))) + k - 1)) AS start FROM p) SELECT doc_id, start::BIGINT AS start, (start + 1)::BIGINT AS "end", '—' AS label FROM u"""
@@ -192,6 +192,8 @@ u AS (SELECT doc_id, unnest(list_transform(generate_series(1, len(p) - 1), lambd
     out["b01_cited"] = scored("B-01", docs(), "docs", "[2.5, 2.0, 0.0, 0.5][doc_id % 4 + 1]", "doc_id % 4 <> 2")
     formula = r"\$\$[^$]+\$\$|\\(?:text|rightarrow|frac|cdot)\{?"
     out["s08_sections"] = scored("S-08", f"{context(built.SECTIONS)}, m AS (SELECT doc_id, text, len(w) AS n FROM words)", "m", f"1.7 + CASE WHEN 6 * 1000.0 / n > 12 THEN 0.5 ELSE 0 END + CASE WHEN n > 300 AND regexp_matches(text, {q(formula)}) THEN 0.7 ELSE 0 END", "true")
+    out["b01"] = scored("B-01", docs(), "docs", "0", "true")  # five references without a bibliography, in one block of many
+    out["s08"] = scored("S-08", f"{context()}, m AS (SELECT doc_id, text, len(w) AS n FROM words)", "m", "0.7", f"n > 300 AND regexp_matches(text, {q(formula)})")
     out["rejected_built"] = "SELECT doc_id, CASE WHEN doc_id % 10 = 0 OR (doc_id % 100 <> 1 AND NOT regexp_matches(coalesce(text, ''), '\\S')) THEN 'empty' ELSE 'too_long' END AS status FROM documents WHERE doc_id % 10 = 0 OR doc_id % 100 = 1 OR NOT regexp_matches(coalesce(text, ''), '\\S') OR length(text) > 100000"
     out["file_kinds"] = "SELECT page_id, ['docx', 'odt', 'rtf', 'txt', 'md', 'jpeg', 'webp', 'py', 'rs', 'exe'][page_id % 10 + 1] AS ext, CASE WHEN page_id % 10 < 5 THEN 'document' WHEN page_id % 10 < 7 THEN 'image' WHEN page_id % 10 < 9 THEN 'code' END AS kind FROM pages"
     out["parsed_documents"] = r"""WITH l AS (SELECT doc_id, list_filter(string_split(regexp_replace(coalesce(text, '') || chr(10) || 'last line', '[\x00-\x08\x0B-\x1F]', ' ', 'g'), chr(10)), lambda x: regexp_matches(x, '\S')) AS l FROM documents),
@@ -220,6 +222,16 @@ LEFT JOIN (SELECT p.{g} AS m, {auc} AS auc FROM l p JOIN l n ON p.{g} IS NOT DIS
     out["paragraph_places"] = f"WITH {context()}, l AS (SELECT doc_id, count(*) AS n, arg_max(s, pi * 1000000 + si) AS s FROM sents GROUP BY doc_id) SELECT docs.doc_id, coalesce(n, 0)::BIGINT AS n, (length(text) - strpos(reverse(text), reverse(s)) + 1)::BIGINT AS last_end FROM docs LEFT JOIN l USING (doc_id)"
     lines = "l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents)"
     out["sentence_heat"] = rf"WITH {lines}, p AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM l) SELECT doc_id, (after - 1 - length(line))::BIGINT AS start, (after - 1)::BIGINT AS {chr(34)}end{chr(34)}, floor(least(1.0::DOUBLE, 0.075::DOUBLE + len(regexp_extract_all(line, '[-!?]')) * 0.3::DOUBLE * 0.12::DOUBLE * 0.6::DOUBLE) * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS heat FROM p WHERE line <> ''"
+    # every detector on the texts as they are
+    plain = {d: ORACLES.get(d.replace("-", "").lower()) for d in SPECS if SPECS[d].kind == "text" and d != "P-02"}
+    plain |= {"P-01": out["p01"], "S-08": out["s08"], "S-04": out["s04_lists"].replace(q(built.LISTED), "''"), "L-07": out["l07_said"].replace(q(built.SAID), "''"), "B-01": scored("B-01", docs(), "docs", "0", "false")}
+    added = [q(x) for x in (ADDED, " pаypаl sοund plain", " a​b c­d", " **bold** and `code` and [a](b)")]
+    rows = []
+    for d, sql in plain.items():
+        for x in added:
+            sql = sql.replace(f"|| {x} AS text", "|| '' AS text")
+        rows.append(f"SELECT doc_id, '{d}' AS id, '{SPECS[d].category}' AS category, value, applicable, score FROM ({sql})")
+    out["native_rows"] = " UNION ALL ".join(rows)
     return out
 
 
