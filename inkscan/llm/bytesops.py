@@ -184,3 +184,23 @@ def minimum_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         open_ = label[a] != label[b]
         a, b = a[open_], b[open_]
     return label
+
+
+def word_places(data: np.ndarray, offsets: np.ndarray, block: int = 1 << 22) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the words of a batch, and where each row's words begin (and the end).
+
+    The bytes are worked on in blocks that end at white space, so the arrays that live on hold a few
+    numbers per word and not tens of bytes per byte, however long a text is; a longer word is a block.
+    """
+    parts, at, n = [], 0, len(data)
+    while at < n:
+        end = min(n, at + block)
+        while end < n and not IS_SPACE[data[end]]:
+            ahead = np.flatnonzero(IS_SPACE[data[end : end + block]])
+            end = end + int(ahead[0]) if len(ahead) else min(n, end + block)
+        inner = offsets[(offsets > at) & (offsets < end)]
+        w = Words(data[at:end], np.concatenate([[at], inner, [end]]) - at)
+        parts.append((w.starts + at, w.ends + at, SliceHash(data[at:end])(w.starts, w.ends)))
+        at = end
+    starts, ends, hashes = (np.concatenate(p) for p in zip(*parts, strict=True)) if parts else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U64))
+    return starts, ends, hashes, np.searchsorted(starts, offsets)

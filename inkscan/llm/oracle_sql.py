@@ -46,3 +46,65 @@ digests AS (SELECT page_id, payload_bytes, array_to_string(list_transform(genera
 last AS (SELECT payload_digest, max(page_id) AS top FROM digests GROUP BY payload_digest)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < top THEN top END AS refers_to
 FROM digests JOIN last USING (payload_digest)"""
+
+#: Macros' bodies: the unsigned checksum of a decimal number, bit by bit, and a field with its length.
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+    lambda c, bit: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)), 4294967295)"""
+
+
+def _framed(value: str) -> str:
+    return f"coalesce(strlen(({value})::VARCHAR)::VARCHAR || ':' || ({value})::VARCHAR, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_framed(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+MERKLE = f"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, row_number() OVER () AS id, source, {_leaf("text")} AS leaf,
+    CASE WHEN coalesce({_CRC} % 2 = 0, false) THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf("text")} END AS tampered FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n FROM docs),
+nodes(level, source, idx, n, h) AS (
+  SELECT 0, source, idx, n, leaf FROM placed
+  UNION ALL
+  SELECT level + 1, source, idx // 3, (any_value(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM nodes WHERE n > 1 GROUP BY level, source, idx // 3),
+subroots AS (SELECT source, h, level, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM nodes WHERE n = 1),
+upper_nodes(level, idx, n, h) AS (
+  SELECT 0, idx, n, h FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // 3, (any_value(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY idx)) FROM upper_nodes WHERE n > 1 GROUP BY level, idx // 3),
+steps AS (
+  SELECT p.id, x.level, string_agg(x.h, '' ORDER BY x.idx) FILTER (x.idx < own) AS before, string_agg(x.h, '' ORDER BY x.idx) FILTER (x.idx > own) AS after
+  FROM (SELECT id, source, level, idx // (3 ** level)::BIGINT AS own FROM placed, (SELECT DISTINCT level FROM nodes)) p
+  JOIN nodes x ON x.level = p.level AND x.source IS NOT DISTINCT FROM p.source AND x.n > 1 AND x.idx // 3 = own // 3 GROUP BY p.id, x.level
+  UNION ALL
+  SELECT p.id, 1000 + x.level, string_agg(x.h, '' ORDER BY x.idx) FILTER (x.idx < own), string_agg(x.h, '' ORDER BY x.idx) FILTER (x.idx > own)
+  FROM (SELECT placed.id, l.level, subroots.idx // (3 ** l.level)::BIGINT AS own FROM placed JOIN subroots ON subroots.source IS NOT DISTINCT FROM placed.source, (SELECT DISTINCT level FROM upper_nodes) l) p
+  JOIN upper_nodes x ON x.level = p.level AND x.n > 1 AND x.idx // 3 = own // 3 GROUP BY p.id, x.level),
+proofs AS (SELECT id, list(struct_pack(b := coalesce(before, ''), a := coalesce(after, '')) ORDER BY level) AS path FROM steps GROUP BY id),
+folded AS (
+  SELECT doc_id, leaf, s.h AS subroot, (SELECT h FROM upper_nodes WHERE n = 1) AS root, sha256(coalesce(array_to_string(list_transform(path, lambda x: x.b || x.a), ''), '')) AS proof_sha256,
+    list_reduce(list_concat([tampered], list_transform(coalesce(path, []), lambda x: x.b || '|' || x.a)), lambda h, x: sha256(replace(x, '|', h))) AS folded_root
+  FROM placed JOIN subroots s ON s.source IS NOT DISTINCT FROM placed.source LEFT JOIN proofs ON proofs.id = placed.id)
+SELECT *, folded_root = root AS verified FROM folded"""
+
+PERIODS = rf"""
+WITH texts AS (
+  SELECT doc_id, row_number() OVER () AS id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, coalesce({_CRC}, 1) AS h FROM documents),
+sized AS (SELECT *, len(w)::BIGINT AS n, h // 10 AS g FROM texts),
+planted AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n ELSE n END AS a FROM sized),
+tailed AS (SELECT doc_id, id, n, list_transform(generate_series(0, n - 1), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] END) AS w FROM planted),
+words AS (SELECT id, n, unnest(w) AS word, unnest(generate_series(0, n - 1)) AS i FROM tailed),
+equal AS (SELECT x.id, y.i - x.i AS q, x.i FROM words x JOIN words y ON x.id = y.id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+islands AS (SELECT id, q, min(i) AS a, max(i) + 1 + q AS e FROM (SELECT id, q, i, i - row_number() OVER (PARTITION BY id, q ORDER BY i) AS island FROM equal) GROUP BY id, q, island),
+large AS (SELECT * FROM islands WHERE e - a >= greatest(6, 4 * q)),
+runs AS (SELECT * FROM large x WHERE NOT EXISTS (SELECT 1 FROM large y WHERE y.id = x.id AND y.q < x.q AND x.q % y.q = 0 AND y.a <= x.a AND y.e >= x.e)),
+per_doc AS (
+  SELECT id, count(*) AS n_runs, first(struct_pack(a := a, l := e - a, q := q) ORDER BY e - a DESC, a, q) AS best, string_agg(a || ',' || (e - a) || ',' || q || chr(10), '' ORDER BY a, q) AS said FROM runs GROUP BY id),
+dropped AS (SELECT DISTINCT id, unnest(generate_series(a + q, e - 1)) AS i FROM runs),
+kept AS (SELECT words.id, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN dropped USING (id, i) GROUP BY words.id)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.a::BIGINT AS start, best.l::BIGINT AS length, best.q::BIGINT AS period, (1000 * best.l // best.q)::BIGINT AS exponent_milli,
+  sha256(coalesce(said, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM tailed LEFT JOIN per_doc USING (id) LEFT JOIN kept USING (id)"""

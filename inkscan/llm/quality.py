@@ -27,8 +27,8 @@ MAX_REPEATED_PERCENT = 20
 KEEP_AT = 0.5
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-_MORE = ("n_points", "n_lines", "n_digits", "n_upper", "n_stops", "n_distinct")
-STATS = ", ".join(f"{c} long" for c in (*COUNTS, *_MORE))
+MORE = ("n_points", "n_lines", "n_digits", "n_upper", "n_stops", "n_distinct")
+STATS = ", ".join(f"{c} long" for c in (*COUNTS, *MORE))
 
 _IS_SYMBOL = np.zeros(256, dtype=bool)
 _IS_SYMBOL[list(b"#*$%&|<>")] = True
@@ -99,7 +99,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
 def with_statistics(documents: DataFrame, keep: list[str]) -> DataFrame:
     """``documents``' columns ``keep`` and the statistics of their whole texts (null: as empty)."""
-    names = [*COUNTS, *_MORE]
+    names = [*COUNTS, *MORE]
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,9 +214,9 @@ def train(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) ->
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     )
     some = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``most`` ids
-    table = with_statistics(some, ["doc_id", "quality"]).groupBy("doc_id").agg(*(F.max(c).alias(c) for c in ("quality", *COUNTS, *_MORE))).toArrow()
+    table = with_statistics(some, ["doc_id", "quality"]).groupBy("doc_id").agg(*(F.max(c).alias(c) for c in ("quality", *COUNTS, *MORE))).toArrow()
     order = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
-    stats = {c: table.column(c).to_numpy()[order] for c in (*COUNTS, *_MORE)}
+    stats = {c: table.column(c).to_numpy()[order] for c in (*COUNTS, *MORE)}
     return fit(features(stats), table.column("quality").to_numpy()[order].astype(np.float64), list(FEATURES.values()))
 
 
@@ -227,7 +227,7 @@ def judge(documents: DataFrame, trees: Trees, keep: list[str], keep_at: float =
     text counts as empty and so fails; repeated rows are judged each; without any labels the
     trees are a constant that keeps what the base rules pass.
     """
-    names = [*COUNTS, *_MORE]
+    names = [*COUNTS, *MORE]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -73,6 +73,24 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkscan.llm.discriminant import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkscan.llm.merkle import manifest
+
+    return manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkscan.llm.periods import periodic_runs
+
+    return periodic_runs(table(spark, sf_dir, "documents"), tails=True).drop("runs")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_urls": op2_urls,
@@ -84,6 +102,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_pii": op9_pii,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_discriminant": op11_discriminant,
+    "op12_merkle": op12_merkle,
+    "op13_periods": op13_periods,
 }
 
 ORACLES: dict[str, str] = {
@@ -92,4 +113,6 @@ ORACLES: dict[str, str] = {
     "op5_embeddings": oracle_sql.EMBEDDINGS,
     "op7_warc": oracle_sql.WARC,
     "op8_mixing": mixing.ORACLE,
+    "op12_merkle": oracle_sql.MERKLE,
+    "op13_periods": oracle_sql.PERIODS,
 }
