@@ -98,21 +98,64 @@ def blank(text: Column) -> Column:
     return ~text.rlike(f"[^{WS}]")
 
 
+def running(values: Column, f: Callable[[Column, Column], Column], first: Column) -> Column:
+    """Running results of an associative ``f`` over an array, each with its own element; ``first`` changes nothing under ``f``.
+
+    By doubling: every step combines each element with that 1, 2, 4 .. places before it, so an array of n
+    elements costs n log n, where gathering them one by one would copy the array n times.
+    """
+
+    def step(acc: Column, k: Column) -> Column:
+        shifted = F.concat(F.array_repeat(first, F.call_function("shiftleft", F.lit(1), k)), acc)
+        return F.zip_with(F.slice(shifted, F.lit(1), F.size(acc)), acc, f)
+
+    def doubled(values: Column) -> Column:
+        steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(values))).cast("int") - 1)
+        return F.when(F.size(values) > 1, F.aggregate(steps, values, step)).otherwise(values)
+
+    return let(values, doubled)
+
+
+def running_sum(values: Column) -> Column:
+    return running(values, lambda a, b: a + b, F.lit(0))
+
+
 def spans_of(text: Column, pattern: str) -> Column:
     """(start, end, label) of every match, in code points.
 
     Gaps and matches alternate; ends are running sums over both.
     """
-    found = every(text, pattern)
-    pairs = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("n"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,label:string>>)").alias("out"))
+    none = F.expr("cast(array() as array<struct<start:int,end:int,label:string>>)")
+
+    def placed(found: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        ends = running_sum(F.zip_with(gaps, found, lambda g, m: F.length(g) + F.length(m)))
+        return F.zip_with(ends, found, lambda e, m: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("label")))
+
+    return let(every(text, pattern), lambda found: F.when(F.size(found) > 0, placed(found)).otherwise(none))
+
+
+#: Code points in a block of a text that is cut at many places.
+BLOCK = 256
+
+
+def cutter(text: Column, f: Callable[[Callable[[Column, Column], Column]], Column]) -> Column:
+    """``f`` of a function that gives the text between two places (code points from 0, end exclusive).
+
+    A place in a string is found by counting from its start; here the text is cut into blocks once, and a
+    piece costs its own length and two blocks.
+    """
+
+    def pieces(blocks: Column) -> Column:
+        def piece(start: Column, end: Column) -> Column:
+            first = F.floor(start / BLOCK).cast("int")
+            n = F.floor((end - 1) / BLOCK).cast("int") - first + 1
+            held = F.array_join(F.slice(blocks, first + 1, F.greatest(n, F.lit(0))), "")
+            return F.when(end > start, F.substring(held, start - first * BLOCK + 1, end - start)).otherwise("")
 
-    def step(acc: Column, p: Column) -> Column:
-        begin = acc["at"] + p["g"]
-        span = F.struct(begin.alias("start"), (begin + p["n"]).alias("end"), p["m"].alias("label"))
-        return F.struct((begin + p["n"]).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        return f(piece)
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), pieces)
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
