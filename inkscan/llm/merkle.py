@@ -16,6 +16,7 @@ apart, and the sizes of the ranges before; runs have at most ``fanout`` rows wha
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,18 +75,18 @@ def numbered(df: DataFrame, group: str, order: list[str]) -> DataFrame:
 
 @dataclass(frozen=True)
 class Forest:
-    """The levels of one tree per key: ``runs[k]`` holds (key, idx, n, hash, children) of parents of level k's nodes; ``tops`` the roots (key, hash, level)."""
+    """The levels of one tree per key: ``runs[k]`` holds (key, idx, n, hash, children) of parents of level k's nodes; ``tops[k]`` (key, hash) of those that are roots on level k."""
 
     runs: list[DataFrame]
-    tops: DataFrame
+    tops: list[DataFrame]
 
 
 def grow(nodes: DataFrame, more: list[str], fanout: int = FANOUT) -> Forest:
     """Trees over ``nodes`` (key, idx, n, hash and, of the lowest level, ``more``), until each key has one node."""
     most = nodes.agg(F.max("n")).first()[0] or 0
-    runs, tops, level = [], [], 0
+    runs, tops = [], []
     while True:
-        tops.append(nodes.where("n = 1").select("key", "hash", F.lit(level).alias("level")))
+        tops.append(nodes.where("n = 1").select("key", "hash"))
         if most <= 1:
             break
         child = F.struct("idx", "hash", *more)
@@ -93,11 +94,8 @@ def grow(nodes: DataFrame, more: list[str], fanout: int = FANOUT) -> Forest:
         joined = F.sha2(F.array_join(F.transform("children", lambda c: c["hash"]), ""), 256)
         run = cut(run.select("key", F.col("parent").alias("idx"), F.expr(f"(n + {fanout - 1}) div {fanout}").alias("n"), joined.alias("hash"), "children"))
         runs.append(run)
-        nodes, more, most, level = run, [], -(-most // fanout), level + 1
-    every = tops[0]
-    for t in tops[1:]:
-        every = every.unionByName(t)
-    return Forest(runs, every)
+        nodes, more, most = run, [], -(-most // fanout)
+    return Forest(runs, tops)
 
 
 def descend(forest: Forest, nodes: DataFrame, above: DataFrame, more: list[str]) -> DataFrame:
@@ -107,9 +105,9 @@ def descend(forest: Forest, nodes: DataFrame, above: DataFrame, more: list[str])
     key is to carry.
     """
     carried = [c for c in above.columns if c not in ("key", "path")]
-    tops, paths = forest.tops.where("level > 0").join(above, "key"), None
+    paths = None
     for level in range(len(forest.runs) - 1, -1, -1):
-        up = tops.where(F.col("level") == level + 1).select("key", F.lit(0).cast("long").alias("idx"), "path", *carried)
+        up = forest.tops[level + 1].join(above, "key").select("key", F.lit(0).cast("long").alias("idx"), "path", *carried)
         up = up if paths is None else paths.select(*up.columns).unionByName(up)
         run = forest.runs[level].select("key", "idx", "children").join(up, ["key", "idx"])
         hashes = F.transform("children", lambda c: c["hash"])
@@ -141,13 +139,13 @@ def manifest(documents: DataFrame, fanout: int = FANOUT) -> DataFrame:
     nodes = cut(nodes)
     more = ["doc_id", "altered"]
     trees = grow(nodes, more, fanout)
-    subroots = cut(trees.tops.select(F.col("key").alias("source_key"), F.col("hash").alias("subroot")))
+    subroots = cut(reduce(DataFrame.unionByName, trees.tops).select(F.col("key").alias("source_key"), F.col("hash").alias("subroot")))
     upper = numbered(subroots.withColumn("key", F.lit("")), "key", ["source_key"])
     upper = cut(upper.select("key", "idx", "n", F.col("subroot").alias("hash"), "source_key"))
     top = grow(upper, ["source_key"], fanout)
-    root = top.tops.select("key", F.expr(NO_SIBLINGS).alias("path"), F.col("hash").alias("root"))
+    root = reduce(DataFrame.unionByName, top.tops).select("key", F.expr(NO_SIBLINGS).alias("path"), F.col("hash").alias("root"))
     # siblings of every subroot; with one source it is the root
-    above = descend(top, upper, root, ["source_key"]).select(F.col("source_key").alias("key"), "path", F.col("hash").alias("subroot"), "root")
+    above = cut(descend(top, upper, root, ["source_key"]).select(F.col("source_key").alias("key"), "path", F.col("hash").alias("subroot"), "root"))
     proven = descend(trees, nodes, above, more)
     siblings = F.array_join(F.flatten(F.transform("path", lambda s: F.array(s["before"], s["after"]))), "")
     folded = F.aggregate("path", F.coalesce("altered", "hash"), lambda h, s: F.sha2(F.concat(s["before"], h, s["after"]), 256))

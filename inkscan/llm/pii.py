@@ -15,6 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkscan.functions.regexlib import cutter, let, running, running_sum, spans_of
 from inkscan.llm.shared import cut
 
 KINDS = ("email", "ip", "card", "phone")
@@ -63,20 +64,8 @@ def _passes(kind: str, value: Column) -> Column:
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """Every match as (start, end, value), in code points, end exclusive.
-
-    What lies between the matches and the matches themselves give the places: their lengths are
-    added up from the left.
-    """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("n"), m.alias("value")))
-    empty = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)").alias("out"))
-
-    def step(acc: Column, m: Column) -> Column:
-        start = acc["at"] + m["gap"]
-        return F.struct((start + m["n"]).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), (start + m["n"]).alias("end"), m["value"].alias("value")))).alias("out"))
-
-    return F.aggregate(pairs, empty, step, lambda acc: acc["out"])
+    """Every match as (start, end, label), in code points, end exclusive; costs n log n in the matches."""
+    return spans_of(text, pattern)
 
 
 def base_spans(text: Column) -> Column:
@@ -84,8 +73,8 @@ def base_spans(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
     each = []
     for place, kind in enumerate(KINDS):
-        found = F.filter(matches(text, PATTERNS[kind]), lambda m: _passes(kind, m["value"]))  # noqa: B023
-        spans = F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(place).alias("place"), F.lit(kind).alias("kind"), m["end"].alias("end"), m["value"].alias("value")))  # noqa: B023
+        found = F.filter(matches(text, PATTERNS[kind]), lambda m: _passes(kind, m["label"]))  # noqa: B023
+        spans = F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(place).alias("place"), F.lit(kind).alias("kind"), m["end"].alias("end"), m["label"].alias("value")))  # noqa: B023
         may = {"email": text.contains("@"), "phone": text.contains("+")}.get(kind, text.rlike("[0-9]"))
         each.append(F.when(may, spans).otherwise(F.expr(NO_SPANS)))
     return F.array_sort(F.concat(*each))
@@ -105,42 +94,49 @@ def words_of(text: Column) -> Column:
 
 
 def term_spans(text: Column, terms: Column) -> Column:
-    """A span for every occurrence of one of ``terms``; the lengths of words and of what lies between are added up."""
+    """A span for every occurrence of one of ``terms``; words and what lies between them alternate, and their lengths are added up."""
     parts = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"), F.lit(0))
-    empty = F.struct(F.lit(0).alias("at"), F.expr(NO_SPANS).alias("out"))
 
-    def step(acc: Column, part: Column) -> Column:
-        end = acc["at"] + F.length(part)
-        span = F.struct(acc["at"].alias("start"), F.lit(len(KINDS)).alias("place"), F.lit(TERM).alias("kind"), end.alias("end"), F.lit("").alias("value"))
-        return F.struct(end.alias("at"), F.when(F.array_contains(terms, F.lower(part)), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def placed(parts: Column) -> Column:
+        ends = running_sum(F.transform(parts, lambda p: F.length(p)))
+        spans = F.zip_with(ends, parts, lambda e, p: F.when(F.array_contains(terms, F.lower(p)), F.struct((e - F.length(p)).alias("start"), F.lit(len(KINDS)).alias("place"), F.lit(TERM).alias("kind"), e.alias("end"), F.lit("").alias("value"))))
+        return F.array_compact(spans)
 
-    return F.aggregate(parts, empty, step, lambda acc: acc["out"])
+    return let(parts, placed)
 
 
 def revealing_terms(documents: DataFrame, found: DataFrame, window: int, support: int, disclosure: float) -> DataFrame:
     """(term): the words that reveal an entity of ``found`` (key, text, spans), by all of ``documents`` (text)."""
     one = cut(found.groupBy("key").agg(F.first("text").alias("text"), F.first("spans").alias("spans"), F.count("*").alias("copies")))
     total = documents.count()
-    around = F.xxhash64(F.expr(f"substring(text, greatest(s.start - {window}, 0) + 1, {window} + least({window}, s.start) + s.end - s.start)"))
-    mention = one.select("key", "text", "copies", F.explode("spans").alias("s")).select("key", "copies", F.concat_ws(":", "s.kind", F.lower("s.value")).alias("entity"), around.alias("around"))
+    def mentions(piece: Callable[[Column, Column], Column]) -> Column:
+        around = lambda s: piece(F.greatest(s["start"] - window, F.lit(0)), s["end"] + window)
+        return F.transform("spans", lambda s: F.struct(F.concat_ws(":", s["kind"], F.lower(s["value"])).alias("entity"), F.xxhash64(around(s)).alias("around")))
+
+    mention = one.select("key", "copies", F.explode(cutter(F.col("text"), mentions)).alias("m")).select("key", "copies", "m.*")
     # a document is one surrounding of an entity, however often it holds it
     held = mention.groupBy("key", "entity").agg(F.first("copies").alias("copies"), F.xxhash64(F.array_sort(F.collect_set("around"))).alias("around"))
     entities = cut(held.groupBy("entity").agg(F.sum("copies").alias("of_entity"), F.countDistinct("around").alias("n")).where((F.col("n") >= support) & (F.col("of_entity") < total)).drop("n"))
-    by_key = held.join(_send(entities, entities.count()), "entity").groupBy("key").agg(F.collect_list(F.struct("entity", "around", "of_entity")).alias("entities"))
-    by_key = cut(by_key)
+    by_key = cut(held.join(_send(entities, entities.count()), "entity").select("key", "entity", "around", "of_entity"))
+    keys = cut(by_key.select("key").distinct())
     # words of the text without the entities themselves
     rest = masked(F.col("text"), F.col("spans"), lambda s: F.lit(" "))
-    words = one.join(_send(by_key, by_key.count()), "key").select("copies", "entities", F.explode(words_of(rest)).alias("term")).where(F.length("term") > 1)
-    both = words.select("term", "copies", F.explode("entities").alias("e")).groupBy("e.entity", "term")
-    pairs = cut(both.agg(F.first("e.of_entity").alias("of_entity"), F.countDistinct("e.around").alias("around"), F.sum("copies").alias("of_both")).where(F.col("around") >= support))
-    terms = cut(pairs.select("term").distinct())
+    words = one.join(_send(keys, keys.count()), "key").select("key", "copies", F.explode(words_of(rest)).alias("term")).where(F.length("term") > 1)
+    words = cut(words)
+    # a term of one document is never supported; the others are counted in all documents
+    terms = cut(words.groupBy("term").agg(F.count("*").alias("keys")).where(F.col("keys") >= support).select("term"))
     said, rows = documents.select(F.explode(words_of(F.col("text"))).alias("term")), terms.count()
     # a large table of terms meets counts, not words
     said = said.join(F.broadcast(terms), "term") if rows <= SENT_ROWS else said
-    counts = said.groupBy("term").agg(F.count("*").alias("of_term"))
-    bits = F.log2(F.lit(float(max(total, 2))) / F.col("of_entity"))
-    tell = F.log2(F.lit(float(max(total, 2))) * F.col("of_both") / F.col("of_entity") / F.greatest("of_term", "of_both"))
-    return pairs.join(counts, "term").where((bits > 0) & (tell >= disclosure * bits)).select("term").distinct()
+    counts = cut(said.groupBy("term").agg(F.count("*").alias("of_term")).join(terms, "term", "left_semi"))
+    all_ = F.lit(float(max(total, 2)))
+    bits = F.log2(all_ / F.col("of_entity"))
+    # an entity is in no more of a term's documents than it is in itself: most words are too common for most entities
+    may = F.log2(all_ * F.least("of_entity", "of_term") / F.col("of_entity") / F.col("of_term")) >= disclosure * bits - 1e-9
+    met = words.join(_send(counts, counts.count()), "term").join(by_key, "key").where(may)
+    both = met.groupBy("entity", "term").agg(F.first("of_entity").alias("of_entity"), F.first("of_term").alias("of_term"), F.countDistinct("around").alias("around"), F.sum("copies").alias("of_both"))
+    tell = F.log2(all_ * F.col("of_both") / F.col("of_entity") / F.greatest("of_term", "of_both"))
+    return both.where((F.col("around") >= support) & (bits > 0) & (tell >= disclosure * bits)).select("term").distinct()
 
 
 def find(documents: DataFrame, keep: list[str], window: int = WINDOW, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
@@ -174,13 +170,16 @@ def bracketed(span: Column) -> Column:
 
 
 def masked(text: Column, spans: Column, put: Callable[[Column], Column] = bracketed) -> Column:
-    """``text`` with each span replaced by its kind in brackets; spans that overlap become one, of the first one's kind."""
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        more = F.concat(acc["out"], F.array(gap, put(s)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], more).otherwise(acc["out"]).alias("out"))
-
-    done = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    """``text`` with each of the sorted spans replaced by its kind in brackets; spans that overlap become one, of the first one's kind."""
+
+    def replaced(spans: Column) -> Column:
+        # what the spans before a span cover ends at the greatest of their ends
+        reach = running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b), F.lit(0))
+        before = F.slice(F.concat(F.array(F.lit(0)), reach), F.lit(1), F.size(spans))
+        heads = F.filter(F.zip_with(before, spans, lambda at, s: F.struct(at.alias("at"), s.alias("s"))), lambda x: x["s"]["start"] >= x["at"])
+        whole = lambda piece: F.concat(
+            F.array_join(F.transform(heads, lambda x: F.concat(piece(x["at"], x["s"]["start"]), put(x["s"]))), ""), piece(F.element_at(reach, -1), F.length(text))
+        )
+        return cutter(text, whole)
+
+    return F.when(F.size(spans) > 0, let(spans, replaced)).otherwise(text)
