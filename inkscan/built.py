@@ -18,7 +18,7 @@ from inkscan.operators.catalog import catalog
 from inkscan.operators.code import looks_like_code
 from inkscan.operators.document import META
 from inkscan.plans import analyze
-from inkscan.plans.context import with_context
+from inkscan.plans.context import sentence_places, with_context
 from inkscan.sources import files
 from inkscan.sources.corpora import from_wide
 
@@ -362,7 +362,7 @@ def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/conversations.parquet").schema
     turns = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
     text = F.concat(F.coalesce("text", F.lit("")), F.lit(" Plain words follow."))
-    stream = turns.select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").cast("long").alias("at"), (F.col("turn") == 0).alias("fresh"), text.alias("text"))
+    stream = turns.select(F.col("conv_id").cast("string").alias("session_id"), F.timestamp_seconds(F.col("turn").cast("long") * 60).alias("at"), (F.col("turn") == 0).alias("fresh"), text.alias("text"))
     path = shared_path(spark, "versions")
     store_history(recheck_stream(stream), path, f"{path}-progress", once=True).awaitTermination()
     return spark.read.parquet(path).select("session_id", "version", F.col("score_before").isNotNull().alias("has_before"), (F.col("score") >= 0).alias("scored"))
@@ -387,7 +387,7 @@ def native_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def paragraph_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The number of sentences of each text, and where the last one ends, in code points."""
     ctx = with_context(_texts(spark, sf_dir))
-    places = findings.sentence_places(F.col("text"), F.col("sents"))
+    places = sentence_places(F.col("text"))
     return ctx.select("doc_id", F.size("sents").cast("long").alias("n"), F.try_element_at(places, F.lit(-1))["end"].cast("long").alias("last_end"))
 
 

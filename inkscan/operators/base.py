@@ -65,10 +65,23 @@ def let_result(detector: str, value: Column) -> Column:
 
 #: id -> a function that gives the detector's result column over the context's columns; replaced by a later registration.
 REGISTRY: dict[str, Callable[[], Column]] = {}
+#: Rules of detectors that were registered with a specification of their own, as those of ``rules.ADVICE``.
+ADDED_ADVICE: dict[str, list[tuple]] = {}
 
 
-def register(detector: str) -> Callable[[Callable[[], Column]], Callable[[], Column]]:
+def register(detector: str, spec: tuple | None = None, advice: list[tuple] | None = None) -> Callable[[Callable[[], Column]], Callable[[], Column]]:
+    """Registers a detector; plans built from then on have it.
+
+    A new one brings its ``spec``, a row as those of ``rules.DETECTORS``, and the rules that advise on it: (rule,
+    effort, usual gain, autofix).
+    """
+
     def put(f: Callable[[], Column]) -> Callable[[], Column]:
+        if spec is not None:
+            SPECS.update(specs_of([spec]))
+            ADDED_ADVICE[detector] = [(rule, detector, *rest) for rule, *rest in advice or []]
+        if detector not in SPECS:
+            raise ValueError(f"{detector} has no specification")
         REGISTRY[detector] = f
         return f
 
@@ -76,7 +89,19 @@ def register(detector: str) -> Callable[[Callable[[], Column]], Callable[[], Col
 
 
 def unregister(detector: str) -> None:
+    """Takes a detector out of plans that are built from then on, and what came with it."""
     REGISTRY.pop(detector, None)
+    if ADDED_ADVICE.pop(detector, None) is not None:
+        SPECS.pop(detector, None)
+
+
+def registered(kind: str) -> list[str]:
+    """The detectors of a kind, in the order of their specifications, as the registry stands."""
+    return [d for d, s in SPECS.items() if s.kind == kind and (d in REGISTRY or d == "P-01")]
+
+
+def advice_rules() -> list[tuple]:
+    return [*rules.ADVICE, *(a for added in ADDED_ADVICE.values() for a in added)]
 
 
 def by_lang(make: Callable[[str], Column]) -> Column:

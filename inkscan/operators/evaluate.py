@@ -6,52 +6,53 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkscan.functions.lineage import cut
 
-def ranged(df: DataFrame, order: list[str], parts: int = 64, most: int = 10_000) -> Column:
-    """A number that rises with ``order``: which of ``parts`` ranges a row is in, by a bounded sample.
 
-    The ranges only spread the rows; whatever follows must be right for any.
-    """
-    rows = df.select(*order).orderBy(F.xxhash64(*order)).limit(most).collect()
-    rows = sorted({tuple(r) for r in rows if None not in tuple(r)})
-    cuts = [rows[i * len(rows) // parts] for i in range(1, parts)] if len(rows) >= parts else rows[1:]
-    place = F.lit(0)
-    for c in sorted(set(cuts)):
-        after = F.lit(False)
-        for name, value in reversed(list(zip(order, c, strict=True))):
-            after = (F.col(name) > value) | ((F.col(name) == value) & (after if name != order[-1] else F.lit(True)))
-        place = place + F.coalesce(after, F.lit(False)).cast("int")
-    return place
+#: Rows of a range that one task orders, on average.
+RANGE_ROWS = 500_000
 
 
 def numbered(df: DataFrame, cell: list[str], order: list[str], amount: Column | None = None, name: str = "_place") -> DataFrame:
     """``df`` with the running count (or sum of ``amount``) of each cell before the row, by ``order``.
 
-    A cell is cut into ranges, so none is ordered in one task; sums per range are added up.
+    The rows are written once, dealt to ranges of (cell, order) whose number follows theirs, so no task orders more
+    than its share whatever a cell holds; sums per range and cell are added up.  Rows that tie in
+    ``order`` may come in any order.
     """
-    amount = F.lit(1) if amount is None else amount
-    df = df.withColumn("_range", ranged(df, order)).withColumn("_amount", amount)
-    sums = df.groupBy(*cell, "_range").agg(F.sum("_amount").alias("_sum"))
+    spark, amount = df.sparkSession, F.lit(1) if amount is None else amount
+    whole = cut(df.withColumn("_amount", amount))
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), whole.count() // RANGE_ROWS + 1)
+    dealt = cut(whole.repartitionByRange(ranges, *cell, *order).withColumn("_range", F.spark_partition_id()))
+    sums = dealt.groupBy(*cell, "_range").agg(F.sum("_amount").alias("_sum"))
     before = F.coalesce(F.sum("_sum").over(Window.partitionBy(*cell or [F.lit(0)]).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = sums.select(*(F.col(c).alias(f"_of_{c}") for c in cell), F.col("_range").alias("_its"), before.alias("_before"))  # ranges x cells
     same = F.col("_range") == F.col("_its")
     for c in cell:
         same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
     own = F.coalesce(F.sum("_amount").over(Window.partitionBy(*cell, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = df.withColumn("_own", own).join(sums, same).withColumn(name, F.col("_own") + F.col("_before"))
+    out = dealt.withColumn("_own", own).join(sums, same).withColumn(name, F.col("_own") + F.col("_before"))
     return out.drop("_range", "_amount", "_own", "_its", "_before", *(f"_of_{c}" for c in cell))
 
 
+def per_score(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
+    """(by, score, p, n): rows with and without the label per distinct score."""
+    return df.groupBy(*by, score).agg(F.sum(F.when(F.col(label), 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label), 0).otherwise(1)).alias("n"))
+
+
+def auc_of(counts: DataFrame, score: str, by: list[str]) -> DataFrame:
+    """(by, auc) from counts per score."""
+    wins = numbered(counts, by, [score], F.col("n"), "below").withColumn("wins", F.col("p") * (F.col("below") + F.col("n") / 2.0))
+    total = wins.groupBy(*by).agg(F.sum("wins").alias("wins"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    return total.select(*by, F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("wins") / (F.col("p") * F.col("n"))).otherwise(0.5).alias("auc"))
+
+
 def roc_auc(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
     """Mann-Whitney statistic, ties half, by counts per distinct score; 0.5 where a class is empty.
 
     Rows are first counted per score, so the ordering works on distinct scores and not on rows.
     """
-    by = by or []
-    counts = df.groupBy(*by, score).agg(F.sum(F.when(F.col(label), 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label), 0).otherwise(1)).alias("n"))
-    wins = numbered(counts, by, [score], F.col("n"), "below").withColumn("wins", F.col("p") * (F.col("below") + F.col("n") / 2.0))
-    total = wins.groupBy(*by).agg(F.sum("wins").alias("wins"), F.sum("p").alias("p"), F.sum("n").alias("n"))
-    return total.select(*by, F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("wins") / (F.col("p") * F.col("n"))).otherwise(0.5).alias("auc"))
+    return auc_of(per_score(df, score, label, by or []), score, by or [])
 
 
 def threshold_metrics(df: DataFrame, score: str, label: str, threshold: float, by: list[str] | None = None) -> DataFrame:
@@ -64,16 +65,31 @@ def threshold_metrics(df: DataFrame, score: str, label: str, threshold: float, b
     return n.select(*(by or []), F.when(F.col("neg") > 0, F.col("fp") / F.col("neg")).otherwise(0.0).alias("fpr"), tpr.alias("tpr"), f1.alias("f1"))
 
 
-def held_out_report(df: DataFrame, score: str, label: str, groups: list[str], threshold: float = 65) -> DataFrame:
-    """(grouping, member, n, auc, fpr, tpr) for every value of each of ``groups``, such as language and source family."""
-    out = None
-    for g in groups:
-        auc, rest = roc_auc(df, score, label, [g]), threshold_metrics(df, score, label, threshold, [g])
-        n = df.groupBy(F.col(g).alias("_own")).agg(F.count("*").alias("n"))
-        rows = auc.join(rest.withColumnRenamed(g, "_of"), F.col(g).eqNullSafe(F.col("_of"))).join(n, F.col(g).eqNullSafe(F.col("_own")))
-        rows = rows.select(F.lit(g).alias("grouping"), F.col(g).cast("string").alias("member"), "n", "auc", "fpr", "tpr")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+def held_out_report(df: DataFrame, score: str, label: str, groups: list[str | tuple[str, ...]], threshold: float = 65) -> DataFrame:
+    """(grouping, member, n, auc, fpr, tpr) for every value of each of ``groups``, such as language, source family, and both.
+
+    One pass over the rows counts them per score for all groupings at once; all figures follow from those counts.
+    The members of a grouping by several columns are joined by slashes, as is its name; a null member stays null.
+    """
+    sets = [(g,) if isinstance(g, str) else tuple(g) for g in groups]
+    columns = list(dict.fromkeys(c for g in sets for c in g))
+    yes = F.sum(F.when(F.col(label), 1).otherwise(0)).alias("p")
+    no = F.sum(F.when(F.col(label), 0).otherwise(1)).alias("n")
+    all_ = [*columns, score]
+    counted = df.groupingSets([[F.col(c) for c in (*g, score)] for g in sets], *(F.col(c) for c in all_)).agg(F.grouping_id(*all_).alias("_set"), yes, no)
+    grouping, member = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for g in sets:  # a bit per column that the set leaves out
+        code = sum(1 << (len(all_) - 1 - i) for i, c in enumerate(all_) if c not in (*g, score))
+        grouping = F.when(F.col("_set") == code, "/".join(g)).otherwise(grouping)
+        own = F.col(g[0]).cast("string") if len(g) == 1 else F.concat_ws("/", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in g))
+        member = F.when(F.col("_set") == code, own).otherwise(member)
+    counts = cut(counted.select(grouping.alias("grouping"), member.alias("member"), F.col(score).alias("_score"), "p", "n"))
+    hit, by = F.col("_score") >= threshold, ["grouping", "member"]
+    sums = counts.groupBy(*by).agg(F.sum("p").alias("pos"), F.sum("n").alias("neg"), F.sum(F.when(hit, F.col("p")).otherwise(0)).alias("tp"), F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("fp"))
+    share = lambda part, whole: F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(0.0)
+    auc = auc_of(counts, "_score", by).select(F.col("grouping").alias("_g"), F.col("member").alias("_m"), "auc")
+    rows = sums.join(auc, (F.col("grouping") == F.col("_g")) & F.col("member").eqNullSafe(F.col("_m")))
+    return rows.select(*by, (F.col("pos") + F.col("neg")).alias("n"), "auc", share("fp", "neg").alias("fpr"), share("tp", "pos").alias("tpr"))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, sample_weights: np.ndarray | None = None, l2: float = 0.02, rate: float = 0.5, epochs: int = 4000) -> tuple[float, np.ndarray]:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from inkscan import rules
-from inkscan.functions.regexlib import WS, count, cv, js, let, per1000, phrases
-from inkscan.operators.base import add_up, by_lang, let_result, register, result
+from inkscan.functions.regexlib import WS, count, cv, every, js, let, literal_heads, per1000, phrases, trie
+from inkscan.operators.base import by_lang, let_result, register, result
 
 # Stop words.
 STOP_WORDS = {
@@ -29,14 +31,33 @@ def marker_pattern(pattern: str) -> str:
     return js(rf"(?<![\p{{L}}])(?:{pattern})(?![\p{{L}}])", "i")
 
 
+def marker_index(lang: str) -> tuple[str, list[list[str]]]:
+    """A pattern that finds where any marker may begin, and per marker the beginnings of its phrases."""
+    heads = [sorted({h.lower() for h in literal_heads(p)}) for p, _, _ in rules.MARKERS[lang]]
+    # of beginnings within each other the shortest stands for all of them
+    every = sorted({h for own in heads for h in own})
+    short = {h: next(k for k in sorted(every, key=len) if h.startswith(k)) for h in every}
+    return f"(?iu)(?<!\\p{{L}})(?=({trie(sorted(set(short.values())))}))", [sorted({short[h] for h in own}) for own in heads]
+
+
+def with_markers(lang: str, each: Callable[[int, Column], Column], whole: Callable[[Column], Column]) -> Column:
+    """``whole`` of which markers may stand in the text: one pass finds their beginnings, and ``each`` marker is looked for only where its own is among them."""
+    pattern, heads = marker_index(lang)
+    found = F.array_distinct(F.transform(every(F.col("text"), pattern, 1), lambda h: F.lower(F.upper(h))))
+    return let(found, lambda f: whole(F.array(*(each(i, F.arrays_overlap(f, F.array(*map(F.lit, own)))) for i, own in enumerate(heads)))))
+
+
 def marker_weight(lang: str) -> Column:
     """Sum of the weights of all marker hits; markers count apart, so overlapping ones all do."""
-    any_of = "(?iu)(?<!\\p{L})(?:" + "|".join(js(p) for p, _, _ in rules.MARKERS[lang]) + ")"
-    by_weight: dict[float, list[Column]] = {}
-    for pattern, weight, _ in rules.MARKERS[lang]:
-        by_weight.setdefault(weight, []).append(count(F.col("text"), marker_pattern(pattern)))
-    # most texts hold none: one search for any of them says so
-    return F.when(F.col("text").rlike(any_of), add_up([add_up(hits) * weight for weight, hits in by_weight.items()])).otherwise(0.0)
+    listed = rules.MARKERS[lang]
+
+    def hits(i: int, may: Column) -> Column:
+        return F.when(may, count(F.col("text"), marker_pattern(listed[i][0])) * listed[i][1]).otherwise(0.0)
+
+    def added(weights: Column) -> Column:
+        return F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
+
+    return with_markers(lang, hits, added)
 
 
 @register("L-01")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.types import ArrayType, DoubleType
 
 from inkscan.functions.lineage import cut
@@ -35,10 +36,18 @@ def grams_of(text: Column, order: int = 3) -> Column:
     return let(characters, grams)
 
 
-def train(texts: DataFrame, column: str = "text", order: int = 3, min_count: int = 2) -> tuple[DataFrame, int]:
-    """(gram, n, context_n) of grams seen at least ``min_count`` times, and the size of the alphabet before pruning."""
-    counts = texts.select(F.explode(grams_of(F.col(column), order)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
-    counts = cut(counts)  # used twice
+def count_grams(texts: DataFrame, column: str = "text", order: int = 3) -> DataFrame:
+    """(gram, n) of all grams, unpruned: counts of two tables of texts add up to those of both."""
+    return texts.select(F.explode(grams_of(F.col(column), order)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+
+
+def added_up(counts: DataFrame) -> DataFrame:
+    """Counts of several batches as one."""
+    return counts.groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def model_of(counts: DataFrame, order: int = 3, min_count: int = 2) -> tuple[DataFrame, int]:
+    """(gram, n, context_n) of grams seen at least ``min_count`` times, and the size of the alphabet before pruning; ``counts`` are read twice."""
     alphabet = counts.select(F.explode(F.split("gram", "")).alias("c")).where("c <> ''").distinct().count()
     kept = counts.where(F.col("n") >= min_count)
     context = F.substring("gram", 1, order - 1)
@@ -46,6 +55,42 @@ def train(texts: DataFrame, column: str = "text", order: int = 3, min_count: int
     return kept.join(sums, context == F.col("context")).select("gram", "n", "context_n"), alphabet
 
 
+def train(texts: DataFrame, column: str = "text", order: int = 3, min_count: int = 2) -> tuple[DataFrame, int]:
+    """The model of a table of texts, and the size of its alphabet."""
+    return model_of(cut(count_grams(texts, column, order)), order, min_count)
+
+
+class GrowingModel:
+    """Unpruned counts of texts that arrive in batches, kept as a folder per batch; a model is read from their sum at any time.
+
+    A batch that is written again takes its own place, so a restarted stream counts nothing twice.  ``compact``
+    makes a folder of its own from the sum of those that are there.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, order: int = 3):
+        self.spark, self.path, self.order = spark, path.rstrip("/"), order
+
+    def add(self, texts: DataFrame, batch: str | int, column: str = "text") -> None:
+        count_grams(texts, column, self.order).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+
+    def counts(self) -> DataFrame:
+        """The sum of all batches."""
+        return added_up(self.spark.read.schema("gram string, n long, batch string").parquet(self.path))
+
+    def model(self, min_count: int = 2) -> tuple[DataFrame, int]:
+        return model_of(cut(self.counts()), self.order, min_count)
+
+    def grow(self, stream: DataFrame, checkpoint: str, column: str = "text", once: bool = False) -> StreamingQuery:
+        """Starts a query that adds every micro-batch of a stream of texts."""
+        writer = stream.writeStream.foreachBatch(lambda df, i: self.add(df, i, column)).option("checkpointLocation", checkpoint)
+        return (writer.trigger(availableNow=True) if once else writer).start()
+
+    def compact(self, to: str) -> GrowingModel:
+        """A model of its own under ``to``, whose first batch is the sum of this one's."""
+        self.counts().write.mode("overwrite").parquet(f"{to.rstrip('/')}/batch=sum")
+        return GrowingModel(self.spark, to, self.order)
+
+
 def cross_entropy(sentences: DataFrame, keys: list[str], model: DataFrame, alphabet: int, order: int = 3) -> DataFrame:
     """``keys`` and bits per gram.  The model has at most alphabet**3 rows; Spark sends it or shuffles it by its size."""
     grams = sentences.select(*keys, F.explode(grams_of(F.col("text"), order)).alias("gram")).withColumn("context", F.substring("gram", 1, order - 1))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkscan.operators import academic, code, document, image, lexical, rhythm, scoring, stats, structure, typography  # noqa: F401  (they register)
-from inkscan.operators.base import SPECS, as_rows, per_detector
+from inkscan.operators.base import SPECS, as_rows, per_detector, registered
 from inkscan.functions.regexlib import blank
 from inkscan.operators.code import looks_like_code, with_code_context
 from inkscan.operators.findings import evidence, marker_hints
@@ -28,11 +28,12 @@ def status(text: str = "text"):
     return F.when(F.coalesce(blank(F.col(text)), F.lit(True)), "empty").when(n > LONGEST, "too_long").otherwise("ok")
 
 
-def detect(df: DataFrame, keep: list[str], ids: list[str] = TEXT, model: tuple[DataFrame, int] | None = None) -> DataFrame:
+def detect(df: DataFrame, keep: list[str], ids: list[str] | None = None, model: tuple[DataFrame, int] | None = None) -> DataFrame:
     """``keep``, lang, text, sents and a result column per detector of the texts in ``text``.
 
     A parsed document's ``meta`` goes along; one of format md is markdown, where T-05 doesn't apply.
     """
+    ids = registered("text") if ids is None else ids
     extra = ["meta"] if "meta" in df.columns else []
     markdown = F.coalesce(F.col("meta.format") == "md", F.lit(False)) if extra else None
     out = with_context(df.select(*dict.fromkeys([*keep, "text"]), *extra), markdown=markdown)
@@ -41,7 +42,7 @@ def detect(df: DataFrame, keep: list[str], ids: list[str] = TEXT, model: tuple[D
         out = out.withColumn("P-01", none) if model is None else with_perplexity(out, *model)
     own = [d for d in ids if d != "P-01"]
     # families one after another, so no generated method grows too large
-    for family in ("T", "R", "L", "S", "B", "P", "D"):
+    for family in dict.fromkeys(d[0] for d in own):
         out = out.select("*", *per_detector([d for d in own if d[0] == family]))
     return out.select(*dict.fromkeys([*keep, "lang", "text", "sents", "mixed_share", *extra]), *(f"`{d}`" for d in ids))
 
@@ -67,11 +68,14 @@ def report(results: DataFrame, keep: list[str], ids: list[str], kind: str = "tex
     )
 
 
-def analyze(df: DataFrame, keep: list[str], ids: list[str] = TEXT, model: tuple[DataFrame, int] | None = None, proofs: bool = False) -> DataFrame:
+def analyze(df: DataFrame, keep: list[str], ids: list[str] | None = None, model: tuple[DataFrame, int] | None = None, proofs: bool = False) -> DataFrame:
     """Reports of the texts that can be analysed; the others are ``rejected``.  Without a model P-01 is not applicable.
 
+    ``ids`` are the detectors, by default all text detectors that are registered when the plan is built.
+
     With ``proofs`` a report also holds its findings (spans of the text) and a heat per sentence.
     """
+    ids = registered("text") if ids is None else ids
     results = detect(df.where(status() == "ok"), keep, ids, model)
     if not proofs:
         return report(results, keep, ids)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkscan.functions.regexlib import WORD, WS, every, js, trim
+from inkscan.functions.regexlib import WORD, WS, WS_CHARACTERS, every, js, let, running_sum, trim
 
 # Abbreviations after which a full stop ends no sentence.
 ABBREVIATIONS = "т е г гг др пр им см стр руб тыс млн млрд ул д с п mr mrs ms dr prof vs etc e i g eg ie inc ltd st no fig".split()
@@ -45,15 +45,49 @@ def sentences_of(paragraph: Column) -> Column:
     return F.transform(held, lambda s: F.struct(s.alias("text"), n_words_of(s).alias("n"), F.lower(F.regexp_extract(s, WORD, 0)).alias("first")))
 
 
+LINE_MARK = js(r"^\s*(?:[-*•–—]|\d+[.)]|\p{Extended_Pictographic})\s+|^#{1,6}\s", "m")
+
+
 def paragraphs_of(text: Column, has_blank: Column) -> Column:
     """Blocks between blank lines, or lines where there is no blank one; a block with list items or headings falls into lines."""
     by_blank = F.transform(F.split(text, rf"\n[{WS}]*\n", -1), trim)
-    line_mark = js(r"^\s*(?:[-*•–—]|\d+[.)]|\p{Extended_Pictographic})\s+|^#{1,6}\s", "m")
-    broken = F.flatten(F.transform(by_blank, lambda b: F.when(b.contains("\n") & b.rlike(line_mark), F.transform(F.split(b, "\n", -1), trim)).otherwise(F.array(b))))
+    broken = F.flatten(F.transform(by_blank, lambda b: F.when(b.contains("\n") & b.rlike(LINE_MARK), F.transform(F.split(b, "\n", -1), trim)).otherwise(F.array(b))))
     lines = F.transform(F.split(text, "\n", -1), trim)
     return F.filter(F.when(has_blank, broken).otherwise(lines), lambda p: p != "")
 
 
+def _placed(parts: Column, gaps: Column, at: Column) -> Column:
+    """(text, start) of the trimmed ``parts`` of a text that starts at ``at``, with ``gaps`` between them."""
+
+    def each(parts: Column) -> Column:
+        ends = running_sum(F.zip_with(parts, gaps, lambda p, g: F.length(p) + F.coalesce(g, F.lit(0))))
+        whole = F.zip_with(parts, F.zip_with(ends, gaps, lambda e, g: e - F.coalesce(g, F.lit(0))), lambda p, e: F.struct(p.alias("p"), (at + e - F.length(p)).alias("s")))
+        return F.transform(whole, lambda x: F.struct(trim(x["p"]).alias("text"), (x["s"] + F.length(x["p"]) - F.length(F.ltrim(x["p"], F.lit(WS_CHARACTERS)))).alias("start")))
+
+    return let(parts, each)
+
+
+def sentence_places(text: Column) -> Column:
+    """(start, end) of all sentences, in the order of the context's, in code points.
+
+    The text is cut as the context cuts it, and the lengths of pieces and of what lies between them are added up.
+    """
+    blank = rf"\n[{WS}]*\n"
+    ones = lambda parts: F.transform(parts, lambda _: F.lit(1))
+    lines = lambda p: _placed(F.split(p["text"], "\n", -1), ones(F.split(p["text"], "\n", -1)), p["start"])
+    whole = F.struct(text.alias("text"), F.lit(0).alias("start"))
+    blocks = _placed(F.split(text, blank, -1), F.transform(every(text, blank), F.length), F.lit(0))
+    broken = F.flatten(F.transform(blocks, lambda b: F.when(b["text"].contains("\n") & b["text"].rlike(LINE_MARK), lines(b)).otherwise(F.array(b))))
+    paragraphs = F.filter(F.when(text.rlike(blank), broken).otherwise(lines(whole)), lambda p: p["text"] != "")
+
+    def sentences(p: Column) -> Column:
+        pieces = F.split(F.regexp_replace(p["text"], SENTENCE_END, "$0" + MARK), MARK, -1)
+        held = F.filter(_placed(pieces, F.transform(pieces, lambda _: F.lit(0)), p["start"]), lambda s: s["text"].rlike(r"[\p{L}\p{N}]"))
+        return F.transform(held, lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(s["text"])).alias("end")))
+
+    return F.flatten(F.transform(paragraphs, sentences))
+
+
 def kind_of(paragraph: Column) -> Column:
     heading = ~paragraph.contains("\n") & paragraph.rlike(HEADING) & (n_words_of(paragraph) <= 10)
     return F.when(paragraph.rlike(LIST), "list").when(heading, "heading").otherwise("text")
