@@ -73,6 +73,11 @@ def escaped(phrase: str) -> str:
     return "".join("\\" + c if c in r".*+?^${}()|[]\-" else c for c in phrase)
 
 
+def sql(text: str) -> str:
+    """A string as SQL says it, for tables that are told as one expression."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def trie(listed: list[str]) -> str:
     """A pattern that matches the longest of the phrases at a place: their tree, letter by letter.
 
@@ -139,7 +144,7 @@ def count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
-def every(text: Column, pattern: str, group: int = 0) -> Column:
+def every(text: Column, pattern: str | Column, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
@@ -181,7 +186,7 @@ def running_sum_long(values: Column) -> Column:
     return running(values, lambda a, b: a + b, F.lit(0).cast("long"))
 
 
-def spans_of(text: Column, pattern: str) -> Column:
+def spans_of(text: Column, pattern: str | Column) -> Column:
     """(start, end, label) of every match, in code points.
 
     Gaps and matches alternate; ends are running sums over both.
@@ -224,6 +229,16 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def held(value: Column) -> Column:
+    """``value`` behind a bar: neither it nor a filter on what is made of it is copied into the plan below.
+
+    Spark pushes filters, also those that it adds itself under ``explode``, through projections and repeats what they
+    compute.  A condition that always holds, and that the optimizer takes for one that may change, keeps an
+    expensive column where it stands.  Filters on other columns stay above it as well.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def _mean(v: Column) -> Column:
     return F.when(F.size(v) > 0, F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.size(v)).otherwise(0.0)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -115,8 +116,24 @@ def add_up(columns: list[Column]) -> Column:
     return total
 
 
+#: Detectors' columns as built last: the context they were built in, the function, the column.  They name columns of the context and no table.
+_BUILT: dict[str, tuple] = {}
+
+
+def forget_columns() -> None:
+    """Columns are built anew: the tables of rules have changed."""
+    _BUILT.clear()
+
+
 def per_detector(ids: list[str]) -> list[Column]:
-    return [REGISTRY[d]().alias(d) for d in ids]
+    """Each detector's result column; a plan of all of them is thousands of calls, so a session builds each once."""
+    context, out = SparkContext._active_spark_context, []
+    for d in ids:
+        had = _BUILT.get(d)
+        if had is None or had[0] is not context or had[1] is not REGISTRY[d]:
+            had = _BUILT[d] = (context, REGISTRY[d], REGISTRY[d]())
+        out.append(had[2].alias(d))
+    return out
 
 
 def as_rows(ids: list[str]) -> Column:

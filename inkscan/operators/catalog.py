@@ -35,6 +35,7 @@ def using(**tables) -> Iterator[None]:
     def put(values: dict) -> None:
         for k, v in values.items():
             setattr(rules, k, v)
+        base.forget_columns()
 
     try:
         put(tables)

@@ -12,7 +12,6 @@ from inkscan import rules
 from inkscan.functions.regexlib import WS, cutter, let, running
 from inkscan.operators.base import SPECS, advice_rules
 from inkscan.operators.findings import NO_SPANS, with_markers_of
-from inkscan.operators.lexical import marker_pattern
 from inkscan.operators.normalize import normalize_text
 
 #: A name, with the digits and the kind (f or %) that a number is shown with.
@@ -109,11 +108,10 @@ OUT = ("remove", "удалить")
 def phrase_edits(lang: str) -> Column:
     """(start, end, label) of marker hits in ``text``, the label being what takes their place; markers whose first choice isn't a text have none."""
 
-    def edits(i: int, spans: Column) -> Column:
-        put = rules.MARKERS[lang][i][2][0]
-        if "…" in put:
-            return F.expr(NO_SPANS)
-        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("" if put in OUT else put).alias("label")))
+    def edits(marker: Column, spans: Column) -> Column:
+        first = F.element_at(marker["options"], 1)
+        put = F.when(first.isin(*OUT), "").otherwise(first)
+        return F.when(~first.contains("…"), F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), put.alias("label")))).otherwise(F.expr(NO_SPANS))
 
     return F.array_sort(with_markers_of(lang, edits))
 

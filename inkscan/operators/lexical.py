@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from inkscan import rules
-from inkscan.functions.regexlib import WS, count, cv, every, js, let, literal_heads, per1000, phrases, trie
+from inkscan.functions.regexlib import WS, count, cv, every, js, let, literal_heads, per1000, phrases, sql, trie
 from inkscan.operators.base import by_lang, let_result, register, result
 
 # Stop words.
@@ -40,24 +38,21 @@ def marker_index(lang: str) -> tuple[str, list[list[str]]]:
     return f"(?iu)(?<!\\p{{L}})(?=({trie(sorted(set(short.values())))}))", [sorted({short[h] for h in own}) for own in heads]
 
 
-def with_markers(lang: str, each: Callable[[int, Column], Column], whole: Callable[[Column], Column]) -> Column:
-    """``whole`` of which markers may stand in the text: one pass finds their beginnings, and ``each`` marker is looked for only where its own is among them."""
+def present_markers(lang: str) -> Column:
+    """(place, pattern, weight, options, heads) of the markers that may stand in ``text``: one pass finds where phrases begin, and only those are looked for."""
     pattern, heads = marker_index(lang)
+    rows = [
+        f"named_struct('place', {i}, 'pattern', {sql(marker_pattern(p))}, 'weight', {float(weight)}D, 'options', array({', '.join(map(sql, options))}), 'heads', array({', '.join(map(sql, own))}))"
+        for i, ((p, weight, options), own) in enumerate(zip(rules.MARKERS[lang], heads, strict=True))
+    ]
     found = F.array_distinct(F.transform(every(F.col("text"), pattern, 1), lambda h: F.lower(F.upper(h))))
-    return let(found, lambda f: whole(F.array(*(each(i, F.arrays_overlap(f, F.array(*map(F.lit, own)))) for i, own in enumerate(heads)))))
+    return let(found, lambda f: F.when(F.size(f) > 0, F.filter(F.expr(f"array({', '.join(rows)})"), lambda m: F.arrays_overlap(f, m["heads"]))))
 
 
 def marker_weight(lang: str) -> Column:
     """Sum of the weights of all marker hits; markers count apart, so overlapping ones all do."""
-    listed = rules.MARKERS[lang]
-
-    def hits(i: int, may: Column) -> Column:
-        return F.when(may, count(F.col("text"), marker_pattern(listed[i][0])) * listed[i][1]).otherwise(0.0)
-
-    def added(weights: Column) -> Column:
-        return F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
-
-    return with_markers(lang, hits, added)
+    added = F.aggregate(present_markers(lang), F.lit(0.0), lambda a, m: a + F.regexp_count(F.col("text"), m["pattern"]) * m["weight"])
+    return F.coalesce(added, F.lit(0.0))
 
 
 @register("L-01")

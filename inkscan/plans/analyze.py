@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkscan.operators import academic, code, document, image, lexical, rhythm, scoring, stats, structure, typography  # noqa: F401  (they register)
 from inkscan.operators.base import SPECS, as_rows, per_detector, registered
-from inkscan.functions.regexlib import blank
+from inkscan.functions.regexlib import blank, held
 from inkscan.operators.code import looks_like_code, with_code_context
 from inkscan.operators.findings import evidence, marker_hints
 from inkscan.operators.ngram import with_perplexity
@@ -55,16 +55,20 @@ def detector_rows(results: DataFrame, keep: list[str], ids: list[str]) -> DataFr
 def report(results: DataFrame, keep: list[str], ids: list[str], kind: str = "text", ui_lang: str = "en") -> DataFrame:
     """``keep``, score, verdict, confidence, categories, advice, metrics and warnings.
 
-    Advice on marker phrases holds what may stand in their place.
+    Advice on marker phrases holds what may stand in their place.  What the results give is computed once (``held``), so
+    the columns can be unnested and filtered; filters on ``keep`` belong before the analysis.
     """
     length = F.length("text") if kind in ("text", "document") else None
     warnings = F.array_compact(F.array(F.when(F.length("text") < 300, "short_text"))) if length is not None else F.array().cast("array<string>")
     none = F.expr("cast(array() as array<struct<phrase:string,options:array<string>>>)")
     hints = marker_hints(F.col("text"), ui_lang) if "L-01" in ids else none
-    scored = results.select("*", scoring.logit(ids, kind).alias("z")).select("*", scoring.as_score(F.col("z")).alias("score"))
+    said = F.when(F.col("`L-01`.score") >= 0.35, hints).otherwise(none) if "L-01" in ids else none
+    scored = results.select("*", held(scoring.logit(ids, kind)).alias("z"), held(scoring.rows_of(ids, kind, ui_lang)).alias("_rows"), said.alias("_hints")).select("*", scoring.as_score(F.col("z")).alias("score"))
+    rows = F.col("_rows")
+    advised = F.transform(scoring.advice(rows, F.col("z")), lambda a: a.withField("hints", F.when(a["rule"] == "L-01.markers", F.col("_hints")).otherwise(none)))
     return scored.select(
-        *keep, "score", scoring.verdict(F.col("score")).alias("verdict"), scoring.confidence(ids, kind, length).alias("confidence"),
-        scoring.categories(ids).alias("categories"), F.transform(scoring.advice(ids, kind, F.col("z")), lambda a: a.withField("hints", F.when(a["rule"] == "L-01.markers", hints).otherwise(none))).alias("advice"), scoring.metrics(ids, ui_lang).alias("metrics"), warnings.alias("warnings"),
+        *keep, "score", scoring.verdict(F.col("score")).alias("verdict"), scoring.confidence(rows, kind, length).alias("confidence"),
+        scoring.categories(rows).alias("categories"), advised.alias("advice"), scoring.metrics(rows).alias("metrics"), warnings.alias("warnings"),
     )
 
 

@@ -4,6 +4,7 @@ import json
 import random
 import re
 import time
+from datetime import datetime
 
 import numpy as np
 import pytest
@@ -15,6 +16,7 @@ from inkscan.operators import base, edits, evaluate, findings, lexical, logistic
 from inkscan.plans import analyze
 from inkscan.plans.context import sentence_places, with_context
 from inkscan.sources import json_array
+from inkscan.streaming.sessions import recheck_stream
 
 SF = "/root/testdata/sf0.01"
 MARKED = "It is crucial to delve into the vibrant tapestry of ideas — in conclusion, it's worth noting a myriad of robust things. DELVES! Важно отметить, что в целом ключевых аспектов нет; следует учитывать уникальность. "
@@ -242,3 +244,49 @@ def test_growing_model(spark, tmp_path):
     half.select("text").where("not n").write.mode("append").parquet(f"{tmp_path}/in")
     stream.grow(spark.readStream.schema("text string").parquet(f"{tmp_path}/in"), f"{tmp_path}/cp", once=True).awaitTermination()
     assert sorted(map(tuple, stream.model(3)[0].collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_sessions_late_rows_and_expiry(spark, tmp_path):
+    marked = "It is crucial to delve into the vibrant tapestry of robust realms. " * 10
+    plain = "I went home yesterday. Huh! My dog (a big one) ate it... Why? Nobody knows, honestly, we tried. " * 10
+    at = lambda h, m=0: datetime(2024, 5, 1, h, m)
+    (tmp_path / "in").mkdir()
+    schema = "session_id string, at timestamp, fresh boolean, text string"
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").json(f"{tmp_path}/in")
+    query = recheck_stream(stream, "1 hour", "1 hour").writeStream.format("memory").queryName("late_versions").option("checkpointLocation", f"{tmp_path}/cp").start()
+    batches = [
+        [("s", at(10), True, marked), ("t", at(10), True, plain)],
+        [("s", at(10, 30), False, plain)],
+        [("s", at(10, 10), False, plain), ("t", at(9, 50), False, marked)],  # late, but not too late
+        [("u", at(14), True, plain)],  # the watermark is at 13:00: s and t end
+        [("s", at(10, 40), False, marked), ("u", at(14, 1), False, marked)],  # the first is too late
+        [("s", at(14, 10), False, marked)],
+    ]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.json(f"{tmp_path}/in/{i}")
+        query.processAllAvailable()
+    query.stop()
+    rows = {(r.session_id, r.at.replace(tzinfo=None)): r for r in spark.table("late_versions").collect()}
+    assert len(rows) == 8 and ("s", at(10, 40)) not in rows
+    assert rows["s", at(10, 30)].version == 2 and rows["s", at(10, 30)].score_before == rows["s", at(10)].score and "L-01" in rows["s", at(10, 30)].closed.split(",")
+    # a late version is held against the one before it in time, and is not the newest
+    assert rows["s", at(10, 10)].version == 3 and rows["s", at(10, 10)].score_before == rows["s", at(10)].score
+    assert rows["t", at(9, 50)].score_before is None and rows["t", at(9, 50)].closed == ""
+    # an ended session begins anew
+    assert rows["s", at(14, 10)].version == 1 and rows["s", at(14, 10)].score_before is None
+    assert rows["u", at(14, 1)].version == 2 and "L-01" in rows["u", at(14, 1)].opened.split(",")
+
+
+def test_reports_unnest(spark):
+    """Advice, categories and metrics as rows, and filters on what was computed, cost no more than the reports."""
+    df = spark.createDataFrame([(i, MARKED * 3 + "plain " * i) for i in range(3)], "id int, text string")
+    reports = analyze.analyze(df, ["id"])
+    whole = {r.id: r for r in reports.collect()}
+    began = time.time()
+    advice = reports.select("id", F.explode("advice").alias("a")).select("id", "a.rule", "a.detectors", "a.gain").where("gain > 0").collect()
+    assert sorted((r.id, r.rule) for r in advice) == sorted((i, a.rule) for i, r in whole.items() for a in r.advice if a.gain > 0)
+    assert reports.where("score > 0").select(F.explode("metrics").alias("m")).select("m.detector").count() == sum(len(r.metrics) for r in whole.values())
+    assert time.time() - began < 20
+    began = time.time()
+    analyze.analyze(df, ["id"])  # its columns are built by now
+    assert time.time() - began < 5
