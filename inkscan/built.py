@@ -91,27 +91,37 @@ def _joined(items, *parts):
     return F.array_join(F.transform(items, lambda x: F.concat_ws("/", *(p(x) for p in parts))), ",")
 
 
-def _thousandths(x):
-    return F.floor(x * 1000 + 0.5).cast("string")
-
-
 def _five(df: DataFrame) -> DataFrame:
     return analyze.analyze(df, ["doc_id"], FIVE)
 
 
-@query
-def five_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole reports by five detectors: score, confidence, categories, advice with a combination, and metrics."""
-    r = _five(_texts(spark, sf_dir))
-    advice = lambda items: _joined(items, lambda a: a["rule"], lambda a: a["severity"], lambda a: a["effort"].cast("string"), lambda a: _thousandths(a["gain"]), lambda a: _thousandths(a["priority"]), lambda a: F.array_join(a["detectors"], "+"))
+def _told(r: DataFrame, units: float = 1000.0, scores: bool = True) -> DataFrame:
+    """A report's columns as text; gains and priorities in whole parts of 1, of which there are ``units``; categories with or without their scores."""
+    parts = lambda x: F.floor(x * units + 0.5).cast("string")
+    advice = lambda items: _joined(items, lambda a: a["rule"], lambda a: a["severity"], lambda a: a["effort"].cast("string"), lambda a: parts(a["gain"]), lambda a: parts(a["priority"]), lambda a: F.array_join(a["detectors"], "+"))
     return r.select(
         "doc_id", "score", "verdict", F.col("confidence.value").alias("confidence"), F.col("confidence.level").alias("level"), F.array_join("confidence.reasons", ",").alias("reasons"),
-        _joined(F.col("categories"), lambda c: c["category"], lambda c: c["score"].cast("string"), lambda c: F.array_join(c["detectors"], "+")).alias("categories"),
+        _joined(F.col("categories"), lambda c: c["category"], *([lambda c: c["score"].cast("string")] if scores else []), lambda c: F.array_join(c["detectors"], "+")).alias("categories"),
         advice(F.col("advice")).alias("advice"), F.array_join(F.transform(scoring.top_advice(F.col("advice"), 2), lambda a: a["rule"]), ",").alias("top_advice"),
         _joined(F.col("metrics"), lambda m: m["detector"], lambda m: m["inside"].cast("string")).alias("metrics"), F.array_join("warnings", ",").alias("warnings"),
     )
 
 
+@query
+def five_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole reports by five detectors: score, confidence, categories, advice with a combination, and metrics."""
+    return _told(_five(_texts(spark, sf_dir)))
+
+
+@query
+def native_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole reports by all text detectors that SQL has a form of (all but P-02), with a model trained on the texts."""
+    from inkscan.operators import ngram
+
+    df, ids = _texts(spark, sf_dir), [d for d in analyze.TEXT if d != "P-02"]
+    return _told(analyze.analyze(df, ["doc_id"], ids, ngram.train(df, min_count=3)), 1e6, scores=False)
+
+
 @query
 def five_recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the added passage changes in those reports."""
@@ -355,7 +365,7 @@ def bias_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation as a session of a stream, every turn as a version; the state tells which have one before them."""
+    """Every conversation as a session of a stream, every turn, a minute after the one before it, as a version: what five detectors find, and what changed."""
     from inkscan.functions.lineage import shared_path
     from inkscan.streaming.sessions import recheck_stream, store_history
 
@@ -364,8 +374,8 @@ def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.coalesce("text", F.lit("")), F.lit(" Plain words follow."))
     stream = turns.select(F.col("conv_id").cast("string").alias("session_id"), F.timestamp_seconds(F.col("turn").cast("long") * 60).alias("at"), (F.col("turn") == 0).alias("fresh"), text.alias("text"))
     path = shared_path(spark, "versions")
-    store_history(recheck_stream(stream), path, f"{path}-progress", once=True).awaitTermination()
-    return spark.read.parquet(path).select("session_id", "version", F.col("score_before").isNotNull().alias("has_before"), (F.col("score") >= 0).alias("scored"))
+    store_history(recheck_stream(stream, ids=FIVE), path, f"{path}-progress", once=True).awaitTermination()
+    return spark.read.parquet(path).select("session_id", "version", "score", "score_before", "closed", "opened")
 
 
 @query

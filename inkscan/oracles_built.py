@@ -6,6 +6,7 @@ from inkscan import built, rules
 from inkscan.operators.base import SPECS
 from inkscan.operators.typography import YO_WORDS
 from inkscan.oracles import EN, ORACLES, WORD, _list, _markers, context, count, docs, phrases, q, scored
+from inkscan.oracles_features import FEATURES
 from inkscan.queries import ADDED, CODE_ADDED
 
 FIVE = {"R-01": "r01", "R-02": "r02", "R-03": "r03", "T-03": "t03", "L-05": "l05"}
@@ -18,27 +19,36 @@ def _with(sql: str, add: str) -> str:
     return sql.replace(", 6)::DOUBLE", ", 15)::DOUBLE")
 
 
-def _five(add: str, p: str) -> str:
-    """CTEs {p}s: per document n, and v, k, s (value, applicable, score) of the five, z and score; {p}items: advice; all with prefix p."""
-    ids = list(FIVE)
-    w = rules.TEXT_WEIGHTS
-    parts = ", ".join(f"{p}{name} AS ({_with(ORACLES[name], add)})" for name in FIVE.values())
-    columns = ", ".join(f"{p}{n}.value AS v{i}, {p}{n}.applicable AS k{i}, {p}{n}.score AS s{i}" for i, n in enumerate(FIVE.values()))
-    joins = " ".join(f"JOIN {p}{n} USING (doc_id)" for n in FIVE.values())
+def _five(add: str, p: str, sqls: dict[str, str] | None = None) -> str:
+    """CTEs {p}s: per document n, and v, k, s (value, applicable, score) of the detectors, z and score; {p}items: advice; all with prefix p.
+
+    ``sqls`` are the detectors' oracles over the texts with ``add``, by default those of the five.
+    """
+    sqls = sqls or {d: _with(ORACLES[name], add) for d, name in FIVE.items()}
+    ids, names = list(sqls), [d.replace("-", "").lower() for d in sqls]
+    w = {d: rules.TEXT_WEIGHTS.get(d, SPECS[d].weight) for d in ids}
+    parts = ", ".join(f"{p}{name} AS ({sql})" for name, sql in zip(names, sqls.values(), strict=True))
+    columns = ", ".join(f"{p}{n}.value AS v{i}, {p}{n}.applicable AS k{i}, {p}{n}.score AS s{i}" for i, n in enumerate(names))
+    joins = " ".join(f"JOIN {p}{n} USING (doc_id)" for n in names)
     z = f"({rules.TEXT_BIAS}::DOUBLE" + "".join(f" + s{i} * {w[d]}::DOUBLE" for i, d in enumerate(ids)) + ")"
     sc = lambda x: f"(floor(1.0::DOUBLE / (1.0::DOUBLE + exp(-({x}))) * 1000.0::DOUBLE + 0.5::DOUBLE) / 10.0::DOUBLE)"
     gain = lambda less: f"greatest(0.0::DOUBLE, floor((score - {sc(f'z - ({less})')}) * 10.0::DOUBLE + 0.5::DOUBLE) / 10.0::DOUBLE)"
     fired = lambda i: f"(k{i} AND s{i} >= 0.35)"
-    members = [ids.index(d) for d in ("R-01", "R-03")]
-    even = " AND ".join(fired(i) for i in members)
-    items = []
+    items, combined = [], {}
+    for k, (rule, listed, least, effort) in enumerate(rules.COMBOS):
+        members = [ids.index(d) for d in listed if d in ids]
+        if not members:
+            continue
+        holds = f"({' + '.join(f'{fired(i)}::INT' for i in members)}) >= {least}"
+        combined |= {i: holds for i in members}
+        all_ = " + ".join(f"CASE WHEN {fired(i)} THEN s{i} * {w[ids[i]]}::DOUBLE ELSE 0.0::DOUBLE END" for i in members)
+        who = "concat_ws('+', " + ", ".join(f"CASE WHEN {fired(i)} THEN '{ids[i]}' END" for i in sorted(members)) + ")"
+        items.append(f"SELECT doc_id, '{rule}' AS rule, CASE WHEN {' OR '.join(f'({fired(i)} AND s{i} >= 0.75)' for i in members)} THEN 'high' ELSE 'medium' END AS sev, {effort} AS effort, {gain(all_)} AS gain, {1000 + k} AS place, {who} AS det, '{rule}' AS id FROM {p}s WHERE {holds}")
     for i, d in enumerate(ids):
         rule, _, effort, usual, _ = USUAL[d]
-        held = f"{fired(i)}" + (f" AND NOT ({even})" if i in members else "")
+        held = f"{fired(i)}" + (f" AND NOT ({combined[i]})" if i in combined else "")
         g = gain(f"s{i} * {w[d]}::DOUBLE")
         items.append(f"SELECT doc_id, '{rule}' AS rule, CASE WHEN s{i} >= 0.75 THEN 'high' WHEN s{i} >= 0.5 THEN 'medium' ELSE 'low' END AS sev, {effort} AS effort, CASE WHEN {g} > 0 THEN {g} ELSE s{i} * {usual}::DOUBLE / 4 END AS gain, {i} AS place, '{d}' AS det, '{d}' AS id FROM {p}s WHERE {held}")
-    both = " + ".join(f"s{i} * {w[ids[i]]}::DOUBLE" for i in members)
-    items.append(f"SELECT doc_id, 'combo.too_even', CASE WHEN {' OR '.join(f's{i} >= 0.75' for i in members)} THEN 'high' ELSE 'medium' END, 3, {gain(both)}, 1000, 'R-01+R-03', 'combo.too_even' FROM {p}s WHERE {even}")
     return f"""{parts},
 {p}t AS (SELECT doc_id, length(text) AS n, coalesce(text, '') AS text FROM ({docs_sql(add)})),
 {p}x AS (SELECT doc_id, n, {columns} FROM {p}t {joins} WHERE regexp_matches(text, '\\S') AND n <= 100000),
@@ -52,8 +62,8 @@ def docs_sql(add: str) -> str:
     return f"SELECT doc_id, coalesce(text, '') || {q(add)} AS text FROM documents"
 
 
-def five_report() -> str:
-    ids = list(FIVE)
+def five_report(sqls: dict[str, str] | None = None, units: float = 1000.0, scores: bool = True) -> str:
+    ids = list(sqls or FIVE)
     at = {d: i for i, d in enumerate(ids)}
 
     def category(name: str) -> str:
@@ -61,14 +71,15 @@ def five_report() -> str:
         weight = " + ".join(f"CASE WHEN k{at[d]} THEN {SPECS[d].weight}::DOUBLE ELSE 0.0 END" for d in own)
         total = " + ".join(f"CASE WHEN k{at[d]} THEN s{at[d]} * {SPECS[d].weight}::DOUBLE ELSE 0.0 END" for d in own)
         names = "concat_ws('+', " + ", ".join(f"CASE WHEN k{at[d]} THEN '{d}' END" for d in own) + ")"
-        return f"CASE WHEN {' OR '.join(f'k{at[d]}' for d in own)} THEN '{name}/' || floor(({total}) / ({weight}) * 100.0::DOUBLE + 0.5::DOUBLE)::BIGINT || '/' || {names} END"
+        shown = f"floor(({total}) / ({weight}) * 100.0::DOUBLE + 0.5::DOUBLE)::BIGINT || '/' || " if scores else ""
+        return f"CASE WHEN {' OR '.join(f'k{at[d]}' for d in own)} THEN '{name}/' || {shown}{names} END"
 
     present = [c for c in rules.CATEGORIES if any(SPECS[d].category == c for d in ids)]
     active = " + ".join("(" + " OR ".join(f"(k{at[d]} AND s{at[d]} >= 0.5)" for d in ids if SPECS[d].category == c) + ")::INT" for c in present)
     metrics = ", ".join(f"CASE WHEN k{at[d]} THEN '{d}/' || (v{at[d]} >= {SPECS[d].corridor['en'][0]} AND v{at[d]} <= {SPECS[d].corridor['en'][1]})::VARCHAR END" for d in ids)
-    milli = lambda x: f"floor({x} * 1000.0::DOUBLE + 0.5::DOUBLE)::BIGINT"
+    milli = lambda x: f"floor({x} * {units}::DOUBLE + 0.5::DOUBLE)::BIGINT"
     line = f"rule || '/' || sev || '/' || effort || '/' || {milli('gain')} || '/' || {milli('priority')} || '/' || det"
-    return f"""WITH {_five('', 'b_')},
+    return f"""WITH {_five('', 'b_', sqls)},
 a AS (SELECT doc_id, string_agg({line}, ',' ORDER BY priority DESC, gain DESC, place) AS advice, array_to_string(list(rule ORDER BY priority DESC, gain DESC, place)[1:2], ',') AS top FROM b_items GROUP BY doc_id),
 c AS (SELECT *, {active} AS active, least(n / 2000.0::DOUBLE, CASE WHEN n < 300 THEN 0.2::DOUBLE ELSE 1.0::DOUBLE END) AS by_length FROM b_s),
 d AS (SELECT *, by_length * 0.6::DOUBLE + least(1.0::DOUBLE, 0.4::DOUBLE + active * 0.15::DOUBLE) * 0.4::DOUBLE AS value FROM c)
@@ -80,11 +91,11 @@ SELECT doc_id, score, CASE WHEN score < 35 THEN 'human' WHEN score < 65 THEN 'mi
 FROM d LEFT JOIN a USING (doc_id)"""
 
 
-def five_recheck() -> str:
-    moved = " + ".join(f"(b.k{i} AND a.k{i} AND abs(a.v{i} - b.v{i}) > 1e-9)::INT" for i in range(len(FIVE)))
+def five_recheck(before: dict[str, str] | None = None, after: dict[str, str] | None = None) -> str:
+    moved = " + ".join(f"(b.k{i} AND a.k{i} AND abs(a.v{i} - b.v{i}) > 1e-9)::INT" for i in range(len(before or FIVE)))
     ids = lambda p: f"{p}ids AS (SELECT doc_id, list(id) AS ids FROM {p}items GROUP BY doc_id)"
     joined = lambda keep: f"array_to_string(list_sort(list_filter({keep[0]}, lambda x: {keep[1]}list_contains({keep[2]}, x))), ',')"
-    return f"""WITH {_five('', 'b_')}, {_five(ADDED, 'a_')}, {ids('b_')}, {ids('a_')},
+    return f"""WITH {_five('', 'b_', before)}, {_five(ADDED, 'a_', after)}, {ids('b_')}, {ids('a_')},
 p AS (SELECT b.doc_id, b.score AS score_before, a.score AS score_after, coalesce(x.ids, []) AS was, coalesce(y.ids, []) AS now, {moved} AS moved
   FROM b_s b JOIN a_s a USING (doc_id) LEFT JOIN b_ids x USING (doc_id) LEFT JOIN a_ids y USING (doc_id))
 SELECT doc_id, score_before, score_after, {joined(('was', 'NOT ', 'now'))} AS closed, {joined(('now', 'NOT ', 'was'))} AS opened, {joined(('was', '', 'now'))} AS remaining, moved::BIGINT AS n_moved FROM p"""
@@ -215,7 +226,6 @@ LEFT JOIN (SELECT p.{g} AS m, {auc} AS auc FROM l p JOIN l n ON p.{g} IS NOT DIS
     wide = lambda name, text: rf"SELECT doc_id::VARCHAR AS source, 'en' AS lang, {str(name != 'human').lower()} AS ai, '{name}' AS model, md5(regexp_replace({text}, '^\s+|\s+$', '', 'g')) AS text_md5 FROM documents"
     out["wide_corpus"] = " UNION ALL ".join([wide("human", "text"), wide("m1", "'m1 ' || text"), wide("m2", "text || ' m2'")])
     out["bias_rule"] = "WITH z AS (SELECT lang, ln(n_chars + 1.0::DOUBLE) AS z FROM documents JOIN labels USING (doc_id) WHERE quality = 1), r AS (SELECT lang, z, row_number() OVER (PARTITION BY lang ORDER BY z) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM z) SELECT lang, round(least(1.0::DOUBLE, ln(65.0::DOUBLE / 35.0::DOUBLE) - z), 6)::DOUBLE AS bias FROM r WHERE i = floor(n * 0.95::DOUBLE)"
-    out["session_stream"] = "SELECT conv_id::VARCHAR AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS version, turn <> min(turn) OVER (PARTITION BY conv_id) AS has_before, true AS scored FROM conversations"
     advised = lambda d: ",".join(a[0] for a in rules.ADVICE if a[1] == d)
     rows = ", ".join(f"({q(d[0])}, {q(d[1])}, {q(d[2])}, {float(d[3])}::DOUBLE, {q(d[4])}, {q(d[5])}, {q(advised(d[0]))})" for d in rules.DETECTORS)
     out["rules_catalog"] = f"SELECT * FROM (VALUES {rows}) t(id, category, kind, weight, metric, direction, rules)"
@@ -226,13 +236,21 @@ LEFT JOIN (SELECT p.{g} AS m, {auc} AS auc FROM l p JOIN l n ON p.{g} IS NOT DIS
     plain = {d: ORACLES.get(d.replace("-", "").lower()) for d in SPECS if SPECS[d].kind == "text" and d != "P-02"}
     plain |= {"P-01": out["p01"], "S-08": out["s08"], "S-04": out["s04_lists"].replace(q(built.LISTED), "''"), "L-07": out["l07_said"].replace(q(built.SAID), "''"), "B-01": scored("B-01", docs(), "docs", "0", "false")}
     added = [q(x) for x in (ADDED, " pаypаl sοund plain", " a​b c­d", " **bold** and `code` and [a](b)")]
-    rows = []
-    for d, sql in plain.items():
+    for d in plain:
         for x in added:
-            sql = sql.replace(f"|| {x} AS text", "|| '' AS text")
-        rows.append(f"SELECT doc_id, '{d}' AS id, '{SPECS[d].category}' AS category, value, applicable, score FROM ({sql})")
+            plain[d] = plain[d].replace(f"|| {x} AS text", "|| '' AS text")
+    rows = [f"SELECT doc_id, '{d}' AS id, '{SPECS[d].category}' AS category, value, applicable, score FROM ({sql})" for d, sql in plain.items()]
     out["native_rows"] = " UNION ALL ".join(rows)
+    exact = {d: sql.replace(", 6)::DOUBLE", ", 15)::DOUBLE") for d, sql in plain.items()}
+    out["native_reports"] = five_report(exact, 1e6, scores=False)
+    turns = "documents AS (SELECT row_number() OVER (ORDER BY conv_id, turn) AS doc_id, conv_id, turn, coalesce(text, '') || ' Plain words follow.' AS text FROM conversations)"
+    out["session_stream"] = f"""WITH {turns}, {_five('', 'b_')}, ids AS (SELECT doc_id, list(id) AS ids FROM b_items GROUP BY doc_id),
+v AS (SELECT doc_id, conv_id, turn, score, coalesce(ids, []) AS now, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS version FROM b_s JOIN documents USING (doc_id) LEFT JOIN ids USING (doc_id)),
+p AS (SELECT *, lag(score) OVER w AS score_before, lag(now) OVER w AS was FROM v WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id::VARCHAR AS session_id, version, score, CASE WHEN turn <> 0 THEN score_before END AS score_before,
+  CASE WHEN turn = 0 OR was IS NULL THEN '' ELSE array_to_string(list_sort(list_filter(was, lambda x: NOT list_contains(now, x))), ',') END AS closed,
+  CASE WHEN turn = 0 OR was IS NULL THEN '' ELSE array_to_string(list_sort(list_filter(now, lambda x: NOT list_contains(was, x))), ',') END AS opened FROM p"""
     return out
 
 
-ALL = {**ORACLES, **build()}
+ALL = {**ORACLES, **build(), **FEATURES}

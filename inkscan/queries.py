@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkscan import built
+from inkscan import built, features
 from inkscan.operators import evaluate, ngram, scoring
 from inkscan.operators import findings as evidence
 from inkscan.operators.base import REGISTRY
@@ -29,10 +29,13 @@ CODE_ADDED = "\n# Example usage:\nimport os\ndef load_items(first_name, other):\
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; one of fewer files than cores is dealt out, as a small file comes in one piece."""
+    """A table.  Its splits are the session's (``spark.sql.files.maxPartitionBytes``); no text is shuffled to spread it.
+
+    A table of one small file would come in one piece, so a local session deals it out.
+    """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+    local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+    return df.repartition(spark.sparkContext.defaultParallelism) if local and df.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism else df
 
 
 def texts(spark: SparkSession, sf_dir: str, add: str = "") -> DataFrame:
@@ -223,4 +226,5 @@ QUERIES: dict[str, Query] = {
     "calibration": calibration,
     "labels_long": labels_long,
     **built.QUERIES,
+    **features.QUERIES,
 }

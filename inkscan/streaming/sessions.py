@@ -67,7 +67,7 @@ class Sessions(StatefulProcessor):
         pass
 
 
-def recheck_stream(stream: DataFrame, late: str = LATE, idle: str = IDLE) -> DataFrame:
+def recheck_stream(stream: DataFrame, late: str = LATE, idle: str = IDLE, ids: list[str] | None = None) -> DataFrame:
     """(session_id, at, fresh, text) in; per version its score, the one before, and findings closed, opened and remaining.
 
     ``at`` is a timestamp.  Versions that are later than ``late`` behind the latest one are dropped; within that a late version
@@ -79,7 +79,7 @@ def recheck_stream(stream: DataFrame, late: str = LATE, idle: str = IDLE) -> Dat
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     idle_ms = spark.sql(f"select unix_millis(timestamp_seconds(0) + interval {idle})").first()[0]
-    scored = analyze(stream, ["session_id", "at", "fresh"]).select("session_id", "at", "fresh", "score", F.array_join(fired(F.col("advice")), ",").alias("fired"))
+    scored = analyze(stream, ["session_id", "at", "fresh"], ids).select("session_id", "at", "fresh", "score", F.array_join(fired(F.col("advice")), ",").alias("fired"))
     keyed = scored.withWatermark("at", late).groupBy("session_id")
     return keyed.transformWithStateInPandas(Sessions(idle_ms), OUTPUT, "Append", "EventTime")
 
