@@ -1,6 +1,6 @@
 """Embedding near-duplicates by int8 tile products with rigorous bounds.
 
-Unit vectors are quantised to int8 with a scale each.  For x = a*q + r the product of two vectors
+Rows of equal vectors (up to powers of two) are one vector with a count, so copies cost nothing.  Unit vectors are quantised to int8 with a scale each.  For x = a*q + r the product of two vectors
 differs from that of the quantised ones by at most |aq||r'| + |r||a'q'| + |r||r'|, norms that are
 stored with each vector.
 
@@ -44,11 +44,10 @@ def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 
 class Tile:
-    """The quantised vectors of a tile, with the ids of their rows."""
+    """The quantised vectors of a tile, with their numbers and how many rows each stands for."""
 
-    def __init__(self, code: int, ids: bytes, codes: bytes, norms: bytes):
-        self.ids = np.frombuffer(ids, dtype="<i8")
-        self.rows = (np.int64(code) << 20) + np.arange(len(self.ids))
+    def __init__(self, ids: bytes, codes: bytes, norms: bytes, copies: bytes):
+        self.ids, self.copies = np.frombuffer(ids, dtype="<i8"), np.frombuffer(copies, dtype="<i8")
         self.codes = np.frombuffer(codes, dtype=np.int8).reshape(len(self.ids), -1)
         self.scale, self.length, self.error = np.frombuffer(norms, dtype="<f8").reshape(3, -1)
 
@@ -106,26 +105,26 @@ def _numbers(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def _pack(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per tile: ids, codes, norms, and apart from them the doubles."""
+    """One row per tile: numbers, codes, norms, counts, and apart from them the doubles."""
     dim, tile = key[0].as_py(), key[1].as_py()
     table = pa.Table.from_batches(list(batches))
     vectors = _numbers(table.column("v"), dim)
     codes, *norms = quantise(vectors / np.linalg.norm(vectors, axis=1)[:, None])
-    blobs = [table.column("id").to_numpy().astype("<i8"), codes, np.stack(norms).astype("<f8"), vectors]
-    yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([tile], pa.int64()), *(pa.array([b.tobytes()], pa.binary()) for b in blobs)], names=["dim", "tile", "ids", "codes", "norms", "raw"])
+    blobs = [table.column("id").to_numpy().astype("<i8"), codes, np.stack(norms).astype("<f8"), table.column("copies").to_numpy().astype("<i8"), vectors]
+    yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([tile], pa.int64()), *(pa.array([b.tobytes()], pa.binary()) for b in blobs)], names=["dim", "tile", "ids", "codes", "norms", "copies", "raw"])
 
 
-FOUND = "dim int, low long, high long, row long, id long, links long, to long, mine binary, other binary"
+FOUND = "dim int, low long, high long, id long, links long, to long, mine binary, other binary"
 
 
-def _found(dim: int, low: int, high: int, rows: np.ndarray, ids: np.ndarray, a: np.ndarray, b: np.ndarray, doubt: tuple[bytes, bytes] | None = None) -> Iterator[pa.RecordBatch]:
-    """Degrees and spanning edges of links between positions of ``ids``; one row more for what is in doubt."""
-    degree = np.bincount(a, minlength=len(ids)) + np.bincount(b, minlength=len(ids))
+def _found(dim: int, low: int, high: int, ids: np.ndarray, copies: np.ndarray, a: np.ndarray, b: np.ndarray, doubt: tuple[bytes, bytes] | None = None) -> Iterator[pa.RecordBatch]:
+    """Linked rows and spanning edges of links between positions of ``ids``; one row more for what is in doubt."""
+    degree = np.bincount(a, copies[b], len(ids)) + np.bincount(b, copies[a], len(ids))  # whole numbers under 2**53
     label = minimum_labels(len(ids), a, b)
     some, more = np.flatnonzero(degree), int(doubt is not None)
     n = len(some) + more
     add = lambda x: pa.array(x.tolist() + [None] * more, pa.int64())
-    columns = [pa.array([dim] * n, pa.int32()), pa.array([low] * n, pa.int64()), pa.array([high] * n, pa.int64()), add(rows[some]), add(ids[some]), add(degree[some]), add(ids[label[some]])]
+    columns = [pa.array([dim] * n, pa.int32()), pa.array([low] * n, pa.int64()), pa.array([high] * n, pa.int64()), add(ids[some]), add(degree[some].astype(np.int64)), add(ids[label[some]])]
     columns += [pa.array([None] * len(some) + ([doubt[k]] if doubt else []), pa.binary()) for k in range(2)]
     yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in FOUND.split(", ")])
 
@@ -157,7 +156,7 @@ def _placed(good: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
                     away[rows] = np.sqrt(np.maximum(0, 2 - 2 * product.max(axis=1)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nearest), pa.array(away)], names=[*batch.schema.names, "centre", "away"])
 
-    return good.mapInArrow(place, "id long, dim int, v array<double>, centre int, away double")
+    return good.mapInArrow(place, "id long, dim int, v array<double>, copies long, centre int, away double")
 
 
 def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
@@ -165,7 +164,8 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, tile: int
 
     Vectors that are null, zero, or hold null or non-finite components link with nothing, as do
     those of different dimensions with each other.  Every input row gives a row; rows of one
-    vec_id are vectors of their own that share the id.  A null vec_id links with nothing.
+    vec_id are vectors of their own that share the id.  A null vec_id links with nothing.  Equal rows are
+    told by 128 bits of hash, compared once and counted, so any number of copies is one vector in one tile.
     """
     df = embeddings.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     bad = F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
@@ -173,7 +173,13 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, tile: int
     top = F.array_max(F.transform("v", F.abs))
     usable = F.coalesce(F.col("id").isNotNull() & ~bad & (top > 0), F.lit(False))
     df = df.withColumn("usable", usable)
-    good = df.where("usable").select("id", F.size("v").alias("dim"), F.transform("v", lambda c: c / F.pow(F.lit(2.0), F.floor(F.log2(top)))).alias("v"))
+    rows = df.where("usable").select("id", F.size("v").alias("dim"), F.transform("v", lambda c: c / F.pow(F.lit(2.0), F.floor(F.log2(top)))).alias("v"))
+    rows = rows.select("id", "dim", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit("second"), "v").alias("h2"))
+    same = ["dim", "h1", "h2"]
+    distinct = rows.groupBy(*same).agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("v").alias("v"))
+    # a number for every distinct vector, written with it
+    distinct = cut(distinct.withColumn("number", F.monotonically_increasing_id()))
+    good = distinct.select(F.col("number").alias("id"), "dim", "v", "copies")
     centres = _centres(good, -(-good.count() // tile))
     placed = cut(_placed(good, centres))
     groups = cut(placed.groupBy("dim", "centre").agg(F.ceil(F.count("*") / tile).cast("long").alias("tiles"), F.max("away").alias("radius")))
@@ -185,17 +191,16 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, tile: int
         gap = np.linalg.norm(centres[d] - centres[d][c], axis=1)
         near.append((d, c, [k for k in range(len(gap)) if (d, k) in radius and gap[k] - r - radius[d, k] <= reach]))
     near = embeddings.sparkSession.createDataFrame(near, "dim int, centre int, near array<int>")
-    # ids and contents deal out equal vectors evenly too
-    code = (F.col("centre") + 1).cast("long") * (1 << 24) + F.pmod(F.xxhash64("id", "v"), F.col("tiles"))
+    code = (F.col("centre") + 1).cast("long") * (1 << 24) + F.pmod(F.xxhash64("id"), F.col("tiles"))
     dealt = placed.join(groups.select("dim", "centre", "tiles"), ["dim", "centre"])
-    packed = cut(dealt.select("dim", code.alias("tile"), "id", "v").groupBy("dim", "tile").applyInArrow(_pack, "dim int, tile long, ids binary, codes binary, norms binary, raw binary"))
+    packed = cut(dealt.select("dim", code.alias("tile"), "id", "v", "copies").groupBy("dim", "tile").applyInArrow(_pack, "dim int, tile long, ids binary, codes binary, norms binary, copies binary, raw binary"))
 
     def compare(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dim, low, high = (k.as_py() for k in key)
         parts = {}
         for batch in batches:
-            for row in batch.select(["tile", "ids", "codes", "norms"]).to_pylist():
-                parts[row["tile"]] = Tile(row["tile"], row["ids"], row["codes"], row["norms"])
+            for row in batch.select(["tile", "ids", "codes", "norms", "copies"]).to_pylist():
+                parts[row["tile"]] = Tile(row["ids"], row["codes"], row["norms"], row["copies"])
         x, y, same = parts[low], parts[high], low == high
         a, b, p, q = tile_links(x, y, threshold, same)
         # rows in doubt are decided anew among each other, so what is sure among them waits too
@@ -204,18 +209,18 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, tile: int
         left[mine], right[other] = True, True
         keep = ~(left[a] & right[b])
         a, b = a[keep], b[keep]
-        rows, ids = (x.rows, x.ids) if same else (np.concatenate([x.rows, y.rows]), np.concatenate([x.ids, y.ids]))
+        ids, copies = (x.ids, x.copies) if same else (np.concatenate([x.ids, y.ids]), np.concatenate([x.copies, y.copies]))
         doubt = (mine.astype("<i8").tobytes(), other.astype("<i8").tobytes()) if len(p) else None
-        yield from _found(dim, low, high, rows, ids, a, b if same else b + len(x.ids), doubt)
+        yield from _found(dim, low, high, ids, copies, a, b if same else b + len(x.ids), doubt)
 
     others = groups.select(F.col("dim").alias("d2"), F.col("centre").alias("c3"), F.col("tiles").alias("n2"))
     # of all but the doubles, once for every tile that isn't far
-    slim = packed.select("dim", "tile", F.expr(f"cast(tile div {1 << 24} - 1 as int)").alias("centre"), "ids", "codes", "norms")
+    slim = packed.select("dim", "tile", F.expr(f"cast(tile div {1 << 24} - 1 as int)").alias("centre"), "ids", "codes", "norms", "copies")
     reachable = groups.select("dim", "centre").join(near, ["dim", "centre"], "left").select("dim", "centre", F.explode(F.coalesce("near", F.array(F.lit(-1)))).alias("c2"))
     partner = reachable.join(others, (F.col("dim") == F.col("d2")) & (F.col("c2") == F.col("c3")))
     partner = partner.select(F.col("dim").alias("d2"), F.col("centre").alias("own"), F.explode(F.expr(f"transform(sequence(0L, n2 - 1), k -> (c2 + 1L) * {1 << 24} + k)")).alias("with"))
     pairs = slim.join(partner, (F.col("dim") == F.col("d2")) & (F.col("centre") == F.col("own"))).select(
-        "dim", F.least("tile", "with").alias("low"), F.greatest("tile", "with").alias("high"), "tile", "ids", "codes", "norms"
+        "dim", F.least("tile", "with").alias("low"), F.greatest("tile", "with").alias("high"), "tile", "ids", "codes", "norms", "copies"
     )
     first = cut(pairs.groupBy("dim", "low", "high").applyInArrow(compare, FOUND))
     doubts = first.where("mine is not null").select("dim", "low", "high", "mine", "other")
@@ -223,40 +228,43 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, tile: int
     sides = sides.select("dim", "low", "high", "s.*").where("side = 0 or low <> high")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["ids", "copies", "raw"]
         for batch in batches:
-            ids, raws = [], []
-            for row in batch.select(["dim", "pick", "ids", "raw"]).to_pylist():
+            taken = {c: [] for c in names}
+            for row in batch.select(["dim", "pick", *names]).to_pylist():
                 at = np.frombuffer(row["pick"], dtype="<i8")
-                ids.append(np.frombuffer(row["ids"], dtype="<i8")[at].tobytes())
-                raws.append(np.frombuffer(row["raw"], dtype="<f8").reshape(-1, row["dim"])[at].tobytes())
-            yield pa.RecordBatch.from_arrays([*map(batch.column, ("dim", "low", "high", "side", "pick")), pa.array(ids, pa.binary()), pa.array(raws, pa.binary())], names=["dim", "low", "high", "side", "pick", "ids", "raw"])
+                for c in names[:2]:
+                    taken[c].append(np.frombuffer(row[c], dtype="<i8")[at].tobytes())
+                taken["raw"].append(np.frombuffer(row["raw"], dtype="<f8").reshape(-1, row["dim"])[at].tobytes())
+            yield pa.RecordBatch.from_arrays([*map(batch.column, ("dim", "low", "high", "side")), *(pa.array(taken[c], pa.binary()) for c in names)], names=["dim", "low", "high", "side", *names])
 
     def decide(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dim, low, high = (k.as_py() for k in key)
         parts = {row["side"]: row for batch in batches for row in batch.to_pylist()}
-        v, ids, rows = {}, {}, {}
-        for side, row in parts.items():
-            v[side] = np.frombuffer(row["raw"], dtype="<f8").reshape(-1, dim)
-            ids[side] = np.frombuffer(row["ids"], dtype="<i8")
-            rows[side] = (np.int64(high if side else low) << 20) + np.frombuffer(row["pick"], dtype="<i8")
         same = low == high
-        a, b = exact_links(v[0], v[0] if same else v[1], threshold, same)
         sides = [0] if same else [0, 1]
-        yield from _found(dim, low, high, np.concatenate([rows[s] for s in sides]), np.concatenate([ids[s] for s in sides]), a, b if same else b + len(ids[0]))
+        v = {s: np.frombuffer(parts[s]["raw"], dtype="<f8").reshape(-1, dim) for s in sides}
+        ids, copies = (np.concatenate([np.frombuffer(parts[s][c], dtype="<i8") for s in sides]) for c in ("ids", "copies"))
+        a, b = exact_links(v[0], v[0] if same else v[1], threshold, same)
+        yield from _found(dim, low, high, ids, copies, a, b if same else b + len(v[0]))
 
-    fetched = sides.join(packed.select("dim", "tile", "ids", "raw"), ["dim", "tile"]).select("dim", "low", "high", "side", "pick", "ids", "raw")
-    fetched = fetched.mapInArrow(pick, "dim int, low long, high long, side int, pick binary, ids binary, raw binary")
+    fetched = sides.join(packed.select("dim", "tile", "ids", "copies", "raw"), ["dim", "tile"]).select("dim", "low", "high", "side", "pick", "ids", "copies", "raw")
+    fetched = fetched.mapInArrow(pick, "dim int, low long, high long, side int, ids binary, copies binary, raw binary")
     second = fetched.groupBy("dim", "low", "high").applyInArrow(decide, FOUND)
-    found = cut(first.where("mine is null").unionByName(second).select("dim", "row", "id", "links", "to"))
-    degrees = found.groupBy("dim", "row", "id").agg(F.sum("links").alias("n_links"))
-    label = components(found.select(F.col("id").alias("a"), F.col("to").alias("b")))
-    # rows without links aren't among them: all rows of an id, less those with links
-    counted = degrees.groupBy("id").agg(F.collect_list("n_links").alias("linked"))
-    rows = df.groupBy("id").agg(F.count("*").alias("rows"))
-    out = rows.join(counted, "id", "left").join(label, "id", "left")
-    each = F.explode(F.expr("concat(coalesce(linked, array()), array_repeat(0L, cast(rows - coalesce(size(linked), 0) as int)))"))
-    component = F.coalesce("label", "id")
-    null_ids = df.where("id is null").select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    return out.where("id is not null").select(
-        F.col("id").alias("vec_id"), each.alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept")
-    ).unionByName(null_ids)
+    found = cut(first.where("mine is null").unionByName(second).select("id", "links", "to"))
+    degrees = found.groupBy(F.col("id").alias("number")).agg(F.sum("links").alias("links"))
+    # rows meet their vectors again; an id with several vectors joins what they link with
+    numbers = cut(rows.select("id", *same).join(distinct.select(*same, "number", "copies"), same).select("id", "number", "copies"))
+    several = numbers.groupBy("id").agg(F.min("number").alias("a"), F.max("number").alias("z")).where("a <> z").select("id", "a")
+    shared = numbers.join(several, "id").select("a", F.col("number").alias("b"))
+    label = components(found.select(F.col("id").alias("a"), F.col("to").alias("b")).unionByName(shared))
+    placed_in = distinct.select("number", "least").join(label.withColumnRenamed("id", "number"), "number", "left").select("number", "least", F.coalesce("label", "number").alias("part"))
+    smallest = placed_in.groupBy("part").agg(F.min("least").alias("component"))
+    component = placed_in.join(smallest, "part").select("number", "component")
+    linked = numbers.join(degrees, "number", "left").join(component, "number").select("id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component")
+    linked = cut(linked)
+    # rows that link with nothing share the component of their id's other rows
+    of_id = linked.groupBy("id").agg(F.min("component").alias("component"))
+    alone = df.where(~F.col("usable") & F.col("id").isNotNull()).select("id").join(of_id, "id", "left").select("id", F.lit(0).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component"))
+    every = linked.unionByName(alone).unionByName(df.where("id is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component")))
+    return every.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))

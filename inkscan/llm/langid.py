@@ -135,14 +135,17 @@ def train(documents: DataFrame, most: int = MAX_DOCS, most_bytes: int = MAX_BYTE
     """A model from text and lang of a sample of the documents that aren't held out.
 
     The sample is those of the least hashes of their ids: at most ``most``, and none once
-    ``most_bytes`` are reached.  All words and n-grams of its texts are learned.
+    ``most_bytes`` are reached, whatever ids repeat; equal rows of one id are learned once.  All words and n-grams
+    of its texts are learned.
     """
     usable = documents.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    ids = usable.select("doc_id", F.octet_length("text").alias("n")).orderBy(*order).limit(most)
+    usable = usable.select("doc_id", "lang", "text", F.octet_length("text").alias("n"), F.xxhash64("lang", "text").alias("content"))
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("content")]
+    rows = usable.select("doc_id", "content", "n").orderBy(*order).limit(most)
     before = F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))  # over ``most`` rows at most
-    ids = ids.select("doc_id", F.coalesce(before, F.lit(0)).alias("before")).where(F.col("before") < most_bytes)
-    some = usable.select("doc_id", "lang", "text").join(F.broadcast(ids.select("doc_id").distinct()), "doc_id").select("lang", "text")
+    rows = rows.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < most_bytes).select("doc_id", "content").distinct()
+    # a row is found by its id and content, so an id with many texts brings those that were chosen; equal rows count once
+    some = usable.join(F.broadcast(rows), ["doc_id", "content"]).dropDuplicates(["doc_id", "content"]).select("lang", "text")
     counts = some.mapInArrow(_count, "lang string, n int, hash long, count long").groupBy("lang", "n", "hash").agg(F.sum("count").alias("count"))
     learned = cut(counts).toArrow()  # bounded by the sample
     names, lang = np.unique(np.array(learned.column("lang").to_pylist(), dtype=object), return_inverse=True) if len(learned) else ([], np.zeros(0, dtype=np.int64))

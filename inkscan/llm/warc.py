@@ -27,6 +27,8 @@ from inkscan.llm.shared import new_path, partitions
 
 #: Records in a file, the least payload that is not repeated, and the time of page 0's capture; each later page is a second later.
 RECORDS, LEAST_BYTES, EPOCH = 1000, 0, 1_700_000_000
+#: Bytes of payload that a file holds at most, but for a larger record; a file is read whole by one task.
+FILE_BYTES = 1 << 26
 END = "\r\n\r\n"
 
 
@@ -73,9 +75,19 @@ def records(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     return df.select("page_id", "payload_bytes", "payload_digest", "refers_to", F.concat(header, F.lit(END), body).alias("record"))
 
 
-def write(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, per_file: int = RECORDS) -> None:
-    """Gzipped WARC files of at most ``per_file`` records each; each record ends with the two line ends that the format asks for."""
-    records(pages, least_bytes).select("record").write.option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
+def write(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, per_file: int = RECORDS, most_bytes: int = FILE_BYTES) -> None:
+    """Gzipped WARC files of at most ``per_file`` records and about ``most_bytes`` bytes of payload each, or of one larger record.
+
+    Pages are written by size: those above ``most_bytes / per_file`` have files of their own, of so many records fewer,
+    a step for every power of four.  Equal payloads are of one size, so revisits stay with their responses.
+    Each record ends with the two line ends that the format asks for.
+    """
+    size = F.coalesce(F.octet_length("html"), F.lit(0))
+    step = F.greatest(F.ceil(F.log(4.0, F.greatest(size, F.lit(1)) / max(1, most_bytes // per_file))), F.lit(0)).cast("int")
+    # some ten steps at most, as a text has under 2**31 bytes; a corpus of usual pages has one
+    for k in sorted(r[0] for r in pages.select(step.alias("step")).distinct().collect()) or [0]:
+        some = records(pages.where(step == k), least_bytes).select("record")
+        some.write.mode("append").option("lineSep", END).option("maxRecordsPerFile", max(1, per_file >> (2 * k))).option("compression", "gzip").text(path)
 
 
 def parse(stream: BinaryIO) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -200,7 +212,7 @@ def read_index(spark, path: str) -> DataFrame:
     return dealt.sortWithinPartitions("run", "url_key", "captured", "page_id", "offset").mapInArrow(_merged, INDEX)
 
 
-def archive(pages: DataFrame, path: str | None = None, least_bytes: int = LEAST_BYTES, per_file: int = RECORDS) -> DataFrame:
+def archive(pages: DataFrame, path: str | None = None, least_bytes: int = LEAST_BYTES, per_file: int = RECORDS, most_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes ``pages`` as WARC files under ``path`` (a new shared folder) and returns their merged index.
 
     Of records with equal payloads of at least ``least_bytes`` bytes, that of the largest page_id is
@@ -209,5 +221,5 @@ def archive(pages: DataFrame, path: str | None = None, least_bytes: int = LEAST_
     Every row gives a record; rows that repeat both the largest id and the payload are all responses.
     """
     path = path or new_path(pages.sparkSession, "warc")
-    write(pages, path, least_bytes, per_file)
+    write(pages, path, least_bytes, per_file, most_bytes)
     return read_index(pages.sparkSession, path)

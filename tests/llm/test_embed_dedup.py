@@ -48,3 +48,19 @@ def test_bounds_hold():
     near = (codes.astype(float) @ codes.T.astype(float)) * scale[:, None] * scale
     bound = length[:, None] * error + error[:, None] * length + error[:, None] * error
     assert (np.abs(unit @ unit.T - near) <= bound + 1e-12).all()
+
+
+def test_many_equal_rows(spark):
+    """Forty thousand copies of one vector, with some near and some far, are one vector of one tile."""
+    n = 40_000
+    copies = spark.range(n).selectExpr("id as vec_id", "transform(array(1.0D, 2.0D, 3.0D), x -> x * pow(2.0D, cast(id % 3 as double))) as embedding")
+    others = spark.createDataFrame([(n, [1.0, 2.0, 3.1]), (n + 1, [-3.0, 1.0, 0.0]), (5, [-3.0, 1.0, 0.01]), (7, None), (n + 2, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    got = embed_dedup.near_vectors(copies.unionByName(others), tile=16).collect()
+    assert len(got) == n + 5
+    by = {}
+    for r in got:
+        by.setdefault(r.vec_id, set()).add((r.n_links, r.component_id, r.kept))
+    # id 5 has a copy and a vector that links with n + 1, so all of these are one component
+    assert by[0] == {(n, 0, True)} and by[1] == {(n, 0, False)} and by[n] == {(n, 0, False)}
+    assert by[5] == {(n, 0, False), (1, 0, False)} and by[n + 1] == {(1, 0, False)}
+    assert by[7] == {(n, 0, False), (0, 0, False)} and by[n + 2] == {(0, n + 2, True)}

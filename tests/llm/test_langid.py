@@ -80,3 +80,15 @@ def test_the_sample_is_bounded(spark):
     df = spark.createDataFrame([(i, f"word{chr(97 + i)} same", "en") for i in range(20)], "doc_id long, text string, lang string")
     assert len(langid.train(df, most=4).tables[0].hashes) <= 5
     assert len(langid.train(df, most_bytes=1).tables[0].hashes) == 2
+
+
+def test_sample_is_bounded_whatever_ids_repeat(spark):
+    """Many rows of one id: no more rows and bytes are learned than the sample allows, and equal rows once."""
+    rows = [(4, f"wort{i} etwas", "de") for i in range(500)] + [(4, "the same", "en")] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df, most=6, most_bytes=10**9)
+    assert 0 < len(model.tables[0].hashes) <= 12
+    small = langid.train(df, most=500, most_bytes=50)
+    assert 0 < len(small.tables[0].hashes) <= 10
+    only = langid.train(spark.createDataFrame([(4, "the same", "en")] * 300, df.schema))
+    assert len(only.tables[0].hashes) == 2

@@ -45,3 +45,15 @@ def test_losers():
         runs = [sorted(x, key=warc._order) for x in lines]
         merged = [runs[r][i] for r, i in warc.merge([len(r) for r in runs], lambda r, i: warc._order(runs[r][i]))]  # noqa: B023
         assert list(map(warc._order, merged)) == sorted(warc._order(x) for r in runs for x in r)
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path):
+    """Large records come in files of fewer, so no file holds much more than is allowed; all are read back."""
+    rows = [(i, f"http://h/{i}", chr(97 + i % 26) * (10 if i % 4 else 4000 * (1 + i % 3)) + str(i // 8)) for i in range(200)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = warc.archive(df, f"{tmp_path}/w", per_file=50, most_bytes=20_000).collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=repr) == brute(rows)
+    held = {}
+    for r in got:
+        held.setdefault(r.run, []).append(r.payload_bytes if r.record_type == "response" else 0)
+    assert max(len(x) for x in held.values()) <= 50 and max(map(sum, held.values())) <= 50_000 and len(held) > 10
