@@ -43,7 +43,23 @@ WORDS: dict[str, str] = {
     "spam": "viagra cialis payday replica essaywriting backlinks doorway linkfarm",
     "tracking": "adserver adclick doubleclick popunder clicktrack pixeltrack adsystem",
 }
-#: (name, filter)
+#: What such words are joined with in names of sites, and the ends of hosts that are nothing but such a word.
+BEFORE, AFTER = "free online live best top cheap hot my the real".split(), "online hub club zone world shop site app".split()
+ENDS = "com net org info biz xyz top club site online".split()
+
+
+def compound_rules(words: dict[str, str] = WORDS, before: Sequence[str] = tuple(BEFORE), after: Sequence[str] = tuple(AFTER), ends: Sequence[str] = tuple(ENDS)) -> list[tuple[str, str]]:
+    """Filters made from word lists: each word with what stands before or after it, and as a host of its own."""
+    out = []
+    for kind, listed in words.items():
+        for w in listed.split():
+            out.append((f"{kind}: .. {w}", f"^({'|'.join(before)})(-|){w}(s|)^"))
+            out.append((f"{kind}: {w} ..", f"^{w}(-|)({'|'.join(after)})^"))
+            out.append((f"{kind}: host {w}", f"||{w}.({'|'.join(ends)})^"))
+    return out
+
+
+#: (name, filter); with the compounds some four thousand forms.
 PATTERN_RULES: tuple[tuple[str, str], ...] = (
     ("adult host", "||adult-*."),
     ("spam farm", "||spam-farm."),
@@ -55,11 +71,14 @@ PATTERN_RULES: tuple[tuple[str, str], ...] = (
     ("free download bait", "^(free|full)-(crack|keygen|serial)^"),
     ("pills shop", "||(cheap|buy)-(viagra|cialis|pills)*."),
     *((f"{kind}: {word}", f"^{word}^") for kind, words in WORDS.items() for word in words.split()),
+    *compound_rules(),
 )
 
 TOKEN = "[^a-z0-9]+"
 #: Urls that a pattern blocks, up to which they are sent to all tasks.
 SENT_URLS = 100_000
+#: Rules that are read from a table at most, and rows of the index up to which it is sent to all tasks; a larger one is shuffled.
+MOST_RULES, SENT_FORMS = 1_000_000, 500_000
 
 
 def host_of(url: Column) -> Column:
@@ -108,28 +127,38 @@ def tokens_of(form: str) -> list[str]:
     return re.findall(r"(?<![a-z0-9*])(?<=[^a-z0-9])[a-z0-9]+(?=[^a-z0-9*])", form)
 
 
+def read_rules(table: DataFrame, most: int = MOST_RULES) -> list[tuple[str, str]]:
+    """The pattern rules of a table (name, rule), by name; a table of more than ``most`` is an error and not cut short."""
+    rows = table.select(F.col("name").cast("string"), F.col("rule").cast("string")).where("name is not null and rule <> ''").distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rules")
+    return sorted(map(tuple, rows))
+
+
 def _rule_index(tokens: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
-    """(token, name, pattern): each form of a rule under the one of its tokens that the fewest urls hold."""
+    """(token, name, pattern): each form of a rule under the one of its tokens that the fewest urls hold; hinted to be sent where it is small."""
     listed = [(name, expression(form), token) for name, rule in rules for form in forms(rule) for token in tokens_of(form)]
+    send = (lambda df: F.broadcast(df)) if len(listed) <= SENT_FORMS else (lambda df: df.hint("merge"))
     table = tokens.sparkSession.createDataFrame(listed, "name string, pattern string, token string")
-    # as many rows as the rules have tokens
-    counted = tokens.join(F.broadcast(table.select("token").distinct()), "token").groupBy("token").agg(F.count("*").alias("urls"))
+    counted = tokens.join(send(table.select("token").distinct()), "token").groupBy("token").agg(F.count("*").alias("urls"))
     rated = table.join(counted, "token", "left").withColumn("urls", F.coalesce("urls", F.lit(0)))
-    return rated.groupBy("name", "pattern").agg(F.min(F.struct("urls", "token")).alias("rarest")).select("rarest.token", "name", "pattern")
+    return send(rated.groupBy("name", "pattern").agg(F.min(F.struct("urls", "token")).alias("rarest")).select("rarest.token", "name", "pattern"))
 
 
 def judge(
     pages: DataFrame,
     host_rules: Sequence[tuple[str, str, str]] = HOST_RULES,
-    pattern_rules: Sequence[tuple[str, str]] = PATTERN_RULES,
+    pattern_rules: Sequence[tuple[str, str]] | DataFrame = PATTERN_RULES,
 ) -> DataFrame:
     """Per page: page_id, host, path, rule, verdict, pattern (the first pattern rule by name that blocks it, or null).
 
     A host rule's verdict stands; elsewhere a url is blocked if a pattern rule matches it.  A null
     url, or one without ``://``, has an empty host and path, and is allowed if no pattern matches.
     Every row gives a row, repeated ones too; other columns are ignored.  A form without a whole
-    token can't be indexed and runs on every url; none of ``PATTERN_RULES`` is such.
+    token can't be indexed and runs on every url; none of ``PATTERN_RULES`` is such.  Pattern rules
+    may come as a table (name, rule) instead.
     """
+    pattern_rules = read_rules(pattern_rules) if isinstance(pattern_rules, DataFrame) else pattern_rules
     df = pages.select(F.col("page_id"), F.col("url").cast("string").alias("url"))
     low = F.lower(F.coalesce("url", F.lit("")))
     name, verdict = _by_host(F.col("host"), F.col("path"), host_rules)
@@ -141,7 +170,7 @@ def judge(
     urls = df.where(open_).select("url").distinct()
     tokens = urls.select("url", F.explode(F.array_distinct(F.split(F.lower("url"), TOKEN))).alias("token")).where("token <> ''")
     index = _rule_index(tokens, pattern_rules)
-    fetched = tokens.join(F.broadcast(index), "token")  # one row per form of a rule
+    fetched = tokens.join(index, "token")  # one row per form of a rule
     matched = cut(fetched.where(F.expr("lower(url) rlike pattern")).groupBy("url").agg(F.min("name").alias("matched")))
     small = F.broadcast(matched) if matched.count() <= SENT_URLS else matched
     out = df.where(open_).join(small, "url", "left").unionByName(df.where(~open_).withColumn("matched", F.lit(None).cast("string")))

@@ -69,8 +69,9 @@ def test_tokens_of_rules_are_whole_in_every_match(spark):
                 urls.append(url)
             assert re.search(url_filter.expression(form), urls[-2]), (name, urls[-2])
     urls += ["http://www.sportsbetting.net/", "http://www.sports-betting.net/", "http://a.net/sportsbettings/", "http://a.net/scasino/x", "casino", "x://casino"]
-    got = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
-    names = {u: min((n for n, p in url_filter.PATTERN_RULES if any(re.search(url_filter.expression(f), u) for f in url_filter.forms(p))), default=None) for u in urls}
+    got = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), host_rules=()).collect()
+    compiled = [(n, re.compile("|".join(f"(?:{url_filter.expression(f)})" for f in url_filter.forms(p)))) for n, p in url_filter.PATTERN_RULES]
+    names = {u: min((n for n, p in compiled if p.search(u)), default=None) for u in urls}
     assert {urls[r.page_id]: r.pattern for r in got} == names and names["http://www.sportsbetting.net/"] == "sports betting" and names["http://a.net/scasino/x"] is None
 
 
@@ -85,3 +86,31 @@ def test_a_very_long_text(spark):
     df = spark.createDataFrame([(1, "w " * 2_000_000, "a"), (2, "x" * 3_000_000, "b"), (3, " " * 1_000_000, None)], "doc_id long, text string, source string")
     got = {r.doc_id: r for r in mixing.mix(df, ["doc_id"]).collect()}
     assert [got[i].size for i in (1, 2, 3)] == [2_000_000, 1, 0] and got[2].taken <= 3 and got[3].taken == 0
+
+
+def test_rules_from_a_table(spark, monkeypatch):
+    """Thousands of rules from a table, sent or shuffled, judge as the same rules in a list; a table beyond the bound is an error."""
+    listed = [(f"rule {i:05d}", f"^word{i}^") for i in range(5000)] + [("late", "||bad-*."), ("either", "^(a|b|)zz^")]
+    table = spark.createDataFrame([(*r, "x") for r in listed] + [(None, "^x^", ""), ("none", None, ""), listed[0] + ("again",)], "name string, rule string, url string")
+    pages = spark.createDataFrame([(i, f"http://h.net/word{i * 7}/x") for i in range(900)] + [(1000, "http://bad-x.net/"), (1001, "http://q.net/azz"), (1002, "http://q.net/"), (1003, "http://example.org/es/word1/")], "page_id long, url string")
+    want = {i: f"rule {i * 7:05d}" if i * 7 < 5000 else None for i in range(900)} | {1000: "late", 1001: "either", 1002: None, 1003: None}
+    for sent in (10, 500_000):
+        monkeypatch.setattr(url_filter, "SENT_FORMS", sent)
+        got = url_filter.judge(pages, pattern_rules=table).collect()
+        assert {r.page_id: r.pattern for r in got} == want and {r.verdict for r in got if r.page_id == 1003} == {"block"}
+    with pytest.raises(ValueError):
+        url_filter.read_rules(table, most=100)
+    assert len(url_filter.PATTERN_RULES) > 200 and sum(len(url_filter.forms(p)) for _, p in url_filter.PATTERN_RULES) > 3000
+
+
+def test_mix_is_near_each_target(spark):
+    """What a source's documents add up to is within four deviations of independent draws of the source's target."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = mixing.mix(df, ["doc_id", "source"]).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.source, []).append(r)
+    for own in by.values():
+        rate = own[0].target / own[0].source_size
+        spread = (sum(r.size**2 for r in own) * (rate % 1) * (1 - rate % 1)) ** 0.5
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 4 * spread + 1e-6
