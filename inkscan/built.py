@@ -131,6 +131,16 @@ def five_recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "score_before", "score_after", *(F.array_join(F.array_sort(c), ",").alias(c) for c in ("closed", "opened", "remaining")), F.size("metrics").cast("long").alias("n_moved"))
 
 
+@query
+def native_recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the added passage changes in the reports of all text detectors but P-01 and P-02."""
+    from inkscan.queries import ADDED
+
+    before, after = (analyze.analyze(_texts(spark, sf_dir, add), ["doc_id"], [d for d in analyze.TEXT if d[0] != "P"]) for add in ("", ADDED))
+    d = scoring.diff(before, after, "doc_id")
+    return d.select("doc_id", "score_before", "score_after", *(F.array_join(F.array_sort(c), ",").alias(c) for c in ("closed", "opened", "remaining")), F.size("metrics").cast("long").alias("n_moved"))
+
+
 @query
 def dash_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of dashes in the texts where they are a finding."""

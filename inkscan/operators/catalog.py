@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import threading
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -12,6 +13,7 @@ from inkscan import rules
 from inkscan.operators import base
 from inkscan.operators.checks import faults
 
+_ONE = threading.RLock()
 CATALOG = "id string, category string, kind string, weight double, metric string, direction string, corridor_ru array<double>, corridor_en array<double>, rules array<string>"
 
 
@@ -28,8 +30,14 @@ def catalog(spark: SparkSession) -> DataFrame:
 def using(**tables) -> Iterator[None]:
     """Plans built inside use ``tables`` instead of those of ``rules``: ``using(TEXT_BIAS=..., TEXT_WEIGHTS=...)``.
 
-    Faulty tables raise, and the old ones stand again.
+    Faulty tables raise, and the old ones stand again.  One at a time: another thread's ``using`` waits, and plans that
+    it builds outside of one would see these tables.
     """
+    with _ONE:
+        yield from _with_tables(tables)
+
+
+def _with_tables(tables: dict) -> Iterator[None]:
     old, specs = {k: getattr(rules, k) for k in tables}, dict(base.SPECS)
 
     def put(values: dict) -> None:

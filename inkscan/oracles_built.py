@@ -243,6 +243,8 @@ LEFT JOIN (SELECT p.{g} AS m, {auc} AS auc FROM l p JOIN l n ON p.{g} IS NOT DIS
     out["native_rows"] = " UNION ALL ".join(rows)
     exact = {d: sql.replace(", 6)::DOUBLE", ", 15)::DOUBLE") for d, sql in plain.items()}
     out["native_reports"] = five_report(exact, 1e6, scores=False)
+    native = {d: sql for d, sql in exact.items() if d[0] != "P"}
+    out["native_recheck"] = five_recheck(native, {d: sql.replace("|| '' AS text", f"|| {q(ADDED)} AS text") for d, sql in native.items()})
     turns = "documents AS (SELECT row_number() OVER (ORDER BY conv_id, turn) AS doc_id, conv_id, turn, coalesce(text, '') || ' Plain words follow.' AS text FROM conversations)"
     out["session_stream"] = f"""WITH {turns}, {_five('', 'b_')}, ids AS (SELECT doc_id, list(id) AS ids FROM b_items GROUP BY doc_id),
 v AS (SELECT doc_id, conv_id, turn, score, coalesce(ids, []) AS now, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS version FROM b_s JOIN documents USING (doc_id) LEFT JOIN ids USING (doc_id)),

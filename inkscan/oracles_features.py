@@ -17,13 +17,13 @@ def _rows() -> str:
     return f"r AS (SELECT doc_id, {share('[#*$%&|<>]')} AS x1, {share('!')} AS x2, least(1.0::DOUBLE, length(coalesce(text, '')) / 5000.0::DOUBLE) AS x3, (1 - quality)::DOUBLE AS y FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL)"
 
 
-def _descent(d: int) -> str:
+def _descent(d: int, rows: str | None = None) -> str:
     """CTEs r (rows) and f (bias b and weights w1.. at the end of a bounded descent)."""
     ws = [f"w{i}" for i in range(1, d + 1)]
     z = " + ".join(["b", *(f"w{i} * x{i}" for i in range(1, d + 1))])
     p = f"1.0::DOUBLE / (1.0::DOUBLE + exp(-({z})))"
     moved = ", ".join(f"greatest(0.0::DOUBLE, w{i} - avg(({p} - y) * x{i}) - 0.1::DOUBLE * w{i})" for i in range(1, d + 1))
-    return f"""{_rows()},
+    return f"""{rows or _rows()},
 s(step, b, {', '.join(ws)}) AS (
   SELECT 0, 0.0::DOUBLE, {', '.join('0.0::DOUBLE' for _ in ws)}
   UNION ALL
@@ -73,6 +73,20 @@ FROM (SELECT {member} AS m, count(*) AS n, count(*) FILTER (score >= 1000 AND la
 LEFT JOIN (SELECT p.m, {auc} AS auc FROM (SELECT *, {member} AS m FROM l WHERE label) p JOIN (SELECT *, {member} AS m FROM l WHERE NOT label) n ON p.m IS NOT DISTINCT FROM n.m GROUP BY p.m) a ON a.m IS NOT DISTINCT FROM c.m"""
 
 
+def _calibrated() -> str:
+    """Four detectors' scores as features; the bias falls until the negative at the 95th percentile is at 65."""
+    ids = ["R-01", "R-02", "L-05", "L-06"]
+    # the passage that some oracles add isn't there
+    sqls = [ORACLES[d.replace("-", "").lower()].replace(f"|| {q(ADDED)} AS text", "|| '' AS text").replace(", 6)::DOUBLE", ", 15)::DOUBLE") for d in ids]
+    parts = ", ".join(f"d{i} AS ({sql})" for i, sql in enumerate(sqls, 1))
+    rows = f"{parts}, r AS (SELECT doc_id, {', '.join(f'd{i}.score AS x{i}' for i in range(1, 5))}, quality::DOUBLE AS y FROM labels {' '.join(f'JOIN d{i} USING (doc_id)' for i in range(1, 5))} WHERE quality IS NOT NULL)"
+    z = " + ".join(f"round(w{i}, 4) * x{i}" for i in range(1, 5))
+    names = " UNION ALL ".join(f"SELECT '{d}' AS name, round(w{i}, 4)::DOUBLE AS weight FROM f" for i, d in enumerate(ids, 1))
+    return f"""WITH RECURSIVE {_descent(4, rows)}, n AS (SELECT {z} AS z FROM f, r WHERE y = 0),
+p AS (SELECT z FROM (SELECT z, row_number() OVER (ORDER BY z) - 1 AS i, count(*) OVER () AS k FROM n) WHERE i = floor(0.95::DOUBLE * k))
+SELECT 'bias' AS name, round(least(b, ln(65.0::DOUBLE / 35.0::DOUBLE) - z), 4)::DOUBLE AS weight FROM f, p UNION ALL {names}"""
+
+
 _P = "1.0::DOUBLE / (1.0::DOUBLE + exp(-(b + w1 * x1 + w2 * x2 + w3 * x3)))"
 _SLOPES = ", ".join([f"avg({_P} - y) AS g0", *(f"avg(({_P} - y) * x{i}) + 0.1::DOUBLE * any_value(w{i}) AS g{i}" for i in (1, 2, 3))])
 
@@ -83,6 +97,7 @@ FEATURES: dict[str, str] = {
 h AS (SELECT count(*) AS n, avg(p * (1 - p)) AS h0, avg(p * (1 - p) * x) AS h1, avg(p * (1 - p) * x * x) + 0.1::DOUBLE AS h2 FROM z),
 a AS (SELECT z.*, (h2 - 2 * h1 * x + h0 * x * x) / (h0 * h2 - h1 * h1) / n AS a FROM z, h)
 SELECT doc_id, round(100.0::DOUBLE * p, 3)::DOUBLE AS score, round(100.0::DOUBLE / (1.0::DOUBLE + exp(-(z + (p - y) * a / (1.0::DOUBLE - p * (1 - p) * a)))), 3)::DOUBLE AS score_without FROM a""",
+    "calibration": _calibrated(),
     "edited_texts": _edited(),
     "advice_in_words": _worded(),
     "held_out_both": "WITH l AS (SELECT lang, source, n_chars::DOUBLE AS score, quality = 1 AS label FROM documents JOIN labels USING (doc_id)) "

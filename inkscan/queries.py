@@ -187,7 +187,7 @@ def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = ["R-01", "R-02", "L-05", "L-06"]
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality")
     results = analyze.detect(texts(spark, sf_dir), ["doc_id"], ids).join(labels, F.col("doc_id") == F.col("id"))
-    bias, weights = calibrate(results, "quality", "doc_id", ids)
+    bias, weights = calibrate(results, "quality", ids, 0.1)
     return spark.createDataFrame([("bias", bias), *weights.items()], "name string, weight double")
 
 

@@ -284,10 +284,17 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_files(files: DataFrame) -> DataFrame:
-    """As ``read_files``, of the columns path and content."""
+    """As ``read_files``, of the columns path and content.
+
+    Where ``length`` is there too, as Spark's reader of binary files gives it, a file that is too large is never read.
+    """
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield pd.DataFrame([parse_one(p, bytes(c)) for p, c in zip(frame["path"], frame["content"], strict=True)], columns=["path", "kind", "status", "text", "places", "meta", "image"])
 
-    return files.select("path", "content").mapInPandas(parse, SCHEMA)
+    if "length" not in files.columns:
+        return files.select("path", "content").mapInPandas(parse, SCHEMA)
+    parsed = files.where(F.col("length") <= LARGEST).select("path", "content").mapInPandas(parse, SCHEMA)
+    large = files.where(F.col("length") > LARGEST).select("path", F.lit("too_large").alias("status"))
+    return parsed.unionByName(large, allowMissingColumns=True)

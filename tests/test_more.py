@@ -31,7 +31,7 @@ def test_calibration(spark):
     rows = [(i, i % 2 == 0, (0.0, True, 0.9 if i % 2 == 0 else 0.1), (0.0, True, 0.5)) for i in range(100)]
     kind = "struct<value:double,applicable:boolean,score:double>"
     df = spark.createDataFrame(rows, f"id int, y boolean, `R-01` {kind}, `R-02` {kind}")
-    bias, w = calibrate(df, "y", "id", ["R-01", "R-02"])
+    bias, w = calibrate(df, "y", ["R-01", "R-02"])
     assert w["R-01"] > 1 and w["R-02"] >= 0 and 1 / (1 + np.exp(-(bias + 0.1 * w["R-01"] + 0.5 * w["R-02"]))) < 0.66
     assert evaluate.clamp_bias(5.0, np.array([0.0] * 19 + [3.0])) <= np.log(65 / 35)
 
