@@ -382,7 +382,7 @@ def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/conversations.parquet").schema
     turns = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
     text = F.concat(F.coalesce("text", F.lit("")), F.lit(" Plain words follow."))
-    stream = turns.select(F.col("conv_id").cast("string").alias("session_id"), F.timestamp_seconds(F.col("turn").cast("long") * 60).alias("at"), (F.col("turn") == 0).alias("fresh"), text.alias("text"))
+    stream = turns.select(F.col("conv_id").cast("string").alias("session_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("turn").cast("long") * 60).alias("at"), (F.col("turn") == 0).alias("fresh"), text.alias("text"))
     path = shared_path(spark, "versions")
     store_history(recheck_stream(stream, ids=FIVE), path, f"{path}-progress", once=True).awaitTermination()
     return spark.read.parquet(path).select("session_id", "version", "score", "score_before", "closed", "opened")

@@ -70,7 +70,7 @@ class Sessions(StatefulProcessor):
 def recheck_stream(stream: DataFrame, late: str = LATE, idle: str = IDLE, ids: list[str] | None = None) -> DataFrame:
     """(session_id, at, fresh, text) in; per version its score, the one before, and findings closed, opened and remaining.
 
-    ``at`` is a timestamp.  Versions that are later than ``late`` behind the latest one are dropped; within that a late version
+    ``at`` is a timestamp after 1970, where the watermark begins.  Versions that are later than ``late`` behind the latest one are dropped; within that a late version
     is held against the version before it in time.  A session's state is its last 20 versions, and goes once the
     watermark is ``idle`` past its last one: what then comes is a session anew, from version 1.  Findings
     are those of ``scoring.diff``: detectors, or combinations.  Sets the session's state store, which
