@@ -26,6 +26,8 @@ from inkscan.llm.shared import cut, partitions
 FANOUT = 3
 #: Rows in a range that is numbered by one task, at most on average.
 RANGE_ROWS = 500_000
+#: Levels that one plan joins, counted from the leaves.
+WRITTEN = 4
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 NO_SIBLINGS = "cast(array() as array<struct<before:string,after:string>>)"
 
@@ -118,6 +120,8 @@ def descend(forest: Forest, nodes: DataFrame, above: DataFrame, more: list[str])
         )
         lowest = [F.col("c.hash").alias("hash"), *(F.col(f"c.{m}").alias(m) for m in more)] if level == 0 else []
         paths = each.select("key", F.col("c.idx").alias("idx"), *lowest, F.concat(F.array(own), "rest").alias("path"), *carried)
+        if level and level % WRITTEN == 0:
+            paths = cut(paths)  # one plan holds a few levels, however high the tree
     alone = nodes.where("n = 1").join(above, "key").select("key", "hash", *more, "path", *carried)
     return alone if paths is None else paths.select(*alone.columns).unionByName(alone)
 
