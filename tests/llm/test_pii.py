@@ -136,7 +136,7 @@ def test_many_matches_in_one_text(spark):
     df = spark.createDataFrame([(1, text), (2, "é" * 700 + " a@b.c 10.0.0.1 " + "🚀" * 300)], "doc_id long, text string")
     began = time.time()
     got = {r.doc_id: r for r in pii.find(df, ["doc_id"]).select("doc_id", F.size("base").alias("n"), pii.masked(F.col("text"), F.col("spans")).alias("m"), "spans").collect()}
-    assert time.time() - began < 60
+    assert time.time() - began < 90
     assert got[1].n == n and got[1].m == " ".join(["[EMAIL]"] * n)
     at = [m.start() for m in re.finditer("u", text)]
     assert [s.start for s in got[1].spans] == at
