@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkscan.llm.bytesops import LOWER, SliceHash, Words, give_back, in_slices, minimum_labels, mix, pieces, shingles, text_bytes
+from inkscan.llm.bytesops import LOWER, give_back, in_slices, minimum_labels, mix, pieces, shingles, text_bytes, word_places
 from inkscan.llm.shared import components, cut, new_path, partitions, small_batches
 
 U64 = np.uint64
@@ -50,15 +50,16 @@ HOT = 50_000
 PAIRS = 1 << 18
 #: Sets of a cluster that are compared in one go.
 CHUNK = 1024
+#: A text is hashed in blocks of so many bytes, which end at white space.
+TEXT_BLOCK = 1 << 19
 
 
-def shingle_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+def shingle_sets(column: pa.Array, block: int = TEXT_BLOCK) -> Iterator[tuple[int, np.ndarray]]:
     """(row, ascending distinct shingle hashes) of every text with a word."""
     data, offsets = text_bytes(column)
     for a, b in pieces(offsets):
-        part = LOWER[data[offsets[a] : offsets[b]]]
-        words = Words(part, offsets[a : b + 1] - offsets[a])
-        found, first = shingles(SliceHash(part)(words.starts, words.ends), words.first, WORDS)
+        _, _, hashes, words = word_places(LOWER[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a], block)
+        found, first = shingles(hashes, words, WORDS)
         for i in np.flatnonzero(np.diff(first)):
             yield a + int(i), np.unique(found[first[i] : first[i + 1]])
 
@@ -74,48 +75,50 @@ def required(n: int) -> int:
     return -(-n * PERCENT // 100)
 
 
-def _packed(documents: DataFrame) -> DataFrame:
-    """(doc_id, fp, n, tokens) per row, written once; fp is null for an empty set, tokens for a set that its task has written before."""
-
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in in_slices(batches):
-            fp, n, tokens = [None] * len(batch), np.zeros(len(batch), dtype=np.int64), [None] * len(batch)
-            for i, s in shingle_sets(batch.column("text")):
-                fp[i], n[i] = fingerprint(s), len(s)
-                if fp[i] not in seen:
-                    seen.add(fp[i])
-                    tokens[i] = s.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp, pa.int64()), pa.array(n), pa.array(tokens, pa.binary())], names=["doc_id", "fp", "n", "tokens"])
-        give_back()
-
-    path = new_path(documents.sparkSession, "sets")
-    documents.mapInArrow(compute, "doc_id long, fp long, n long, tokens binary").write.parquet(path)
-    return documents.sparkSession.read.parquet(path)
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list, np.ndarray, list[tuple[int, np.ndarray]]]]:
+    """Slices of a task's rows: fingerprint (None for an empty set) and size of each row's set, and the sets that the task meets for the first time."""
+    seen: set[int] = set()
+    for batch in in_slices(batches):
+        fp, n, new = [None] * len(batch), np.zeros(len(batch), dtype=np.int64), []
+        for i, s in shingle_sets(batch.column("text")):
+            fp[i], n[i] = fingerprint(s), len(s)
+            if fp[i] not in seen:
+                seen.add(fp[i])
+                new.append((fp[i], s))
+        yield batch, fp, n, new
 
 
-def _read_sets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    return (np.frombuffer(t.as_buffer(), dtype=U64) for t in batch.column("tokens"))
+def _prints(documents: DataFrame, bits: int) -> DataFrame:
+    """(doc_id, fp, n) per row, written once, and rows of (k, counts) with each task's part of the sketch.
 
-
-def _sketch(sets: DataFrame, bits: int) -> np.ndarray:
-    """A frequency class per counter: eight steps for every doubling of the count."""
+    The sets themselves are made again from the texts where they are needed: hashing costs less than disk of the texts' size.
+    """
     chunk = min(SKETCH_CHUNK_BITS, bits)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, any_rows = np.zeros(1 << bits, dtype=np.uint32), False
-        for batch in in_slices(batches):
-            found = [s >> U64(64 - bits) for s in _read_sets(batch)]
-            if found:
-                slots, n = np.unique(np.concatenate(found), return_counts=True)
-                counts[slots] += n.astype(np.uint32)
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, names, any_rows = np.zeros(1 << bits, dtype=np.uint32), ["doc_id", "fp", "n", "k", "counts"], False
+        for batch, fp, n, new in _hashed(batches):
+            if new:
+                slots, times = np.unique(np.concatenate([s >> U64(64 - bits) for _, s in new]), return_counts=True)
+                counts[slots] += times.astype(np.uint32)
                 any_rows = True
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp, pa.int64()), pa.array(n), pa.nulls(len(batch), pa.int32()), pa.nulls(len(batch), pa.binary())], names=names)
         if any_rows:
+            none = pa.nulls(1, pa.int64())
             for k, part in enumerate(counts.reshape(-1, 1 << chunk)):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["k", "counts"])
+                yield pa.RecordBatch.from_arrays([none, none, none, pa.array([k], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=names)
         del counts
         give_back()
 
+    path = new_path(documents.sparkSession, "prints")
+    documents.mapInArrow(compute, "doc_id long, fp long, n long, k int, counts binary").write.parquet(path)
+    return documents.sparkSession.read.parquet(path)
+
+
+def _sketch(parts: DataFrame, bits: int) -> np.ndarray:
+    """A frequency class per counter: eight steps for every doubling of the count."""
+    chunk = min(SKETCH_CHUNK_BITS, bits)
+
     def total(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << chunk, dtype=np.uint64)
         for batch in batches:
@@ -125,8 +128,7 @@ def _sketch(sets: DataFrame, bits: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(classes.tobytes(), 1)], pa.binary())], names=["k", "classes"])
 
     out = np.zeros(1 << bits, dtype=np.uint8)  # of a fixed size, whatever the input
-    parts = sets.select("tokens").mapInArrow(count, "k int, counts binary").groupBy("k").applyInArrow(total, "k int, classes binary")
-    for row in parts.collect():
+    for row in parts.groupBy("k").applyInArrow(total, "k int, classes binary").collect():
         out[row["k"] << chunk : (row["k"] + 1) << chunk] = np.frombuffer(zlib.decompress(bytes(row["classes"])), dtype=np.uint8)
     return out
 
@@ -134,15 +136,15 @@ def _sketch(sets: DataFrame, bits: int) -> np.ndarray:
 ENTRY = np.dtype([("token", "<u4"), ("fp", "<i8"), ("size", "<u4"), ("at", "<u4")])
 
 
-def _index(sets: DataFrame, sketch: np.ndarray, buckets: int, hot: int) -> DataFrame:
+def _index(documents: DataFrame, sketch: np.ndarray, buckets: int, hot: int) -> DataFrame:
     """(bucket, entries, edges): packed prefix entries of all distinct sets, dealt by shingle; of hot shingles packed edges instead."""
     bits, class_of_hot = int(np.log2(len(sketch))), np.ceil(8 * np.log2(hot + 1.0))
-    sent = sets.sparkSession.sparkContext.broadcast(sketch)
+    sent = documents.sparkSession.sparkContext.broadcast(sketch)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_slices(batches):
+        for _, _, _, new in _hashed(batches):
             tokens, rows = [], []
-            for fp, s in zip(batch.column("fp").to_pylist(), _read_sets(batch), strict=True):
+            for fp, s in new:
                 key = (sent.value[s >> U64(64 - bits)].astype(U64) << U64(56)) | (s >> U64(8))
                 prefix = s[np.argsort(key, kind="stable")[: len(s) - required(len(s)) + 1]]
                 tokens.append(prefix)
@@ -168,7 +170,7 @@ def _index(sets: DataFrame, sketch: np.ndarray, buckets: int, hot: int) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(dealt, pa.int32()), pa.array(blobs, pa.binary()), pa.array(links, pa.binary())], names=["bucket", "entries", "edges"])
         give_back()
 
-    return sets.select("fp", "tokens").mapInArrow(entries, "bucket int, entries binary, edges binary")
+    return documents.select("text").mapInArrow(entries, "bucket int, entries binary, edges binary")
 
 
 def _counted(e: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -280,17 +282,20 @@ def _bloom(fps: DataFrame, column: str, bits: int = BLOOM_BITS) -> np.ndarray:
     return out
 
 
-def _passing(sets: DataFrame, wanted: np.ndarray) -> DataFrame:
+def _passing(documents: DataFrame, wanted: np.ndarray) -> DataFrame:
     """(fp, tokens): the sets that pass the filter, each once."""
     bits = int(np.log2(len(wanted))) + 3
-    sent = sets.sparkSession.sparkContext.broadcast(wanted)
+    sent = documents.sparkSession.sparkContext.broadcast(wanted)
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slot = np.asarray(batch.column("fp")).view(U64) >> U64(64 - bits)
-            yield batch.filter(pa.array(sent.value[slot >> U64(3)] >> (U64(7) - (slot & U64(7))).astype(np.uint8) & 1 == 1))
+        for _, _, _, new in _hashed(batches):
+            fp = np.array([f for f, _ in new], dtype=np.int64)
+            slot = fp.view(U64) >> U64(64 - bits)
+            some = np.flatnonzero(sent.value[slot >> U64(3)] >> (U64(7) - (slot & U64(7))).astype(np.uint8) & 1 == 1)
+            yield pa.RecordBatch.from_arrays([pa.array(fp[some]), pa.array([new[i][1].tobytes() for i in some], pa.binary())], names=["fp", "tokens"])
+        give_back()
 
-    return sets.select("fp", "tokens").mapInArrow(select, "fp long, tokens binary").groupBy("fp").agg(F.first("tokens").alias("tokens"))
+    return documents.select("text").mapInArrow(select, "fp long, tokens binary").groupBy("fp").agg(F.first("tokens").alias("tokens"))
 
 
 def links(sets: list[np.ndarray], split: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -350,9 +355,9 @@ def _verify(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def _clusters(sets: DataFrame, buckets: int, bits: int, hot: int) -> DataFrame:
+def _clusters(documents: DataFrame, sketch: np.ndarray, buckets: int, hot: int) -> DataFrame:
     """(fp, cluster): sets that a chain of candidates connects."""
-    index = _index(sets, _sketch(sets, bits), buckets, hot).repartition(buckets, "bucket")
+    index = _index(documents, sketch, buckets, hot).repartition(buckets, "bucket")
     found = index.mapInArrow(_candidates, "a long, b long, n_a long, n_b long, shared long")
     pairs = found.groupBy("a", "b").agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.sum("shared").alias("shared"), F.max(F.col("shared").isNull()).alias("star"))
     # what neither prefix shows is at most the rest of one of the sets
@@ -362,16 +367,16 @@ def _clusters(sets: DataFrame, buckets: int, bits: int, hot: int) -> DataFrame:
     return cut(components(edges).select(F.col("id").alias("fp"), F.col("label").alias("cluster")))
 
 
-def _linked(sets: DataFrame, buckets: int, bits: int, hot: int) -> DataFrame:
+def _linked(documents: DataFrame, sketch: np.ndarray, buckets: int, hot: int) -> DataFrame:
     """(id, label) of the fingerprints that link with another."""
-    clusters = _clusters(sets, buckets, bits, hot)
+    clusters = _clusters(documents, sketch, buckets, hot)
     bins = max(1, clusters.count() // CHUNK)
     sizes = clusters.groupBy("cluster").agg(
         F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"), F.array(F.min("fp"), F.max("fp"), F.min_by("fp", F.xxhash64("fp"))).alias("some")
     )
     dealt = clusters.join(sizes, "cluster").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
     member = dealt.select("fp", "cluster", "chunks", "part", F.array_contains("some", F.col("fp")).alias("everywhere"))
-    wanted = _passing(sets, _bloom(clusters, "fp"))
+    wanted = _passing(documents, _bloom(clusters, "fp"))
     whole = F.when(F.col("everywhere"), F.expr("sequence(0, chunks - 1)")).otherwise(F.array("part"))
     # small clusters share a group; a chunk of a large one is a group with a few sets of its whole cluster
     first = wanted.join(member, "fp").select(
@@ -405,17 +410,19 @@ def near_copies(documents: DataFrame, buckets: int | None = None, sketch_bits: i
     component_id is the smallest doc_id that links reach, its own included; set_id is equal for
     documents of equal sets.  A null text counts as empty: no shingles, linked with nothing, its
     own component.  Every input row gives a row, repeated ones too; other columns are ignored.
+    ``documents`` is read three times (sketch, index, verification), so it should be a table.
     """
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark = documents.sparkSession
     small_batches(spark)
-    packed = _packed(documents)
-    prints = packed.select("doc_id", "fp", "n")
+    written = _prints(documents, sketch_bits)
+    prints = written.where("k is null").select("doc_id", "fp", "n")
+    sketch = _sketch(written.where("k is not null").select("k", "counts"), sketch_bits)
     total = prints.agg(F.sum("n")).first()[0] or 0
     # about a quarter of the shingles are indexed; a partition sorts about a million entries
     buckets = buckets or max(partitions(spark), total // 4_000_000 + 1)
     sets = prints.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least"))
-    label = _linked(packed.where("tokens is not null").select("fp", "tokens"), buckets, sketch_bits, hot)
+    label = _linked(documents, sketch, buckets, hot)
     joined = sets.join(label, sets["fp"] == label["id"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     group = joined.groupBy("label").agg(F.min("least").alias("component_id"))
     by_set = joined.join(group, "label").select("fp", "component_id")

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from inkscan.llm import jaccard
@@ -110,3 +111,18 @@ def test_driver_documents(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_copies(df).collect()) == brute(rows)
+
+
+def test_long_texts_in_blocks(spark):
+    """The sets of a text don't depend on the blocks it is hashed in, whatever stands at their borders."""
+    draw = random.Random(5)
+    texts = [" ".join(draw.choices(["a", "Bc", "d" * 70, "é"], k=draw.randint(0, 60))) + draw.choice(["", " ", "\n"]) for _ in range(40)]
+    column = pa.array([None, "", *texts, "x" * 500])
+    whole = list(jaccard.shingle_sets(column))
+    for block in (1, 16, 64, 1000):
+        parts = list(jaccard.shingle_sets(column, block))
+        assert [i for i, _ in parts] == [i for i, _ in whole] and all(np.array_equal(a, b) for (_, a), (_, b) in zip(parts, whole, strict=True))
+    long = " ".join(f"w{i}" for i in range(700_000))
+    rows = [(1, long), (2, long + " end"), (3, "other " + long[: len(long) // 2])]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), sketch_bits=18).collect()}
+    assert got[1] == (699_996, 1) and got[2] == (699_997, 1) and got[3][1] == 3
