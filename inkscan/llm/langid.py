@@ -25,6 +25,8 @@ U64 = np.uint64
 MAX_DOCS, MAX_BYTES = 20_000, 1 << 24
 LENGTHS = (4, 3, 2, 1)
 UNKNOWN = "und"
+#: A longer text is worked on in parts of about so many code points, which end at a non-letter; scores add up over them.
+PART = 1 << 19
 #: What a known word counts against an unknown one, whose n-grams are averaged.
 WORD_WEIGHT = 2.0
 
@@ -84,7 +86,7 @@ class Words:
     ``rows`` and ``which`` say of every word its text and its number among the distinct ones.
     """
 
-    def __init__(self, texts: list[str], data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, texts: tuple[str, ...], data: np.ndarray, offsets: np.ndarray):
         points = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
         letter = _is_letter()[points]
         lead = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # of each code point, and the end
@@ -106,12 +108,23 @@ class Words:
         return self.slices(self.lead[at], self.lead[at + n]), word, at
 
 
-def _each(column: pa.Array) -> Iterator[tuple[int, int, list[str], Words]]:
-    """Row ranges of a batch, their lower-cased texts, and their words; null counts as empty."""
-    texts = [t.lower() if t else "" for t in column.to_pylist()]
-    data, offsets = text_bytes(pa.array(texts, pa.large_string()))
+def text_parts(texts: list[str], part: int) -> Iterator[tuple[int, str]]:
+    """(row, part) of every text: itself, or parts that no word crosses; a longer word is in one part."""
+    for row, text in enumerate(texts):
+        at = 0
+        while len(text) - at > part:
+            end = next((k for k in range(at + part, len(text)) if not text[k].isalpha()), len(text))
+            yield row, text[at:end]
+            at = end
+        yield row, text[at:]
+
+
+def _each(column: pa.Array, part: int = PART) -> Iterator[tuple[np.ndarray, Words]]:
+    """Words of pieces of a batch, lower-cased, and the batch's row of each text in the piece; null counts as empty."""
+    rows, texts = zip(*text_parts([t.lower() if t else "" for t in column.to_pylist()], part), strict=True) if len(column) else ((), ())
+    rows, (data, offsets) = np.array(rows, dtype=np.int64), text_bytes(pa.array(texts, pa.large_string()))
     for a, b in pieces(offsets):
-        yield a, b, texts[a:b], Words(texts[a:b], data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        yield rows[a:b], Words(texts[a:b], data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,8 +132,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs = batch.column("lang").to_pylist()
         names, code = np.unique(np.array(langs, dtype=object), return_inverse=True) if langs else (np.zeros(0, dtype=object), np.zeros(0, dtype=np.int64))
-        for a, b, _, w in _each(batch.column("text")):
-            pair, count = np.unique(code[a:b][w.rows] * max(1, len(w.hashes)) + w.which, return_counts=True)
+        for rows, w in _each(batch.column("text")):
+            pair, count = np.unique(code[rows][w.rows] * max(1, len(w.hashes)) + w.which, return_counts=True)
             lang, word = pair // max(1, len(w.hashes)), pair % max(1, len(w.hashes))
             for n in (0, *LENGTHS):
                 found, of = (w.hashes[word], np.arange(len(word))) if n == 0 else w.grams(n, word)[:2]
@@ -189,6 +202,15 @@ def score_texts(model: Model, n_texts: int, w: Words) -> np.ndarray:
     return z
 
 
+def score_column(model: Model, column: pa.Array, part: int = PART) -> tuple[np.ndarray, np.ndarray]:
+    """The log-likelihoods of a column's texts, prior included, and which of them have a letter."""
+    z, some = np.tile(model.prior, (len(column), 1)), np.zeros(len(column), dtype=bool)
+    for rows, w in _each(column, part):
+        np.add.at(z, rows, score_texts(model, len(rows), w))
+        some[rows[w.rows]] = True
+    return z, some
+
+
 def predict(documents: DataFrame, model: Model) -> DataFrame:
     """Per document: doc_id, held_out, lang_pred, score.
 
@@ -200,11 +222,11 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
         names = np.array([*model.langs, UNKNOWN], dtype=object)
         for batch in batches:
             best, share = np.full(len(batch), len(model.langs)), np.zeros(len(batch))
-            for a, b, _, w in _each(batch.column("text")) if model.langs else ():
-                z = score_texts(model, b - a, w) + model.prior
-                some = np.flatnonzero(np.bincount(w.rows, minlength=b - a))  # texts with a letter
-                best[a + some] = z[some].argmax(axis=1)
-                share[a + some] = 1 / np.exp(np.maximum(z[some] - z[some].max(axis=1, keepdims=True), -700)).sum(axis=1)
+            if model.langs:
+                z, some = score_column(model, batch.column("text"))
+                z = z[some]
+                best[some] = z.argmax(axis=1)
+                share[some] = 1 / np.exp(np.maximum(z - z.max(axis=1, keepdims=True), -700)).sum(axis=1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(names[best].tolist(), pa.string()), pa.array(share)],
                 names=["doc_id", "held_out", "lang_pred", "score"],

@@ -3,6 +3,8 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +94,15 @@ def test_sample_is_bounded_whatever_ids_repeat(spark):
     assert 0 < len(small.tables[0].hashes) <= 10
     only = langid.train(spark.createDataFrame([(4, "the same", "en")] * 300, df.schema))
     assert len(only.tables[0].hashes) == 2
+
+
+def test_long_texts_in_parts(spark):
+    """Parts of a text add up to its score; a text of millions of letters is predicted like its beginning."""
+    train = spark.createDataFrame([(0, "the cat and the dog the", "en"), (1, "der hund und der mann der", "de")], "doc_id long, text string, lang string")
+    model = langid.train(train)
+    column = pa.array(["The cat, und der Hund " * 40, None, "", "x" * 90, "13 " * 30, "der mann"])
+    whole, parts = langid.score_column(model, column), langid.score_column(model, column, 10)
+    assert np.allclose(whole[0], parts[0]) and whole[1].tolist() == parts[1].tolist() == [True, False, False, True, False, True]
+    assert list(langid.text_parts(["ab cdefgh i", ""], 4)) == [(0, "ab cdefgh"), (0, " i"), (1, "")]
+    df = spark.createDataFrame([(2, "der hund " * 400_000), (3, "the cat " * 400_000)], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in langid.predict(df, model).collect()} == {2: "de", 3: "en"}
