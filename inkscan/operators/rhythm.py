@@ -60,7 +60,7 @@ def openings() -> Column:
 
     def value(firsts: Column) -> Column:
         n = F.size(firsts)
-        top = F.aggregate(F.array_sort(firsts), start, step, lambda acc: acc["best"])
+        top = F.aggregate(F.sort_array(firsts), start, step, lambda acc: acc["best"])
         pairs = F.zip_with(F.slice(firsts, F.lit(1), n - 1), F.slice(firsts, F.lit(2), n - 1), lambda a, b: a == b)
         return F.when(n >= 6, F.least(F.lit(1.0), top / n + 0.5 * F.size(F.filter(pairs, lambda x: x)) / n))
 

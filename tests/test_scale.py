@@ -1,6 +1,14 @@
 """What larger tables brought up: tables in folders, ties of rounding, patterns that look only where they can match, bounded pieces."""
 
-from inkscan import built
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from inkscan import built, queries
+from inkscan.functions.regexlib import phrases
+from inkscan.operators import ngram
+from inkscan.operators.typography import ODD_NBSP
+from inkscan.plans.context import SENTENCE_END
+from inkscan.sources import json_array
 
 SF = "/root/testdata/sf0.001"
 
@@ -10,3 +18,33 @@ def test_sessions_of_a_table_in_a_folder(spark, tmp_path):
     spark.range(3).write.parquet(str(tmp_path / "labels.parquet"))
     one, many = (sorted(map(tuple, built.session_stream(spark, d).collect())) for d in (SF, str(tmp_path)))
     assert one == many and len(one) == spark.read.parquet(f"{SF}/conversations.parquet").count()
+
+
+def test_grams_are_counted_before_they_are_shuffled(spark, monkeypatch):
+    texts = ["Ab ab  ab\tx9.", "", None, "é\U0001F680ß¡ab", "c" * 50]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = ngram.count_grams(df)
+    assert "Generate" not in found._jdf.queryExecution().toString()
+    want = df.select(F.explode(ngram.grams_of(F.col("text"))).alias("gram")).groupBy("gram").count()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_patterns_look_for_what_is_rare_first():
+    assert all(p.startswith("(?=[") for p in (SENTENCE_END, ODD_NBSP)) and phrases(["kind"]).startswith("(?-iu:(?=[")
+
+
+def test_runs_of_a_range_are_bounded(monkeypatch):
+    monkeypatch.setattr(json_array, "RUN", 100)
+    values = [f'{{"a": "{i}"' for i in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["f"] * 1000), pa.array([0] * 1000), pa.array(values)], names=["file", "block", "value"])
+    runs = [raw for _, raw in json_array._runs([batch])]
+    assert max(map(len, runs)) < 250 and b"".join(runs) == "".join(v + "}" for v in values).encode()
+
+
+def test_partial_score_is_of_rounded_scores(spark, monkeypatch):
+    """A sum just below a border counts as the SQL has it, from scores of six digits."""
+    s = lambda x: F.struct(F.lit(x).alias("value"), F.lit(True).alias("applicable"), F.lit(x).alias("score"))
+    low, high = 0.1234564999, 0.1234565001
+    monkeypatch.setattr(queries.analyze, "detect", lambda df, keep, ids: df.select(*keep, *(s(low if i % 2 else high).alias(d) for i, d in enumerate(ids))))
+    plan = queries.partial_score(spark, SF)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("round(") >= 4
