@@ -20,16 +20,20 @@ from pyspark.sql.types import StructType
 
 END = "}"
 RANGE = "file string, block long"
+#: Characters that are worked on at once.
+RUN = 1 << 20
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, bytes]]:
-    """(key columns, bytes) of consecutive pieces of one range."""
+    """(key columns, bytes) of consecutive pieces of one range, about ``RUN`` characters at once: what is worked on holds tens of bytes for each."""
     for batch in batches:
         keys = list(zip(*(batch.column(c).to_pylist() for c in batch.schema.names if c != "value"), strict=True))
         values, at = batch.column("value").to_pylist(), 0
         while at < len(keys):
             end = at
-            while end < len(keys) and keys[end] == keys[at]:
+            size = 0
+            while end < len(keys) and keys[end] == keys[at] and size < RUN:
+                size += len(values[end])
                 end += 1
             yield keys[at], "".join(v + END for v in values[at:end]).encode()
             at = end
