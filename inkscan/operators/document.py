@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkscan.functions.regexlib import BOUNDARY, count, js
+from inkscan.functions.regexlib import FOLDED_BOUNDARY, count, js
 from inkscan.operators.base import add_up, register, result
 
 META = (
@@ -15,7 +15,7 @@ META = (
 # Programs that generate documents, styles of pasted pages, fonts of chats.
 GENERATORS = r"(?i)python-docx|reportlab|pandoc|wkhtmltopdf|microsoft print to pdf|chrome|skia/pdf|headless|puppeteer|weasyprint|docx\.js|openxml sdk|fpdf|tcpdf|html2pdf|jspdf|pdfkit|latex|chatgpt|openai|claude|gemini"
 WEB_STYLES = r"(?iu)normal \(web\)|html|обычный \(веб\)"
-CHAT_FONTS = rf"(?iu)söhne|sohne|ui-sans-serif|segoe ui|-apple-system|inter{BOUNDARY}"
+CHAT_FONTS = rf"(?iu)söhne|sohne|ui-sans-serif|segoe ui|-apple-system|inter{FOLDED_BOUNDARY}"
 LEFT_MARKDOWN = js(r"\*\*[^*\n]+\*\*|^#{1,6}\s", "m")
 
 

@@ -48,3 +48,19 @@ def test_partial_score_is_of_rounded_scores(spark, monkeypatch):
     monkeypatch.setattr(queries.analyze, "detect", lambda df, keep, ids: df.select(*keep, *(s(low if i % 2 else high).alias(d) for i, d in enumerate(ids))))
     plan = queries.partial_score(spark, SF)._jdf.queryExecution().analyzed().toString()
     assert plan.count("round(") >= 4
+
+
+def test_classes_have_few_members(spark):
+    """Java asks the members of a class one inside another: white space and the first letters of Russian markers are told by few."""
+    from inkscan.functions.regexlib import BOUNDARY, FOLDED_BOUNDARY, WS
+    from inkscan.operators.lexical import marker_index
+    from inkscan.plans.context import CYRILLIC_RUN, LATIN_RUN
+
+    assert len(WS) < 40 and marker_index("ru")[0].split("]")[0].count("x{") <= 4
+    listed = "\\t\\n\\x0B\\f\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF"
+    around = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+    points = spark.range(0x20000).where("id < 55296 or id > 57343").select(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("c"))
+    same = [(f"[{WS}]", f"[{listed}]"), (CYRILLIC_RUN, r"\p{IsCyrillic}"), (LATIN_RUN, r"\p{IsLatin}"), (f"a{BOUNDARY}", f"a{around}"), (f"(?iu)a{FOLDED_BOUNDARY}", f"(?iu)a{around}")]
+    text = F.concat(F.lit("a"), "c")
+    assert [points.where(F.col("c").rlike(new) != F.col("c").rlike(old)).count() for new, old in same[:3]] == [0, 0, 0]
+    assert [points.where(text.rlike(new) != text.rlike(old)).count() for new, old in same[3:]] == [0, 0]
