@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -72,70 +74,130 @@ def compression() -> Column:
     return result("I-06", flags, (_of("format") == "jpeg") & (F.size(_of("quant")) > 0))
 
 
-def _rgba(width: int, height: int, data: bytes) -> np.ndarray:
-    return np.frombuffer(data, dtype=np.uint8).reshape(height, width, 4).astype(np.float64)
+#: Pixels that are worked on at once: images of one size go together.
+AT_ONCE = 1 << 15
+
+
+def _weighed(px: np.ndarray, weights: tuple[float, float, float]) -> np.ndarray:
+    r, g, b = (px[..., k] * w for k, w in enumerate(weights))
+    return r + g + b
+
+
+@cache
+def _spectral_layout(h: int, w: int, n: int) -> tuple:
+    """Which pixels an image of that size gives, which rows and columns of its Laplacian differ, and where the lines and what is around them stand."""
+    def differing(size: int) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(size - 1, ((np.arange(n) + 0.5) * size / n).astype(int))
+        threes, again = np.unique(np.stack([at[:-2], at[1:-1], at[2:]]), axis=1, return_inverse=True)
+        edge = [threes.shape[1]]  # stands for the border
+        return threes, np.concatenate([edge, again.ravel(), edge])
+
+    lines = (n // 2, n // 4, n // 8, n // 16)
+    columns = np.unique([(f + d) % n for f in (0, *lines) for d in range(-3, 4)])
+    place = np.zeros(n, dtype=int)
+    place[columns] = np.arange(len(columns))
+    dy, dx = np.array([(dy, dx) for dy in range(-3, 4) for dx in range(-3, 4) if max(abs(dx), abs(dy)) >= 2 and dx and dy]).T
+    fx, fy = np.array([p for f in lines for p in ((f, 0), (0, f), (f, f))]).T
+    return differing(h), differing(w), columns, place[fx] * n + fy, place[(fx[:, None] + dx) % n] * n + (fy[:, None] + dy) % n
+
+
+def spectral_peaks(px: np.ndarray, n: int = 256) -> np.ndarray:
+    """Per image (the first axis) the largest ratio of a spectral line at n/2, n/4, n/8, n/16 to the median around it, of the Laplacian of the luma.
+
+    Of the spectrum only the columns around these lines are made; rows of the Laplacian that repeat are transformed once.
+    """
+    (rows, each_row), (xs, each_column), columns, lines, around = _spectral_layout(*px.shape[1:3], n)
+    luma = _weighed(px, (0.299, 0.587, 0.114))
+    out = np.zeros(len(px))
+    edges = np.zeros((rows.shape[1] + 1, xs.shape[1] + 1))
+    for i, whole in enumerate(luma):
+        up, here, down = (whole[r] for r in rows)
+        middle = xs[1]
+        edges[:-1, :-1] = (4 * here)[:, middle] - here[:, xs[0]] - here[:, xs[2]] - up[:, middle] - down[:, middle]
+        spread = np.fft.fft(edges[:, each_column], axis=1)[:, columns]
+        power = np.abs(np.fft.fft(spread.T[:, each_row], axis=1)).ravel()
+        near = np.sort(power[around], axis=1)[:, around.shape[1] // 2]
+        out[i] = (power[lines] / np.where(near == 0, 1e-9, near)).max(initial=0.0)
+    return out
+
+
+def smooth_shares(px: np.ndarray, grid: int = 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per image (the first axis) the share of blocks with little noise, the correlation of red and green noise, and each block's smoothness (0 to 1).
+
+    Noise is counted in whole quarters, so sums are exact in any order.
+    """
+    h, w = px.shape[1:3]
+    bw, bh = max(3, w // grid), max(3, h // grid)
+    step = max(1, min(bw, bh) // 12)
+    taken = [[np.arange(g * size + 1, min(end - 1, (g + 1) * size), step) for g in range(grid)] for size, end in ((bh, h), (bw, w))]
+    (ny, ys), (nx, xs) = ((np.array([len(t) for t in axis if len(t)]), np.concatenate(axis)) for axis in taken)
+    heat = np.ones((len(px), grid, grid))
+    if not len(ys) or not len(xs):
+        return np.zeros(len(px)), np.zeros(len(px)), heat
+    q = px[..., :2].astype(np.int32)
+    at = lambda dy, dx: q[:, ys + dy][:, :, xs + dx]
+    noise = 4 * at(0, 0) - at(0, -1) - at(0, 1) - at(-1, 0) - at(1, 0)
+    r, g = noise[..., 0].astype(np.int64), noise[..., 1].astype(np.int64)
+    starts = lambda n: np.cumsum(n) - n
+    total = np.add.reduceat(np.add.reduceat(np.abs(g), starts(ny), axis=1), starts(nx), axis=2)
+    mean = total / 4 / (ny[:, None] * nx)
+    heat[:, : len(ny), : len(nx)] = np.minimum(1.0, np.maximum(0.0, 1 - mean / 4))
+    summed = lambda a, b: np.einsum("kyx,kyx->k", a, b) / 16
+    spread = np.sqrt(summed(r, r) * summed(g, g))
+    together = np.divide(summed(r, g), spread, out=np.zeros(len(px)), where=spread != 0)
+    return (mean < 0.8).sum(axis=(1, 2)) / (len(ny) * len(nx)), together, heat
+
+
+def watermark_strengths(px: np.ndarray, scale: float = 36) -> np.ndarray:
+    """Per image (the first axis) the share of 4x4 blocks of the half-size chroma whose mean sits near a quarter of the scale."""
+    h, w = px.shape[1] // 2 * 2, px.shape[2] // 2 * 2
+    if min(h, w) < 16:
+        return np.zeros(len(px))
+    u = _weighed(px[:, :h, :w], (-0.14713, -0.28886, 0.436)) + 128
+    low = (u[:, ::2, ::2] + u[:, ::2, 1::2] + u[:, 1::2, ::2] + u[:, 1::2, 1::2]) / 2
+    rows, columns = low.shape[1] // 4, low.shape[2] // 4
+    mean = low[:, : rows * 4, : columns * 4].reshape(-1, rows, 4, columns, 4).sum(axis=(2, 4)) / 4
+    part = (mean / scale) % 1
+    return ((np.abs(part - 0.25) < 0.1) | (np.abs(part - 0.75) < 0.1)).mean(axis=(1, 2))
 
 
 def spectral_peak(px: np.ndarray, n: int = 256) -> float:
-    """Largest ratio of a spectral line at n/2, n/4, n/8, n/16 to the median around it, of the Laplacian of the luma."""
-    h, w = px.shape[:2]
-    at = lambda size: np.minimum(size - 1, ((np.arange(n) + 0.5) * size / n).astype(int))
-    luma = (px[at(h)][:, at(w)][..., :3] * [0.299, 0.587, 0.114]).sum(axis=2)
-    edges = np.zeros((n, n))
-    edges[1:-1, 1:-1] = 4 * luma[1:-1, 1:-1] - luma[1:-1, :-2] - luma[1:-1, 2:] - luma[:-2, 1:-1] - luma[2:, 1:-1]
-    power = np.abs(np.fft.fft2(edges))
-    ring = [(dy, dx) for dy in range(-3, 4) for dx in range(-3, 4) if max(abs(dx), abs(dy)) >= 2 and dx and dy]
-    peak = 0.0
-    for f in (n // 2, n // 4, n // 8, n // 16):
-        for fx, fy in ((f, 0), (0, f), (f, f)):
-            around = sorted(power[(fy + dy) % n, (fx + dx) % n] for dy, dx in ring)
-            peak = max(peak, power[fy % n, fx % n] / (around[len(around) // 2] or 1e-9))
-    return float(peak)
+    """Of one image."""
+    return float(spectral_peaks(px[None], n)[0])
 
 
 def smooth_share(px: np.ndarray, grid: int = 16) -> tuple[float, float, np.ndarray]:
-    """Share of blocks with little noise, the correlation of red and green noise, and each block's smoothness (0 to 1)."""
-    h, w = px.shape[:2]
-    bw, bh = max(3, w // grid), max(3, h // grid)
-    step = max(1, min(bw, bh) // 12)
-    noise = np.zeros((h, w, 2))
-    noise[1:-1, 1:-1] = px[1:-1, 1:-1, :2] - (px[1:-1, :-2, :2] + px[1:-1, 2:, :2] + px[:-2, 1:-1, :2] + px[2:, 1:-1, :2]) / 4
-    smooth = total = 0
-    used, heat = [], np.ones((grid, grid))
-    for gy in range(grid):
-        for gx in range(grid):
-            block = noise[gy * bh + 1 : min(h - 1, (gy + 1) * bh) : step, gx * bw + 1 : min(w - 1, (gx + 1) * bw) : step].reshape(-1, 2)
-            if len(block):
-                total += 1
-                mean = np.abs(block[:, 1]).mean()
-                smooth += mean < 0.8
-                heat[gy, gx] = min(1.0, max(0.0, 1 - mean / 4))
-                used.append(block)
-    r, g = np.concatenate(used).T if used else np.zeros((2, 0))
-    spread = np.sqrt((r * r).sum() * (g * g).sum())
-    return smooth / total if total else 0.0, float((r * g).sum() / spread) if spread else 0.0, heat
+    """Of one image."""
+    share, together, heat = smooth_shares(px[None], grid)
+    return float(share[0]), float(together[0]), heat[0]
 
 
 def watermark_strength(px: np.ndarray, scale: float = 36) -> float:
-    """Share of 4x4 blocks of the half-size chroma whose mean sits near a quarter of the scale."""
-    h, w = px.shape[0] // 2 * 2, px.shape[1] // 2 * 2
-    if min(h, w) < 16:
-        return 0.0
-    u = (px[:h, :w, :3] * [-0.14713, -0.28886, 0.436]).sum(axis=2) + 128
-    low = (u[::2, ::2] + u[::2, 1::2] + u[1::2, ::2] + u[1::2, 1::2]) / 2
-    rows, columns = low.shape[0] // 4, low.shape[1] // 4
-    mean = low[: rows * 4, : columns * 4].reshape(rows, 4, columns, 4).sum(axis=(1, 3)) / 4
-    part = (mean / scale) % 1
-    return float(((np.abs(part - 0.25) < 0.1) | (np.abs(part - 0.75) < 0.1)).mean())
+    """Of one image."""
+    return float(watermark_strengths(px[None], scale)[0])
+
+
+def _each(measure, least: int, width: pd.Series, height: pd.Series, data: pd.Series) -> list:
+    """What ``measure`` makes of each image of at least that width and height, else null; images of one size go together."""
+    out, sizes = [None] * len(data), {}
+    for i, (w, h, d) in enumerate(zip(width, height, data, strict=True)):
+        if d is not None and w and h and min(w, h) >= least:
+            sizes.setdefault((int(h), int(w)), []).append(i)
+    held = data.to_numpy()
+    for (h, w), places in sizes.items():
+        k = max(1, AT_ONCE // (h * w))
+        for at in range(0, len(places), k):
+            some = places[at : at + k]
+            px = np.stack([np.frombuffer(held[i], dtype=np.uint8).reshape(h, w, 4) for i in some])
+            for i, x in zip(some, measure(px), strict=True):
+                out[i] = x
+    return out
 
 
 def _pixels(measure, least: int):
     @F.pandas_udf(DoubleType())
     def udf(width: pd.Series, height: pd.Series, data: pd.Series) -> pd.Series:
-        def one(w, h, d):
-            return None if d is None or not w or not h or min(w, h) < least else measure(_rgba(int(w), int(h), bytes(d)))
-
-        return pd.Series([one(*x) for x in zip(width, height, data, strict=True)], dtype="float64")
+        return pd.Series(_each(measure, least, width, height, data), dtype="float64")
 
     value = udf("pixels.width", "pixels.height", "pixels.data")
     return F.when(F.isnan(value), None).otherwise(value)
@@ -143,15 +205,15 @@ def _pixels(measure, least: int):
 
 @register("I-04")
 def spectrum() -> Column:
-    value = _pixels(spectral_peak, 64)
+    value = _pixels(spectral_peaks, 64)
     return result("I-04", value, value.isNotNull())
 
 
 @register("I-05")
 def noise() -> Column:
-    def measure(px: np.ndarray) -> float:
-        share, together, _ = smooth_share(px)
-        return share + (0.15 if together > 0.97 else 0.0)
+    def measure(px: np.ndarray) -> np.ndarray:
+        share, together, _ = smooth_shares(px)
+        return share + np.where(together > 0.97, 0.15, 0.0)
 
     value = _pixels(measure, 32)
     return result("I-05", value, value.isNotNull())
@@ -159,7 +221,7 @@ def noise() -> Column:
 
 @register("I-07")
 def watermark() -> Column:
-    value = _pixels(watermark_strength, 64)
+    value = _pixels(watermark_strengths, 64)
     return result("I-07", value, value.isNotNull())
 
 
@@ -168,9 +230,6 @@ def heat_map(grid: int = 16) -> Column:
 
     @F.pandas_udf("array<array<double>>")
     def udf(width: pd.Series, height: pd.Series, data: pd.Series) -> pd.Series:
-        def one(w, h, d):
-            return None if d is None or not w or not h or min(w, h) < 32 else smooth_share(_rgba(int(w), int(h), bytes(d)), grid)[2].tolist()
-
-        return pd.Series([one(*x) for x in zip(width, height, data, strict=True)], dtype=object)
+        return pd.Series(_each(lambda px: smooth_shares(px, grid)[2].tolist(), 32, width, height, data), dtype=object)
 
     return udf("pixels.width", "pixels.height", "pixels.data")
