@@ -34,3 +34,8 @@ def test_blocks_are_as_by_patterns(spark):
     assert all(r.same for r in found) and {r.blank for r in found} == {True, False} and {k for r in found for k in r.kinds} == {"text", "heading", "list"}
     long = spark.createDataFrame([("😀" * 80 + "x",), ("é" * 80,), ("é" * 81,), ("😀" * 79,), ("# " + "é" * 900,), ("x" * 400,), ("1" * 400 + ". item",), ("© c",)], "text string")
     assert [r.k for r in long.select(kind_of(t).alias("k")).collect()] == ["text", "heading", "text", "heading", "heading", "text", "list", "list"]
+
+
+def test_s03_cuts_no_sentences(spark):
+    for detector in ("S-03", "S-04", "S-07"):
+        assert MARK not in plan(spark, detector), detector
