@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from inkscan.functions.regexlib import WORD, WS
 from inkscan.plans import analyze
-from inkscan.plans.context import MARK, kind_of, paragraphs_of
+from inkscan.plans.context import ABBREVIATIONS, MARK, SENTENCE_END, kind_of, paragraphs_of
 
 
 def plan(spark, detector):
@@ -39,3 +39,19 @@ def test_blocks_are_as_by_patterns(spark):
 def test_s03_cuts_no_sentences(spark):
     for detector in ("S-03", "S-04", "S-07"):
         assert MARK not in plan(spark, detector), detector
+
+
+def test_r02_looks_for_the_words_of_a_sentence_once(spark):
+    """And in a heading; a sentence's first word is one of them."""
+    assert plan(spark, "R-02").count(WORD) == 2
+
+
+def test_sentences_end_as_by_what_comes_before(spark):
+    before = (
+        rf"(?=[.!?…])(?!(?<=(?<!\p{{L}})(?iu:{'|'.join(sorted(ABBREVIATIONS, key=lambda a: -len(a)))}|\p{{L}}))\.[{WS}]+[\p{{Ll}}\d])"
+        rf"(?!(?<=\d)\.[{WS}]+\d)"
+        rf"[.!?…]+[\"»”’)]*(?=[{WS}]|\z)"
+    )
+    marked = lambda pattern: F.regexp_replace("text", pattern, "$0" + MARK)
+    found = spark.createDataFrame(rows(7), "text string").select(marked(before).alias("a"), marked(SENTENCE_END).alias("b")).collect()
+    assert all(r.a == r.b for r in found) and sum(r.a.count(MARK) for r in found) > 1000
