@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from inkscan.functions.regexlib import WORD, WS
+from inkscan.operators import academic
 from inkscan.plans import analyze
 from inkscan.plans.context import ABBREVIATIONS, MARK, SENTENCE_END, kind_of, paragraphs_of
 
@@ -55,3 +56,16 @@ def test_sentences_end_as_by_what_comes_before(spark):
     marked = lambda pattern: F.regexp_replace("text", pattern, "$0" + MARK)
     found = spark.createDataFrame(rows(7), "text string").select(marked(before).alias("a"), marked(SENTENCE_END).alias("b")).collect()
     assert all(r.a == r.b for r in found) and sum(r.a.count(MARK) for r in found) > 1000
+
+
+def test_l07_counts_attributions_once(spark):
+    text = plan(spark, "L-07")
+    assert [text.count(academic.ATTRIBUTION[lang]) for lang in ("ru", "en")] == [1, 1]
+
+
+def test_l07_needs_attributions_or_references(spark):
+    words, said, cited = "word " * 300, " Smith argued it." * 4, " [1] [2] [3]"
+    texts = [words, words + said, words + cited, said + cited, words + " Smith argued it." * 3 + " [1] [2]"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = analyze.detect(df, ["doc_id"], ["L-07"]).orderBy("doc_id").select("`L-07`.*").collect()
+    assert [r.applicable for r in found] == [False, True, True, False, False] and found[1].value == 6000 / 312 and found[2].value == 0
