@@ -13,6 +13,24 @@ def lengths() -> Column:
     return F.transform("prose", lambda s: s["n"].cast("double"))
 
 
+def updated_cv(numbers: Column) -> Column:
+    """Population deviation over mean, the deviation updated from the last number to the first, as the SQL's engine does.
+
+    Two ways of adding up differ in the last digit, which decides where a score lies on a border.
+    """
+    none = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("squares"))
+
+    def step(acc: Column, x: Column) -> Column:
+        put = lambda m: F.struct((acc["n"] + 1).alias("n"), m.alias("mean"), (acc["squares"] + (x - m) * (x - acc["mean"])).alias("squares"))
+        return let(acc["mean"] + (x - acc["mean"]) / (acc["n"] + 1), put)
+
+    def of(v: Column) -> Column:
+        spread = F.aggregate(F.reverse(v), none, step, lambda acc: F.sqrt(acc["squares"] / acc["n"]))
+        return let(mean(v), lambda m: F.when(m != 0, spread / m).otherwise(0.0))
+
+    return let(numbers, of)
+
+
 def autocorrelation(x: Column, m: Column, lag: int) -> Column:
     n = F.size(x)
     spread = F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - m) * (v - m))
@@ -23,7 +41,7 @@ def autocorrelation(x: Column, m: Column, lag: int) -> Column:
 
 @register("R-01")
 def burstiness() -> Column:
-    return result("R-01", cv(lengths()), F.size("prose") >= 5)
+    return result("R-01", updated_cv(lengths()), F.size("prose") >= 5)
 
 
 @register("R-02")

@@ -70,3 +70,17 @@ def test_five_report_counts_a_score_on_a_border_as_its_sql(spark):
     """37 marks in 1,000 words score 0.325, in doubles a little less: the SQL has 33 of 100."""
     df = spark.createDataFrame([(1, "word " * 963 + "word? " * 37)], "doc_id long, text string")
     assert "/33/L-05" in built._told(built._five(df)).first().categories
+
+
+def test_five_report_adds_up_deviations_as_its_sql(spark):
+    """Sentences of 18, 18, 6, 8 and 6 words: R-01 is 0.5 but for its last digit, and the category has 62.5 points or a little less."""
+    import duckdb
+
+    from inkscan.oracles_built import ALL
+
+    text = " ".join("Words" + " more" * (n - 1) + "." for n in (18, 18, 6, 8, 6))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents AS SELECT 1 AS doc_id, ? AS text", [text])
+    want = con.execute(f"SELECT categories, advice FROM ({ALL['five_report']})").fetchone()
+    got = built._told(built._five(spark.createDataFrame([(1, text)], "doc_id long, text string"))).select("categories", "advice").first()
+    assert tuple(got) == want and "style/62/" in want[0]
